@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from veriskill.llm import exact_dedup, secret_scan
+from veriskill.llm import decontaminate, exact_dedup, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op9_secret_scan": secret_scan.op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
