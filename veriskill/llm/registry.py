@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriskill.llm import decontaminate, exact_dedup, lang_id, quality_fm, secret_scan
+from veriskill.llm import decontaminate, exact_dedup, lang_id, piece_codec, quality_fm, secret_scan
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_language_id": lang_id.op2_language_id,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_piece_codec": piece_codec.op6_piece_codec,
         "op7_quality": quality_fm.op7_quality,
         "op9_secret_scan": secret_scan.op9_secret_scan,
     }
