@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from veriskill.llm.common import held_out, table, whole_text
@@ -150,7 +151,7 @@ def classify(docs: DataFrame, net: ByteCNN, *, text_col: str = "text") -> DataFr
     """
     docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double")
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("lang_score", "double")
     names = [f.name for f in schema]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

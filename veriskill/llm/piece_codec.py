@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veriskill.llm.common import table
 
@@ -289,7 +290,7 @@ def decode_pieces(encoded: DataFrame, codec: PieceCodec, *, pieces_col: str = "p
     """``encoded`` with the column ``text``; null pieces decode to null. An input column ``text`` is replaced."""
     encoded = encoded.drop("text")
     shared = encoded.sparkSession.sparkContext.broadcast(codec)
-    schema = encoded.schema.add("text", "string")
+    schema = StructType([*encoded.schema.fields]).add("text", "string")
     names = [f.name for f in schema]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from veriskill.llm.common import WORD_TABLE, held_out, table
@@ -163,7 +164,7 @@ def score(docs: DataFrame, fm: FactorisationMachine, *, text_col: str = "text")
     """
     docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(fm)
-    schema = docs.schema.add("quality_score", "double")
+    schema = StructType([*docs.schema.fields]).add("quality_score", "double")
     names = [f.name for f in schema]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
