@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriskill.llm import decontaminate, exact_dedup, lang_id, piece_codec, quality_fm, secret_scan
+from veriskill.llm import decontaminate, exact_dedup, jaccard_join, lang_id, piece_codec, quality_fm, secret_scan
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op6_piece_codec": piece_codec.op6_piece_codec,
         "op7_quality": quality_fm.op7_quality,
         "op9_secret_scan": secret_scan.op9_secret_scan,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}
