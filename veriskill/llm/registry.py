@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from veriskill.llm import decontaminate, exact_dedup, jaccard_join, lang_id, piece_codec, quality_fm, secret_scan
+from veriskill.llm import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, piece_codec, quality_fm, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op1_html_extract": html_extract.op1_html_extract,
         "op2_language_id": lang_id.op2_language_id,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_piece_codec": piece_codec.op6_piece_codec,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op3_license_scan": license_scan.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}
