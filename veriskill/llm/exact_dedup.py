@@ -37,43 +37,54 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     one group. Repeated rows (same id and text) each get a row; exactly one of a group is kept. An empty table gives
     an empty result. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    n = ranges or max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw"))
-    keyed = rows.select("doc_id", F.char_length(whole_text(F.col("_raw"))).alias("_chars"), normalised(F.col("_raw")).alias("_norm"))
-    keyed = keyed.withColumn("_hash", F.xxhash64("_norm"))
-    total = docs.count()
-    often = max(64, math.ceil(total * hot_share / n))
+    ranked = _ranked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", ranges, hot_share)
+    return ranked.select("_row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, hot_share: float = 0.25) -> DataFrame:
+    """``docs`` with the one row of each group of equal texts that :func:`exact_dedup` keeps; columns unchanged."""
+    return _ranked(docs, id_col, text_col, ranges, hot_share).where("kept").select("_row.*")
+
+
+def _ranked(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, hot_share: float) -> DataFrame:
+    n = ranges or max(shuffle_partitions(docs.sparkSession), docs.rdd.getNumPartitions())
+    norm = normalised(F.col(text_col))
+    keyed = docs.select(F.struct("*").alias("_row"), F.left(norm, F.lit(KEY_CHARS)).alias("_head"), F.xxhash64(norm).alias("_hash"))
+    often = max(64, math.ceil(docs.count() * hot_share / n))
     hot = materialize(keyed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= often).select("_hash"), "hot-texts")
+    text = F.col(f"_row.`{text_col}`")
+    # The normalised text is made again after the exchange: only the original travels.
+    full = ["_row", "_head", "_hash", normalised(text).alias("_norm"), F.char_length(whole_text(text)).alias("_chars"), F.col(f"_row.`{id_col}`").alias("_id")]
     if hot.isEmpty():
-        return _sorted(keyed, n)
+        return _sorted(keyed, full, n)
     hot = F.broadcast(hot)
-    return _sorted(keyed.join(hot, "_hash", "left_anti"), n).unionByName(_aggregated(keyed.join(hot, "_hash", "left_semi")))
+    return _sorted(keyed.join(hot, "_hash", "left_anti"), full, n).unionByName(_aggregated(keyed.join(hot, "_hash", "left_semi").select(*full)))
 
 
-def _sorted(keyed: DataFrame, n: int) -> DataFrame:
-    dealt = keyed.withColumn("_head", F.left("_norm", F.lit(KEY_CHARS))).repartitionByRange(n, "_head", "_hash")
+def _sorted(keyed: DataFrame, full: list[str | Column], n: int) -> DataFrame:
+    dealt = keyed.repartitionByRange(n, "_head", "_hash").select(*full)
     equal = Window.partitionBy("_head", "_hash", "_norm")
-    best = equal.orderBy(F.desc("_chars"), F.asc_nulls_last("doc_id"))
+    best = equal.orderBy(F.desc("_chars"), F.asc_nulls_last("_id"))
     every = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return dealt.select(
-        "doc_id",
-        F.first("doc_id").over(every).alias("keep_id"),
+        "_row",
+        F.first("_id").over(every).alias("keep_id"),
         F.count(F.lit(1)).over(every).alias("group_size"),
         (F.row_number().over(best) == 1).alias("kept"),
         F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
     )
 
 
-def _aggregated(keyed: DataFrame) -> DataFrame:
-    rank = F.struct((-F.col("_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"))
-    groups = keyed.groupBy("_norm").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    groups = materialize(groups.select(F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), "_best", "group_size"), "hot-groups")
-    rows = keyed.select("doc_id", "_chars", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256")).join(F.broadcast(groups), "text_sha256")
-    ties = F.col("_best.d").eqNullSafe(F.col("doc_id")) & (F.col("_best.c") == -F.col("_chars"))
-    out = [F.col("doc_id"), F.col("_best.d").alias("keep_id"), F.col("group_size")]
+def _aggregated(rows: DataFrame) -> DataFrame:
+    rank = F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("d"))
+    groups = rows.groupBy("_norm").agg(F.min(rank).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    sha = F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256")
+    groups = materialize(groups.select(sha, "_best", "group_size"), "hot-groups")
+    joined = rows.select("_row", "_id", "_chars", sha).join(F.broadcast(groups), "text_sha256")
+    ties = F.col("_best.d").eqNullSafe(F.col("_id")) & (F.col("_best.c") == -F.col("_chars"))
+    out = ["_row", F.col("_best.d").alias("keep_id"), "group_size"]
     one = F.row_number().over(Window.partitionBy("text_sha256").orderBy("_chars")) == 1
-    return rows.where(ties).select(*out, one.alias("kept"), "text_sha256").unionByName(rows.where(~ties).select(*out, F.lit(False).alias("kept"), "text_sha256"))
+    return joined.where(ties).select(*out, one.alias("kept"), "text_sha256").unionByName(joined.where(~ties).select(*out, F.lit(False).alias("kept"), "text_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

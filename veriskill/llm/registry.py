@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriskill.llm import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, piece_codec, quality_fm, secret_scan
+from veriskill.llm import decontaminate, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, line_templates, piece_codec, quality_fm, secret_scan
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_piece_codec": piece_codec.op6_piece_codec,
         "op7_quality": quality_fm.op7_quality,
+        "op8_line_templates": line_templates.op8_line_templates,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_license_scan": license_scan.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op3_license_scan": license_scan.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_templates": line_templates.ORACLE_SQL, "op10_jaccard_join": jaccard_join.ORACLE_SQL}
