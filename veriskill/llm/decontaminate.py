@@ -205,7 +205,7 @@ def contamination(
     key = ["doc_id", F.xxhash64("text").alias("_h"), F.col("text").isNull().alias("_z")]
     keys = ["doc_id", "_h", "_z"]
     shard = F.pmod(F.xxhash64("words"), F.lit(shards))
-    parts = [materialize(_scanned(rows.select("*", *key[1:]), pieces.where(shard == k), window, keys), "contamination") for k in range(shards)]
+    parts = [materialize(_scanned(rows.select("*", *key[1:]), pieces.where(shard == k), window, keys, k == 0), "contamination") for k in range(shards)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part.where(F.size("spans") > 0))
@@ -223,11 +223,10 @@ def _merge(spans):
     return F.aggregate(spans, F.array().cast("array<array<int>>"), step)
 
 
-def _scanned(rows: DataFrame, pieces: DataFrame, window: int, keys: list[str] | None = None) -> DataFrame:
+def _scanned(rows: DataFrame, pieces: DataFrame, window: int, keys: list[str] | None = None, first: bool = True) -> DataFrame:
     found = [(r.item, r.words.encode().split()) for r in pieces.select("item", "words").collect()]  # at most a shard
     automaton = rows.sparkSession.sparkContext.broadcast(ItemAutomaton([("\0" if i is None else i, w) for i, w in found], window))
     keys = keys or ["doc_id"]
-    first = bool(len(keys) > 1)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", n_words long, spans array<array<int>>, item_ids array<string>, _first boolean"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,10 @@
 
 Shingles are ordered by how often their sketch slot occurs in the corpus, rare first; sets that are similar enough must
 then share one of each other's first ``n - ceil(t n) + 1`` shingles. Documents with the same set form a class, classes
-with the same prefix and size a group, and only groups enter the prefix index. In the index, groups that share a shingle
-are chained by size where neighbours pass the size filter: every candidate pair is connected by such a chain, so the
-chains' components hold all candidates together without any pair being written out. Each component is then expanded to
-its members and verified exactly, in blocks of bounded size.
+with the same prefix and size a group, and only groups enter the prefix index. Where few groups share a shingle, their
+pairs pass the size, position and bitmap filters, none of which loses a link. Where many do, no pair is written out:
+they are chained by size, and every pair that the size filter lets through is connected by the chain. The components
+of pairs and chains hold all candidates together; each is expanded to its members and verified exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,10 +25,14 @@ from veriskill.llm.components import connected_components
 
 WORDS, PERCENT = 3, 90
 #: Slots of the frequency sketch; its order is right at any load, and selective while a slot holds few rare shingles.
-SLOTS = 1 << 20
-SLICE = 1 << 12
+SLOTS = 1 << 22
+SLICE = 1 << 14
 #: Partial sketches that one task adds up.
 FAN_IN = 64
+#: A shingle that more groups share chains them instead of pairing them.
+PAIRED = 16
+#: Bits of a set's bitmap, each the parity of the shingles that fall on it.
+BITS = 1024
 #: Members of a verification block.
 BLOCK = 256
 
@@ -113,25 +117,26 @@ def _packed(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _index(rows: DataFrame, words: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """``doc_id, n, h1, h2, prefix`` of each row: set size, two hashes of the set, prefix in index order."""
+    """``doc_id, n, h1, h2, bitmap, prefix`` of each row: set size, two hashes of the set, parities, prefix in index order."""
     shared, slots = rows.sparkSession.sparkContext.broadcast(sketch), len(sketch)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, often = Shingler(words), shared.value
         for batch in batches:
-            n, h1, h2, prefix = [], [], [], []
+            n, h1, h2, prefix, bits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 h2.append(int(np.bitwise_xor.reduce(s * _A ^ (s >> np.uint64(17)) * _B).view(np.int64)) if len(s) else 0)
+                bits.append(np.packbits(np.bincount((s >> np.uint64(23)).astype(np.int64) % BITS, minlength=BITS) & 1).view(np.int64))
                 p = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 order = np.argsort(often[_slot(s, slots)], kind="stable")[:p]
                 prefix.append(s[order].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), lists], ["doc_id", "n", "h1", "h2", "bitmap", "prefix"])
 
-    return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, prefix array<long>")
+    return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, bitmap array<long>, prefix array<long>")
 
 
 def _verify(words: int, percent: int):
@@ -186,6 +191,30 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 1 << 15) -> np.n
     return out
 
 
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Edges between groups whose components keep every candidate pair together."""
+    groups = classes.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("classes"), F.first(F.struct("bitmap", "prefix")).alias("s"))
+    groups = materialize(groups.select("gid", "n", F.when(F.col("classes") == 1, F.col("s.bitmap")).alias("bitmap"), "s.prefix"), "shingle-groups")
+    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
+    same = Window.partitionBy("token")
+    by_size = same.orderBy("n", "gid")
+    smaller = F.collect_list(F.struct("gid", "n", "place")).over(by_size.rowsBetween(-PAIRED, -1))
+    many = F.count(F.lit(1)).over(same) > PAIRED
+    placed = tokens.select("gid", "n", "place", F.when(many, F.slice(smaller, F.greatest(F.size(smaller), F.lit(1)), F.lit(1))).otherwise(smaller).alias("smaller"), many.alias("many"))
+
+    def passes(x: Column) -> Column:
+        # The shingles after this one bound what else can be shared, if this is the first that is.
+        most = 1 + F.least(F.col("n") - F.col("place") - 1, x["n"] - x["place"] - 1)
+        return (x["n"] * 100 >= F.col("n") * percent) & (F.col("many") | (most * (100 + percent) >= percent * (F.col("n") + x["n"])))
+
+    pairs = placed.where(F.size("smaller") > 0).select("gid", "many", F.explode(F.filter("smaller", passes)).alias("x")).where(F.col("x.gid") != F.col("gid"))
+    pairs = pairs.groupBy(F.col("gid").alias("a"), F.col("x.gid").alias("b")).agg(F.max("many").alias("many"))
+    one, two = (groups.select(F.col("gid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"m_{k}")) for k in "ab")
+    differ = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = F.col("many") | F.col("m_a").isNull() | F.col("m_b").isNull() | (differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, n_links``.
 
@@ -199,15 +228,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sketch = frequency_sketch(rows.select("text"), words, slots)
     index = materialize(_index(rows, words, percent, sketch), "shingle-index")
     node = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = index.where(node).groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
+    classes = index.where(node).groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("bitmap", "prefix")).alias("s")).select("h1", "h2", "n", "cid", "copies", "s.*")
     classes = materialize(classes.withColumn("gid", F.xxhash64("n", "prefix")), "shingle-classes")
 
-    groups = classes.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
-    tokens = groups.select("gid", "n", F.explode("prefix").alias("token"))
-    by_size = Window.partitionBy("token").orderBy("n", "gid")
-    chain = tokens.select("gid", "n", F.lag("gid").over(by_size).alias("last"), F.lag("n").over(by_size).alias("last_n"))
-    chain = chain.where((F.col("last") != F.col("gid")) & (F.col("last_n") * 100 >= F.col("n") * percent)).select(F.col("gid").alias("a"), F.col("last").alias("b"))
-    labels = connected_components(chain)
+    labels = connected_components(_candidates(classes, percent))
 
     member = classes.select("cid", "copies", "gid").join(labels.withColumnRenamed("node", "gid"), "gid", "left").select("cid", "copies", F.coalesce("component", "gid").alias("label"))
     sizes = member.groupBy("label").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
