@@ -47,8 +47,8 @@ def cos_rmse(p: Column, t: Column, c: Column, w: Column) -> Column:
 def activity(p: Column, t: Column, c: Column, w: Column) -> Column:
     """[A7] Weighted spread of the anomaly around its weighted mean; null without climatology. One pass over partial sums."""
     x = p - c
-    m, n = F.avg(w * x), F.count(x)
-    return F.sqrt(F.greatest(_ratio(F.sum(w * x * x) - 2 * m * F.sum(w * x) + m * m * F.sum(F.when(x.isNotNull(), w)), n), F.lit(0.0)))
+    m, n = F.avg(w * x), F.nullif(F.count(x), F.lit(0).cast("long"))
+    return F.when(n.isNotNull(), F.sqrt(F.greatest((F.sum(w * x * x) - 2 * m * F.sum(w * x) + m * m * F.sum(F.when(x.isNotNull(), w))) / n, F.lit(0.0))))
 
 
 def acc(p: Column, t: Column, c: Column, w: Column) -> Column:

@@ -12,10 +12,10 @@ from veriskill.operators.events import greedy
 
 
 def row_runs(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cells (``lat_i, lon_i``) of each row as runs of adjacent columns ``a..b`` with an id."""
+    """Cells (``lat_i, lon_i``) of each row as runs of adjacent columns ``a..b``."""
     w = Window.partitionBy(*by, "lat_i").orderBy("lon_i")
     runs = cells.select(*by, "lat_i", "lon_i", (F.col("lon_i") - F.row_number().over(w)).alias("_g")).groupBy(*by, "lat_i", "_g").agg(F.min("lon_i").alias("a"), F.max("lon_i").alias("b"))
-    return runs.drop("_g").withColumn("run", F.xxhash64(*by, "lat_i", "a"))
+    return runs.drop("_g")
 
 
 def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal: bool = True, checkpoint=None) -> DataFrame:
