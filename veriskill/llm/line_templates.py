@@ -21,8 +21,8 @@ FIELD = "<*>"
 
 def masked(line: Column) -> Column:
     """Tokens in single spaces, those with a digit as a variable field."""
-    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(spaced, r"(^| )[^ ]*[0-9][^ ]*", f"$1{FIELD}")
+    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, r"(^| )[^ ]*[0-9][^ ]*", f"$1{FIELD}")).otherwise(spaced)
 
 
 def drop_templates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
