@@ -184,10 +184,10 @@ def _axes(spark):
 @query("fx_grid", sql="""WITH ty AS (SELECT i, least(greatest((90 - 10*i + 80.5::DOUBLE)/7, 0), 23) AS y FROM range(19) r(i)), wy AS (SELECT i, least(floor(y), 22)::INT AS s, y - least(floor(y), 22) AS f FROM ty),
 yy AS (SELECT i, s AS lat_i, 1-f AS w FROM wy UNION ALL SELECT i, s+1, f FROM wy), tx AS (SELECT j, j*0.75::DOUBLE AS x FROM range(48) r(j)), wx AS (SELECT j, floor(x)::INT % 36 AS s, x - floor(x) AS f FROM tx),
 xx AS (SELECT j, s AS lon_i, 1-f AS w FROM wx UNION ALL SELECT j, (s+1) % 36, f FROM wx)
-SELECT model, i::INT AS lat_i, j::INT AS lon_i, round(sum(yy.w*xx.w*value), 4) AS value FROM fx_grid JOIN yy USING (lat_i) JOIN xx USING (lon_i) WHERE yy.w <> 0 AND xx.w <> 0 GROUP BY ALL""")
+SELECT model, i::INT AS lat_i, j::INT AS lon_i, round(sum(yy.w*xx.w*value) + 1e-7, 4) AS value FROM fx_grid JOIN yy USING (lat_i) JOIN xx USING (lon_i) WHERE yy.w <> 0 AND xx.w <> 0 GROUP BY ALL""")
 def regrid_bilinear(spark, grid):
     """[J9, J10, J12]"""
-    return rounded(G.regrid_linear(grid, *_axes(spark), ["model"]))
+    return rounded(G.regrid_linear(grid, *_axes(spark), ["model"]), offset=1e-7)
 
 
 @query("fx_grid", sql="""WITH sy AS (SELECT i, sin(radians(-90+7.5*i)) AS lo, sin(radians(-82.5+7.5*i)) AS hi FROM range(24) r(i)), ty AS (SELECT i, sin(radians(-90+20*i)) AS lo, sin(radians(-70+20*i)) AS hi FROM range(9) r(i)),

@@ -37,10 +37,10 @@ def coldest_cell(spark, mask):
     return rounded(O.coldest_cell(x, ["day"], "value", "masked"))
 
 
-@query("fx_cell_day", sql="""WITH b AS (SELECT *, cos(radians(lat)) AS w FROM fx_cell_day WHERE lat BETWEEN -20 AND 60) SELECT day, """ + ", ".join(f"round(sum(w*pred) FILTER (model = '{m}')/sum(w) FILTER (model = '{m}'), 4) AS \"{m}\"" for m in "ANR") + ", round(sum(w*truth)/sum(w), 4) AS truth FROM b GROUP BY day")
+@query("fx_cell_day", sql="""WITH b AS (SELECT *, cos(radians(lat)) AS w FROM fx_cell_day WHERE lat BETWEEN -20 AND 60) SELECT day, """ + ", ".join(f"round(sum(w*pred) FILTER (model = '{m}')/sum(w) FILTER (model = '{m}') + 1e-7, 4) AS \"{m}\"" for m in "ANR") + ", round(sum(w*truth)/sum(w) + 1e-7, 4) AS truth FROM b GROUP BY day")
 def box_timeseries_pivot(spark, cells):
     """[A31, P22]"""
-    return rounded(O.box_series(cells, F.col("lat").between(-20, 60), "day", "model", ["A", "N", "R"]))
+    return rounded(O.box_series(cells, F.col("lat").between(-20, 60), "day", "model", ["A", "N", "R"]), offset=1e-7)
 
 
 @query("fx_cell_day", sql="SELECT lead_h, " + ", ".join(f"round(avg(pred) FILTER (model = '{m}') - avg(truth) FILTER (model = '{m}'), 4) AS \"{m}\"" for m in "ANR") + " FROM fx_cell_day WHERE lat > 0 GROUP BY lead_h")

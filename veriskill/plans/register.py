@@ -25,9 +25,12 @@ def query(*names: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded, so that the order of a sum does not show; -0.0 becomes 0.0."""
+def rounded(df: DataFrame, digits: int = 4, offset: float = 0.0) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show; -0.0 becomes 0.0.
+
+    Where exact results often end on a half, a small ``offset`` (also in the SQL) rounds them alike everywhere.
+    """
     def one(name: str, kind: str) -> Column:
-        return (F.round(F.col(f"`{name}`"), digits) + 0.0).alias(name) if kind == "double" else F.col(f"`{name}`")
+        return (F.round(F.col(f"`{name}`") + offset, digits) + 0.0).alias(name) if kind == "double" else F.col(f"`{name}`")
 
     return df.select(*(one(*x) for x in df.dtypes))

@@ -66,11 +66,11 @@ def case_mean_error(spark, tracks):
     return rounded(with_error(tracks).groupBy("sid", "model").agg(F.avg("error_km").alias("mean_km"), F.count_distinct("lead_h").alias("n_leads")))
 
 
-@query("fx_track", sql="SELECT sid, lead_h, round(avg(pred_lat), 4) AS lat, round(avg(pred_lon), 4) AS lon, count(*) AS n FROM fx_track WHERE model <> 'view' GROUP BY ALL")
+@query("fx_track", sql="SELECT sid, lead_h, round(avg(pred_lat) + 1e-7, 4) AS lat, round(avg(pred_lon) + 1e-7, 4) AS lon, count(*) AS n FROM fx_track WHERE model <> 'view' GROUP BY ALL")
 def ensemble_mean_track(spark, tracks):
     """[A42, J28]"""
     members = tracks.select("sid", "lead_h", F.when(F.col("model") == "view", "best").otherwise(F.col("model")).alias("member"), F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
-    return rounded(T.mean_track(members, ["sid", "lead_h"]))
+    return rounded(T.mean_track(members, ["sid", "lead_h"]), offset=1e-7)
 
 
 @query("fx_track", sql=f"WITH {_ONE} SELECT eval_key, model, event_id FROM last_rows")
