@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ASCII bytes that separate words of :data:`WORD_TABLE`: everything but 0-9 A-Z a-z; upper case becomes lower.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -65,5 +66,17 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def hash_sample(rows: DataFrame, group: str, h: str, most: int) -> DataFrame:
+    """Rows of each group's smallest hashes, ``most`` of them at most.
+
+    A hash limit from the group's count leaves about twice as many, so that no group is sorted whole.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_count"))
+    part = F.pmod(F.xxhash64(h), F.lit(1 << 30)) * F.col("_count") < (most + 200) * 2.0 * (1 << 30)
+    few = rows.join(F.broadcast(counts), group).where(part).drop("_count")  # one row for each label
+    w = Window.partitionBy(group).orderBy(F.xxhash64(h), *(c for c in rows.columns if c != group))
+    return few.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

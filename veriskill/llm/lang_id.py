@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
-from veriskill.llm.common import held_out, table, whole_text
+from veriskill.llm.common import hash_sample, held_out, table, whole_text
 
 WIDTHS = (2, 3, 4, 5)
 UNDETERMINED = "und"
@@ -134,8 +133,7 @@ def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     h = F.xxhash64(F.col(id_col).cast("string"))
     start = F.pmod(h, F.greatest(F.char_length(text) - chars, F.lit(0)) + 1).cast("int") + 1
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (F.char_length(text) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text, start, F.lit(chars)).alias("piece"), h.alias("h"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece")))
-    return ranked.where(F.col("r") <= per_lang).select("lang", "piece", "h").toPandas().sort_values(["lang", "h", "piece"])
+    return hash_sample(rows, "lang", "h", per_lang).toPandas().sort_values(["lang", "h", "piece"])
 
 
 def fit(docs: DataFrame, **names: str) -> ByteCNN:

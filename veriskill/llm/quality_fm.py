@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
-from veriskill.llm.common import WORD_TABLE, held_out, table
+from veriskill.llm.common import WORD_TABLE, hash_sample, held_out, table
 
 WORD_SLOTS = 4096
 #: Bins of each structure statistic.
@@ -135,9 +134,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     Ids are chosen from the label table alone (of an id with several labels, the lowest row counts), so that only chosen texts are read.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
-    h = F.xxhash64(F.col("_id").cast("string"))
-    ranked = known.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy(h, "_id")))
-    chosen = F.broadcast(ranked.where(F.col("_r") <= per_label).select("_id", "_y"))  # at most twice per_label
+    chosen = F.broadcast(hash_sample(known, "_y", "_id", per_label).select("_id", "_y"))  # at most twice per_label
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("_id", "_y", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
