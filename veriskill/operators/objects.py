@@ -55,7 +55,7 @@ def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def large_objects(labelled: DataFrame, by: Sequence[str], least: int) -> DataFrame:
