@@ -16,6 +16,7 @@ WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 o
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _cleaning: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +29,12 @@ def scratch_root(spark: SparkSession) -> str:
     It is the cluster's ``spark.checkpoint.dir``. Only a local master may do without: it gets a new temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/veriskill-{spark.sparkContext.applicationId}"
+        root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
+    return f"{root.rstrip('/')}/veriskill-{app}"
 
 
 def _clean(spark: SparkSession, root: str) -> None:
