@@ -23,6 +23,11 @@ def test_main_text_by_line_blocks():
     assert main_text(html) == "\n\n".join((long.strip(), "Short.", long.strip()))
 
 
+def test_main_text_of_a_held_article():
+    html = "<body><div class=top>Site name</div><div id='post-content'><div><p>One.</p></div><p>Two.</p><div class=share>Share</div><p>Three.</div><p>Imprint</p></body>"
+    assert main_text(html) == "One.\n\nTwo.\n\nThree."
+
+
 def test_main_text_of_odd_pages(spark):
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<script>x") == ""
     assert main_text("just text") == "just text" and main_text("a < b & c") == "a < b & c"

@@ -33,9 +33,13 @@ DROPPED = frozenset("nav footer aside form menu dialog head fieldset".split()) |
 MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
 footer gdpr masthead menu modal nav navbar navigation newsletter notice alert overlay pager pagination popup promo promotion recommended related
 replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search""".split())
+#: Words of class, id and role names of elements that hold the article where no element is called so.
+HOLDERS = frozenset("article content entry main post story".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+")
+#: Number of all elements that hold the article by their class, id or role.
+HELD = 1 << 30
 
 
 class _Line:
@@ -59,11 +63,16 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+def _holds(attributes: str) -> bool:
+    return any(name.lower() in ("class", "id", "role") and not HOLDERS.isdisjoint(WORDS.findall(value.lower())) for name, value in ATTRIBUTE.findall(attributes))
+
+
 def lines_of(html: str) -> list[_Line]:
     """Text lines of a page, with the number of the marked article around each (0: none) and the length of link text."""
     lines, line = [], _Line(0)
     skipping, depth = "", 0  # name of the dropped element that is open, and how many of that name
     articles, opened, link = [], 0, 0
+    holder, nested = "", 0  # name of an element that holds the article, and how many of that name are open in it
 
     def end() -> None:
         nonlocal line
@@ -106,6 +115,12 @@ def lines_of(html: str) -> list[_Line]:
             end()
         elif name == "br" or name in VOID:
             line.parts.append(" ")
+        if name == holder and not alone:
+            nested += -1 if closing else 1
+            if nested == 0:
+                holder = ""
+                articles.clear()
+                end()
         if closing:
             if name in ("article", "main") and articles:
                 articles.pop()
@@ -123,12 +138,17 @@ def lines_of(html: str) -> list[_Line]:
         drop = name in DROPPED or (name == "header" and not articles) or (name not in ("html", "body", "main") and attributes and _marked(attributes))
         if drop:
             skipping, depth = name, 1
+            nested -= name == holder  # its end tag is passed over
             continue
         if name in ("article", "main"):
             if not articles:
                 opened += 1
             articles.append(opened)
             end()
+        elif name in ("div", "section", "td") and not articles and attributes and _holds(attributes):
+            holder, nested = name, 1
+            articles.append(HELD)
+            end()
         elif name == "a":
             link += 1
     end()
