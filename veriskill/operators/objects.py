@@ -74,8 +74,9 @@ def object_stats(labelled: DataFrame, by: Sequence[str], value: Column, w: Colum
 def severest(labelled: DataFrame, day: str, value: Column, w: Column, min_days: int, top: int) -> DataFrame:
     """[T1, T2, A47, A48] The most severe objects that last long enough, with their peak day, ranked."""
     daily = labelled.groupBy("label", day).agg(F.sum(w).alias("area"), F.avg(value).alias("value_mean"), F.min(value).alias("value_min"), F.max(value).alias("value_max"))
-    each = daily.groupBy("label").agg(F.count(F.lit(1)).alias("days"), F.sum("area").alias("severity"), F.max_by(day, F.struct("area", -F.col(day))).alias("peak_day"), F.max("area").alias("peak_area"), F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max"))
-    order = [F.desc("severity"), F.asc("label")]
+    size = F.round("area", 9)  # equal areas tie whatever the order of their sums
+    each = daily.groupBy("label").agg(F.count(F.lit(1)).alias("days"), F.sum("area").alias("severity"), F.max_by(day, F.struct(size, -F.col(day))).alias("peak_day"), F.max("area").alias("peak_area"), F.min("value_min").alias("value_min"), F.max("value_max").alias("value_max"))
+    order = [F.desc(F.round("severity", 6)), F.asc("label")]
     best = each.where(F.col("days") >= min_days).orderBy(*order).limit(top)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top rows
 
@@ -133,6 +134,23 @@ def tracked_objects(labelled: DataFrame, by: Sequence[str], day: str, min_overla
     return out.where(F.col("days") >= min_days)
 
 
+def peak_days(daily: DataFrame, by: Sequence[str], day: str, area: str) -> DataFrame:
+    """[O9, A48] The day of the largest area, the first on ties."""
+    w = Window.partitionBy(*by).orderBy(F.desc(area), day)
+    return daily.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, day)
+
+
+def place_box(lat: Column, lon: Column, height: float, width: float) -> list[Column]:
+    """[O9] A box of fixed size around a centre, moved inside the poles; longitudes are normalised and may wrap."""
+    south = F.least(F.greatest(lat - height / 2, F.lit(-90.0)), F.lit(90.0 - height))
+    return [south.alias("south"), (south + height).alias("north"), F.pmod(lon - width / 2, F.lit(360.0)).alias("west"), F.pmod(lon + width / 2, F.lit(360.0)).alias("east")]
+
+
+def map_extract(cells: DataFrame, peaks: DataFrame, by: Sequence[str], day: str, box: Column) -> DataFrame:
+    """[O10] Cells of each group's peak day inside the box."""
+    return cells.where(box).join(peaks, [*by, day], "left_semi")
+
+
 def box_series(cells: DataFrame, box: Column, day: str, model: str, models: Sequence[str], value: str = "pred", truth: str = "truth", lat: str = "lat") -> DataFrame:
     """[A31] Cosine-weighted mean in the box for each day, a column for each model and the truth."""
     w = F.cos(F.radians(lat))

@@ -8,16 +8,26 @@ from veriskill.operators import objects as O
 from veriskill.plans.register import query, rounded
 
 
-@query("fx_mask")
+#: Labels by reachability over pairs of neighbouring cells: right on small grids only.
+_REACH = """r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON r.g = e.g AND r.b = e.a), lb AS (SELECT g, a AS node, min(b) AS label FROM r GROUP BY ALL)"""
+
+
+@query("fx_mask", sql=f"""WITH c AS (SELECT *, printf('%05d-%05d', lat_i, lon_i) AS node FROM fx_mask WHERE (lat_i + lon_i) % 3 > 0),
+e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a JOIN c b ON a.day = b.day AND abs(a.lat_i-b.lat_i) + abs(a.lon_i-b.lon_i) <= 1), {_REACH}
+SELECT day, label, count(*) AS cells, min(lat_i) AS lat_min, max(lat_i) AS lat_max, min(lon_i) AS lon_min, max(lon_i) AS lon_max, round(avg(lat_i), 4) AS lat_mean, round(avg(lon_i), 4) AS lon_mean, count(*)::DOUBLE AS severity FROM c JOIN lb ON g = day AND lb.node = c.node GROUP BY ALL""")
 def components_2d(spark, mask):
-    """[O1, O3] 4-connected objects of each day; tests compare labels with a plain flood fill."""
+    """[O1, O3, A30] 4-connected objects of each day."""
     out = O.label(mask.where((F.col("lat_i") + F.col("lon_i")) % 3 > 0), ["day"], diagonal=False)
     return rounded(O.object_stats(out, ["day"], F.col("lat_i").cast("double"), F.lit(1.0)).select("day", "label", "cells", "lat_min", "lat_max", "lon_min", "lon_max", "lat_mean", "lon_mean", "severity"))
 
 
-@query("fx_mask")
+@query("fx_mask", sql=f"""WITH c AS (SELECT *, printf('%09d-%05d-%05d', day, lat_i, lon_i) AS node, cos(radians(lat_i*7e0 - 8e1)) AS w FROM fx_mask WHERE lat_i % 4 < 2 AND lon_i % 5 < 2),
+e AS (SELECT 1 AS g, a.node AS a, b.node AS b FROM c a JOIN c b ON abs(a.day-b.day) <= 1 AND abs(a.lat_i-b.lat_i) <= 1 AND abs(a.lon_i-b.lon_i) <= 1), {_REACH},
+d AS (SELECT label, day, sum(w) AS area, min(lat_i) AS lo, max(lat_i) AS hi FROM c JOIN lb USING (node) GROUP BY ALL),
+o AS (SELECT label, count(*) AS days, sum(area) AS severity, arg_max(day, (round(area, 9), -day)) AS peak_day, max(area) AS peak_area, min(lo)::DOUBLE AS value_min, max(hi)::DOUBLE AS value_max FROM d GROUP BY label)
+SELECT label, days, round(severity, 4) AS severity, peak_day, round(peak_area, 4) AS peak_area, value_min, value_max, row_number() OVER (ORDER BY round(severity, 6) DESC, label)::INT AS rank FROM o WHERE days >= 2 ORDER BY rank LIMIT 20""")
 def components_3d(spark, mask):
-    """[O2, T1, T2, A47, A48] 26-connected objects over days, the most severe ranked; tests compare labels with a plain flood fill."""
+    """[O2, T1, T2, A47, A48] 26-connected objects over days, the most severe ranked."""
     sparse = mask.where((F.col("lat_i") % 4 < 2) & (F.col("lon_i") % 5 < 2))
     w = F.cos(F.radians(F.col("lat_i") * 7.0 - 80.0))
     return rounded(O.severest(O.label(sparse, [], day="day"), "day", F.col("lat_i").cast("double"), w, 2, 20))
@@ -30,6 +40,15 @@ def object_tracking(spark, mask):
     return rounded(O.tracked_objects(labelled, [], "day"))
 
 
+@query("fx_cell_day", sql="""WITH w AS (SELECT *, cos(radians(lat)) AS w FROM fx_cell_day WHERE pred > truth*1.05), p AS (SELECT model, day AS peak, sum(w) AS area FROM w GROUP BY model, day QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(sum(w), 9) DESC, day) = 1)
+SELECT c.model, c.day, c.cell_id, round(avg(pred), 4) AS pred, round(avg(truth), 4) AS truth FROM fx_cell_day c JOIN p ON c.model = p.model AND c.day = p.peak WHERE lat BETWEEN -64 AND 64 GROUP BY ALL""")
+def peak_day_map(spark, cells):
+    """[O9, O10]"""
+    daily = cells.where(F.col("pred") > F.col("truth") * 1.05).groupBy("model", "day").agg(F.round(F.sum(F.cos(F.radians("lat"))), 9).alias("area"))
+    peak = O.peak_days(daily, ["model"], "day", "area")
+    return rounded(O.map_extract(cells, peak, ["model"], "day", F.col("lat").between(-64, 64)).groupBy("model", "day", "cell_id").agg(F.avg("pred").alias("pred"), F.avg("truth").alias("truth")))
+
+
 @query("fx_mask", sql="""SELECT day, lat_i, lon_i, round(v, 4) AS value FROM (SELECT day, lat_i, lon_i, ((lat_i*7 + lon_i*13 + day*5) % 101)::DOUBLE AS v, lon_i % 4 = 0 AS masked FROM fx_mask) QUALIFY row_number() OVER (PARTITION BY day ORDER BY NOT masked, v, lat_i, lon_i) = 1""")
 def coldest_cell(spark, mask):
     """[T6, O9]"""

@@ -178,3 +178,20 @@ def metric_rows_keep_last(spark, lineitem):
     """[S23, W12, K3]"""
     x = lineitem.select(F.col("l_returnflag").alias("model"), F.col("l_shipdate").cast("date").alias("init"), F.col("l_linenumber").alias("lead"), "l_orderkey", F.col("l_extendedprice").alias("v"))
     return keep_last(x, ["model", "init", "lead"], ["l_orderkey", "v"]).drop("l_orderkey")
+
+
+@query("lineitem", sql="""SELECT l_returnflag AS model, l_linenumber AS init, count(*) AS n_vars, string_agg(v, ',' ORDER BY v) AS variables FROM (SELECT DISTINCT l_returnflag, l_linenumber, l_linestatus || '_' || (l_suppkey % 3) AS v FROM lineitem) GROUP BY ALL""")
+def variables_present(spark, lineitem):
+    """[S13]"""
+    from veriskill.sources.readers import variables_of
+
+    x = lineitem.select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("init"), F.col("l_linestatus").alias("variable"), (F.col("l_suppkey") % 3).alias("level_hpa"))
+    return variables_of(x, ["model", "init"]).groupBy("model", "init").agg(F.count(F.lit(1)).alias("n_vars"), F.array_join(F.array_sort(F.collect_list("channel")), ",").alias("variables"))
+
+
+@query("lineitem", sql="""WITH s AS (SELECT l_linenumber AS variable, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS sd FROM lineitem GROUP BY 1) SELECT l_returnflag AS model, round(avg(abs((l_extendedprice - m)/sd)), 4) AS z, round(avg((l_extendedprice - m)/sd*sd + m), 2) AS back FROM lineitem JOIN s ON l_linenumber = variable GROUP BY 1""")
+def standardised_fields(spark, lineitem):
+    """[P26]"""
+    s = lineitem.groupBy(F.col("l_linenumber").alias("variable")).agg(F.avg("l_extendedprice").alias("m"), F.stddev_samp("l_extendedprice").alias("sd"))
+    x = lineitem.join(F.broadcast(s), F.col("l_linenumber") == F.col("variable")).withColumn("z", S.standardised(F.col("l_extendedprice"), F.col("m"), F.col("sd")))  # one row per variable
+    return x.groupBy(F.col("l_returnflag").alias("model")).agg(F.round(F.avg(F.abs("z")), 4).alias("z"), F.round(F.avg(F.col("z") * F.col("sd") + F.col("m")), 2).alias("back"))

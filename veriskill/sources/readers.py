@@ -110,3 +110,23 @@ def metric_tables(spark: SparkSession, path: str, keys: Sequence[str] = ("init_t
             raw = raw.withColumn(c, F.lit(None).cast("string"))
     out = raw.select(*(F.col(c) if c in ("init_time", "valid_time", "variable") else F.col(c).try_cast("int" if c == "lead_hours" else "double").alias(c) for c in (*keys, *columns)), "_line")
     return keep_last(out, keys, ["_line"]).drop("_line")
+
+
+def variables_of(fields: DataFrame, by: Sequence[str]) -> DataFrame:
+    """[S13] Channels (``variable_level``, or the variable alone) that each group has."""
+    return fields.select(*by, F.concat_ws("_", "variable", "level_hpa").alias("channel")).distinct()
+
+
+def track_tables(spark: SparkSession, path: str) -> DataFrame:
+    """[S24, P29] Raw track CSVs under ``source=.../model=...``: numbers coerced, rows that are not ok or lack an error dropped."""
+    raw = spark.read.option("header", True).csv(path)
+    numbers = {"Lead_Time": "int", "Track_Error_km": "double", "Wind_Error": "double", "MSL_Error": "double"}
+    rows = raw.select(*(F.col(c).try_cast(numbers[c]).alias(c) if c in numbers else F.col(c) for c in raw.columns))
+    rows = rows.where(F.lower("Status") == "ok") if "Status" in raw.columns else rows
+    return rows.na.drop(subset=[c for c in ("Lead_Time", "Track_Error_km") if c in raw.columns])
+
+
+def observations_at(obs: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ("station", "variable"), time: str = "valid_time") -> DataFrame:
+    """[S18] Station forecasts with the observation of their valid time; the date leads both keys, so that partitions by date are pruned."""
+    dated = lambda df: df.withColumn("date", F.col(time).cast("date"))
+    return dated(forecasts).join(dated(obs), ["date", *keys, time]).drop("date")
