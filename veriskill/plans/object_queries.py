@@ -41,12 +41,12 @@ def object_tracking(spark, mask):
 
 
 @query("fx_cell_day", sql="""WITH w AS (SELECT *, cos(radians(lat)) AS w FROM fx_cell_day WHERE pred > truth*1.05), p AS (SELECT model, day AS peak, sum(w) AS area FROM w GROUP BY model, day QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(sum(w), 9) DESC, day) = 1)
-SELECT c.model, c.day, c.cell_id, round(avg(pred), 4) AS pred, round(avg(truth), 4) AS truth FROM fx_cell_day c JOIN p ON c.model = p.model AND c.day = p.peak WHERE lat BETWEEN -64 AND 64 GROUP BY ALL""")
+SELECT c.model, c.day, c.cell_id, round(avg(pred) + 1e-7, 4) AS pred, round(avg(truth) + 1e-7, 4) AS truth FROM fx_cell_day c JOIN p ON c.model = p.model AND c.day = p.peak WHERE lat BETWEEN -64 AND 64 GROUP BY ALL""")
 def peak_day_map(spark, cells):
     """[O9, O10]"""
     daily = cells.where(F.col("pred") > F.col("truth") * 1.05).groupBy("model", "day").agg(F.round(F.sum(F.cos(F.radians("lat"))), 9).alias("area"))
     peak = O.peak_days(daily, ["model"], "day", "area")
-    return rounded(O.map_extract(cells, peak, ["model"], "day", F.col("lat").between(-64, 64)).groupBy("model", "day", "cell_id").agg(F.avg("pred").alias("pred"), F.avg("truth").alias("truth")))
+    return rounded(O.map_extract(cells, peak, ["model"], "day", F.col("lat").between(-64, 64)).groupBy("model", "day", "cell_id").agg(F.avg("pred").alias("pred"), F.avg("truth").alias("truth")), offset=1e-7)
 
 
 @query("fx_mask", sql="""SELECT day, lat_i, lon_i, round(v, 4) AS value FROM (SELECT day, lat_i, lon_i, ((lat_i*7 + lon_i*13 + day*5) % 101)::DOUBLE AS v, lon_i % 4 = 0 AS masked FROM fx_mask) QUALIFY row_number() OVER (PARTITION BY day ORDER BY NOT masked, v, lat_i, lon_i) = 1""")
