@@ -50,7 +50,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         cache = self.cache
-        if len(cache) > 500_000:
+        if len(cache) > 250_000:
             cache.clear()
         found = list(map(cache.get, words))
         if None in found:

@@ -27,7 +27,7 @@ from veriskill.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r" *[^ ]+| +")
 #: Cached segments of one worker, over all variants.
-CACHE = 900_000
+CACHE = 450_000
 #: Longer segments run their agenda alone.
 SHORT = 24
 NEVER = 1 << 30
