@@ -31,8 +31,10 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 DROPPED = frozenset("nav footer aside form menu dialog head fieldset".split()) | RAW
 #: Words of class, id and role names that mark an element as no part of the article.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
-footer gdpr masthead menu modal nav navbar navigation newsletter notice alert overlay pager pagination popup promo promotion recommended related
+commentlist adbox adslot footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall sharebar topbar alert overlay pager pagination popup promo promotion recommended related
 replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search""".split())
+#: Class and id names of page headers, as a whole.
+HEADS = frozenset("header site-header page-header top-bar".split())
 #: Words of class, id and role names of elements that hold the article where no element is called so.
 HOLDERS = frozenset("article content entry main post story".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
@@ -56,7 +58,7 @@ def _marked(attributes: str) -> bool:
     """Whether class, id or role call the element no part of the article, or it is hidden."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(WORDS.findall(value)):
+        if name in ("class", "id", "role") and (value in HEADS or not MARKS.isdisjoint(WORDS.findall(value))):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
