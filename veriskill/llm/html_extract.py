@@ -54,11 +54,11 @@ class _Line:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role call the element no part of the article, or it is hidden."""
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether class, id or role call the element no part of the article, or it is hidden; ``inside`` the article a header is its own."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role") and (value in HEADS or not MARKS.isdisjoint(WORDS.findall(value))):
+        if name in ("class", "id", "role") and ((not inside and value in HEADS) or not MARKS.isdisjoint(WORDS.findall(value))):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
@@ -137,7 +137,7 @@ def lines_of(html: str) -> list[_Line]:
             at = close.end() if close else size
             line.parts.append(" ")
             continue
-        drop = name in DROPPED or (name == "header" and not articles) or (name not in ("html", "body", "main") and attributes and _marked(attributes))
+        drop = name in DROPPED or (name == "header" and not articles) or (name not in ("html", "body", "main") and attributes and _marked(attributes, bool(articles)))
         if drop:
             skipping, depth = name, 1
             nested -= name == holder  # its end tag is passed over
