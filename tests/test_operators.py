@@ -174,6 +174,24 @@ def test_storm_tracker_follows_a_hollow(spark):
         assert abs(r.lat - lat0 - 0.4 * k) <= 1.1 and abs(r.lon - lon0 - 0.6 * k) <= 1.1
 
 
+def test_storm_tracker_takes_every_storm_and_step(spark, tmp_path):
+    from veriskill.plans.registry import queries
+
+    rows = [(100 * sid + k, sid, f"2024-01-{1 + k // 24:02d} {k % 24:02d}:00:00", "click", 20.0 + (7 * k + sid) % 60) for sid in (3, 20, 45) for k in range(30)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.sid, r.lead_h): r for r in queries()["storm_tracker"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(sid, 6 * (k + 1)) for sid in (3, 20, 45) for k in range(30)}
+    for sid in (3, 20, 45):
+        mine = [r for r in rows if r[1] == sid]
+        lat0, lon0 = np.mean([10 + r[4] / 25 for r in mine]), np.mean([120 + r[0] % 47 / 5 for r in mine])
+        for k, row in enumerate(mine, 1):
+            y, x, r, v = lat0 + 0.4 * k, lon0 + 0.6 * k, got[sid, 6 * k], 10 + row[4] / 20
+            near = [(i - y) ** 2 + (j - x) ** 2 for i in range(90) for j in range(90, 180) if abs(i - r.lat) <= 1.5 and abs(j - r.lon) <= 1.5]
+            assert abs(r.lat - y) <= 1.1 and abs(r.lon - x) <= 1.1 and r.reason == "max_lead_reached" and r.fails == 0
+            assert abs(r.min_msl - (101_000 - (3000 + 10 * v) * np.exp(-min(near) / 8))) < 1e-6 and abs(r.max_wind - (20 + v / 10) * np.exp(-min(near) / 20)) < 1e-6
+
+
 def blob(spark, wide=1.0):
     i, j = np.mgrid[0:40, 0:40]
     r2 = ((i - 20) / wide) ** 2 + (j - 20) ** 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veriskill.functions import scalars as S
 from veriskill.operators import tracks as T
@@ -142,13 +143,20 @@ def path_linking(spark, tracks):
 
 @query("fx_track")
 def storm_tracker(spark, tracks):
-    """[W6, W7, W8, W10] A pressure hollow that moves with the best track, on a 1-degree grid around it; tests check the followed path."""
-    best = tracks.where("model = 'click' AND sid < 20").groupBy("sid").agg(F.avg("true_lat").alias("lat0"), F.avg("true_lon").alias("lon0"), F.count(F.lit(1)).alias("n"))
-    steps = F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(12)))).alias("k")
-    eye = best.select("sid", "lat0", "lon0", steps).select("sid", "k", "lat0", "lon0", (F.col("lat0") + 0.4 * F.col("k")).alias("eye_lat"), (F.col("lon0") + 0.6 * F.col("k")).alias("eye_lon"))
-    grid = eye.select("*", F.explode(F.sequence(F.lit(-12), F.lit(16))).alias("i")).select("*", F.explode(F.sequence(F.lit(-12), F.lit(20))).alias("j"))
-    lat, lon = F.floor("lat0") + F.col("i"), F.floor("lon0") + F.col("j")
+    """[W6, W7, W8, W10] A pressure hollow for every best-track row of every storm, on a 1-degree grid around it.
+
+    The rows of ``click`` are the best track: the k-th in time is step k, and gives the hollow its depth and wind. Its
+    way from the mean position is made up, as the positions of the rows jump; it turns back at 75 degrees of latitude.
+    Tests check the followed path, and depths and winds with a plain loop.
+    """
+    best = tracks.where("model = 'click'")
+    starts = best.groupBy("sid").agg(F.avg("true_lat").alias("lat"), F.avg("true_lon").alias("lon"))
+    k = F.row_number().over(Window.partitionBy("sid").orderBy("valid_time", "event_id"))
+    steps = best.select("sid", k.alias("k"), (3000 + 10 * F.col("pred_lat")).alias("depth"), (20 + F.col("pred_lat") / 10).alias("speed")).join(starts, "sid")
+    eye_lat = 75 - F.abs(F.pmod(F.col("lat") + 0.4 * F.col("k") + 75, F.lit(300.0)) - 150)
+    eye = steps.select("sid", "k", "depth", "speed", eye_lat.alias("eye_lat"), (F.col("lon") + 0.6 * F.col("k")).alias("eye_lon"))
+    grid = eye.select("*", F.explode(F.sequence(F.lit(-10), F.lit(11))).alias("i")).select("*", F.explode(F.sequence(F.lit(-10), F.lit(11))).alias("j"))
+    lat, lon = F.floor("eye_lat") + F.col("i"), F.floor("eye_lon") + F.col("j")
     d2 = F.pow(lat - F.col("eye_lat"), 2) + F.pow(lon - F.col("eye_lon"), 2)
-    cells = grid.select("sid", (6 * F.col("k")).alias("lead_h"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), (101_000 - 3000 * F.exp(-d2 / 8)).alias("msl"), (20 * F.exp(-d2 / 20)).alias("u10"), F.lit(0.0).alias("v10"))
-    starts = best.select("sid", F.col("lat0").alias("lat"), F.col("lon0").alias("lon"))
+    cells = grid.select("sid", (6 * F.col("k")).alias("lead_h"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), (101_000 - F.col("depth") * F.exp(-d2 / 8)).alias("msl"), (F.col("speed") * F.exp(-d2 / 20)).alias("u10"), F.lit(0.0).alias("v10"))
     return T.track_storms(cells, starts, by=["sid"], size=3)
