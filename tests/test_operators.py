@@ -65,6 +65,42 @@ def test_tracked_objects_follow_a_moving_blob(spark):
     assert [(r.start_day, r.end_day, r.days, r.max_area) for r in out] == [(3, 3, 1, 3), (0, 1, 2, 3), (0, 4, 5, 12)]
 
 
+def test_object_tracking_takes_all_lines(spark, tmp_path):
+    """Every line is a cell of its own, far beyond 24 x 36, and every object and link is a plain loop's."""
+    from veriskill.plans.registry import queries
+
+    rng = np.random.default_rng(5)
+    lines = [(int(250 * x), float(q), f"199{2 + m // 12}-{m % 12 + 1:02d}-15") for m in range(15) for x in (*range(8), *range(2000, 2008)) for q in range(1, 51) if rng.random() < 0.25]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, d string").select("*", F.to_date("d").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    days = {}
+    for key, q, d in lines:
+        days.setdefault(12 * (int(d[:4]) - 1992) + int(d[5:7]), set()).add((int(q), key // 250))
+    assert sum(map(len, days.values())) == len(lines)
+    per_day = {d: sorted({o for o in flood(cells, lambda a, b: abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1).values() if len(o) >= 3}, key=min) for d, cells in days.items()}
+    chain = {}  # object -> its chain
+    want = []
+    for d in sorted(per_day):
+        pairs = []
+        for b in per_day[d]:
+            for a in per_day.get(d - 1, []):
+                n = len(a & b)
+                if n and n / min(len(a), len(b)) >= 0.3:
+                    pairs.append((-n / len(a | b), -n, min(a), min(b), a, b))
+        taken = set()
+        for *_, a, b in sorted(pairs, key=lambda x: x[:4]):
+            if ("a", a) not in taken and ("b", b) not in taken:
+                taken |= {("a", a), ("b", b)}
+                chain[d, b] = chain[d - 1, a]
+        for b in per_day[d]:
+            if (d, b) not in chain:
+                want.append([])
+                chain[d, b] = want[-1]
+            chain[d, b].append((d, len(b)))
+    got = queries()["object_tracking"](spark, str(tmp_path)).collect()
+    assert max(len(c) for c in want) > 1
+    assert sorted((r.start_day, r.end_day, r.days, round(r.mean_area, 4), r.max_area) for r in got) == sorted((c[0][0], c[-1][0], len(c), round(sum(n for _, n in c) / len(c), 4), max(n for _, n in c)) for c in want)
+
+
 def test_perfect_forecast(spark):
     x = spark.range(50).selectExpr("id AS i", "cast(id AS double) AS pred", "cast(id AS double) AS truth", "cast(id % 7 AS double) AS clim", "1e0 AS w")
     r = grid.scores(x, []).first()

@@ -33,9 +33,9 @@ def components_3d(spark, mask):
     return rounded(O.severest(O.label(sparse, [], day="day"), "day", F.col("lat_i").cast("double"), w, 2, 20))
 
 
-@query("fx_mask")
+@query("fx_wide_mask")
 def object_tracking(spark, mask):
-    """[O4, O5, J16, W15, A49] Objects of each day linked to the next day's; tests compare with a plain loop."""
+    """[O4, O5, J16, W15, A49] Objects of each time step linked to the next one's; tests compare with a plain loop."""
     labelled = O.large_objects(O.label(mask, ["day"]), ["day"], 3)
     return rounded(O.tracked_objects(labelled, [], "day"))
 
