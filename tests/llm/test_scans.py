@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from tests.llm.fixtures import documents, pages_of
+from veriskill.llm import decontaminate
 from veriskill.llm.decontaminate import ItemAutomaton, contamination, remove_contamination, words_of
 from veriskill.llm.license_scan import TEMPLATES, license_scan
 from veriskill.llm.secret_scan import op9_secret_scan, secret_scan
@@ -105,6 +106,24 @@ def test_removal_leaves_no_window_and_no_clean_row_changed(spark):
     assert all(r.n_chars == len(r.text or "") for r in kept.collect())
 
 
+def test_removal_does_not_depend_on_shards(spark, monkeypatch):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(8)]
+    prose = lambda k, n: " ".join(f"p{k}x{j}" for j in range(n))
+    a, b, c = items[0][1], items[1][1], items[2][1].split()
+    docs = [
+        (1, f"{prose(1, 8)} {a} {prose(2, 8)} {b} {prose(3, 8)}"), (2, f"{prose(4, 60)} {a} {prose(5, 60)} {b}"), (3, prose(6, 40)), (4, None), (5, ""), (2, f"{prose(4, 60)} {a} {prose(5, 60)} {b}"), (None, f"{prose(7, 90)} {b}"),
+        (6, f"{prose(8, 90)} {' '.join(c[:6])} {a} {' '.join(c[6:])}"), (7, f"{prose(8, 90)} {' '.join(c[:6])} {items[3][1]} {' '.join(c[6:])}"), (8, f"{prose(8, 90)} {' '.join(c[:6])} {items[4][1]} {' '.join(c[6:])}"),
+    ]
+    rows = spark.createDataFrame([(i, t, len(t or "") + 1, "k") for i, t in docs], "doc_id long, text string, n_chars long, spans string")
+    test = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(str, remove_contamination(rows, test).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 14)
+    several = remove_contamination(rows, test)
+    assert several.columns == rows.columns and sorted(map(str, several.collect())) == one
+    assert len(one) == 9  # the first is half items
+    assert remove_contamination(rows.limit(0), test).count() == 0
+
+
 def test_automaton_lengths():
     a = ItemAutomaton([("1", words_of("a b c a b d")), ("2", words_of("a b c"))], window=3)
     assert a.scan(words_of("z a b c a b d z")) == ([[1, 7]], {"1", "2"})

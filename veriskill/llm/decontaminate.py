@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veriskill.llm.common import WORD_TABLE, materialize, table
 
@@ -256,12 +257,61 @@ def remove_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "do
     found = materialize(found, "benchmark-pieces")
     total = found.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
-    out = docs
-    for k in range(shards):
-        out = _cut(out, found.where(F.pmod(F.xxhash64("words"), F.lit(shards)) == k), text_col, window, max_coverage)
+    if shards == 1:
+        return _cut(docs, found, text_col, window, max_coverage)
+    # The spans of all shards come first, by text; what was cut is looked at again by all shards.
+    shard = F.pmod(F.xxhash64("words"), F.lit(shards))
+    parts = [found.where(shard == k) for k in range(shards)]
+    ready, todo, limit = [], docs, max_coverage
+    while True:
+        judged = materialize(_cut_spans(todo, _spans(todo, parts, text_col, window), text_col, limit), "cut")
+        ready.append(judged.where("not _again").drop("_again"))
+        todo, limit = judged.where("_again").drop("_again"), None
+        if todo.isEmpty():
+            break
+    out = ready[0]
+    for more in ready[1:]:
+        out = out.unionByName(more)
     return out
 
 
+def _text_keys(text_col: str) -> list:
+    return [F.xxhash64(text_col).alias("_h"), F.hash(text_col).alias("_g"), F.char_length(text_col).alias("_l")]
+
+
+def _spans(docs: DataFrame, parts: list[DataFrame], text_col: str, window: int) -> DataFrame:
+    """Merged spans of all shards of items, for each text that has any."""
+    keys = ["_h", "_g", "_l"]
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), *_text_keys(text_col))
+    hits = [materialize(_scanned(rows, part, window, keys).where(F.size("spans") > 0).select(*keys, "spans"), "hits") for part in parts]
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*keys).agg(_merge(F.array_sort(F.flatten(F.collect_set("spans")))).alias("_spans"))
+
+
+def _cut_spans(docs: DataFrame, spans: DataFrame, text_col: str, max_coverage: float | None) -> DataFrame:
+    """``docs`` without the spans and, where there is a limit, without rows beyond it; ``_again`` tells whether a text was cut."""
+    columns = docs.columns
+    joined = docs.select("*", *_text_keys(text_col)).join(spans, ["_h", "_g", "_l"], "left").select(*columns, "_spans")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep, again = batch.column(text_col).to_pylist(), [], []
+            for i, here in enumerate(batch.column("_spans").to_pylist()):
+                again.append(bool(here))
+                keep.append(not here or max_coverage is None or sum(e - s for s, e in here) <= max_coverage * len(words_of(texts[i])))
+                if here and keep[-1]:
+                    texts[i] = cut_words(texts[i], here)
+            new = {text_col: texts}
+            if "n_chars" in columns:
+                new["n_chars"] = [len(t) if a else n for t, a, n in zip(texts, again, batch.column("n_chars").to_pylist(), strict=True)]
+            arrays = [pa.array(new[c], batch.schema.field(c).type) if c in new else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(again, pa.bool_())], [*columns, "_again"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(clean, StructType([*docs.schema.fields]).add("_again", "boolean"))
+
+
 def _cut(docs: DataFrame, pieces: DataFrame, text_col: str, window: int, max_coverage: float) -> DataFrame:
     found = [(r.item, r.words.encode().split()) for r in pieces.select("item", "words").collect()]
     automaton = docs.sparkSession.sparkContext.broadcast(ItemAutomaton([("\0" if i is None else i, w) for i, w in found], window))
