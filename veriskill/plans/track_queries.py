@@ -155,6 +155,7 @@ def storm_tracker(spark, tracks):
     steps = best.select("sid", k.alias("k"), (3000 + 10 * F.col("pred_lat")).alias("depth"), (20 + F.col("pred_lat") / 10).alias("speed")).join(starts, "sid")
     eye_lat = 75 - F.abs(F.pmod(F.col("lat") + 0.4 * F.col("k") + 75, F.lit(300.0)) - 150)
     eye = steps.select("sid", "k", "depth", "speed", eye_lat.alias("eye_lat"), (F.col("lon") + 0.6 * F.col("k")).alias("eye_lon"))
+    eye = eye.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid")  # few bytes, much work: not to be coalesced
     grid = eye.select("*", F.explode(F.sequence(F.lit(-10), F.lit(11))).alias("i")).select("*", F.explode(F.sequence(F.lit(-10), F.lit(11))).alias("j"))
     lat, lon = F.floor("eye_lat") + F.col("i"), F.floor("eye_lon") + F.col("j")
     d2 = F.pow(lat - F.col("eye_lat"), 2) + F.pow(lon - F.col("eye_lon"), 2)
