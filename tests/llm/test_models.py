@@ -28,6 +28,19 @@ def test_main_text_of_a_held_article():
     assert main_text(html) == "One.\n\nTwo.\n\nThree."
 
 
+def test_main_text_is_whole():
+    one, two = ("One long sentence of the text goes on and on. " * 4).strip(), ("Another long sentence follows it here and there. " * 4).strip()
+    for name in ("post-meta", "article-title", "entry-header", "story-date"):
+        assert main_text(f"<body><div class='{name}'>By X</div><div class='text'><p>{one}</p><p>{two}</p></div>").endswith(f"{one}\n\n{two}")
+    assert main_text(f"<body><p>Menu</p><article><p>{one}</p></article><article><p>{two}</p></article>") == f"{one}\n\n{two}"
+    for tag, name in (("article", "post has-comments"), ("div", "content no-sidebar"), ("div", "entry social"), ("section", "widget")):
+        page = f"<body><div>Site</div><{tag} class='{name}'><p>{one}</p><p>{two}</p><div class='share'>Share</div></{tag}>"
+        assert main_text(page).endswith(f"{one}\n\n{two}") and "Share" not in main_text(page)
+    links = "<ul>" + "<li><a href=x>Some other page of it</a></li>" * 6 + "</ul>"
+    assert main_text(f"<body><div class='content'>{links}<h2>Title</h2><p>{one}</p><p>{two}</p><p>End.</p>{links}</div>") == f"Title\n\n{one}\n\n{two}\n\nEnd."
+    assert main_text(f"<body><div class='sidebar'>Short</div><div style='display:none' class='ad'>{one} {one}</div><p>{two}</p>") == two
+
+
 def test_main_text_of_odd_pages(spark):
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<script>x") == ""
     assert main_text("just text") == "just text" and main_text("a < b & c") == "a < b & c"

@@ -3,8 +3,9 @@
 Markup is stripped to lines, one for each block element; scripts, styles, forms and elements that are marked as
 navigation, advertising, notices or reader comments leave no line. Line lengths (without link text) are summed over
 sliding windows of lines. The text starts where the sums surge, ends after the point where they dive for good, and every
-line between stays, short ones too. Where the page marks its article, only lines inside carry length, and any length is
-a surge.
+line between stays, short ones too. Where the page marks its article, only lines inside count, and the text reaches from
+the surges to where the sums dive to nothing. An element that only its class, id or role calls the article bounds the
+text if it carries at least half of the page's block text, which is the lines in windows that surge.
 """
 
 from __future__ import annotations
@@ -40,26 +41,30 @@ HOLDERS = frozenset("article content entry main post story".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+")
-#: Number of all elements that hold the article by their class, id or role.
-HELD = 1 << 30
 
 
 class _Line:
-    __slots__ = ("article", "links", "parts")
+    __slots__ = ("article", "held", "links", "parts")
 
-    def __init__(self, article: int):
-        self.article, self.links, self.parts = article, 0, []
+    def __init__(self, article: bool, held: bool):
+        self.article, self.held, self.links, self.parts = article, held, 0, []
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
 
 
 def _marked(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role call the element no part of the article, or it is hidden; ``inside`` the article a header is its own."""
+    """Whether class, id or role call the element no part of the article; ``inside`` the article a header is its own."""
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role") and ((not inside and value in HEADS) or not MARKS.isdisjoint(WORDS.findall(value))):
+        value = value.strip("\"'").lower()
+        if name.lower() in ("class", "id", "role") and ((not inside and value in HEADS) or not MARKS.isdisjoint(WORDS.findall(value))):
             return True
+    return False
+
+
+def _hidden(attributes: str) -> bool:
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
     return False
@@ -70,17 +75,34 @@ def _holds(attributes: str) -> bool:
 
 
 def lines_of(html: str) -> list[_Line]:
-    """Text lines of a page, with the number of the marked article around each (0: none) and the length of link text."""
-    lines, line = [], _Line(0)
+    """Text lines of a page, whether an article or an element that holds one is around each, and the length of link text.
+
+    An element is not dropped for a class, id or role if it holds most of the text.
+    """
+    spared: set[int] = set()
+    while True:
+        lines, dropped = _lines(html, spared)
+        kept = sum(len(x.text()) for x in lines)
+        at, most = max(dropped.items(), key=lambda x: x[1], default=(0, 0))
+        if most < SURGE or 2 * most <= kept + sum(dropped.values()):
+            return lines
+        spared.add(at)
+
+
+def _lines(html: str, spared: set[int]) -> tuple[list[_Line], dict[int, int]]:
+    """Lines, and the length of the text in each element that was dropped for its class, id or role, by where it starts."""
+    lines, line = [], _Line(False, False)
+    dropped: dict[int, int] = {}
+    by_class = -1  # where the open dropped element starts, if it was dropped for its class, id or role
     skipping, depth = "", 0  # name of the dropped element that is open, and how many of that name
-    articles, opened, link = [], 0, 0
+    articles, link = 0, 0  # open articles and links
     holder, nested = "", 0  # name of an element that holds the article, and how many of that name are open in it
 
     def end() -> None:
         nonlocal line
         if line.parts:
             lines.append(line)
-        line = _Line(articles[0] if articles else 0)
+        line = _Line(articles > 0, holder != "")
 
     at = 0
     size = len(html)
@@ -92,6 +114,8 @@ def lines_of(html: str) -> list[_Line]:
             line.parts.append(text)
             if link:
                 line.links += len(text.strip())
+        elif start > at and by_class >= 0:
+            dropped[by_class] += len(" ".join(html[at:start].split()))
         if not found:
             break
         at = found.end()
@@ -108,6 +132,10 @@ def lines_of(html: str) -> list[_Line]:
                 if closing and name == "p":
                     continue
             else:
+                if name in RAW and not closing and not alone:  # their content is no markup here either
+                    close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                    at = close.end() if close else size
+                    continue
                 if name == skipping and not alone:
                     depth += -1 if closing else 1
                     if depth == 0:
@@ -121,11 +149,11 @@ def lines_of(html: str) -> list[_Line]:
             nested += -1 if closing else 1
             if nested == 0:
                 holder = ""
-                articles.clear()
+                articles = 0
                 end()
         if closing:
             if name in ("article", "main") and articles:
-                articles.pop()
+                articles -= 1
                 end()
             elif name == "a":
                 link = max(0, link - 1)
@@ -137,24 +165,31 @@ def lines_of(html: str) -> list[_Line]:
             at = close.end() if close else size
             line.parts.append(" ")
             continue
-        drop = name in DROPPED or (name == "header" and not articles) or (name not in ("html", "body", "main") and attributes and _marked(attributes, bool(articles)))
-        if drop:
+        inside = articles > 0 or holder != ""
+        called = name not in ("html", "body", "main", "article") and bool(attributes) and start not in spared and _marked(attributes, inside)
+        if name in DROPPED or (name == "header" and not inside) or called or (name not in ("html", "body", "main") and attributes and _hidden(attributes)):
+            by_class = -1
+            if called and name not in DROPPED and not _hidden(attributes):
+                by_class = start
+                dropped[start] = 0
             skipping, depth = name, 1
             nested -= name == holder  # its end tag is passed over
             continue
         if name in ("article", "main"):
-            if not articles:
-                opened += 1
-            articles.append(opened)
+            articles += 1
             end()
-        elif name in ("div", "section", "td") and not articles and attributes and _holds(attributes):
+        elif name in ("div", "section", "td") and not inside and attributes and _holds(attributes):
             holder, nested = name, 1
-            articles.append(HELD)
             end()
         elif name == "a":
             link += 1
     end()
-    return lines
+    return lines, dropped
+
+
+def _sums(length: np.ndarray, window: int) -> np.ndarray:
+    """The window that starts at each line."""
+    return np.convolve(length, np.ones(window, int))[window - 1 :]
 
 
 def main_text(html: str | None, *, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -164,27 +199,32 @@ def main_text(html: str | None, *, window: int = WINDOW, surge: int = SURGE) ->
     found = [(x, t) for x in lines_of(html) if (t := x.text())]
     if not found:
         return ""
-    sizes: dict[int, int] = {}
-    for x, t in found:
-        if x.article:
-            sizes[x.article] = sizes.get(x.article, 0) + len(t)
-    inside = max(sizes, key=lambda k: (sizes[k], -k), default=0)
-    if inside:
-        length = np.array([len(t) if x.article == inside else 0 for x, t in found])
-        window, surge = 1, 1
-    else:
-        length = np.array([max(0, len(t) - 2 * x.links) for x, t in found])
-    sums = np.convolve(length, np.ones(window, int))  # sums[i + window - 1] is the window that starts at line i
-    starts = sums[window - 1 :]
+    length = np.array([max(0, len(t) - 2 * x.links) for x, t in found])
+    # Block text: lines in windows that surge.
+    surging = np.convolve(_sums(length, window) >= surge, np.ones(window, int))[: len(found)] > 0
+    weight = np.where(surging, length, 0)
+    article, held = (np.array([getattr(x, c) for x, _ in found]) for c in ("article", "held"))
+    most = lambda mask: mask.any() and 2 * weight[mask].sum() >= weight.sum()
+    inside = article if most(article) else article | held if most(article | held) else article
+    bound = bool(inside.any())
+    if bound:
+        found = [f for f, k in zip(found, inside, strict=True) if k]
+        length = length[inside]
+    starts = _sums(length, window)
     high = np.flatnonzero(starts >= surge)
     if not len(high):
         return "\n\n".join(t for _, t in found)
     first, last = int(high[0]), min(int(high[-1]) + window, len(found))
+    if bound:  # up to where the sums dive to nothing
+        while first and starts[first - 1]:
+            first -= 1
+        while last < len(found) and length[max(0, last - window + 1) : last + 1].any():
+            last += 1
     while length[first] == 0:  # lines of links at either edge
         first += 1
     while length[last - 1] == 0:
         last -= 1
-    return "\n\n".join(t for x, t in found[first:last] if not inside or x.article == inside)
+    return "\n\n".join(t for _, t in found[first:last])
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
