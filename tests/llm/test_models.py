@@ -134,6 +134,22 @@ def test_dropout_varies_and_repeats():
         assert [list(memoryview(b).cast("i")) for b in codec.many_ids(words, v)] == [codec.segment_ids(w, v) for w in words]
 
 
+def test_every_occurrence_draws_its_own_segmentation():
+    codec = piece_codec.PieceCodec.load(dropout=0.1)
+    word, n = " internationalisation", 5_000
+    whole = codec.encode_all([(k, word[1:]) for k in range(n)])
+    seen = {x.tobytes() for x in whole}
+    assert len(seen) > 20
+    keys = np.concatenate([codec._keys(k, 1) for k in range(n)])
+    assert [x.tobytes() for x in whole] == codec.many_ids([word] * n, keys)  # what is cached changes nothing
+    assert [x.tobytes() for x in whole[:300]] == [np.array(codec.segment_ids(word, int(k)), np.int32).tobytes() for k in keys[:300]]
+    merges = codec.segment_ids(word, None, taken := []) and len(taken)
+    touched = codec._touched(np.full(n, codec.known[word]), keys)
+    assert abs(1 - touched.mean() - 0.9**merges) < 0.03
+    text = codec.encode(word[1:] + word * 400, 7)
+    assert codec.decode(text.tolist()) == word[1:] + word * 400 and len({codec.segment_ids(word, int(k)).__repr__() for k in codec._keys(7, 401)}) > 20
+
+
 def test_pieces_of_a_table(spark):
     docs = documents(spark)
     codec = CODECS[0.3]

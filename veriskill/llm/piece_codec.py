@@ -1,8 +1,10 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-Candidate merges wait in an agenda ordered by rank and position. A candidate is skipped if the hash of its merge under
-the segment's key falls below the dropout rate, so equal keys give equal segmentations on any executor, and different
-keys vary them. Each place in a document draws one of a few keys, which keeps segments cacheable.
+Candidate merges wait in an agenda ordered by rank and position. A candidate is skipped if a mixing hash of the
+segment's key, its merge and its place in the segment falls below the dropout rate; the key is a hash of the seed, the
+document and the segment's place there. So equal documents give equal segmentations on any executor, and every
+occurrence of a word draws its own. Cached are only things without a key: a segment's pieces and merges under no
+dropout, which hold for every key that skips none of these merges.
 Many short segments run their agendas side by side as array
 rounds, each taking every segment's best candidate. Without dropout the result is the model's own. Every segmentation decodes to the exact input: characters without a
 piece, among them a literal U+2581, become byte pieces.
@@ -11,9 +13,9 @@ piece, among them a literal U+2581, become byte pieces.
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,21 +28,41 @@ from veriskill.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r" *[^ ]+| +")
-#: Cached segments of one worker, over all variants.
-CACHE = 450_000
+#: Cached segments of one worker.
+CACHE = 300_000
 #: Longer segments run their agenda alone.
 SHORT = 24
 NEVER = 1 << 30
-M32 = 0xFFFFFFFF
+M32, M64 = 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
+#: Odd factors of the mixing hash.
+BY_RANK, BY_PLACE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
+    return x ^ (x >> np.uint64(31))
+
+
+def mixed_one(x: int) -> int:
+    x = ((x ^ (x >> 30)) * MIX1) & M64
+    x = ((x ^ (x >> 27)) * MIX2) & M64
+    return x ^ (x >> 31)
+
+
+def _step(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A merge and its place as one number, to which a key is added before mixing."""
+    return rank.astype(np.uint64) * np.uint64(BY_RANK) + place.astype(np.uint64) * np.uint64(BY_PLACE)
 
 
 class PieceCodec:
     """Vocabulary with merge ranks, as plain data that Spark can broadcast.
 
-    A text gets ``variants`` different keys by turns, drawn from the seed, the document key and the segment's place.
+    Each segment of a text has its own 64-bit key, a hash of the seed, the document key and the segment's place.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], dropout: float = 0.1, seed: int = 1, variants: int = 3):
+    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], dropout: float = 0.1, seed: int = 1):
         """``pieces``: text (U+2581 for a space; empty for control and byte pieces) and score by id; ``byte_ids``: id by byte."""
         words = {p.replace("▁", " "): k for k, (p, _) in enumerate(pieces) if p}
         order = sorted(words.values(), key=lambda k: (-pieces[k][1], k))
@@ -53,9 +75,9 @@ class PieceCodec:
             self.raw[k] = bytes([b])
         self.splits = not any(re.search("[^ ] ", w) for w in words)  # no piece goes on after a word's end
         self.seed, self.dropout = seed, dropout
-        self.variants = variants if dropout else 1
-        self.caches: list[dict[str, bytes]] = []
-        self.tables: list[dict[str, int]] = []
+        self.limit = int(dropout * (M32 + 1))
+        self.variants = 3 if dropout else 1  # keys to try the codec with; texts are not limited to them
+        self._forget()
         self.grid: dict[str, np.ndarray] = {}
 
     @classmethod
@@ -73,17 +95,36 @@ class PieceCodec:
         return cls([("" if k in special else sp.id_to_piece(k), sp.get_score(k)) for k in range(n)], bytes_, **options)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"caches": [], "tables": [], "grid": {}}
-
-    def _skipped(self, rank: int, variant: int) -> bool:
-        return zlib.crc32(b"%d/%d/%d" % (self.seed, variant, rank)) < self.dropout * (M32 + 1)
-
-    def _begin(self) -> None:
-        """The merges that each variant takes up: those it skips never enter its agenda."""
-        self.caches = [{} for _ in range(self.variants)]
-        self.tables = [{w: r for w, r in self.rank.items() if not self._skipped(r, v)} for v in range(self.variants)]
-
-        self.grid = self._grid()
+        return self.__dict__ | {"known": {}, "plain": [], "steps": np.zeros(1, np.uint64), "ends": np.zeros(1, np.int64), "grid": {}}
+
+    def _forget(self) -> None:
+        """An empty cache: number by segment, and by number the pieces and the end of the merges of a run without dropout."""
+        self.known: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.steps, self.ends = np.zeros(1 << 12, np.uint64), np.zeros(1 << 10, np.int64)  # both grow by doubling
+
+    def _remember(self, segments: list[str]) -> None:
+        pieces, steps = self.many_ids(segments, None)
+        first, size = len(self.plain), np.array([len(x) for x in steps], np.int64)
+        while len(self.ends) <= first + len(segments):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        start = int(self.ends[first])
+        self.ends[first + 1 : first + len(segments) + 1] = start + np.cumsum(size)
+        while len(self.steps) < start + size.sum():
+            self.steps = np.concatenate((self.steps, np.zeros_like(self.steps)))
+        if len(segments):
+            self.steps[start : start + size.sum()] = np.concatenate(steps)
+        self.plain += pieces
+        self.known.update(zip(segments, range(first, first + len(segments)), strict=True))
+
+    def _touched(self, numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether a key skips one of the merges of the segment with that number."""
+        start, end = self.ends[numbers], self.ends[numbers + 1]
+        size = end - start
+        row = np.repeat(np.arange(len(numbers)), size)
+        at = np.arange(len(row)) + np.repeat(start - np.cumsum(size) + size, size)
+        hit = mixed(keys[row] + self.steps[at]) >> np.uint64(32) < np.uint64(self.limit)
+        return np.bincount(row[hit], minlength=len(numbers)) > 0
 
     def _grid(self) -> dict[str, np.ndarray]:
         """Symbols, merges and skips as arrays. A symbol is a piece id, or one past the pieces for a lone ASCII byte."""
@@ -106,11 +147,11 @@ class PieceCodec:
         made = np.zeros(len(self.rank), np.int32)
         for w, r in self.rank.items():
             made[r] = self.ids[w]
-        skip = np.array([[self._skipped(r, v) for r in range(len(made))] for v in range(self.variants)])
         final = np.concatenate((np.arange(n, dtype=np.int32), np.array([self.byte_ids[b] for b in range(128)], np.int32)))
-        return {"symbol": symbol, "key": key, "rank": rank, "more": more, "more_rank": np.array([rest[p] for p in more.tolist()], np.int32), "made": made, "skip": skip, "final": final}
+        return {"symbol": symbol, "key": key, "rank": rank, "more": more, "more_rank": np.array([rest[p] for p in more.tolist()], np.int32), "made": made, "final": final}
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    def _ranks(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray | None) -> np.ndarray:
+        """Rank of each merge; none where there is no piece or the key skips it."""
         g = self.grid
         pair = (left.astype(np.int64) << 16) | right
         at = (pair * 0x9E3779B1 & M32) >> 12
@@ -119,14 +160,20 @@ class PieceCodec:
             miss = np.flatnonzero((r == NEVER) & (g["key"][at] >= 0))
             k = np.minimum(np.searchsorted(g["more"], pair[miss]), len(g["more"]) - 1)
             r[miss] = np.where(g["more"][k] == pair[miss], g["more_rank"][k], NEVER)
-        known = np.flatnonzero(r < NEVER)
-        known = known[g["skip"][variant[known], r[known]]]
-        r[known] = NEVER
+        if key is not None:
+            known = np.flatnonzero(r < NEVER)
+            skip = mixed(key[known] + _step(r[known], place[known])) >> np.uint64(32) < np.uint64(self.limit)
+            r[known[skip]] = NEVER
         return r
 
-    def many_ids(self, segments: list[str], variant: int) -> list[bytes]:
-        """Piece ids of segments as int32 bytes."""
+    def many_ids(self, segments: list[str], keys: int | np.ndarray | None):
+        """Piece ids of segments as int32 bytes. Where ``keys`` is None, nothing is skipped, and the merges come too."""
+        free = keys is None
+        keys = np.zeros(len(segments), np.uint64) if free else np.full(len(segments), keys, np.uint64) if isinstance(keys, int) else keys
+        if not self.grid:
+            self.grid = self._grid()
         out: list[bytes] = [b""] * len(segments)
+        steps: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(segments) if free else []
         by_len: dict[int, list[int]] = {}
         for i, s in enumerate(segments):
             by_len.setdefault(len(s), []).append(i)
@@ -140,27 +187,38 @@ class PieceCodec:
                     x = np.where(points < 1 << 16, self.grid["symbol"][np.minimum(points, 0xFFFF)], -1)
                     plain = (x >= 0).all(axis=1)
                     rows = np.flatnonzero(plain)
-                    flat, ends = self._rounds(x[rows], np.full(len(rows), variant))
+                    flat, ends, taken = self._rounds(x[rows], None if free else keys[np.array(which)[rows]])
                     raw = flat.tobytes()
                     start = 0
                     for i, end in zip(rows.tolist(), (ends * 4).tolist(), strict=True):
                         out[which[i]] = raw[start:end]
                         start = end
+                    if free and taken:
+                        of, step = np.concatenate([t[0] for t in taken]), np.concatenate([t[1] for t in taken])
+                        order = np.argsort(of, kind="stable")
+                        cuts = np.searchsorted(of[order], np.arange(len(rows) + 1))
+                        for i, a, b in zip(rows.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                            steps[which[i]] = step[order[a:b]]
                     alone = [which[i] for i in np.flatnonzero(~plain).tolist()]
                 for i in alone:
-                    out[i] = array("i", self.segment_ids(segments[i], variant)).tobytes()
-        return out
-
-    def _rounds(self, x: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and each row's end."""
+                    taken_here: list[tuple[int, int]] = []
+                    out[i] = array("i", self.segment_ids(segments[i], None if free else int(keys[i]), taken_here)).tobytes()
+                    if free and taken_here:
+                        steps[i] = _step(*np.array(taken_here, np.int64).T)
+        return (out, steps) if free else out
+
+    def _rounds(self, x: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """All ids end to end, each row's end and, without keys, the rows and merges of each round."""
         m, n = x.shape
         sizes = np.full(m, n)
         live = np.arange(m)
-        if n > 1:
+        taken = []
+        if n > 1 and m:
             y, size = x.copy(), sizes.copy()
-            r = self._ranks(y[:, :-1].ravel(), y[:, 1:].ravel(), np.repeat(variant, n - 1)).reshape(m, n - 1)
-            r = np.concatenate((r, np.full((m, 1), NEVER, np.int32)), axis=1)
             place = np.arange(n)
+            begin = np.repeat(place[None], m, axis=0)  # where each symbol starts
+            r = self._ranks(y[:, :-1].ravel(), y[:, 1:].ravel(), begin[:, :-1].ravel(), None if key is None else np.repeat(key, n - 1)).reshape(m, n - 1)
+            r = np.concatenate((r, np.full((m, 1), NEVER, np.int32)), axis=1)
             while len(live):
                 best = r.argmin(axis=1)
                 rows = np.arange(len(live))
@@ -169,39 +227,50 @@ class PieceCodec:
                 if done.any():
                     x[live[done]], sizes[live[done]] = y[done], size[done]
                     go = ~done
-                    live, y, r, size, best, rank, variant = live[go], y[go], r[go], size[go], best[go], rank[go], variant[go]
+                    live, y, r, size, best, rank, begin = live[go], y[go], r[go], size[go], best[go], rank[go], begin[go]
+                    key = None if key is None else key[go]
                     rows = np.arange(len(live))
                     if not len(live):
                         break
+                if key is None:
+                    taken.append((live, _step(rank, begin[rows, best])))
                 y[rows, best] = self.grid["made"][rank]
                 take = np.minimum(place + (place > best[:, None]), n - 1)
-                y = np.take_along_axis(y, take, 1)
-                r = np.take_along_axis(r, np.minimum(place + (place > best[:, None]), n - 1), 1)
+                y, r, begin = np.take_along_axis(y, take, 1), np.take_along_axis(r, take, 1), np.take_along_axis(begin, take, 1)
                 size = size - 1
                 has = best + 1 < size
                 r[rows, best] = NEVER
                 a = rows[has]
-                r[a, best[has]] = self._ranks(y[a, best[has]], y[a, best[has] + 1], variant[has])
+                r[a, best[has]] = self._ranks(y[a, best[has]], y[a, best[has] + 1], begin[a, best[has]], None if key is None else key[has])
                 has = best > 0
                 a = rows[has]
-                r[a, best[has] - 1] = self._ranks(y[a, best[has] - 1], y[a, best[has]], variant[has])
+                r[a, best[has] - 1] = self._ranks(y[a, best[has] - 1], y[a, best[has]], begin[a, best[has] - 1], None if key is None else key[has])
         keep = np.arange(n) < sizes[:, None]
-        return self.grid["final"][x[keep]], np.cumsum(sizes)
+        return self.grid["final"][x[keep]], np.cumsum(sizes), taken
+
+    def segment_ids(self, s: str, key: int | None, taken: list[tuple[int, int]] | None = None) -> list[int]:
+        """Piece ids of one segment under a key, or None for no dropout; the merges go to ``taken``."""
+        table, n, limit = self.rank.get, len(s), self.limit
+
+        def rank(i: int, j: int) -> int | None:
+            r = table(s[i:j])
+            if r is None or (key is not None and mixed_one((key + r * BY_RANK + i * BY_PLACE) & M64) >> 32 < limit):
+                return None
+            return r
 
-    def segment_ids(self, s: str, variant: int) -> list[int]:
-        """Piece ids of one segment."""
-        rank, n = self.tables[variant].get, len(s)
-        agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(s[i : i + 2])) is not None]
+        agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(i, i + 2)) is not None]
         heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n))  # next and previous symbol's start
         while agenda:
-            _, i, mid, end = heappop(agenda)
+            r, i, mid, end = heappop(agenda)
             if after[i] != mid or after[mid] != end:
                 continue
+            if taken is not None:
+                taken.append((r, i))
             after[i], before[end], after[mid] = end, i, -1
-            if i and (q := rank(s[before[i] : end])) is not None:
+            if i and (q := rank(before[i], end)) is not None:
                 heappush(agenda, (q, before[i], i, end))
-            if end < n and (q := rank(s[i : after[end]])) is not None:
+            if end < n and (q := rank(i, after[end])) is not None:
                 heappush(agenda, (q, i, end, after[end]))
         ids, out, i = self.ids, [], 0
         while i < n:
@@ -219,37 +288,34 @@ class PieceCodec:
 
     def encode_all(self, docs: list[tuple[object, str]]) -> list[np.ndarray]:
         """Piece ids of each (key, text)."""
-        if not self.caches:
-            self._begin()
-        if sum(map(len, self.caches)) >= CACHE:
-            self.caches = [{} for _ in self.caches]
-        caches = self.caches
-        found, missing = [], [{} for _ in caches]
-        for key, text in docs:
-            segments = [] if not text else SEGMENT.findall(" " + text) if self.splits else [" " + text]
-            turns = self._turns(key, len(segments))
-            ids = [caches[v].get(s) for s, v in zip(segments, turns, strict=True)]
-            holes = [i for i, x in enumerate(ids) if x is None]
-            for i in holes:
-                missing[turns[i]][segments[i]] = b""
-            found.append((ids, [(i, turns[i], segments[i]) for i in holes]))
-        for v, some in enumerate(missing):
-            for s, ids in zip(some, self.many_ids(list(some), v), strict=True):
-                some[s] = ids
-                if len(s) <= SHORT:
-                    caches[v][s] = ids
-        out = []
-        for ids, holes in found:
-            for i, v, s in holes:
-                ids[i] = missing[v][s]
-            out.append(np.frombuffer(b"".join(ids), np.int32))
+        if len(self.known) >= CACHE:
+            self._forget()
+        split = [[] if not text else SEGMENT.findall(" " + text) if self.splits else [" " + text] for _, text in docs]
+        segments = [s for x in split for s in x]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(self._keys(key, len(x)) for (key, _), x in zip(docs, split, strict=True))])
+        known = self.known
+        self._remember([s for s in dict.fromkeys(segments) if s not in known and len(s) <= SHORT])
+        numbers = np.fromiter((known.get(s, -1) for s in segments), np.int64, len(segments))
+        own = numbers < 0
+        if self.dropout:
+            some = np.flatnonzero(~own)
+            own[some[self._touched(numbers[some], keys[some])]] = True
+        plain = self.plain
+        ids = [plain[k] for k in np.where(own, 0, numbers).tolist()] if plain else [b""] * len(segments)
+        which = np.flatnonzero(own).tolist()
+        todo = [segments[i] for i in which]
+        for i, x in zip(which, self.many_ids(todo, keys[own]) if self.dropout else self.many_ids(todo, None)[0], strict=True):
+            ids[i] = x
+        out, at = [], 0
+        for x in split:
+            out.append(np.frombuffer(b"".join(ids[at : at + len(x)]), np.int32))
+            at += len(x)
         return out
 
-    def _turns(self, key: object, n: int) -> list[int]:
-        if self.variants == 1:
-            return [0] * n
-        x = (np.arange(n, dtype=np.uint64) + np.uint64(zlib.crc32(f"{self.seed}:{key}".encode()))) * np.uint64(0x9E3779B97F4A7C15)
-        return (((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(self.variants)).tolist()
+    def _keys(self, key: object, n: int) -> np.ndarray:
+        """The keys of a document's segments."""
+        own = int.from_bytes(blake2b(f"{self.seed}:{key}".encode(), digest_size=8).digest(), "little")
+        return mixed(np.uint64(own) + np.arange(n, dtype=np.uint64) * np.uint64(BY_RANK))
 
     def decode(self, ids: list[int]) -> str:
         """The text without the leading space that encoding puts before it."""
