@@ -1,190 +1,254 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element; scripts, styles, forms and elements that are marked as
-navigation, advertising, notices or reader comments leave no line. Line lengths (without link text) are summed over
-sliding windows of lines. The text starts where the sums surge, ends after the point where they dive for good, and every
-line between stays, short ones too. Where the page marks its article, only lines inside count, and the text reaches from
-the surges to where the sums dive to nothing. An element that only its class, id or role calls the article bounds the
-text if it carries at least half of the page's block text, which is the lines in windows that surge.
+Markup is stripped to lines, one for each block element. Line lengths (without link text) are summed over sliding
+windows of lines; the text lies between the point where the sums surge and the point where they dive. That holds for
+every page. Tags and names only weigh lines: elements called menus, adverts, notices, reader comments and the like weigh
+nothing, unless one that a loose name or a form tag condemns holds the bulk of the page; an element called the article
+bounds the lines that take part.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from veriskill.llm.common import table
+from veriskill.llm.common import column, table
 
-#: Lines in a window, and the characters in one that make a surge on pages without a marked article.
+#: Lines in a window, and the characters in one that make a surge.
 WINDOW, SURGE = 3, 80
+#: A region of surges stays if it has this share of the largest one's characters.
+REGION = 0.2
+#: A loosely named element is spared if it has so many times the text of all that is not condemned; a plainly named one likewise.
+LOOSE, PLAIN = 2, 8
 
 #: HTML element names by role.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select button".split())
-DROPPED = frozenset("nav footer aside form menu dialog head fieldset".split()) | RAW
+NEVER = frozenset("nav footer aside menu dialog head".split())
+FORMS = frozenset("form fieldset".split())
+#: Elements whose open sibling ends where the next one begins.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Lines of these elements are text of the article, links or not.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role names that mark an element as no part of the article.
-MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
-commentlist adbox adslot footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall sharebar topbar alert overlay pager pagination popup promo promotion recommended related
-replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search""".split())
+MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies
+adbox adslot footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall sharebar topbar alert overlay pager pagination popup promo promotion recommended related
+share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search""".split())
+#: Words of the same kind for what readers write.
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: First words of names that tell a state or a layout, not a role.
+STATES = frozenset("has no with without not is hide show layout template theme".split())
 #: Class and id names of page headers, as a whole.
 HEADS = frozenset("header site-header page-header top-bar".split())
 #: Words of class, id and role names of elements that hold the article where no element is called so.
 HOLDERS = frozenset("article content entry main post story".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORDS = re.compile(r"[a-z]+")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+#: Numbers of character references that are too long to be any character.
+ENDLESS = re.compile(r"&#0*[1-9][0-9]{7,};?")
+ZEROS = re.compile(r"&#0{8,}")
+
+
+def unescaped(text: str) -> str:
+    if "&#" in text:
+        text = ZEROS.sub("&#0", ENDLESS.sub("�", text))
+    return unescape(text)
+
+
+def _condemned(name: str, attributes: str, inside: bool) -> str:
+    """``never``, ``plain`` or ``loose`` for an element that is no part of the article, else nothing; ``inside`` the article a header is its own."""
+    worst = "never" if name in NEVER or (name == "header" and not inside) else "plain" if name in FORMS else ""
+    if worst == "never" or not attributes:
+        return worst
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if name in ("html", "body", "main"):
+            continue
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and HIDING.search(value)):
+            return "never"
+        if key in ("class", "id", "role") and not (name == "article" and not inside):
+            if not inside and value in HEADS:
+                return "never"
+            for token in value.split():
+                words = WORDS.findall(token)
+                if not words or words[0] in STATES:
+                    continue
+                if not READERS.isdisjoint(words):
+                    return "never"
+                if not MARKS.isdisjoint(words):
+                    worst = "plain" if worst == "plain" or len(words) == 1 else "loose"
+    return worst
 
 
-class _Line:
-    __slots__ = ("article", "held", "links", "parts")
+def _holds(attributes: str) -> bool:
+    return any(name.lower() in ("class", "id", "role") and not HOLDERS.isdisjoint(WORDS.findall(value.lower())) for name, value in ATTRIBUTE.findall(attributes))
 
-    def __init__(self, article: bool, held: bool):
-        self.article, self.held, self.links, self.parts = article, held, 0, []
 
-    def text(self) -> str:
-        return " ".join(unescape("".join(self.parts)).split())
+class _Line:
+    """Parts of text, each with the condemned element around it (0: none) and whether it is a link."""
 
+    __slots__ = ("article", "held", "parts", "textual")
 
-def _marked(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role call the element no part of the article; ``inside`` the article a header is its own."""
-    for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'").lower()
-        if name.lower() in ("class", "id", "role") and ((not inside and value in HEADS) or not MARKS.isdisjoint(WORDS.findall(value))):
-            return True
-    return False
+    def __init__(self, article: bool, held: bool, textual: bool):
+        self.article, self.held, self.textual, self.parts = article, held, textual, []
 
 
-def _hidden(attributes: str) -> bool:
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+class _Frame:
+    """An open block element with the inline elements open in it."""
 
+    __slots__ = ("article", "counts", "held", "inline", "link", "name", "node")
 
-def _holds(attributes: str) -> bool:
-    return any(name.lower() in ("class", "id", "role") and not HOLDERS.isdisjoint(WORDS.findall(value.lower())) for name, value in ATTRIBUTE.findall(attributes))
+    def __init__(self, name: str, node: int, article: bool, held: bool, link: bool):
+        self.name, self.node, self.article, self.held, self.link = name, node, article, held, link
+        self.inline: list[tuple[str, int, bool]] = []  # name, and what held before it
+        self.counts: dict[str, int] = {}
 
 
-def lines_of(html: str) -> list[_Line]:
-    """Text lines of a page, whether an article or an element that holds one is around each, and the length of link text.
-
-    An element is not dropped for a class, id or role if it holds most of the text.
-    """
-    spared: set[int] = set()
-    while True:
-        lines, dropped = _lines(html, spared)
-        kept = sum(len(x.text()) for x in lines)
-        at, most = max(dropped.items(), key=lambda x: x[1], default=(0, 0))
-        if most < SURGE or 2 * most <= kept + sum(dropped.values()):
-            return lines
-        spared.add(at)
-
-
-def _lines(html: str, spared: set[int]) -> tuple[list[_Line], dict[int, int]]:
-    """Lines, and the length of the text in each element that was dropped for its class, id or role, by where it starts."""
-    lines, line = [], _Line(False, False)
-    dropped: dict[int, int] = {}
-    by_class = -1  # where the open dropped element starts, if it was dropped for its class, id or role
-    skipping, depth = "", 0  # name of the dropped element that is open, and how many of that name
-    articles, link = 0, 0  # open articles and links
-    holder, nested = "", 0  # name of an element that holds the article, and how many of that name are open in it
+def lines_of(html: str) -> tuple[list[_Line], list[tuple[int, str]]]:
+    """Lines of a page, and its condemned elements: the one around each and why; the first stands for the page."""
+    nodes: list[tuple[int, str]] = [(0, "")]
+    frames, open_blocks = [_Frame("", 0, False, False, False)], {}
+    lines, line = [], _Line(False, False, False)
 
     def end() -> None:
         nonlocal line
         if line.parts:
             lines.append(line)
-        line = _Line(articles > 0, holder != "")
-
-    at = 0
-    size = len(html)
+        top = frames[-1]
+        line = _Line(top.article, top.held, top.name in TEXTUAL)
+
+    def pop(name: str) -> None:
+        """Close the open blocks down to the last of that name."""
+        while True:
+            top = frames.pop()
+            open_blocks[top.name] -= 1
+            if top.name == name:
+                return
+
+    at, size, last_end, quoted = 0, len(html), html.rfind(">"), True
     while at < size:
-        found = TOKEN.search(html, at)
-        start = found.start() if found else size
-        if start > at and not skipping:
-            text = html[at:start]
-            line.parts.append(text)
-            if link:
-                line.links += len(text.strip())
-        elif start > at and by_class >= 0:
-            dropped[by_class] += len(" ".join(html[at:start].split()))
-        if not found:
+        start = html.find("<", at)
+        if start < 0 or start > last_end:
+            start = size
+        top = frames[-1]
+        if start > at:
+            line.parts.append((html[at:start], top.node, top.link))
+        if start == size:
             break
-        at = found.end()
-        if found[0].startswith("<![CDATA[") and not skipping:
-            line.parts.append(found[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-        name = (found[2] or "").lower()
-        if not name:
+        if html.startswith("<!--", start):
+            close = html.find("-->", start + 4)
+            at = close + 3 if close >= 0 else size
             continue
-        closing, attributes = bool(found[1]), found[3] or ""
-        alone = name in VOID or attributes.endswith("/")
-        if skipping:
-            if skipping == "p" and name in BLOCKS:  # a paragraph ends with the next block
-                skipping = ""
-                if closing and name == "p":
-                    continue
-            else:
-                if name in RAW and not closing and not alone:  # their content is no markup here either
-                    close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                    at = close.end() if close else size
-                    continue
-                if name == skipping and not alone:
-                    depth += -1 if closing else 1
-                    if depth == 0:
-                        skipping = ""
-                continue
-        if name in BLOCKS:
-            end()
-        elif name == "br" or name in VOID:
-            line.parts.append(" ")
-        if name == holder and not alone:
-            nested += -1 if closing else 1
-            if nested == 0:
-                holder = ""
-                articles = 0
-                end()
-        if closing:
-            if name in ("article", "main") and articles:
-                articles -= 1
+        if html.startswith("<![CDATA[", start):
+            close = html.find("]]>", start)
+            line.parts.append((html[start + 9 : close if close >= 0 else size].replace("&", "&amp;"), top.node, top.link))
+            at = close + 3 if close >= 0 else size
+            continue
+        if html[start + 1 : start + 2] in ("!", "?"):
+            at = html.index(">", start) + 1
+            continue
+        tag = TAG.match(html, start) if quoted else PLAIN_TAG.match(html, start)
+        if tag is None and quoted and (tag := PLAIN_TAG.match(html, start)):
+            quoted = False  # a quote takes the rest of the page: from here on the first > ends a tag
+        if tag is None:
+            line.parts.append(("<", top.node, top.link))
+            at = start + 1
+            continue
+        at = tag.end()
+        name, attributes = tag[2].lower(), tag[3]
+        if tag[1]:  # an end tag
+            if name in BLOCKS:
                 end()
-            elif name == "a":
-                link = max(0, link - 1)
+                if open_blocks.get(name):
+                    pop(name)
+                    end()
+            elif top.counts.get(name):
+                while True:
+                    inner, node, link = top.inline.pop()
+                    top.counts[inner] -= 1
+                    top.node, top.link = node, link
+                    if inner == name:
+                        break
             continue
-        if alone:
+        if name in VOID:
+            end() if name == "hr" else line.parts.append((" ", top.node, top.link))
             continue
         if name in RAW:  # their content is no markup
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = close.end() if close else size
-            line.parts.append(" ")
+            at = at if attributes.endswith("/") else close.end() if close else size
+            line.parts.append((" ", top.node, top.link))
             continue
-        inside = articles > 0 or holder != ""
-        called = name not in ("html", "body", "main", "article") and bool(attributes) and start not in spared and _marked(attributes, inside)
-        if name in DROPPED or (name == "header" and not inside) or called or (name not in ("html", "body", "main") and attributes and _hidden(attributes)):
-            by_class = -1
-            if called and name not in DROPPED and not _hidden(attributes):
-                by_class = start
-                dropped[start] = 0
-            skipping, depth = name, 1
-            nested -= name == holder  # its end tag is passed over
-            continue
-        if name in ("article", "main"):
-            articles += 1
+        if name in BLOCKS:
             end()
-        elif name in ("div", "section", "td") and not inside and attributes and _holds(attributes):
-            holder, nested = name, 1
+            if top.name == "p" or top.name in SIBLINGS.get(name, ()):
+                pop(top.name)
+                if name == "tr" and frames[-1].name == "tr":
+                    pop("tr")
+                top = frames[-1]
+        if attributes.endswith("/") and name != "a":
+            end() if name in BLOCKS else None
+            continue
+        inside = top.article or top.held
+        why = _condemned(name, attributes, inside)
+        node = top.node
+        if why:
+            nodes.append((node, why))
+            node = len(nodes) - 1
+        if name in BLOCKS:
+            held = top.held or (name in ("div", "section", "td") and not inside and attributes != "" and _holds(attributes))
+            frames.append(_Frame(name, node, top.article or name in ("article", "main"), held, top.link))
+            open_blocks[name] = open_blocks.get(name, 0) + 1
             end()
-        elif name == "a":
-            link += 1
+        else:
+            top.inline.append((name, top.node, top.link))
+            top.counts[name] = top.counts.get(name, 0) + 1
+            top.node, top.link = node, top.link or name == "a"
     end()
-    return lines, dropped
+    return lines, nodes
+
+
+def _spared(lines: list[_Line], nodes: list[tuple[int, str]]) -> list[bool]:
+    """Which condemned elements take part after all: the heaviest first, while what takes part is far lighter."""
+    own, fixed = [0] * len(nodes), 0
+    for x in lines:
+        for text, node, link in x.parts:
+            if not link:
+                n = len(text.strip())
+                own[node] += n
+                fixed += n if node == 0 and (x.article or x.held) else 0
+    weight, inner = list(own), [[] for _ in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        inner[nodes[k][0]].append(k)
+        weight[nodes[k][0]] += weight[k] if nodes[k][1] != "never" else 0
+    spared = [k == 0 for k in range(len(nodes))]
+    if fixed >= SURGE:  # the page calls another element its article
+        return spared
+    rest, heap = own[0], [(-weight[k], k) for k in inner[0] if nodes[k][1] != "never"]
+    heap.sort()
+    while heap:
+        most, k = heappop(heap)
+        if -most < SURGE or -most < (LOOSE if nodes[k][1] == "loose" else PLAIN) * rest:
+            break
+        spared[k] = True
+        rest += own[k]
+        for x in inner[k]:
+            if nodes[x][1] != "never":
+                heappush(heap, (-weight[x], x))
+    return spared
 
 
 def _sums(length: np.ndarray, window: int) -> np.ndarray:
@@ -192,57 +256,72 @@ def _sums(length: np.ndarray, window: int) -> np.ndarray:
     return np.convolve(length, np.ones(window, int))[window - 1 :]
 
 
+def regions(length: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Line ranges from a surge to where the sums dive to nothing, those far lighter than the heaviest left out.
+
+    Where no window surges, half of the highest sum is a surge. Ranges begin and end with a line that has a length.
+    """
+    if not length.any():
+        return []
+    starts = _sums(length, window)
+    level = min(surge, max(1, int(starts.max()) // 2))
+    busy = np.concatenate(([0], np.cumsum(length > 0)))
+    idle = np.flatnonzero(np.concatenate(([True], starts == 0, [True]))) - 1  # windows without any length, and both ends
+    found = []
+    for a, b in zip(idle[:-1].tolist(), idle[1:].tolist(), strict=True):
+        if b - a > 1 and (starts[a + 1 : b] >= level).any():
+            first, last = a + 1, min(b - 1 + window, len(length))
+            lo, hi = np.searchsorted(busy, [busy[first] + 1, busy[last]])
+            found.append((int(lo) - 1, int(hi), int(length[first:last].sum())))
+    most = max(w for *_, w in found)
+    return [(a, b) for a, b, w in found if w >= REGION * most]
+
+
 def main_text(html: str | None, *, window: int = WINDOW, surge: int = SURGE) -> str:
     """Blocks of the main text, joined by two line feeds; empty if there is none."""
     if not html:
         return ""
-    found = [(x, t) for x in lines_of(html) if (t := x.text())]
+    lines, nodes = lines_of(html)
+    live = _spared(lines, nodes)
+    found = []  # text, length without links, in an article, in an element that holds one
+    for x in lines:
+        parts = [p for p in x.parts if live[p[1]]]
+        text = " ".join(unescaped("".join(p[0] for p in parts)).split())
+        if text:
+            links = 0 if x.textual and (x.article or x.held) else sum(len(p[0].strip()) for p in parts if p[2])
+            length = 0 if COPYRIGHT.match(text) and not (x.article or x.held) else max(0, len(text) - 2 * links)
+            found.append((text, length, x.article, x.held))
     if not found:
         return ""
-    length = np.array([max(0, len(t) - 2 * x.links) for x, t in found])
+    length, article, held = np.array([f[1] for f in found]), np.array([f[2] for f in found]), np.array([f[3] for f in found])
     # Block text: lines in windows that surge.
     surging = np.convolve(_sums(length, window) >= surge, np.ones(window, int))[: len(found)] > 0
     weight = np.where(surging, length, 0)
-    article, held = (np.array([getattr(x, c) for x, _ in found]) for c in ("article", "held"))
     most = lambda mask: mask.any() and 2 * weight[mask].sum() >= weight.sum()
-    inside = article if most(article) else article | held if most(article | held) else article
-    bound = bool(inside.any())
-    if bound:
-        found = [f for f, k in zip(found, inside, strict=True) if k]
-        length = length[inside]
-    starts = _sums(length, window)
-    high = np.flatnonzero(starts >= surge)
-    if not len(high):
-        return "\n\n".join(t for _, t in found)
-    first, last = int(high[0]), min(int(high[-1]) + window, len(found))
-    if bound:  # up to where the sums dive to nothing
-        while first and starts[first - 1]:
-            first -= 1
-        while last < len(found) and length[max(0, last - window + 1) : last + 1].any():
-            last += 1
-    while length[first] == 0:  # lines of links at either edge
-        first += 1
-    while length[last - 1] == 0:
-        last -= 1
-    return "\n\n".join(t for _, t in found[first:last])
+    inside = article if (article & surging).any() or most(article) else article | held if most(article | held) else np.zeros(len(found), bool)
+    if inside.any():
+        found, length = [f for f, k in zip(found, inside, strict=True) if k], length[inside]
+    return "\n\n".join(f[0] for a, b in regions(length, window, surge) for f in found[a:b])
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``pages`` with the column ``text``: null or textless pages give an empty text, never null.
 
-    Markup may be malformed: an unclosed comment, script or dropped element takes the rest of the page, as in browsers.
-    Repeated rows get equal texts, empty tables stay empty, other columns pass through; an input column ``text`` is replaced.
+    Markup may be malformed: an unclosed element ends with its parent, an unclosed comment or script takes the rest of
+    the page, as in browsers, and a tag without an end is text. Of regions with equal weights all stay, as do all
+    articles of a page. Repeated rows get equal texts, empty tables stay empty, other columns pass through whatever
+    their names; an input column ``text`` is replaced.
     """
-    pages = pages.drop("text") if html_col != "text" else pages
+    pages = pages.select(*(column(c) for c in pages.columns if c != "text" or c == html_col))
     names = pages.columns
+    kept = [c for c in names if c != "text"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(html_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", text string"
-    return pages.mapInArrow(extract, schema)
+    return pages.mapInArrow(extract, StructType([f for f in pages.schema if f.name != "text"]).add("text", "string"))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
