@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 
 import numpy as np
 
 from tests.llm.fixtures import documents, pages_of
+from veriskill.llm import common, jaccard_join
 from veriskill.llm.components import connected_components
 from veriskill.llm.exact_dedup import exact_dedup, keep_distinct
 from veriskill.llm.jaccard_join import jaccard_components, keep_one_per_component, linked
@@ -81,7 +83,8 @@ def test_jaccard_join_matches_brute_force(spark):
     check_components(docs, got)
     kept = keep_one_per_component(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r["component_id"] for r in got}
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert set(ids) == {r["component_id"] for r in got} and len(set(ids)) == len(ids)
 
 
 def test_jaccard_join_in_blocks(spark):
@@ -98,6 +101,49 @@ def test_jaccard_join_in_blocks(spark):
     check_components(docs, pages_of(jaccard_components(docs, block=8)))
 
 
+def test_jaccard_join_of_hot_shingles(spark):
+    """Few words make every shingle frequent: no link is lost, and next to nothing is verified without need."""
+    rng = random.Random(2)
+    rows = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    base = [f"w{k}" for k in range(60)]
+    for _ in range(60):
+        words = list(base)
+        words[rng.randrange(60)] = rng.choice(["x", "y"])
+        rows.append(" ".join(words[: rng.randint(56, 60)]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    old, jaccard_join.HOT_BLOCK = jaccard_join.HOT_BLOCK, 16
+    try:
+        check_components(docs, pages_of(jaccard_components(docs, block=16)))
+    finally:
+        jaccard_join.HOT_BLOCK = old
+
+
+def test_verification_follows_the_links(spark, monkeypatch):
+    """Texts of 40 words over 12 words link with nothing: what is sent to verification must not grow with the square."""
+    sent = []
+    for n in (1000, 2000):
+        rng = random.Random(n)
+        docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghijkl") for _ in range(40))) for i in range(n)], "doc_id long, text string")
+        kept = {}
+        monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: kept.setdefault(label, common.materialize(df, label)))
+        jaccard_components(docs).count()
+        sent.append(kept["shingle-members"].count())
+    assert sent[1] <= 40
+
+
+def test_one_row_of_each_component_stays(spark):
+    base = " ".join(f"w{k}" for k in range(80))
+    near, other = base.replace("w7 ", "x "), " ".join(f"v{k}" for k in range(20))
+    rows = [(1, base, 5), (2, near, 6), (2, other, 7), (3, other, 8), (4, "alone", 9), (4, "alone", 9), (5, None, 1), (5, None, 1), (None, base, 2), (6, "", 3), (1, base, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    kept = keep_one_per_component(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert got == sorted((str(i), str(t)) for i, t in [(1, base), (2, other), (4, "alone"), (5, None), (5, None), (None, base), (6, "")])
+    names = spark.createDataFrame([(f"id{i}", t) for i, t, _ in rows], "doc_id string, text string")
+    assert {r.component_id for r in jaccard_components(names).collect()} == {"id1", "id2", "id4", "id5", "idNone", "id6"} - {"idNone"}
+
+
 def test_linked_counts_exactly():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(30)] + [np.zeros(0, np.uint64)] * 2

@@ -55,7 +55,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_clean, spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing reads any more."""
+    _clean(df.sparkSession, df._scratch_path)
 
 
 def held_out(doc_id: Column) -> Column:

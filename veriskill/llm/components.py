@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import materialize
+from veriskill.llm.common import discard, materialize
 
 #: Edges that one task contracts in memory.
 TASK_EDGES = 200_000
@@ -36,7 +36,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, component`` for every node with an edge to another; the component is its smallest node.
+    """``node, component`` for every node with an edge to another but the smallest of each component, which is the component.
 
     Partitions of bounded size contract their edges to stars; while there are several partitions, star rounds
     (each node's neighbours move to its smallest one) follow until nothing changes. Node ids are long.
@@ -49,10 +49,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if parts == 0 or (n, check) == seen:
             break
         seen = (n, check)
-        edges = materialize(edges.repartition(parts).mapInArrow(_contract, "a long, b long"), "edges")
+        before, edges = edges, materialize(edges.repartition(parts).mapInArrow(_contract, "a long, b long"), "edges")
+        discard(before)
         if parts == 1:
             break
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        discard(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

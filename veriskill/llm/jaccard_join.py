@@ -2,14 +2,14 @@
 
 Shingles are ordered by how often their sketch slot occurs in the corpus, rare first; sets that are similar enough must
 then share one of each other's first ``n - ceil(t n) + 1`` shingles. Documents with the same set form a class, classes
-with the same prefix and size a group, and only groups enter the prefix index. Where few groups share a shingle, their
-pairs pass the size, position and bitmap filters, none of which loses a link. Where many do, no pair is written out:
-they are chained by size, and every pair that the size filter lets through is connected by the chain. The components
-of pairs and chains hold all candidates together; each is expanded to its members and verified exactly, in blocks.
+with the same prefix and size a group, and only groups enter the prefix index. Pairs of groups pass the size, position
+and bitmap filters, none of which loses a link; of the pairs inside a group of near copies only so many are kept that
+its members hang together. Each component of candidates is expanded to its members and verified exactly, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -18,19 +18,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.window import Window
 
-from veriskill.llm.common import LOWER_TABLE, materialize, table
+from veriskill.llm.common import LOWER_TABLE, column, materialize, shuffle_partitions, table
 from veriskill.llm.components import connected_components
 
 WORDS, PERCENT = 3, 90
-#: Slots of the frequency sketch; its order is right at any load, and selective while a slot holds few rare shingles.
-SLOTS = 1 << 22
 SLICE = 1 << 14
 #: Partial sketches that one task adds up.
 FAN_IN = 64
-#: A shingle that more groups share chains them instead of pairing them.
+#: A shingle that more groups share is hot.
 PAIRED = 16
+#: Rows before it that a row of a hot shingle is compared with first, and rows of a block in the comparison of all.
+LAGS, HOT_BLOCK = 8, 1024
 #: Bits of a set's bitmap, each the parity of the shingles that fall on it.
 BITS = 1024
 #: Members of a verification block.
@@ -117,14 +118,14 @@ def _packed(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _index(rows: DataFrame, words: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """``doc_id, n, h1, h2, bitmap, prefix`` of each row: set size, two hashes of the set, parities, prefix in index order."""
+    """``doc_id, th, n, h1, h2, bitmap, prefix`` of each row: hash of the text, set size, two hashes of the set, parities, prefix in index order."""
     shared, slots = rows.sparkSession.sparkContext.broadcast(sketch), len(sketch)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, often = Shingler(words), shared.value
         for batch in batches:
             n, h1, h2, prefix, bits = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle(text)
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
@@ -134,9 +135,12 @@ def _index(rows: DataFrame, words: int, percent: int, sketch: np.ndarray) -> Dat
                 order = np.argsort(often[_slot(s, slots)], kind="stable")[:p]
                 prefix.append(s[order].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), lists], ["doc_id", "n", "h1", "h2", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), lists], ["doc_id", "th", "n", "h1", "h2", "bitmap", "prefix"])
 
-    return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, bitmap array<long>, prefix array<long>")
+    schema = StructType([rows.schema["doc_id"], rows.schema["th"]])
+    for name, kind in (("n", "long"), ("h1", "long"), ("h2", "long"), ("bitmap", ArrayType(LongType())), ("prefix", ArrayType(LongType()))):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(encode, schema)
 
 
 def _verify(words: int, percent: int):
@@ -145,7 +149,7 @@ def _verify(words: int, percent: int):
     def check(key: tuple, group: pa.Table) -> pa.Table:
         _, bi, bj = (k.as_py() for k in key)
         shingle = Shingler(words)
-        ids, own = group.column("cid").to_numpy(), group.column("own").to_numpy()
+        ids, own = group.column("cls").to_numpy(), group.column("own").to_numpy()
         copies = group.column("copies").to_numpy()
         sets = [shingle(t) for t in group.column("text").to_pylist()]
         links = linked(sets, percent)
@@ -192,72 +196,226 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 1 << 15) -> np.n
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges between groups whose components keep every candidate pair together."""
+    """``node, component`` of groups; a component keeps every candidate pair of groups together.
+
+    Shingles of few groups pair them through the filters. Those of many groups are hot: neighbours by size come first,
+    and only where a hot shingle still joins different components are its groups compared, block by block, by the same
+    filters. Neither writes out the pairs of a group of near copies.
+    """
     groups = classes.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("classes"), F.first(F.struct("bitmap", "prefix")).alias("s"))
     groups = materialize(groups.select("gid", "n", F.when(F.col("classes") == 1, F.col("s.bitmap")).alias("bitmap"), "s.prefix"), "shingle-groups")
     tokens = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
-    same = Window.partitionBy("token")
-    by_size = same.orderBy("n", "gid")
+    hot = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_g")).where(F.col("_g") > PAIRED).select("token"), "hot-shingles")
+    edges = materialize(_pairs(groups, tokens.join(hot, "token", "left_anti"), percent), "cold-pairs")
+    if hot.isEmpty():
+        return connected_components(edges)
+    rows = materialize(tokens.join(hot, "token").select("token", "gid", "n", "place").join(groups.select("gid", "bitmap"), "gid"), "hot-rows")
+    close = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "token", "n", "gid").sortWithinPartitions("token", "n", "gid").mapInArrow(_neighbours(percent), "a long, b long")
+    first = materialize(connected_components(edges.unionByName(close)), "near-groups")
+    more = _hot_edges(rows.join(first.withColumnRenamed("node", "gid"), "gid", "left").withColumn("label", F.coalesce("component", "gid")).drop("component"), percent)
+    return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def _pairs(groups: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups ``a, b`` that share one of the tokens, which few groups have, and pass the filters."""
+    by_size = Window.partitionBy("token").orderBy("n", "gid")
     smaller = F.collect_list(F.struct("gid", "n", "place")).over(by_size.rowsBetween(-PAIRED, -1))
-    many = F.count(F.lit(1)).over(same) > PAIRED
-    placed = tokens.select("gid", "n", "place", F.when(many, F.slice(smaller, F.greatest(F.size(smaller), F.lit(1)), F.lit(1))).otherwise(smaller).alias("smaller"), many.alias("many"))
+    placed = tokens.select("gid", "n", "place", smaller.alias("smaller"))
 
     def passes(x: Column) -> Column:
         # The shingles after this one bound what else can be shared, if this is the first that is.
         most = 1 + F.least(F.col("n") - F.col("place") - 1, x["n"] - x["place"] - 1)
-        return (x["n"] * 100 >= F.col("n") * percent) & (F.col("many") | (most * (100 + percent) >= percent * (F.col("n") + x["n"])))
+        return (x["n"] * 100 >= F.col("n") * percent) & (most * (100 + percent) >= percent * (F.col("n") + x["n"]))
 
-    pairs = placed.where(F.size("smaller") > 0).select("gid", "many", F.explode(F.filter("smaller", passes)).alias("x")).where(F.col("x.gid") != F.col("gid"))
-    pairs = pairs.groupBy(F.col("gid").alias("a"), F.col("x.gid").alias("b")).agg(F.max("many").alias("many"))
+    pairs = placed.where(F.size("smaller") > 0).select("gid", F.explode(F.filter("smaller", passes)).alias("x")).where(F.col("x.gid") != F.col("gid"))
+    pairs = pairs.select(F.col("gid").alias("a"), F.col("x.gid").alias("b")).distinct()
     one, two = (groups.select(F.col("gid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"m_{k}")) for k in "ab")
     differ = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = F.col("many") | F.col("m_a").isNull() | F.col("m_b").isNull() | (differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    near = F.col("m_a").isNull() | F.col("m_b").isNull() | (differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, n_links``.
+class _Rows:
+    """Columns of hot rows as arrays, and the filters for pairs of them."""
 
-    Documents link when their sets of distinct ``words``-word shingles have a Jaccard similarity of at least
-    ``percent`` hundredths; a shorter text is one shingle. ``component_id`` is the smallest id that links reach,
-    ``n_links`` the number of other documents linked directly. Null and wordless texts have no shingles and link with
-    nothing: the component is the own id. Rows without an id take no part and have no component. Repeated rows are
-    copies of each other. Ids must be integers; other columns are ignored, empty tables stay empty.
+    def __init__(self, batch: pa.RecordBatch | pa.Table, percent: int):
+        self.percent = percent
+        self.gid, self.n, self.place, self.token = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "n", "place", "token"))
+        lists = batch.column("bitmap")
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        self.known = lists.is_valid().to_numpy(zero_copy_only=False)
+        self.bits = np.zeros((len(self.gid), BITS // 64), np.uint64)
+        self.bits[self.known] = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs pass the bitmap filter."""
+        out = np.ones(len(i), bool)
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            differ = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(axis=1, dtype=np.int64)
+            out[at : at + len(x)] = (differ * (100 + self.percent) <= (100 - self.percent) * (self.n[x] + self.n[y])) | ~self.known[x] | ~self.known[y]
+        return out
+
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs pass the size and position filters; the arrays may be of shapes that broadcast."""
+        a, b, p = self.n[i], self.n[j], self.percent
+        most = 1 + np.minimum(a - self.place[i] - 1, b - self.place[j] - 1)
+        return (np.minimum(a, b) * 100 >= np.maximum(a, b) * p) & (most * (100 + p) >= p * (a + b))
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
+
+
+def _neighbours(percent: int):
+    """Edges between rows of one hot shingle that stand close together by size and pass the filters."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _Rows(batch, percent)
+            for lag in range(1, LAGS + 1):
+                i = np.arange(lag, len(rows.gid))
+                i = i[(rows.token[i] == rows.token[i - lag]) & rows.fits(i, i - lag)]
+                i = i[rows.near(i, i - lag)]
+                yield _edges(rows.gid[i], rows.gid[i - lag])
+
+    return link
+
+
+def _hot_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` that join groups of different labels which share a hot shingle and pass the filters.
+
+    Sizes that can link fall into one or two adjacent buckets; a row meets the others of its bucket and those of the
+    next smaller one. Each such meeting is split into blocks of bounded size.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bucket = F.floor(F.log("n") / max(1e-3, math.log(100 / percent) * 1.0001)).cast("int")
+    mixed = rows.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("token")
+    own, next_ = F.struct(bucket.alias("k"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("k"), F.lit(False).alias("own"))
+    keyed = rows.join(mixed, "token", "left_semi").select("token", "gid", "n", "place", "bitmap", "label", F.explode(F.array(own, next_)).alias("m")).select("*", "m.*").drop("m")
+    meets = keyed.groupBy("token", "k").agg(F.count(F.lit(1)).alias("_m"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("own").alias("_own"))
+    blocks = F.ceil(F.col("_m") / HOT_BLOCK).cast("int")
+    meets = meets.where(F.col("_own") & (F.col("_lo") < F.col("_hi"))).select("token", "k", blocks.alias("blocks"))
+    dealt = keyed.join(meets, ["token", "k"]).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    key = ["token", "k", "bi", "bj"]
+    dealt = dealt.select(*key, "gid", "n", "place", "bitmap", "label", "own", "block").repartition(shuffle_partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_key(batches, key):
+            rows, label, own, block, bi, bj = _Rows(part, percent), *(part.column(c).to_numpy() for c in ("label", "own", "block", "bi", "bj"))
+            everyone, within = np.arange(len(label)), bi[0] == bj[0]
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at in range(0, len(label), 128):
+                i = everyone[at : at + 128, None]
+                ok = (label[i] != label) & (own[i] | own) & (within | (block[i] != block)) & rows.fits(i, everyone[None])
+                x, y = np.nonzero(ok)
+                x += at
+                once = x < y
+                x, y = x[once], y[once]
+                near = rows.near(x, y)
+                a.append(x[near])
+                b.append(y[near])
+            root = _roots(len(label), np.concatenate(a), np.concatenate(b))
+            moved = np.flatnonzero(root != everyone)
+            yield _edges(rows.gid[moved], rows.gid[root[moved]])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, which come one after the other."""
+    held, at_key = [], None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in key]
+        turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+        cuts = [0, *map(int, turns), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            k = tuple(c[start] for c in columns) if end else None
+            if held and k != at_key:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if end > start:
+                held, at_key = [*held, batch.slice(start, end - start)], k
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of ``m`` reaches over the edges."""
+    root = np.arange(m)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, slots: int | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """The index, a row for each row, and ``h1, h2, n, rep, copies, component_id, group, n_links`` of each class of equal sets."""
+    rows = docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("th"), column(text_col).alias("text"))
+    slots = slots or 1 << min(24, max(22, math.ceil(math.log2(16 * max(1, docs.count())))))
     sketch = frequency_sketch(rows.select("text"), words, slots)
     index = materialize(_index(rows, words, percent, sketch), "shingle-index")
     node = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = index.where(node).groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("bitmap", "prefix")).alias("s")).select("h1", "h2", "n", "cid", "copies", "s.*")
+    classes = index.where(node).groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("bitmap", "prefix")).alias("s"))
+    classes = classes.select("h1", "h2", "n", "rep", "copies", "s.*", F.monotonically_increasing_id().alias("cls"))
     classes = materialize(classes.withColumn("gid", F.xxhash64("n", "prefix")), "shingle-classes")
 
-    labels = connected_components(_candidates(classes, percent))
-
-    member = classes.select("cid", "copies", "gid").join(labels.withColumnRenamed("node", "gid"), "gid", "left").select("cid", "copies", F.coalesce("component", "gid").alias("label"))
+    labels = _candidates(classes.select("cls", "gid", "n", "bitmap", "prefix"), percent)
+    member = classes.select("cls", "rep", "copies", "gid").join(labels.withColumnRenamed("node", "gid"), "gid", "left").select("cls", "rep", "copies", F.coalesce("component", "gid").alias("label"))
     sizes = member.groupBy("label").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     blocks = F.ceil(F.col("_m") / block).cast("int")
-    member = member.join(sizes, "label").select("cid", "copies", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own"))
-    member = materialize(member, "shingle-members")
-    texts = rows.where(F.col("doc_id").isNotNull()).join(member.withColumnRenamed("cid", "doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
+    member = member.join(sizes, "label").select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), "copies", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
+    texts = rows.where(F.col("doc_id").isNotNull()).join(materialize(member, "shingle-members"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = texts.select(F.col("doc_id").alias("cid"), "text", "copies", "label", "own", other)
-    dealt = dealt.select("cid", "text", "copies", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    dealt = texts.select("cls", "text", "copies", "label", "own", other)
+    dealt = dealt.select("cls", "text", "copies", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
     found = materialize(dealt.groupBy("label", "bi", "bj").applyInArrow(_verify(words, percent), "a long, b long, links long"), "shingle-links")
-    components = connected_components(found)
-    links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    per_class = classes.select("h1", "h2", "n", "cid", "copies").join(components.withColumnRenamed("node", "cid"), "cid", "left").join(links.withColumnRenamed("a", "cid"), "cid", "left")
-    per_class = per_class.select(
-        "h1", "h2", "n", F.coalesce("component", "cid").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = index.where(~node).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    linked_rows = index.where(node).select("doc_id", "n", "h1", "h2").join(per_class, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return linked_rows.unionByName(alone)
-
-
-def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", **options: int | str) -> DataFrame:
-    """``docs`` with the smallest id of each component; columns unchanged. Rows without an id stay."""
-    found = jaccard_components(docs, id_col=id_col, **options)
-    dropped = materialize(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct(), "near-copies")
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["_dropped"], "left_anti")
+    components = connected_components(found).withColumnRenamed("node", "cls")
+    components = components.unionByName(components.select(F.col("component").alias("cls"), "component").distinct()).join(classes.select("cls", "rep"), "cls")
+    least = components.groupBy("component").agg(F.min("rep").alias("best"))
+    components = components.join(least, "component").select("cls", "best")
+    links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    every = classes.select("h1", "h2", "n", "rep", "copies", "cls").join(components, "cls", "left").join(links, "cls", "left")
+    every = every.select("h1", "h2", "n", "copies", F.coalesce("best", "rep").alias("best"), F.col("best").isNotNull().alias("linked"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return index.withColumn("node", node), every
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, slots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, n_links``.
+
+    Documents link when their sets of distinct ``words``-word shingles have a Jaccard similarity of at least
+    ``percent`` hundredths; a shorter text is one shingle. ``component_id`` is the smallest id that links reach,
+    ``n_links`` the number of other rows linked directly. Null and wordless texts have no shingles and link with
+    nothing: the component is the own id. Rows without an id take no part and have no component. Repeated rows are
+    copies of each other; rows that share an id but not a text are documents of their own. Ids are of any type that
+    has an order. Other columns are ignored, whatever their names; empty tables stay empty.
+    """
+    index, classes = _linked(docs, id_col, text_col, words, percent, slots, block)
+    alone = index.where("not node").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    found = index.where("node").select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), "n_links")
+    return found.unionByName(alone)
+
+
+def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, slots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, then the smallest hash of the text; columns unchanged.
+
+    Rows are judged by themselves, not by their id: another text under the same id stays. Of rows that repeat id and
+    text one stays. Rows without an id or without words stay.
+    """
+    index, classes = _linked(docs, id_col, text_col, words, percent, slots, block)
+    several = index.where("node").select("doc_id", "th", "h1", "h2", "n").join(classes.where("linked or copies > 1"), ["h1", "h2", "n"])
+    verdict = materialize(several.groupBy("doc_id", "th").agg(F.first(F.col("best.doc_id") != F.col("doc_id")).alias("_later"), F.first(F.col("best.th") != F.col("th")).alias("_other"), F.count(F.lit(1)).alias("_n")), "near-copies")
+    gone = verdict.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("_later") | F.col("_other")).alias("_gone"), (F.col("_n") > 1).alias("_many")).where("_gone or _many")
+    rows = docs.select(F.struct("*").alias("_row"), column(id_col).alias("_id"), F.xxhash64(column(text_col)).alias("_th"))
+    gone, many = gone.where("_gone").drop("_gone", "_many"), gone.where("not _gone").drop("_gone", "_many")
+    kept = rows.join(gone, ["_id", "_th"], "left_anti")
+    if not many.isEmpty():
+        kept = kept.join(many, ["_id", "_th"], "left_anti").unionByName(kept.join(many, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]))
+    return kept.select("_row.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,10 +49,7 @@ def _slot(word: bytes, cache: dict[bytes, int]) -> int:
     if k is None:
         if len(cache) > 200_000:
             cache.clear()
-        h = 0xCBF29CE484222325
-        for b in word[:64]:
-            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        k = cache[word] = (h >> 32) % WORD_SLOTS
+        k = cache[word] = xxhash.xxh64_intdigest(word) % WORD_SLOTS
     return k
 
 
