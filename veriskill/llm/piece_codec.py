@@ -3,11 +3,14 @@
 Candidate merges wait in an agenda ordered by rank and position. A candidate is skipped if a mixing hash of the
 segment's key, its merge and its place in the segment falls below the dropout rate; the key is a hash of the seed, the
 document and the segment's place there. So equal documents give equal segmentations on any executor, and every
-occurrence of a word draws its own. Cached are only things without a key: a segment's pieces and merges under no
-dropout, which hold for every key that skips none of these merges.
-Many short segments run their agendas side by side as array
-rounds, each taking every segment's best candidate. Without dropout the result is the model's own. Every segmentation decodes to the exact input: characters without a
-piece, among them a literal U+2581, become byte pieces.
+occurrence of a word draws its own.
+
+Cached are only things without a key: how an agenda goes on from given skips. An outcome is a segment, the merges that
+are skipped, the merges that are then taken, and the pieces; it holds for every key that skips the former and none of
+the latter. A key that skips one of the merges taken leads on to the outcome where that one is skipped too. Outcomes
+that are not cached run their agendas, many short ones side by side as array rounds, each taking every segment's best
+candidate. Without dropout the result is the model's own. Every segmentation decodes to the exact input: characters
+without a piece, among them a literal U+2581, become byte pieces.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from veriskill.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r" *[^ ]+| +")
-#: Cached segments of one worker.
+#: Cached segments of one worker, and as many outcomes of dropout again.
 CACHE = 300_000
 #: Longer segments run their agenda alone.
 SHORT = 24
@@ -76,7 +80,6 @@ class PieceCodec:
         self.splits = not any(re.search("[^ ] ", w) for w in words)  # no piece goes on after a word's end
         self.seed, self.dropout = seed, dropout
         self.limit = int(dropout * (M32 + 1))
-        self.variants = 3 if dropout else 1  # keys to try the codec with; texts are not limited to them
         self._forget()
         self.grid: dict[str, np.ndarray] = {}
 
@@ -95,17 +98,21 @@ class PieceCodec:
         return cls([("" if k in special else sp.id_to_piece(k), sp.get_score(k)) for k in range(n)], bytes_, **options)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "plain": [], "steps": np.zeros(1, np.uint64), "ends": np.zeros(1, np.int64), "grid": {}}
+        return self.__dict__ | {"grid": {}, "known": {}, "pieces": [], "source": [], "skips": [], "after": {}, "asked": set(), "steps": np.zeros(1, np.uint64), "ends": np.zeros(1, np.int64)}
 
     def _forget(self) -> None:
-        """An empty cache: number by segment, and by number the pieces and the end of the merges of a run without dropout."""
+        """An empty cache: the outcome without skips by segment, and of each outcome pieces, segment, skips, merges and what follows a further skip."""
         self.known: dict[str, int] = {}
-        self.plain: list[bytes] = []
+        self.pieces: list[bytes] = []
+        self.source: list[str] = []
+        self.skips: list[frozenset[int]] = []
         self.steps, self.ends = np.zeros(1 << 12, np.uint64), np.zeros(1 << 10, np.int64)  # both grow by doubling
+        self.after: dict[int, int] = {}  # by outcome and the first of its merges that is skipped
+        self.asked: set[int] = set()  # such that were needed once
 
-    def _remember(self, segments: list[str]) -> None:
-        pieces, steps = self.many_ids(segments, None)
-        first, size = len(self.plain), np.array([len(x) for x in steps], np.int64)
+    def _add(self, segments: list[str], skips: list[frozenset[int]], pieces: list[bytes], steps: list[np.ndarray]) -> range:
+        """Numbers of new outcomes."""
+        first, size = len(self.pieces), np.array([len(x) for x in steps], np.int64)
         while len(self.ends) <= first + len(segments):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
         start = int(self.ends[first])
@@ -114,17 +121,53 @@ class PieceCodec:
             self.steps = np.concatenate((self.steps, np.zeros_like(self.steps)))
         if len(segments):
             self.steps[start : start + size.sum()] = np.concatenate(steps)
-        self.plain += pieces
-        self.known.update(zip(segments, range(first, first + len(segments)), strict=True))
+        self.pieces += pieces
+        self.source += segments
+        self.skips += skips
+        return range(first, first + len(segments))
+
+    def _remember(self, segments: list[str]) -> None:
+        pieces, steps = self.many_ids(segments, None)
+        self.known.update(zip(segments, self._add(segments, [frozenset()] * len(segments), pieces, steps), strict=True))
 
-    def _touched(self, numbers: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Whether a key skips one of the merges of the segment with that number."""
-        start, end = self.ends[numbers], self.ends[numbers + 1]
+    def first_skip(self, outcomes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The first of an outcome's merges that the key skips, or -1."""
+        start, end = self.ends[outcomes], self.ends[outcomes + 1]
         size = end - start
-        row = np.repeat(np.arange(len(numbers)), size)
+        row = np.repeat(np.arange(len(outcomes)), size)
         at = np.arange(len(row)) + np.repeat(start - np.cumsum(size) + size, size)
-        hit = mixed(keys[row] + self.steps[at]) >> np.uint64(32) < np.uint64(self.limit)
-        return np.bincount(row[hit], minlength=len(numbers)) > 0
+        hit = np.flatnonzero(mixed(keys[row] + self.steps[at]) >> np.uint64(32) < np.uint64(self.limit))
+        hit = hit[np.concatenate(([True], row[hit[1:]] != row[hit[:-1]]))[: len(hit)]]
+        found = np.full(len(outcomes), -1)
+        found[row[hit]] = at[hit] - start[row[hit]]
+        return found
+
+    def _follow(self, outcomes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The outcome of each key, or -1 where it is not cached; what is needed again is."""
+        final = np.full(len(outcomes), -1)
+        rows = np.arange(len(outcomes))
+        while len(rows):
+            skip = self.first_skip(outcomes, keys[rows])
+            done = skip < 0
+            final[rows[done]] = outcomes[done]
+            rows, codes = rows[~done], outcomes[~done] * 64 + skip[~done]
+            found = np.fromiter(map(self.after.get, codes.tolist(), repeat(-1)), np.int64, len(codes))
+            new, times = np.unique(codes[found < 0], return_counts=True)
+            again = [c for c, n in zip(new.tolist(), times.tolist(), strict=True) if n > 1 or c in self.asked] if len(self.pieces) < 2 * CACHE else []
+            self.asked.update(new.tolist()) if len(self.asked) < CACHE else None
+            if again:
+                self._branch(again)
+                found = np.fromiter(map(self.after.get, codes.tolist(), repeat(-1)), np.int64, len(codes))
+            rows, outcomes = rows[found >= 0], found[found >= 0]
+        return final
+
+    def _branch(self, codes: list[int]) -> None:
+        """Cache the outcomes that follow others when one more of their merges is skipped."""
+        which = [divmod(c, 64) for c in codes]
+        segments = [self.source[k] for k, _ in which]
+        skips = [self.skips[k] | {int(self.steps[self.ends[k] + j])} for k, j in which]
+        pieces, steps = self.many_ids(segments, skips)
+        self.after.update(zip(codes, self._add(segments, skips, pieces, steps), strict=True))
 
     def _grid(self) -> dict[str, np.ndarray]:
         """Symbols, merges and skips as arrays. A symbol is a piece id, or one past the pieces for a lone ASCII byte."""
@@ -150,8 +193,8 @@ class PieceCodec:
         final = np.concatenate((np.arange(n, dtype=np.int32), np.array([self.byte_ids[b] for b in range(128)], np.int32)))
         return {"symbol": symbol, "key": key, "rank": rank, "more": more, "more_rank": np.array([rest[p] for p in more.tolist()], np.int32), "made": made, "final": final}
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray | None) -> np.ndarray:
-        """Rank of each merge; none where there is no piece or the key skips it."""
+    def _ranks(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rank of each merge; none where there is no piece or it is skipped: by a key, or by being one of a row of ``key``."""
         g = self.grid
         pair = (left.astype(np.int64) << 16) | right
         at = (pair * 0x9E3779B1 & M32) >> 12
@@ -160,16 +203,24 @@ class PieceCodec:
             miss = np.flatnonzero((r == NEVER) & (g["key"][at] >= 0))
             k = np.minimum(np.searchsorted(g["more"], pair[miss]), len(g["more"]) - 1)
             r[miss] = np.where(g["more"][k] == pair[miss], g["more_rank"][k], NEVER)
-        if key is not None:
+        if key.ndim == 1 or key.shape[1]:
             known = np.flatnonzero(r < NEVER)
-            skip = mixed(key[known] + _step(r[known], place[known])) >> np.uint64(32) < np.uint64(self.limit)
+            step = _step(r[known], place[known])
+            skip = mixed(key[known] + step) >> np.uint64(32) < np.uint64(self.limit) if key.ndim == 1 else (key[known] == step[:, None]).any(axis=1)
             r[known[skip]] = NEVER
         return r
 
-    def many_ids(self, segments: list[str], keys: int | np.ndarray | None):
-        """Piece ids of segments as int32 bytes. Where ``keys`` is None, nothing is skipped, and the merges come too."""
-        free = keys is None
-        keys = np.zeros(len(segments), np.uint64) if free else np.full(len(segments), keys, np.uint64) if isinstance(keys, int) else keys
+    def many_ids(self, segments: list[str], keys: int | np.ndarray | list[frozenset[int]] | None):
+        """Piece ids of segments as int32 bytes. Given skips instead of keys, or None for no skip, the merges come too."""
+        free = keys is None or isinstance(keys, list)
+        given = keys if isinstance(keys, list) else [frozenset()] * len(segments)
+        if free:
+            keys = np.zeros((len(segments), max(map(len, given), default=0)), np.uint64)
+            for i, x in enumerate(given):
+                keys[i, : len(x)] = list(x)
+                keys[i, len(x) :] = next(iter(x), 0)
+        elif isinstance(keys, int):
+            keys = np.full(len(segments), keys, np.uint64)
         if not self.grid:
             self.grid = self._grid()
         out: list[bytes] = [b""] * len(segments)
@@ -187,7 +238,7 @@ class PieceCodec:
                     x = np.where(points < 1 << 16, self.grid["symbol"][np.minimum(points, 0xFFFF)], -1)
                     plain = (x >= 0).all(axis=1)
                     rows = np.flatnonzero(plain)
-                    flat, ends, taken = self._rounds(x[rows], None if free else keys[np.array(which)[rows]])
+                    flat, ends, taken = self._rounds(x[rows], keys[np.array(which)[rows]])
                     raw = flat.tobytes()
                     start = 0
                     for i, end in zip(rows.tolist(), (ends * 4).tolist(), strict=True):
@@ -202,12 +253,12 @@ class PieceCodec:
                     alone = [which[i] for i in np.flatnonzero(~plain).tolist()]
                 for i in alone:
                     taken_here: list[tuple[int, int]] = []
-                    out[i] = array("i", self.segment_ids(segments[i], None if free else int(keys[i]), taken_here)).tobytes()
+                    out[i] = array("i", self.segment_ids(segments[i], None if free else int(keys[i]), taken_here, given[i])).tobytes()
                     if free and taken_here:
                         steps[i] = _step(*np.array(taken_here, np.int64).T)
         return (out, steps) if free else out
 
-    def _rounds(self, x: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    def _rounds(self, x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """All ids end to end, each row's end and, without keys, the rows and merges of each round."""
         m, n = x.shape
         sizes = np.full(m, n)
@@ -217,7 +268,7 @@ class PieceCodec:
             y, size = x.copy(), sizes.copy()
             place = np.arange(n)
             begin = np.repeat(place[None], m, axis=0)  # where each symbol starts
-            r = self._ranks(y[:, :-1].ravel(), y[:, 1:].ravel(), begin[:, :-1].ravel(), None if key is None else np.repeat(key, n - 1)).reshape(m, n - 1)
+            r = self._ranks(y[:, :-1].ravel(), y[:, 1:].ravel(), begin[:, :-1].ravel(), np.repeat(key, n - 1, axis=0)).reshape(m, n - 1)
             r = np.concatenate((r, np.full((m, 1), NEVER, np.int32)), axis=1)
             while len(live):
                 best = r.argmin(axis=1)
@@ -228,11 +279,11 @@ class PieceCodec:
                     x[live[done]], sizes[live[done]] = y[done], size[done]
                     go = ~done
                     live, y, r, size, best, rank, begin = live[go], y[go], r[go], size[go], best[go], rank[go], begin[go]
-                    key = None if key is None else key[go]
+                    key = key[go]
                     rows = np.arange(len(live))
                     if not len(live):
                         break
-                if key is None:
+                if key.ndim == 2:
                     taken.append((live, _step(rank, begin[rows, best])))
                 y[rows, best] = self.grid["made"][rank]
                 take = np.minimum(place + (place > best[:, None]), n - 1)
@@ -241,20 +292,20 @@ class PieceCodec:
                 has = best + 1 < size
                 r[rows, best] = NEVER
                 a = rows[has]
-                r[a, best[has]] = self._ranks(y[a, best[has]], y[a, best[has] + 1], begin[a, best[has]], None if key is None else key[has])
+                r[a, best[has]] = self._ranks(y[a, best[has]], y[a, best[has] + 1], begin[a, best[has]], key[has])
                 has = best > 0
                 a = rows[has]
-                r[a, best[has] - 1] = self._ranks(y[a, best[has] - 1], y[a, best[has]], begin[a, best[has] - 1], None if key is None else key[has])
+                r[a, best[has] - 1] = self._ranks(y[a, best[has] - 1], y[a, best[has]], begin[a, best[has] - 1], key[has])
         keep = np.arange(n) < sizes[:, None]
         return self.grid["final"][x[keep]], np.cumsum(sizes), taken
 
-    def segment_ids(self, s: str, key: int | None, taken: list[tuple[int, int]] | None = None) -> list[int]:
-        """Piece ids of one segment under a key, or None for no dropout; the merges go to ``taken``."""
+    def segment_ids(self, s: str, key: int | None, taken: list[tuple[int, int]] | None = None, skips: frozenset[int] = frozenset()) -> list[int]:
+        """Piece ids of one segment under a key, or None for no dropout but the given skips; the merges go to ``taken``."""
         table, n, limit = self.rank.get, len(s), self.limit
 
         def rank(i: int, j: int) -> int | None:
             r = table(s[i:j])
-            if r is None or (key is not None and mixed_one((key + r * BY_RANK + i * BY_PLACE) & M64) >> 32 < limit):
+            if r is None or (key is not None and mixed_one((key + r * BY_RANK + i * BY_PLACE) & M64) >> 32 < limit) or (skips and (r * BY_RANK + i * BY_PLACE) & M64 in skips):
                 return None
             return r
 
@@ -288,20 +339,19 @@ class PieceCodec:
 
     def encode_all(self, docs: list[tuple[object, str]]) -> list[np.ndarray]:
         """Piece ids of each (key, text)."""
-        if len(self.known) >= CACHE:
+        if len(self.known) >= CACHE or len(self.pieces) >= 2 * CACHE:
             self._forget()
         split = [[] if not text else SEGMENT.findall(" " + text) if self.splits else [" " + text] for _, text in docs]
         segments = [s for x in split for s in x]
         keys = np.concatenate([np.zeros(0, np.uint64), *(self._keys(key, len(x)) for (key, _), x in zip(docs, split, strict=True))])
         known = self.known
         self._remember([s for s in dict.fromkeys(segments) if s not in known and len(s) <= SHORT])
-        numbers = np.fromiter((known.get(s, -1) for s in segments), np.int64, len(segments))
-        own = numbers < 0
+        numbers = np.fromiter(map(known.get, segments, repeat(-1)), np.int64, len(segments))
         if self.dropout:
-            some = np.flatnonzero(~own)
-            own[some[self._touched(numbers[some], keys[some])]] = True
-        plain = self.plain
-        ids = [plain[k] for k in np.where(own, 0, numbers).tolist()] if plain else [b""] * len(segments)
+            some = np.flatnonzero(numbers >= 0)
+            numbers[some] = self._follow(numbers[some], keys[some])
+        own, pieces = numbers < 0, self.pieces
+        ids = [pieces[k] for k in np.where(own, 0, numbers).tolist()] if pieces else [b""] * len(segments)
         which = np.flatnonzero(own).tolist()
         todo = [segments[i] for i in which]
         for i, x in zip(which, self.many_ids(todo, keys[own]) if self.dropout else self.many_ids(todo, None)[0], strict=True):
