@@ -30,8 +30,10 @@ SLICE = 1 << 14
 FAN_IN = 64
 #: A shingle that more groups share is hot.
 PAIRED = 16
+#: Hot shingles, 8 bytes each, are broadcast up to this number.
+HOT_BROADCAST = 1 << 20
 #: Rows before it that a row of a hot shingle is compared with first, and rows of a block in the comparison of all.
-LAGS, HOT_BLOCK = 8, 1024
+LAGS, HOT_BLOCK = 8, 256
 #: Bits of a set's bitmap, each the parity of the shingles that fall on it.
 BITS = 1024
 #: Members of a verification block.
@@ -206,8 +208,11 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     groups = materialize(groups.select("gid", "n", F.when(F.col("classes") == 1, F.col("s.bitmap")).alias("bitmap"), "s.prefix"), "shingle-groups")
     tokens = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
     hot = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_g")).where(F.col("_g") > PAIRED).select("token"), "hot-shingles")
+    many = hot.count()
+    if many <= HOT_BROADCAST:
+        hot = F.broadcast(hot)
     edges = materialize(_pairs(groups, tokens.join(hot, "token", "left_anti"), percent), "cold-pairs")
-    if hot.isEmpty():
+    if many == 0:
         return connected_components(edges)
     rows = materialize(tokens.join(hot, "token").select("token", "gid", "n", "place").join(groups.select("gid", "bitmap"), "gid"), "hot-rows")
     close = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "token", "n", "gid").sortWithinPartitions("token", "n", "gid").mapInArrow(_neighbours(percent), "a long, b long")
