@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 
 from tests.llm.fixtures import documents, pages_of
 from veriskill.llm import decontaminate
 from veriskill.llm.decontaminate import ItemAutomaton, contamination, remove_contamination, words_of
-from veriskill.llm.license_scan import TEMPLATES, license_scan
+from veriskill.llm.license_scan import RUNS, TEMPLATES, license_scan, plain_templates
 from veriskill.llm.secret_scan import op9_secret_scan, secret_scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -47,6 +48,44 @@ def test_ownership_separates_copies_from_live_values(spark):
     assert got[3].n_copied == 1 and got[3].n_live == 0 and got[50].n_live == 1 and got[51].n_copied == 0
 
 
+def test_ownership_matches_brute_force(spark):
+    """All spans, token ones too, and every verdict by plain counting."""
+    rng = random.Random(6)
+    values = ["AKIA" + "".join(rng.choices("ABCDEF123", k=14)) for _ in range(5)] + ["".join(rng.choices("ghijkGHIJK0123456789", k=30)) for _ in range(9)] + ["a" * 32, "x" * 40, "-" * 30, "deadbeef" * 5]
+    rows = []
+    for i in range(150):
+        words = [rng.choice(["plain", "words", "é🙂", "\n"]) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 4)):
+            v = rng.choice(values)
+            words.insert(rng.randint(0, len(words)), rng.choice(["", "password=", "k:", "token: '"]) + v)
+        rows.append((i % 140, " ".join(words), rng.choice(["s1", "s2", None])))
+    rows += [(200 + i, f"unique {i} {values[5]}", "s9") for i in range(60)] + [(300 + i, f"copy {values[6]}", "s9") for i in range(60)]
+    rows += [(400 + i, f"mine {i} Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MA", "s4") for i in range(3)] + [(500 + i, f"mine {i} Ym9vYmFyQmF6UXV4MTIzNDU2Nzg5MA", "s4") for i in range(51)]
+    holders, spans = {}, []
+    for i, t, owner in rows:
+        every = [(s, k, e) for s, k, e in base_spans(t)]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}", t):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) > 1 and not any(s < m.end() and m.start() < e for s, k, e in every if k < 3):
+                every.append((m.start(), 3, m.end()))
+        spans.append(sorted(every))
+        for s, k, e in every:
+            value = ASSIGN.match(t, s)[2] if k == 0 else t[s:e]
+            h = holders.setdefault(value, (set(), set()))
+            h[0].add(owner)
+            h[1].add(t)
+    want = []
+    for (i, t, _), every in zip(rows, spans, strict=True):
+        live = []
+        for s, k, e in every:
+            o, r = holders[ASSIGN.match(t, s)[2] if k == 0 else t[s:e]]
+            live.append((s, k, e, len(o - {None}) <= 1 and len(r) <= 50))
+        want.append((i, live))
+    got = secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, [tuple(x) for x in r.spans]) for r in got) == sorted(want)
+    assert all(r.n_live == sum(x.live for x in r.spans) and r.n_live + r.n_copied == len(r.spans) for r in got)
+    assert any(k == 3 and v for _, x in want for _, k, _, v in x) and any(k == 3 and not v for _, x in want for _, k, _, v in x)
+
+
 def test_secret_scan_of_nothing(spark):
     assert secret_scan(documents(spark).limit(0)).count() == 0
 
@@ -70,8 +109,6 @@ ITEMS = [(1, "The Quick, brown fox jumps over a lazy dog while seven wizards wat
 
 
 def fuzz_docs():
-    import random
-
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice(["a", "b", "short", "item", "x", "the", "quick"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
     docs += [(100, "say: the quick BROWN fox jumps over a lazy dog while - seven wizards watch TV"), (101, "quick brown fox jumps over a lazy dog while seven"), (102, None), (103, ""), (104, "nobody owns these three words at all ok"), (105, "ÉTÉ À la carte été À la carte"), (106, "x " * 3000 + "short item"), (100, "repeat"), (None, "short item")]
@@ -130,10 +167,64 @@ def test_automaton_lengths():
     assert a.scan(words_of("c a b z b c a")) == ([[0, 3], [4, 7]], {"1"})
 
 
+NOTICES = [
+    ("MIT", "# Licensed under the MIT license."), ("Apache-2.0", 'Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("AGPL-3.0", "// SPDX-License-Identifier: AGPL-3.0-only\nint main() { return 0; }"), ("MIT", "/* SPDX-License-Identifier: MIT */"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans."),
+    ("LGPL-2.1", " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n *\n * Next."),
+]
+
+
+def test_notices_in_the_midst_of_text(spark):
+    bsd = dict((k, max((x for n, x in TEMPLATES if n == k), key=len)) for k in ("BSD-3-Clause", "BSD-2-Clause", "ISC", "MIT"))
+    wrapped = [(k, "\n".join(f"# {line}" for line in re.findall(r".{1,70}(?:\s|$)", x))) for k, x in bsd.items()]
+    cases = NOTICES + wrapped + [(k, x.replace(". ", ".\n\n")) for k, x in bsd.items()]
+    rows = [(i, f"Some prose goes here. And more of it\n{t}\nx = 1\nend of it", "k") for i, (_, t) in enumerate(cases)] + [(100 + i, t, "k") for i, (_, t) in enumerate(cases)]
+    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")).collect()
+    for i, (name, t) in enumerate(cases):
+        for k in (i, 100 + i):
+            assert {r.license for r in got if r.doc_id == k} == {name}, (name, t[:60])
+
+
+def test_bounds_lose_no_match(spark):
+    """Runs of units compared with every template by plain sets."""
+    rng = random.Random(12)
+    words = sorted({w for _, x in TEMPLATES[:30] for w in re.findall("[a-z0-9]+", x.lower())})
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            t = rng.choice(TEMPLATES)[1].split()
+            t = [rng.choice(words) if rng.random() < 0.05 else w for w in t][rng.randint(0, 1) :]
+            parts.append(" ".join(t) if rng.random() < 0.8 else " ".join(rng.choices(words, k=12)))
+        rows.append((i, rng.choice(["\n", ". ", "; "]).join(parts)))
+    got = {}
+    for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.unit, r.units, r.license, round(r.dice, 9)))
+    known = plain_templates(TEMPLATES)
+    for i, text in rows:
+        units = [u for u in re.sub(r"[^a-z0-9\n]+", " ", re.sub(r"([.!?;:])[ \t]+", r"\1\n", text.lower())).split("\n") if u.strip()]
+        found = []
+        for at in range(len(units)):
+            for n in (n for n in RUNS if at + n <= len(units)):
+                w = " ".join(units[at : at + n]).split()
+                g = set(zip(w, w[1:], strict=False)) or {(w[0],)}
+                for k, name, grams, count in known:
+                    c = len(g & {tuple(x.split()) for x in grams})
+                    if len(w) <= -(-3 * (count + 1) // 2) and 2 * c / (len(g) + len(grams)) >= 0.8:
+                        found.append((c, 2 * c / (len(g) + len(grams)), -at, -n, -k, name))
+        best = {}
+        for x in found:
+            for p in range(-x[2], -x[2] - x[3]):
+                best[p] = max(best.get(p, x), x)
+        wins = [x for x in found if all(best[p] == x for p in range(-x[2], -x[2] - x[3]))]
+        assert sorted(got.get(i, [])) == sorted((-x[2], -x[3], x[5], round(x[1], 9)) for x in wins)
+
+
 def test_license_scan(spark):
-    rows = [(k, "Some prose.\n" + t.upper() + "\nmore prose follows here", "x") for k, (_, t) in enumerate(TEMPLATES)] + [(90, None, "x"), (91, "", "x"), (92, "license", "x"), (93, "...", "x"), (None, TEMPLATES[0][1], "x"), (0, "Some prose.\n" + TEMPLATES[0][1].upper() + "\nmore prose follows here", "x")]
+    rows = [(k, "Some prose.\n" + t.upper() + "\nmore prose follows here", "x") for k, (_, t) in enumerate(TEMPLATES)] + [(190, None, "x"), (191, "", "x"), (192, "license", "x"), (193, "...", "x"), (None, TEMPLATES[0][1], "x"), (0, "Some prose.\n" + TEMPLATES[0][1].upper() + "\nmore prose follows here", "x")]
     got = license_scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
     for k, (name, _) in enumerate(TEMPLATES):
-        assert (1, name, 1.0) in [(r.segment, r.license, round(r.dice, 6)) for r in got if r.doc_id == k]
-    assert {r.doc_id for r in got if r.doc_id is None or r.doc_id >= 90} == {None}
+        assert [r.license for r in got if r.doc_id == k and r.dice >= 0.98] == [name], k  # a text of nine units has no run of its own
+    assert {r.doc_id for r in got if r.doc_id is None or r.doc_id >= 190} == {None}
     assert license_scan(documents(spark).limit(0)).count() == 0

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veriskill.llm.common import materialize, shuffle_partitions, table, whole_text
+from veriskill.llm.common import column, materialize, shuffle_partitions, table, whole_text
 
 #: White space that the comparison ignores.
 IGNORED = r"[\x20\x09-\x0D]+"
@@ -37,7 +37,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     one group. Repeated rows (same id and text) each get a row; exactly one of a group is kept. An empty table gives
     an empty result. Other columns are ignored, whatever their names.
     """
-    ranked = _ranked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", ranges, hot_share)
+    ranked = _ranked(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), "doc_id", "text", ranges, hot_share)
     return ranked.select("_row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -48,7 +48,7 @@ def keep_distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def _ranked(docs: DataFrame, id_col: str, text_col: str, ranges: int | None, hot_share: float) -> DataFrame:
     n = ranges or max(shuffle_partitions(docs.sparkSession), docs.rdd.getNumPartitions())
-    norm = normalised(F.col(text_col))
+    norm = normalised(column(text_col))
     keyed = docs.select(F.struct("*").alias("_row"), F.left(norm, F.lit(KEY_CHARS)).alias("_head"), F.xxhash64(norm).alias("_hash"))
     often = max(64, math.ceil(docs.count() * hot_share / n))
     hot = materialize(keyed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= often).select("_hash"), "hot-texts")
@@ -83,8 +83,11 @@ def _aggregated(rows: DataFrame) -> DataFrame:
     joined = rows.select("_row", "_id", "_chars", sha).join(F.broadcast(groups), "text_sha256")
     ties = F.col("_best.d").eqNullSafe(F.col("_id")) & (F.col("_best.c") == -F.col("_chars"))
     out = ["_row", F.col("_best.d").alias("keep_id"), "group_size"]
-    one = F.row_number().over(Window.partitionBy("text_sha256").orderBy("_chars")) == 1
-    return joined.where(ties).select(*out, one.alias("kept"), "text_sha256").unionByName(joined.where(~ties).select(*out, F.lit(False).alias("kept"), "text_sha256"))
+    # Rows that repeat the best id and length: the first one written stays.
+    tied = materialize(joined.where(ties).select(*out, "text_sha256", F.monotonically_increasing_id().alias("_u")), "hot-ties")
+    first = F.broadcast(tied.groupBy("text_sha256").agg(F.min("_u").alias("_first")))  # a row for each frequent text
+    kept = tied.join(first, "text_sha256").select("_row", "keep_id", "group_size", (F.col("_u") == F.col("_first")).alias("kept"), "text_sha256")
+    return kept.unionByName(joined.where(~ties).select(*out, F.lit(False).alias("kept"), "text_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

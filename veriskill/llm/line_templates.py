@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import materialize, table
+from veriskill.llm.common import column, materialize, table
 
 DEPTH, MIN_DOCS, MIN_CONSTANT = 3, 5, 0.6
 FIELD = "<*>"
@@ -31,37 +31,39 @@ def drop_templates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A template recurs if at least ``min_docs`` different texts have it and at least ``min_constant`` of its tokens are
     constant; exact copies of a text count once. Blank lines are no lines and stay. Null texts stay null with no lines;
     a text of dropped lines only becomes empty. Rows that repeat id and text get equal results. Other columns pass
-    through; input columns named as the new ones are replaced. Empty tables stay empty.
+    through, whatever their names; input columns named as the new ones are replaced. Empty tables stay empty.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    line = F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc"), line)
+    text, names = column(text_col), [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    lines = docs.where(text.isNotNull()).select(column(id_col).alias("id"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = lines.select("id", "doc", "pos", masked(F.col("line")).alias("m")).where("m <> ''")
     count = F.char_length("m") - F.char_length(F.replace("m", F.lit(" "))) + 1
-    lines = lines.withColumn("leaf", F.xxhash64(count, F.substring_index("m", " ", depth))).withColumn("h", F.xxhash64("m"))
-    small = materialize(lines.select("id", "doc", "pos", "leaf", "h"), "lines")
+    lines = materialize(lines.select("id", "doc", "pos", F.xxhash64(count, F.substring_index("m", " ", depth)).alias("leaf"), F.xxhash64("m").alias("h"), "m"), "lines")
 
-    leaves = materialize(small.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    distinct = small.join(leaves, "leaf", "left_semi").select("leaf", "h", "doc").distinct().groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("docs"))
-    texts = lines.select("leaf", "h", "m").join(leaves, "leaf", "left_semi").groupBy("leaf", "h").agg(F.min("m").alias("m"))
-    distinct = materialize(distinct.join(texts, ["leaf", "h"]), "distinct-lines")
+    leaves = materialize(lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    few = lines.join(leaves, "leaf", "left_semi")
+    distinct = few.select("leaf", "h", "doc").distinct().groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("docs"))
+    distinct = materialize(distinct.join(few.groupBy("leaf", "h").agg(F.min("m").alias("m")), ["leaf", "h"]), "distinct-lines")
 
+    # Tables that a common line or template joins are written first, so that Spark can split its rows.
     tokens = distinct.select("leaf", "h", "docs", F.posexplode(F.split("m", " ")).alias("place", "token"))
-    support = tokens.groupBy("leaf", "place", "token").agg((F.sum("docs") >= min_docs).alias("often"))
-    constant = F.col("often") & (F.col("token") != FIELD)
+    support = materialize(tokens.groupBy("leaf", "place", "token").agg((F.sum("docs") >= min_docs).alias("often")).where("often"), "frequent-tokens")
+    constant = F.col("often").isNotNull() & (F.col("token") != FIELD)
     place = F.struct("place", F.when(constant, F.col("token")).otherwise(FIELD).alias("token"))
-    parsed = tokens.join(support, ["leaf", "place", "token"]).groupBy("leaf", "h").agg(F.array_sort(F.collect_list(place)).alias("t"), F.avg(constant.cast("int")).alias("share"))
-    parsed = parsed.where(F.col("share") >= min_constant).select("leaf", "h", F.xxhash64("leaf", "t.token").alias("template"))
+    parsed = tokens.join(support, ["leaf", "place", "token"], "left").groupBy("leaf", "h").agg(F.array_sort(F.collect_list(place)).alias("t"), F.avg(constant.cast("int")).alias("share"))
+    parsed = materialize(parsed.where(F.col("share") >= min_constant).select("leaf", "h", F.xxhash64("leaf", "t.token").alias("template")), "line-templates")
 
-    found = materialize(small.join(parsed, ["leaf", "h"]).select("id", "doc", "pos", "template"), "parsed-lines")
-    recurring = found.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
+    found = materialize(lines.select("id", "doc", "pos", "leaf", "h").join(parsed, ["leaf", "h"]).select("id", "doc", "pos", "template"), "parsed-lines")
+    recurring = materialize(found.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template"), "recurring-templates")
     dropped = found.join(recurring, "template", "left_semi").groupBy("id", "doc").agg(F.collect_set("pos").alias("_dropped"))
     dropped = dropped.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "_dropped")
-    joined = docs.withColumn("_hash", F.xxhash64(text_col)).join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_doc")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    filled = F.coalesce(F.size(F.filter(F.split(text_col, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
-    columns = [F.when(F.col("_dropped").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns, filled.alias("n_lines"), F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"))
+    rest = F.struct(*(column(c) for c in names if c != text_col)) if len(names) > 1 else F.struct(F.lit(0).alias("_"))
+    rows = docs.select(rest.alias("_row"), column(id_col).alias("_key"), F.xxhash64(text).alias("_hash"), F.split(text, "\n").alias("_lines"))
+    joined = rows.join(dropped, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_doc")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
+    kept = F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(F.transform(left, lambda i: F.get("_lines", i)))
+    filled = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
+    columns = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names]
+    return joined.select(*columns, F.when(F.col("_lines").isNull(), 0).otherwise(filled).cast("long").alias("n_lines"), F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"))
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
