@@ -207,20 +207,26 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     groups = classes.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("classes"), F.first(F.struct("bitmap", "prefix")).alias("s"))
     groups = materialize(groups.select("gid", "n", F.when(F.col("classes") == 1, F.col("s.bitmap")).alias("bitmap"), "s.prefix"), "shingle-groups")
     tokens = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
-    hot = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_g")).where(F.col("_g") > PAIRED).select("token"), "hot-shingles")
-    many = hot.count()
-    if many <= HOT_BROADCAST:
-        hot = F.broadcast(hot)
+    hot = _small(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_g")).where(F.col("_g") > PAIRED).select("token"), "hot-shingles")
     edges = materialize(_pairs(groups, tokens.join(hot, "token", "left_anti"), percent), "cold-pairs")
-    if many == 0:
+    if hot.isEmpty():
         return connected_components(edges)
-    rows = materialize(tokens.join(hot, "token").select("token", "gid", "n", "place").join(groups.select("gid", "bitmap"), "gid"), "hot-rows")
-    close = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), "token", "n", "gid").sortWithinPartitions("token", "n", "gid").mapInArrow(_neighbours(percent), "a long, b long")
+    rows = materialize(tokens.join(hot, "token").select("token", "gid", "n", "place"), "hot-rows")
+    bitmaps = groups.select("gid", "bitmap")
+    firsts = rows.groupBy("gid").agg(F.min(F.struct("place", "token", "n")).alias("x")).select("gid", "x.*").join(bitmaps, "gid")
+    close = firsts.repartitionByRange(shuffle_partitions(rows.sparkSession), "token", "n", "gid").sortWithinPartitions("token", "n", "gid").mapInArrow(_neighbours(percent), "a long, b long")
     first = materialize(connected_components(edges.unionByName(close)), "near-groups")
-    more = _hot_edges(rows.join(first.withColumnRenamed("node", "gid"), "gid", "left").withColumn("label", F.coalesce("component", "gid")).drop("component"), percent)
+    labelled = rows.join(first.withColumnRenamed("node", "gid"), "gid", "left").withColumn("label", F.coalesce("component", "gid")).drop("component")
+    more = _hot_edges(materialize(labelled, "labelled-rows"), bitmaps, percent)
     return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
+def _small(df: DataFrame, label: str) -> DataFrame:
+    """A table of hot shingles, written and, up to the checked number of rows, broadcast."""
+    df = materialize(df, label)
+    return F.broadcast(df) if df.count() <= HOT_BROADCAST else df
+
+
 def _pairs(groups: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups ``a, b`` that share one of the tokens, which few groups have, and pass the filters."""
     by_size = Window.partitionBy("token").orderBy("n", "gid")
@@ -287,20 +293,20 @@ def _neighbours(percent: int):
     return link
 
 
-def _hot_edges(rows: DataFrame, percent: int) -> DataFrame:
+def _hot_edges(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` that join groups of different labels which share a hot shingle and pass the filters.
 
     Sizes that can link fall into one or two adjacent buckets; a row meets the others of its bucket and those of the
     next smaller one. Each such meeting is split into blocks of bounded size.
     """
     bucket = F.floor(F.log("n") / max(1e-3, math.log(100 / percent) * 1.0001)).cast("int")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("token")
+    mixed = _small(rows.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("token"), "mixed-shingles")
     own, next_ = F.struct(bucket.alias("k"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("k"), F.lit(False).alias("own"))
-    keyed = rows.join(mixed, "token", "left_semi").select("token", "gid", "n", "place", "bitmap", "label", F.explode(F.array(own, next_)).alias("m")).select("*", "m.*").drop("m")
+    keyed = rows.join(mixed, "token", "left_semi").select("token", "gid", "n", "place", "label", F.explode(F.array(own, next_)).alias("m")).select("*", "m.*").drop("m")
     meets = keyed.groupBy("token", "k").agg(F.count(F.lit(1)).alias("_m"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("own").alias("_own"))
     blocks = F.ceil(F.col("_m") / HOT_BLOCK).cast("int")
-    meets = meets.where(F.col("_own") & (F.col("_lo") < F.col("_hi"))).select("token", "k", blocks.alias("blocks"))
-    dealt = keyed.join(meets, ["token", "k"]).withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
+    meets = _small(meets.where(F.col("_own") & (F.col("_lo") < F.col("_hi"))).select("token", "k", blocks.alias("blocks")), "meetings")
+    dealt = keyed.join(meets, ["token", "k"]).join(bitmaps, "gid").withColumn("block", F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     key = ["token", "k", "bi", "bj"]
     dealt = dealt.select(*key, "gid", "n", "place", "bitmap", "label", "own", "block").repartition(shuffle_partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
