@@ -115,10 +115,11 @@ def fuzz_docs():
     return docs
 
 
-def test_contamination_matches_brute_force(spark):
+def test_contamination_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_TASKS", 2)
     items = spark.createDataFrame([(*x, "clash") for x in ITEMS], "item_id long, text string, n_words string")
     docs = spark.createDataFrame([(*x, 1, "z") for x in fuzz_docs()], "doc_id long, text string, n int, spans string")
-    for shard_words in (250_000, 8):
+    for shard_words in (250_000, 8, 30):
         got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, sum(e - s for s, e in r.spans), list(r.item_ids)) for r in contamination(docs, items, shard_words=shard_words).collect())
         assert got == sorted((i is None, i or 0, *brute_contamination(t, ITEMS)) for i, t in fuzz_docs())
 
@@ -154,9 +155,10 @@ def test_removal_does_not_depend_on_shards(spark, monkeypatch):
     rows = spark.createDataFrame([(i, t, len(t or "") + 1, "k") for i, t in docs], "doc_id long, text string, n_chars long, spans string")
     test = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(str, remove_contamination(rows, test).collect()))
-    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 14)
-    several = remove_contamination(rows, test)
-    assert several.columns == rows.columns and sorted(map(str, several.collect())) == one
+    monkeypatch.setattr(decontaminate, "SHARD_TASKS", 3)
+    for words in (14, 50):
+        several = remove_contamination(rows, test, shard_words=words)
+        assert several.columns == rows.columns and sorted(map(str, several.collect())) == one
     assert len(one) == 9  # the first is half items
     assert remove_contamination(rows.limit(0), test).count() == 0
 

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-Items are normalised to words and put into one automaton (built per shard of bounded size). Training words stream
-through it; the automaton's state and the tracked length give the longest item substring that ends at each word. Where
+Items are normalised to words and put into automata of bounded size. Training words stream
+through them; the automaton's state and the tracked length give the longest item substring that ends at each word. Where
 that length reaches the window, the window's words are hit, and the state names the items that hold it. Stretches
 whose adjacent word pairs occur in no item cannot reach a window and are skipped before streaming.
 """
@@ -13,15 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from veriskill.llm.common import WORD_TABLE, materialize, table
+from veriskill.llm.common import WORD_TABLE, column, materialize, table
 
 WINDOW = 10
-#: Item words in one automaton; more items make more shards, each with its own pass over the documents.
+#: Item words in one automaton; more items make more shards, for all of which one pass over the documents serves.
 SHARD_WORDS = 250_000
+#: Tasks among which the documents' stretches for one shard are dealt, each with an automaton of its own.
+SHARD_TASKS = 16
+#: Bits of a slot of the pair filter.
+SLOT_BITS = 20
+#: Name of a column that no input has.
+AGAIN = "__cut_again__"
 #: Longer items are cut into overlapping pieces, so that no single item outgrows a shard.
 PIECE_WORDS = 5_000
 
@@ -184,7 +191,110 @@ def _pieces(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
                         out.append((item, b" ".join(piece).decode(), len(piece)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["item", "words", "n"])
 
-    return items.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(cut, "item string, words string, n long")
+    return items.select(column(id_col).cast("string").alias("i"), column(text_col).alias("t")).mapInArrow(cut, "item string, words string, n long")
+
+
+def pair_slots(words: list[bytes]) -> np.ndarray:
+    """A slot of the pair filter for each two neighbours."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _shard_filters(pieces: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Of each shard the fewest words of a window and the pair filter: 128 kB for a shard of a test set."""
+
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        bits, least = np.zeros(1 << SLOT_BITS, bool), PIECE_WORDS
+        for words in group.column("words").to_pylist():
+            words = words.encode().split()
+            least = min(least, len(words))
+            bits[pair_slots(words)] = True
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "least": pa.array([least], pa.int32()), "bits": [np.packbits(bits).tobytes()]})
+
+    found = pieces.groupBy("shard").applyInArrow(build, "shard int, least int, bits binary").collect()
+    return {r.shard: (r.least, np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)).view(bool)) for r in found}
+
+
+def _stretches(words: list[bytes], filters: dict[int, tuple[int, np.ndarray]], window: int) -> list[tuple[int, int, str]]:
+    """Shard, first word and words of each run of known pairs that is long enough for a window of the shard."""
+    out = []
+    if not words:
+        return out
+    slots = pair_slots(words)
+    for shard, (least, bits) in filters.items():
+        least = min(least, window)
+        if least == 1:
+            out.append((shard, 0, b" ".join(words).decode()))
+            continue
+        ok = np.concatenate(([False], bits[slots], [False]))
+        for i, j in np.flatnonzero(ok[1:] != ok[:-1]).reshape(-1, 2).tolist():
+            if j - i + 1 >= least:
+                out.append((shard, i, b" ".join(words[i : j + 1]).decode()))
+    return out
+
+
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and out[-1][1] >= s:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _pass(rows: DataFrame, pieces: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """One pass of all rows (with a column ``text``) for all shards: the rows with ``_row, n_words``, without their text, and the hits ``_row, spans, item_ids``.
+
+    Stretches that a shard's pair filter lets through go to the shard's automaton, which is built where they meet it.
+    """
+    filters = rows.sparkSession.sparkContext.broadcast(_shard_filters(pieces))
+    keys = [f for f in rows.schema if f.name != "text"]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = filters.value
+        for batch in batches:
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            kind = pa.list_(pa.struct([("shard", pa.int32()), ("start", pa.int32()), ("words", pa.string())]))
+            found = [[dict(zip(("shard", "start", "words"), x, strict=True)) for x in _stretches(w, known, window)] for w in words]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keys), pa.array([len(w) for w in words], pa.int64()), pa.array(found, kind)], [*(f.name for f in keys), "n_words", "stretches"])
+
+    struct = StructType().add("shard", "integer").add("start", "integer").add("words", "string")
+    probed = rows.mapInArrow(probe, StructType([*keys]).add("n_words", "long").add("stretches", ArrayType(struct)))
+    probed = materialize(probed.withColumn("_row", F.monotonically_increasing_id()), "probed")
+    parts = F.pmod(F.xxhash64("_row"), F.lit(SHARD_TASKS)).cast("int")
+    sent = probed.where(F.size("stretches") > 0).select("_row", parts.alias("part"), F.explode("stretches").alias("x")).select("_row", "part", "x.*")
+    tests = pieces.select("item", "words", "shard", F.explode(F.sequence(F.lit(0), F.lit(SHARD_TASKS - 1))).alias("part"))
+
+    def scan(key: tuple, stretches: pa.Table, items: pa.Table) -> pa.Table:
+        out: dict[int, tuple[list[list[int]], set[str]]] = {}
+        if stretches.num_rows:
+            named = zip(items.column("item").to_pylist(), items.column("words").to_pylist(), strict=True)
+            find = ItemAutomaton([("\0" if i is None else i, w.encode().split()) for i, w in named], window)
+            for row, start, words in zip(*(stretches.column(c).to_pylist() for c in ("_row", "start", "words")), strict=True):
+                spans, names = find.scan(words.encode().split())
+                if spans:
+                    own = out.setdefault(row, ([], set()))
+                    own[0].extend([s + start, e + start] for s, e in spans)
+                    own[1].update(names)
+        spans = pa.array([x[0] for x in out.values()], pa.list_(pa.list_(pa.int32())))
+        return pa.table({"_row": pa.array(list(out), pa.int64()), "spans": spans, "item_ids": pa.array([sorted(x[1] - {"\0"}) for x in out.values()], pa.list_(pa.string()))})
+
+    hits = sent.groupBy("shard", "part").cogroup(tests.groupBy("shard", "part")).applyInArrow(scan, "_row long, spans array<array<int>>, item_ids array<string>")
+    hits = hits.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = pa.array([merged(x) for x in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans, batch.column(2)], ["_row", "spans", "item_ids"])
+
+    return probed.drop("stretches"), materialize(hits.mapInArrow(merge, hits.schema), "hits")
+
+
+def _sharded(pieces: DataFrame, shard_words: int) -> tuple[DataFrame, int]:
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, math.ceil(total / shard_words))
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)).cast("int")), shards
 
 
 def contamination(
@@ -195,40 +305,25 @@ def contamination(
     A window is ``window`` consecutive words of an item, or a whole shorter item; spans are merged runs of document
     words inside occurrences of windows. Null or wordless documents have no words and no spans; null or wordless items
     are never found; an item without an id hits but is not listed; equal ids are listed once. Repeated rows each get a
-    row. Other columns are ignored. No items, or no documents, give no hits or no rows.
+    row. Other columns are ignored, whatever their names. No items, or no documents, give no hits or no rows.
     """
     pieces = materialize(_pieces(items, item_id_col, item_text_col, window), "benchmark-pieces")
-    total = pieces.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_words))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    pieces, shards = _sharded(pieces, shard_words)
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     if shards == 1:
-        return _scanned(rows, pieces, window).select("doc_id", "n_words", "spans", "item_ids")
-    key = ["doc_id", F.xxhash64("text").alias("_h"), F.col("text").isNull().alias("_z")]
-    keys = ["doc_id", "_h", "_z"]
-    shard = F.pmod(F.xxhash64("words"), F.lit(shards))
-    parts = [materialize(_scanned(rows.select("*", *key[1:]), pieces.where(shard == k), window, keys, k == 0), "contamination") for k in range(shards)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part.where(F.size("spans") > 0))
-    merged = every.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.sum(F.when(F.col("_first"), 1).otherwise(0)).alias("_n"))
-    merged = merged.withColumn("spans", _merge(F.array_sort("spans"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return merged.select("doc_id", "n_words", "spans", "item_ids")
-
-
-def _merge(spans):
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))[1] >= s[0]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(spans, F.array().cast("array<array<int>>"), step)
-
-
-def _scanned(rows: DataFrame, pieces: DataFrame, window: int, keys: list[str] | None = None, first: bool = True) -> DataFrame:
-    found = [(r.item, r.words.encode().split()) for r in pieces.select("item", "words").collect()]  # at most a shard
-    automaton = rows.sparkSession.sparkContext.broadcast(ItemAutomaton([("\0" if i is None else i, w) for i, w in found], window))
-    keys = keys or ["doc_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", n_words long, spans array<array<int>>, item_ids array<string>, _first boolean"
+        return _scanned(rows, pieces, window)
+    every, hits = _pass(rows, pieces, window)
+    none = (F.array().cast("array<array<int>>"), F.array().cast("array<string>"))
+    return every.join(hits, "_row", "left").select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("item_ids", none[1]).alias("item_ids"))
+
+
+def _automaton(pieces: DataFrame, window: int) -> ItemAutomaton:
+    found = [(r.item, r.words.encode().split()) for r in pieces.select("item", "words").collect()]  # one shard at most
+    return ItemAutomaton([("\0" if i is None else i, w) for i, w in found], window)
+
+
+def _scanned(rows: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
+    automaton = rows.sparkSession.sparkContext.broadcast(_automaton(pieces, window))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = automaton.value
@@ -240,33 +335,31 @@ def _scanned(rows: DataFrame, pieces: DataFrame, window: int, keys: list[str] |
                 n.append(len(words))
                 spans.append(s)
                 items.append(sorted(i - {"\0"}))
-            out = [*(batch.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string())), pa.array([first] * len(n))]
-            yield pa.RecordBatch.from_arrays(out, [*keys, "n_words", "spans", "item_ids", "_first"])
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "spans", "item_ids"])
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, StructType([rows.schema["doc_id"]]).add("n_words", "long").add("spans", ArrayType(ArrayType(IntegerType()))).add("item_ids", ArrayType(StringType())))
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.3, **names: str) -> DataFrame:
+def remove_contamination(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.3, shard_words: int | None = None
+) -> DataFrame:
     """``docs`` with the hit spans cut from their texts and, where hits cover more than ``max_coverage`` of the words, without the row.
 
-    Untouched documents pass through unchanged, all columns kept. A cut replaces the bytes from the first to the last
-    word of a span by one space and is repeated until no window is left. Null and wordless texts stay. ``n_chars``,
-    where there is such a column, follows.
+    Untouched documents pass through unchanged, all columns kept, whatever their names. Hits of all items count
+    together, however many shards they make. A cut replaces the bytes from the first to the last word of a span by one
+    space and is repeated over all items until no window is left; only the first look drops rows. Null and wordless
+    texts stay, repeated rows fare alike. ``n_chars``, where there is such a column, follows.
     """
-    found = _pieces(items, names.get("item_id_col", "item_id"), names.get("item_text_col", "text"), window)
-    found = materialize(found, "benchmark-pieces")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD_WORDS))
+    pieces = materialize(_pieces(items, item_id_col, item_text_col, window), "benchmark-pieces")
+    pieces, shards = _sharded(pieces, shard_words or SHARD_WORDS)
     if shards == 1:
-        return _cut(docs, found, text_col, window, max_coverage)
-    # The spans of all shards come first, by text; what was cut is looked at again by all shards.
-    shard = F.pmod(F.xxhash64("words"), F.lit(shards))
-    parts = [found.where(shard == k) for k in range(shards)]
+        return _cut(docs, pieces, text_col, window, max_coverage)
     ready, todo, limit = [], docs, max_coverage
     while True:
-        judged = materialize(_cut_spans(todo, _spans(todo, parts, text_col, window), text_col, limit), "cut")
-        ready.append(judged.where("not _again").drop("_again"))
-        todo, limit = judged.where("_again").drop("_again"), None
+        judged = materialize(_cut_spans(todo, _spans(todo, pieces, text_col, window), text_col, limit), "cut")
+        ready.append(judged.where(~F.col(AGAIN)).drop(AGAIN))
+        todo, limit = judged.where(AGAIN).drop(AGAIN), None
         if todo.isEmpty():
             break
     out = ready[0]
@@ -276,29 +369,27 @@ def remove_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "do
 
 
 def _text_keys(text_col: str) -> list:
-    return [F.xxhash64(text_col).alias("_h"), F.hash(text_col).alias("_g"), F.char_length(text_col).alias("_l")]
+    text = column(text_col)
+    return [F.xxhash64(text).alias("_h"), F.hash(text).alias("_g"), F.char_length(text).alias("_l")]
 
 
-def _spans(docs: DataFrame, parts: list[DataFrame], text_col: str, window: int) -> DataFrame:
+def _spans(docs: DataFrame, pieces: DataFrame, text_col: str, window: int) -> DataFrame:
     """Merged spans of all shards of items, for each text that has any."""
     keys = ["_h", "_g", "_l"]
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), *_text_keys(text_col))
-    hits = [materialize(_scanned(rows, part, window, keys).where(F.size("spans") > 0).select(*keys, "spans"), "hits") for part in parts]
-    every = hits[0]
-    for more in hits[1:]:
-        every = every.unionByName(more)
-    return every.groupBy(*keys).agg(_merge(F.array_sort(F.flatten(F.collect_set("spans")))).alias("_spans"))
+    rows = docs.where(column(text_col).isNotNull()).select(column(text_col).alias("text"), *_text_keys(text_col))
+    every, hits = _pass(rows, pieces, window)
+    return every.join(hits, "_row").groupBy(*keys).agg(F.first("spans").alias("_spans"))
 
 
 def _cut_spans(docs: DataFrame, spans: DataFrame, text_col: str, max_coverage: float | None) -> DataFrame:
-    """``docs`` without the spans and, where there is a limit, without rows beyond it; ``_again`` tells whether a text was cut."""
+    """``docs`` without the spans and, where there is a limit, without rows beyond it; :data:`AGAIN` tells whether a text was cut."""
     columns = docs.columns
-    joined = docs.select("*", *_text_keys(text_col)).join(spans, ["_h", "_g", "_l"], "left").select(*columns, "_spans")
+    joined = docs.select(F.struct("*").alias("_row"), *_text_keys(text_col)).join(spans, ["_h", "_g", "_l"], "left").select("_row.*", F.col("_spans").alias(AGAIN))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep, again = batch.column(text_col).to_pylist(), [], []
-            for i, here in enumerate(batch.column("_spans").to_pylist()):
+            for i, here in enumerate(batch.column(AGAIN).to_pylist()):
                 again.append(bool(here))
                 keep.append(not here or max_coverage is None or sum(e - s for s, e in here) <= max_coverage * len(words_of(texts[i])))
                 if here and keep[-1]:
@@ -307,14 +398,13 @@ def _cut_spans(docs: DataFrame, spans: DataFrame, text_col: str, max_coverage: f
             if "n_chars" in columns:
                 new["n_chars"] = [len(t) if a else n for t, a, n in zip(texts, again, batch.column("n_chars").to_pylist(), strict=True)]
             arrays = [pa.array(new[c], batch.schema.field(c).type) if c in new else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(again, pa.bool_())], [*columns, "_again"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(again, pa.bool_())], [*columns, AGAIN]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(clean, StructType([*docs.schema.fields]).add("_again", "boolean"))
+    return joined.mapInArrow(clean, StructType([*docs.schema.fields]).add(AGAIN, "boolean"))
 
 
 def _cut(docs: DataFrame, pieces: DataFrame, text_col: str, window: int, max_coverage: float) -> DataFrame:
-    found = [(r.item, r.words.encode().split()) for r in pieces.select("item", "words").collect()]
-    automaton = docs.sparkSession.sparkContext.broadcast(ItemAutomaton([("\0" if i is None else i, w) for i, w in found], window))
+    automaton = docs.sparkSession.sparkContext.broadcast(_automaton(pieces, window))
     columns = docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
