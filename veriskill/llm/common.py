@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 #: ASCII bytes that separate words of :data:`WORD_TABLE`: everything but 0-9 A-Z a-z; upper case becomes lower.
@@ -75,6 +78,19 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, dots too."""
+    names = df.columns
+    plain = [f"c{k}" for k in range(len(schema))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in function(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, plain)
+
+    found = df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, StructType([StructField(n, f.dataType) for n, f in zip(plain, schema, strict=True)]))
+    return found.toDF(*(f.name for f in schema))
+
+
 def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

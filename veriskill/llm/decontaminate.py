@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from veriskill.llm.common import WORD_TABLE, column, materialize, table
+from veriskill.llm.common import WORD_TABLE, column, map_arrow, materialize, table
 
 WINDOW = 10
 #: Item words in one automaton; more items make more shards, for all of which one pass over the documents serves.
@@ -400,7 +400,7 @@ def _cut_spans(docs: DataFrame, spans: DataFrame, text_col: str, max_coverage: f
             arrays = [pa.array(new[c], batch.schema.field(c).type) if c in new else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(again, pa.bool_())], [*columns, AGAIN]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(clean, StructType([*docs.schema.fields]).add(AGAIN, "boolean"))
+    return map_arrow(joined, clean, StructType([*docs.schema.fields]).add(AGAIN, "boolean"))
 
 
 def _cut(docs: DataFrame, pieces: DataFrame, text_col: str, window: int, max_coverage: float) -> DataFrame:
@@ -428,7 +428,7 @@ def _cut(docs: DataFrame, pieces: DataFrame, text_col: str, window: int, max_cov
                     batch = batch.set_column(columns.index(name), field, pa.array(values, field.type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_arrow(docs, clean, docs.schema)
 
 
 def cut_words(text: str, spans: list[list[int]]) -> str:

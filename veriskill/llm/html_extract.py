@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veriskill.llm.common import column, table
+from veriskill.llm.common import column, map_arrow, table
 
 #: Lines in a window, and the characters in one that make a surge.
 WINDOW, SURGE = 3, 80
@@ -321,7 +321,7 @@ def extract_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
             texts = [main_text(h) for h in batch.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    return pages.mapInArrow(extract, StructType([f for f in pages.schema if f.name != "text"]).add("text", "string"))
+    return map_arrow(pages, extract, StructType([f for f in pages.schema if f.name != "text"]).add("text", "string"))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veriskill.llm.common import hash_sample, held_out, table, whole_text
+from veriskill.llm.common import column, hash_sample, held_out, map_arrow, table, whole_text
 
 WIDTHS = (2, 3, 4, 5)
 UNDETERMINED = "und"
@@ -129,10 +129,10 @@ def _gradients(net: ByteCNN, x: np.ndarray, y: np.ndarray, mask: np.ndarray) ->
 
 def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, chars: int = 300) -> pd.DataFrame:
     """At most ``per_lang`` pieces of ``chars`` characters for each label, from rows outside the held-out fold, chosen by hash."""
-    text = whole_text(F.col(text_col))
-    h = F.xxhash64(F.col(id_col).cast("string"))
+    text = whole_text(column(text_col))
+    h = F.xxhash64(column(id_col).cast("string"))
     start = F.pmod(h, F.greatest(F.char_length(text) - chars, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (F.char_length(text) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text, start, F.lit(chars)).alias("piece"), h.alias("h"))
+    rows = docs.where(column(lang_col).isNotNull() & ~held_out(column(id_col)) & (F.char_length(text) > 0)).select(column(lang_col).alias("lang"), F.substring(text, start, F.lit(chars)).alias("piece"), h.alias("h"))
     return hash_sample(rows, "lang", "h", per_lang).toPandas().sort_values(["lang", "h", "piece"])
 
 
@@ -167,7 +167,7 @@ def classify(docs: DataFrame, net: ByteCNN, *, text_col: str = "text") -> DataFr
                     pred[i], score[i] = model.langs[k], min(1.0, float(row[k]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names)
 
-    return docs.mapInArrow(label, schema)
+    return map_arrow(docs, label, schema)
 
 
 def _groups(texts: list[str | None], limit: int) -> Iterator[list[int]]:
@@ -187,7 +187,7 @@ def _groups(texts: list[str | None], limit: int) -> Iterator[list[int]]:
 def keep_identified(docs: DataFrame, *, min_score: float = 0.35, **names: str) -> DataFrame:
     """``docs`` without the rows whose language is undetermined or scored below ``min_score``; columns unchanged."""
     found = classify(docs, fit(docs, **names), text_col=names.get("text_col", "text"))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)).select(*(column(c) for c in docs.columns))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from veriskill.llm.common import table
+from veriskill.llm.common import column, map_arrow, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r" *[^ ]+| +")
@@ -372,6 +372,11 @@ class PieceCodec:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
+def model_path(spark: SparkSession) -> str:
+    """The model file, which the driver reads: the setting ``spark.veriskill.pieceModel``, or :data:`MODEL`."""
+    return spark.conf.get("spark.veriskill.pieceModel", MODEL)
+
+
 def encode_pieces(docs: DataFrame, codec: PieceCodec, *, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """One row per input row: ``doc_id, n_pieces, pieces array<int>, lossless``.
 
@@ -380,8 +385,8 @@ def encode_pieces(docs: DataFrame, codec: PieceCodec, *, id_col: str = "doc_id",
     stay empty. A null id is a key like any other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codec)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pieces long, pieces array<int>, lossless boolean"
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    schema = StructType([rows.schema["doc_id"]]).add("n_pieces", "long").add("pieces", ArrayType(IntegerType())).add("lossless", "boolean")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -414,8 +419,8 @@ def decode_pieces(encoded: DataFrame, codec: PieceCodec, *, pieces_col: str = "p
             texts = [None if p is None else shared.value.decode(p) for p in batch.column(pieces_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return encoded.mapInArrow(decode, schema)
+    return map_arrow(encoded, decode, schema)
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), PieceCodec.load())
+    return encode_pieces(table(spark, sf_dir, "documents"), PieceCodec.load(model_path(spark)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veriskill.llm.common import WORD_TABLE, hash_sample, held_out, table
+from veriskill.llm.common import WORD_TABLE, column, hash_sample, held_out, map_arrow, table
 
 WORD_SLOTS = 4096
 #: Bins of each structure statistic.
@@ -131,9 +131,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     Ids are chosen from the label table alone (of an id with several labels, the lowest row counts), so that only chosen texts are read.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
+    known = labels.where(column(label_col).isin(0, 1) & ~held_out(column(id_col))).groupBy(column(id_col).alias("_id")).agg(F.min(column(label_col)).alias("_y"))
     chosen = F.broadcast(hash_sample(known, "_y", "_id", per_label).select("_id", "_y"))  # at most twice per_label
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("_id", "_y", "_text")
+    picked = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")).join(chosen, "_id").select("_id", "_y", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -170,7 +170,7 @@ def score(docs: DataFrame, fm: FactorisationMachine, *, text_col: str = "text")
                 out.append(model.scores([features(t, cache) for t in texts.slice(i, 256).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*out, np.zeros(0)]).astype(float))], names)
 
-    return docs.mapInArrow(rate, schema)
+    return map_arrow(docs, rate, schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
