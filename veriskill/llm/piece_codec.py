@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
@@ -98,7 +99,7 @@ class PieceCodec:
         return cls([("" if k in special else sp.id_to_piece(k), sp.get_score(k)) for k in range(n)], bytes_, **options)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"grid": {}, "known": {}, "pieces": [], "source": [], "skips": [], "after": {}, "asked": set(), "steps": np.zeros(1, np.uint64), "ends": np.zeros(1, np.int64)}
+        return self.__dict__ | {"grid": {}, "known": {}, "pieces": [], "source": [], "skips": [], "after": {}, "asked": set(), "met": set(), "steps": np.zeros(1, np.uint64), "ends": np.zeros(1, np.int64)}
 
     def _forget(self) -> None:
         """An empty cache: the outcome without skips by segment, and of each outcome pieces, segment, skips, merges and what follows a further skip."""
@@ -109,26 +110,25 @@ class PieceCodec:
         self.steps, self.ends = np.zeros(1 << 12, np.uint64), np.zeros(1 << 10, np.int64)  # both grow by doubling
         self.after: dict[int, int] = {}  # by outcome and the first of its merges that is skipped
         self.asked: set[int] = set()  # such that were needed once
+        self.met: set[str] = set()  # segments that came at least once
 
-    def _add(self, segments: list[str], skips: list[frozenset[int]], pieces: list[bytes], steps: list[np.ndarray]) -> range:
+    def _add(self, segments: list[str], skips: list[frozenset[int]], pieces: list[bytes], size: np.ndarray, steps: np.ndarray) -> range:
         """Numbers of new outcomes."""
-        first, size = len(self.pieces), np.array([len(x) for x in steps], np.int64)
+        first = len(self.pieces)
         while len(self.ends) <= first + len(segments):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
         start = int(self.ends[first])
         self.ends[first + 1 : first + len(segments) + 1] = start + np.cumsum(size)
         while len(self.steps) < start + size.sum():
             self.steps = np.concatenate((self.steps, np.zeros_like(self.steps)))
-        if len(segments):
-            self.steps[start : start + size.sum()] = np.concatenate(steps)
+        self.steps[start : start + size.sum()] = steps
         self.pieces += pieces
         self.source += segments
         self.skips += skips
         return range(first, first + len(segments))
 
     def _remember(self, segments: list[str]) -> None:
-        pieces, steps = self.many_ids(segments, None)
-        self.known.update(zip(segments, self._add(segments, [frozenset()] * len(segments), pieces, steps), strict=True))
+        self.known.update(zip(segments, self._add(segments, [frozenset()] * len(segments), *self.many_ids(segments, None)), strict=True))
 
     def first_skip(self, outcomes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The first of an outcome's merges that the key skips, or -1."""
@@ -166,8 +166,7 @@ class PieceCodec:
         which = [divmod(c, 64) for c in codes]
         segments = [self.source[k] for k, _ in which]
         skips = [self.skips[k] | {int(self.steps[self.ends[k] + j])} for k, j in which]
-        pieces, steps = self.many_ids(segments, skips)
-        self.after.update(zip(codes, self._add(segments, skips, pieces, steps), strict=True))
+        self.after.update(zip(codes, self._add(segments, skips, *self.many_ids(segments, skips)), strict=True))
 
     def _grid(self) -> dict[str, np.ndarray]:
         """Symbols, merges and skips as arrays. A symbol is a piece id, or one past the pieces for a lone ASCII byte."""
@@ -211,7 +210,7 @@ class PieceCodec:
         return r
 
     def many_ids(self, segments: list[str], keys: int | np.ndarray | list[frozenset[int]] | None):
-        """Piece ids of segments as int32 bytes. Given skips instead of keys, or None for no skip, the merges come too."""
+        """Piece ids of segments as int32 bytes. Given skips instead of keys, or None for no skip, the merges come too: each segment's number and all of them."""
         free = keys is None or isinstance(keys, list)
         given = keys if isinstance(keys, list) else [frozenset()] * len(segments)
         if free:
@@ -224,80 +223,84 @@ class PieceCodec:
         if not self.grid:
             self.grid = self._grid()
         out: list[bytes] = [b""] * len(segments)
-        steps: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(segments) if free else []
-        by_len: dict[int, list[int]] = {}
-        for i, s in enumerate(segments):
-            by_len.setdefault(len(s), []).append(i)
-        for n, every in by_len.items():
-            for at in range(0, len(every), 20_000):
-                which = every[at : at + 20_000]
-                if n > SHORT:
-                    alone = which
-                else:
-                    points = np.frombuffer("".join([segments[i] for i in which]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segments, how many merges each has, the merges
+        length = np.fromiter(map(len, segments), np.int64, len(segments))
+        order = np.argsort(length, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(segments) else []:
+            n = int(length[group[0]])
+            for at in range(0, len(group), 20_000):
+                which = group[at : at + 20_000]
+                alone = which.tolist()
+                if 0 < n <= SHORT:
+                    points = np.frombuffer("".join([segments[i] for i in alone]).encode("utf-32-le"), np.uint32).reshape(-1, n)
                     x = np.where(points < 1 << 16, self.grid["symbol"][np.minimum(points, 0xFFFF)], -1)
                     plain = (x >= 0).all(axis=1)
-                    rows = np.flatnonzero(plain)
-                    flat, ends, taken = self._rounds(x[rows], keys[np.array(which)[rows]])
-                    raw = flat.tobytes()
-                    start = 0
-                    for i, end in zip(rows.tolist(), (ends * 4).tolist(), strict=True):
-                        out[which[i]] = raw[start:end]
+                    alone, which = which[~plain].tolist(), which[plain]
+                    flat, ends, counts, merges = self._rounds(x[plain], keys[which])
+                    raw, start = flat.tobytes(), 0
+                    for i, end in zip(which.tolist(), (ends * 4).tolist(), strict=True):
+                        out[i] = raw[start:end]
                         start = end
-                    if free and taken:
-                        of, step = np.concatenate([t[0] for t in taken]), np.concatenate([t[1] for t in taken])
-                        order = np.argsort(of, kind="stable")
-                        cuts = np.searchsorted(of[order], np.arange(len(rows) + 1))
-                        for i, a, b in zip(rows.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                            steps[which[i]] = step[order[a:b]]
-                    alone = [which[i] for i in np.flatnonzero(~plain).tolist()]
+                    taken.append((which, counts, merges))
                 for i in alone:
-                    taken_here: list[tuple[int, int]] = []
-                    out[i] = array("i", self.segment_ids(segments[i], None if free else int(keys[i]), taken_here, given[i])).tobytes()
-                    if free and taken_here:
-                        steps[i] = _step(*np.array(taken_here, np.int64).T)
-        return (out, steps) if free else out
-
-    def _rounds(self, x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """All ids end to end, each row's end and, without keys, the rows and merges of each round."""
+                    here: list[tuple[int, int]] = []
+                    out[i] = array("i", self.segment_ids(segments[i], None if free else int(keys[i]), here, given[i])).tobytes()
+                    if free and here:
+                        taken.append((np.array([i]), np.array([len(here)]), _step(*np.array(here, np.int64).T)))
+        if not free:
+            return out
+        counts = np.zeros(len(segments), np.int64)
+        for which, n, _ in taken:
+            counts[which] = n
+        start, flat = np.cumsum(counts) - counts, np.zeros(counts.sum(), np.uint64)
+        for which, n, merges in taken:
+            flat[np.arange(len(merges)) + np.repeat(start[which] - np.cumsum(n) + n, n)] = merges
+        return out, counts, flat
+
+    def _rounds(self, x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids end to end and each row's end; how many merges each row has and, without keys, all of them.
+
+        A symbol stays where its first character is; ``after`` and ``before`` are the neighbours' places.
+        """
         m, n = x.shape
-        sizes = np.full(m, n)
-        live = np.arange(m)
-        taken = []
+        counts, rounds = np.zeros(m, np.int64), []
         if n > 1 and m:
-            y, size = x.copy(), sizes.copy()
             place = np.arange(n)
-            begin = np.repeat(place[None], m, axis=0)  # where each symbol starts
-            r = self._ranks(y[:, :-1].ravel(), y[:, 1:].ravel(), begin[:, :-1].ravel(), np.repeat(key, n - 1, axis=0)).reshape(m, n - 1)
-            r = np.concatenate((r, np.full((m, 1), NEVER, np.int32)), axis=1)
+            after, before = np.repeat((place + 1)[None], m, axis=0).astype(np.int8), np.repeat((place - 1)[None], m, axis=0).astype(np.int8)
+            r = np.full((m, n), NEVER, np.int32)
+            r[:, :-1] = self._ranks(x[:, :-1].ravel(), x[:, 1:].ravel(), np.tile(place[:-1], m), np.repeat(key, n - 1, axis=0)).reshape(m, n - 1)
+            live = np.flatnonzero(r.min(axis=1) < NEVER)
             while len(live):
-                best = r.argmin(axis=1)
-                rows = np.arange(len(live))
-                rank = r[rows, best]
-                done = rank == NEVER
-                if done.any():
-                    x[live[done]], sizes[live[done]] = y[done], size[done]
-                    go = ~done
-                    live, y, r, size, best, rank, begin = live[go], y[go], r[go], size[go], best[go], rank[go], begin[go]
-                    key = key[go]
-                    rows = np.arange(len(live))
+                some = r[live]
+                best = some.argmin(axis=1)
+                rank = some[np.arange(len(live)), best]
+                go = rank < NEVER
+                if not go.all():
+                    live, best, rank = live[go], best[go], rank[go]
                     if not len(live):
                         break
+                counts[live] += 1
                 if key.ndim == 2:
-                    taken.append((live, _step(rank, begin[rows, best])))
-                y[rows, best] = self.grid["made"][rank]
-                take = np.minimum(place + (place > best[:, None]), n - 1)
-                y, r, begin = np.take_along_axis(y, take, 1), np.take_along_axis(r, take, 1), np.take_along_axis(begin, take, 1)
-                size = size - 1
-                has = best + 1 < size
-                r[rows, best] = NEVER
-                a = rows[has]
-                r[a, best[has]] = self._ranks(y[a, best[has]], y[a, best[has] + 1], begin[a, best[has]], key[has])
-                has = best > 0
-                a = rows[has]
-                r[a, best[has] - 1] = self._ranks(y[a, best[has] - 1], y[a, best[has]], begin[a, best[has] - 1], key[has])
-        keep = np.arange(n) < sizes[:, None]
-        return self.grid["final"][x[keep]], np.cumsum(sizes), taken
+                    rounds.append((live, _step(rank, best)))
+                gone = after[live, best]
+                x[live, best], x[live, gone] = self.grid["made"][rank], -1
+                right = after[live, gone]
+                after[live, best] = right
+                r[live, best] = r[live, gone] = NEVER
+                has = np.flatnonzero(right < n)
+                i, b, c = live[has], best[has], right[has]
+                before[i, c] = b
+                r[i, b] = self._ranks(x[i, b], x[i, c], b, key[i])
+                left = before[live, best]
+                has = np.flatnonzero(left >= 0)
+                i, a, b = live[has], left[has], best[has]
+                r[i, a] = self._ranks(x[i, a], x[i, b], a, key[i])
+        start = np.cumsum(counts) - counts
+        merges = np.zeros(counts.sum() if key.ndim == 2 else 0, np.uint64)
+        for k, (rows, step) in enumerate(rounds):
+            merges[start[rows] + k] = step
+        keep = x >= 0
+        return self.grid["final"][x[keep]], np.cumsum(keep.sum(axis=1)), counts, merges
 
     def segment_ids(self, s: str, key: int | None, taken: list[tuple[int, int]] | None = None, skips: frozenset[int] = frozenset()) -> list[int]:
         """Piece ids of one segment under a key, or None for no dropout but the given skips; the merges go to ``taken``."""
@@ -345,8 +348,14 @@ class PieceCodec:
         segments = [s for x in split for s in x]
         keys = np.concatenate([np.zeros(0, np.uint64), *(self._keys(key, len(x)) for (key, _), x in zip(docs, split, strict=True))])
         known = self.known
-        self._remember([s for s in dict.fromkeys(segments) if s not in known and len(s) <= SHORT])
         numbers = np.fromiter(map(known.get, segments, repeat(-1)), np.int64, len(segments))
+        miss = np.flatnonzero(numbers < 0).tolist()
+        if miss:  # what comes a second time is remembered
+            new = Counter([segments[i] for i in miss])
+            met = self.met
+            self._remember([s for s, n in new.items() if (n > 1 or s in met) and len(s) <= SHORT])
+            met.update(new) if len(met) < CACHE else None
+            numbers[miss] = np.fromiter((known.get(segments[i], -1) for i in miss), np.int64, len(miss))
         if self.dropout:
             some = np.flatnonzero(numbers >= 0)
             numbers[some] = self._follow(numbers[some], keys[some])
