@@ -41,14 +41,14 @@ def same_partition(found, labels):
 
 @pytest.mark.parametrize("diagonal", [False, True])
 def test_components_2d(spark, diagonal):
-    mask = view(spark, DIR, "fx_mask").where("day = 3")
+    mask = view(spark, DIR, "fx_wide_mask").where("day = 50")
     got = {(r.lat_i, r.lon_i): r.label for r in objects.label(mask, ["day"], diagonal=diagonal).collect()}
     near = lambda a, b: (abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1) if diagonal else abs(a[0] - b[0]) + abs(a[1] - b[1]) <= 1
     assert got and same_partition(flood(got, near), got)
 
 
 def test_components_3d_and_severity(spark):
-    mask = view(spark, DIR, "fx_mask").where("lat_i % 3 < 2")
+    mask = view(spark, DIR, "fx_mask").where("day BETWEEN 50 AND 56")
     labelled = objects.label(mask, [], day="day")
     got = {(r.day, r.lat_i, r.lon_i): r.label for r in labelled.collect()}
     found = flood(got, lambda a, b: all(abs(x - y) <= 1 for x, y in zip(a, b, strict=True)))
@@ -198,6 +198,85 @@ def test_link_paths_matches_a_plain_loop(spark):
     assert got == sorted(want)
 
 
+def test_dead_paths_are_dropped():
+    paths, begun = [], 0
+    for step in range(2000):
+        _, begun = tracks.step_paths(paths, begun, step, np.array([float(step % 80)]), np.array([float(40 * step % 360)]), 300.0, 2)
+    assert begun == 2000 and len(paths) <= 2
+
+
+def test_path_linking_query_matches_a_plain_loop(spark):
+    from veriskill.plans.registry import queries
+
+    groups = {}
+    for r in view(spark, DIR, "fx_track").collect():
+        groups.setdefault(r.sid, []).append((r.lead_h // 6, r.pred_lat, r.pred_lon))
+    want = []
+    for sid, points in groups.items():
+        paths, found = [], {}
+        for step in sorted({p[0] for p in points}):
+            here = sorted(p[1:] for p in points if p[0] == step)
+            pairs = sorted((6371 * np.hypot(np.radians(y - p[1]), np.radians(x - p[2])), i, k) for k, p in enumerate(paths) for i, (y, x) in enumerate(here) if 1 <= step - p[0] <= 2)
+            ids = [-1] * len(here)
+            for km, i, k in pairs:
+                if km < (step - paths[k][0]) * 300 and ids[i] < 0 and k not in ids:
+                    ids[i] = k
+            for i, (y, x) in enumerate(here):
+                if ids[i] < 0:
+                    ids[i] = len(paths)
+                    paths.append(None)
+                paths[ids[i]] = (step, y, x)
+                found.setdefault(ids[i], []).append(step)
+        want += [(sid, k, len(v), min(v), max(v)) for k, v in found.items()]
+    assert sorted(tuple(r) for r in queries()["path_linking"](spark, DIR).collect()) == sorted(want)
+
+
+def test_layers_and_simple_tracks(spark):
+    rows = [(c, v, lev, float(lev + c + (v == "t"))) for c in range(3) for v in ("z", "t") for lev in (200, 300, 500, 850)]
+    fields = spark.createDataFrame(rows, "cell int, variable string, level_hpa int, value double")
+    assert {r.cell: r.thickness for r in detect.layer_thickness(fields, ["cell"]).collect()} == {c: -650.0 for c in range(3)}
+    assert {r.cell: r["mean"] for r in detect.layer_mean(fields, ["cell"], (300, 500)).collect()} == {c: 401.0 + c for c in range(3)}
+    cells = [("s", 6 * k, 10.0 + i, 120.0 + j, 100_000.0 + 100 * ((10 + i - 12 - k / 2) ** 2 + (120 + j - 122 - k / 2) ** 2), 20.0, 0.0) for k in range(1, 5) for i in range(10) for j in range(10)]
+    crops = spark.createDataFrame(cells, "sid string, lead_h long, lat double, lon double, msl double, u10 double, v10 double")
+    got = detect.minimum_pressure_track(crops, spark.createDataFrame([("s", 12.0, 122.0)], "sid string, lat double, lon double"), ["sid"]).orderBy("lead_h").collect()
+    assert [(r.lead_h, r.max_wind) for r in got] == [(6 * k, 20.0) for k in range(1, 5)] and all(abs(r.lat - 12 - r.lead_h / 12) <= 0.5 for r in got)
+
+
+def test_detected_centres_are_linked_to_paths(spark):
+    """A detector's centres of each step, through the path linker."""
+    frames = []
+    for step in range(4):
+        frames.append(blob(spark).withColumn("step", F.lit(step)).withColumn("lon", F.col("lon") + 0.5 * step))
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f)
+    centres = detect.warm_cores(whole, ["run", "step"], rows=40, width=40)
+    linked = tracks.link_paths(centres.select("run", "step", "lat", "lon"), ["run"]).collect()
+    assert sorted((r.step, r.path_id) for r in linked) == [(s, 0) for s in range(4)]
+
+
+def test_observations_meet_forecasts_and_tails_split(spark):
+    obs = spark.createDataFrame([("a", "t2m", "2024-01-01 06:00:00", 1.0), ("b", "t2m", "2024-01-01 06:00:00", 2.0)], "station string, variable string, valid_time string, obs double").withColumn("valid_time", F.col("valid_time").cast("timestamp"))
+    fc = obs.select("station", "variable", "valid_time", (F.col("obs") + 1).alias("pred")).where("station = 'a'")
+    assert [(r.station, r.pred, r.obs) for r in readers.observations_at(obs, fc).collect()] == [("a", 2.0, 1.0)]
+
+
+def test_nearest_fill_matches_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    v = np.where(rng.random((7, 9)) < 0.3, rng.random((7, 9)), np.nan)
+    cells = spark.createDataFrame([("m", i, j, None if np.isnan(v[i, j]) else float(v[i, j])) for i in range(7) for j in range(9)], "model string, lat_i int, lon_i int, value double")
+    got = {(r.lat_i, r.lon_i): r.value for r in grid.filled_with_nearest(cells, ["model"]).collect()}
+    for axis in (1, 0):
+        new = v.copy()
+        for i, j in np.argwhere(np.isnan(v)):
+            line = v[i] if axis else v[:, j]
+            have = np.flatnonzero(~np.isnan(line))
+            if len(have):
+                new[i, j] = line[min(have, key=lambda k: (abs(k - (j if axis else i)), k))]
+        v = new
+    assert all((np.isnan(v[k]) and got[k] is None) or got[k] == v[k] for k in got)
+
+
 def test_storm_tracker_follows_a_hollow(spark):
     from veriskill.plans.registry import queries
 
@@ -283,11 +362,12 @@ def test_channel_subset_refuses_unknown(spark):
 
 
 def test_npy_scan_and_snapshot(spark, tmp_path):
-    for day, hour in (("2024-01-01", "06"), ("2024-01-02", "00")):
-        d = tmp_path / "2024" / day
+    for day, hour, mark in (("2024-01-01", "06", ":"), ("2024-01-02", "00", "-")):
+        d, one = tmp_path / "2024" / day, tmp_path / "single" / "2024" / day
         d.mkdir(parents=True)
-        np.save(d / f"{hour}-00-00-z-500.0.npy", np.arange(6, dtype=np.float32).reshape(2, 3))
-        np.save(d / f"{hour}-00-00-t2m.npy", np.array([[1, np.nan, 3], [4, 5, 6]], np.float32))
+        one.mkdir(parents=True)
+        np.save(d / f"{hour}{mark}00{mark}00-z-500.0.npy", np.arange(6, dtype=np.float32).reshape(2, 3))
+        np.save(one / f"{hour}{mark}00{mark}00-t2m.npy", np.array([[1, np.nan, 3], [4, 5, 6]], np.float32))
     fields = readers.npy_fields(spark, str(tmp_path), "era5", flip=True)
     got = {(str(r.valid_time), r.variable, r.level_hpa, r.lat_i): r.vals for r in fields.collect()}
     assert got["2024-01-01 06:00:00", "z", 500, 0] == [3, 4, 5] and got["2024-01-02 00:00:00", "t2m", None, 1] == [1, None, 3] and len(got) == 8
@@ -304,7 +384,11 @@ def test_text_scans(spark, tmp_path):
     assert readers.storm_lookup(readers.best_tracks(spark, str(tmp_path / "tracks.csv")), 2024, "ann", "2024-07-01 00:00:00", "2024-07-02 00:00:00", 6).count() == 1
     (tmp_path / "s.psv").write_text("DATE|STATION|LATITUDE|LONGITUDE|ELEVATION|temperature|wind_direction|extra\n2024-01-01T00:00:00|X1|1|2|******|3.5|999|z\n")
     r = readers.station_files(spark, str(tmp_path / "s.psv")).first()
-    assert (r.station, r.temperature, r.wind_direction, r.elevation) == ("X1", 3.5, None, None) and "extra" not in r
+    assert (r.station, r.temperature, r.wind_direction, r.elevation) == ("X1", 3.5, None, None) and "extra" not in r and r.precipitation_3_hour is None
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.psv").write_text("DATE|STATION|temperature|precipitation_6_hour\n2024-01-01T00:00:00|X1|1.5|2\n")
+    (tmp_path / "two" / "b.psv").write_text("STATION|precipitation_6_hour|DATE\nX2|7|2024-01-01T00:00:00\n")
+    assert sorted((r.station, r.temperature, r.precipitation_6_hour) for r in readers.station_files(spark, str(tmp_path / "two")).collect()) == [("X1", 1.5, 2.0), ("X2", None, 7.0)]
     (tmp_path / "c.json").write_text('{"X1": {"latitude": 1.5, "longitude": 2}}')
     assert readers.station_catalog(spark, str(tmp_path / "c.json")).first().asDict() == {"station": "X1", "lat": 1.5, "lon": 2.0}
     d = tmp_path / "fc" / "m" / "2024010100"
@@ -315,6 +399,20 @@ def test_text_scans(spark, tmp_path):
     assert got == [("m", 6, None), ("m", 12, 3)]
     (tmp_path / "m.csv").write_text("init_time,lead_hours,variable,bias\n2024010100,6,t2m,1\n2024010100,6,t2m,2\n")
     assert [(r.bias, r.acc) for r in readers.metric_tables(spark, str(tmp_path / "m.csv")).collect()] == [(2.0, None)]
+    (tmp_path / "ms").mkdir()
+    (tmp_path / "ms" / "a.csv").write_text("init_time,lead_hours,variable,wrmse,bias\n2024010100,6,t2m,1,2\n")
+    (tmp_path / "ms" / "b.csv").write_text("acc,bias,variable,lead_hours,init_time\n0.9,5,\"z_500\",12,2024010100\n")
+    assert sorted((r.lead_hours, r.variable, r.wrmse, r.bias, r.acc) for r in readers.metric_tables(spark, str(tmp_path / "ms")).collect()) == [(6, "t2m", 1.0, 2.0, None), (12, "z_500", None, 5.0, 0.9)]
+    for source, text in (("era5", "Storm_ID,Lead_Time,Track_Error_km,Status\ns1,6,10.5,OK\ns1,12,x,ok\ns1,18,3,failed\n"), ("ifs", "Lead_Time,Storm_ID,Track_Error_km\n24,s2,7\n")):
+        d = tmp_path / "tc" / f"source={source}" / "model=m"
+        d.mkdir(parents=True)
+        (d / "raw.csv").write_text(text)
+    assert sorted((r.source, r.model, r.Storm_ID, r.Lead_Time, r.Track_Error_km) for r in readers.track_tables(spark, str(tmp_path / "tc")).collect()) == [("era5", "m", "s1", 6, 10.5), ("ifs", "m", "s2", 24, 7.0)]
+    (tmp_path / "days").mkdir()
+    for day in ("20240101", "20240102", "20240105"):
+        (tmp_path / "days" / f"era5.2_metre_temperature.{day}.nc").write_text("x")
+    (tmp_path / "days" / "other.20240102.nc").write_text("x")
+    assert sorted(str(r.day) for r in readers.dated_files(spark, str(tmp_path / "days"), "2024-01-02", "2024-01-05").collect()) == ["2024-01-02", "2024-01-05"]
 
 
 def test_sinks(spark, tmp_path):
@@ -323,6 +421,12 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.save_forecast(fields, dims, f"{tmp_path}/f", leads=(6, 12), variables=["z"])
     assert [(r.lead_hours, r.unit) for r in spark.read.parquet(f"{tmp_path}/f").orderBy("lead_hours").collect()] == [(6, "m2 s-2"), (12, "m2 s-2")]
+    sinks.save_forecast(fields.where("lead_hours = 18"), dims, f"{tmp_path}/f")
+    assert sorted((r.lead_hours, r.variable) for r in spark.read.parquet(f"{tmp_path}/f").collect()) == [(6, "z"), (12, "z"), (18, "t"), (18, "z")]
+    members = fields.where("lead_hours = 6").withColumn("member", F.lit(2))
+    sinks.save_forecast(members, dims, f"{tmp_path}/fm")
+    sinks.save_forecast(members.withColumn("member", F.lit(3)), dims, f"{tmp_path}/fm")
+    assert sorted(r.member for r in spark.read.parquet(f"{tmp_path}/fm").collect()) == [2, 2, 3, 3]
     sinks.save_by_init(fields.select("model", "init_time", "lead_hours"), f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 6
     sinks.save_bundle(fields.drop("vals"), {"by_lead": lambda x: x.groupBy("lead_hours").count()}, f"{tmp_path}/b")
@@ -361,6 +465,9 @@ def test_streams(spark, tmp_path):
     streams.append_new(rows, f"{tmp_path}/target", ["k"], f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/target").collect())[-1] == (2, 8.0) and spark.read.parquet(f"{tmp_path}/target").count() == 2
 
+    streams.append_new(rows, f"{tmp_path}/target2", ["k"], f"{tmp_path}/c4", within="k").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/target2").collect()) == sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/target").collect())
+
     steps = [("r", s, 10 + 0.5 * s, 120.0 + s) for s in range(6)] + [("r", 3, 40.0, 10.0)]
     for s in range(6):
         spark.createDataFrame([x for x in steps if x[1] == s], "run string, step int, lat double, lon double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pts{s // 3}")

@@ -19,6 +19,11 @@ def wrmse(p: Column, t: Column, c: Column, w: Column) -> Column:
     return F.sqrt(F.avg(w * (p - t) * (p - t)))
 
 
+def wrmse_height(p: Column, t: Column, c: Column, w: Column) -> Column:
+    """[A3] WRMSE of geopotential in metres."""
+    return wrmse(p, t, c, w) / 9.80665
+
+
 def bias(p: Column, t: Column, c: Column, w: Column) -> Column:
     """[A4]"""
     return F.avg(w * (p - t))
@@ -64,7 +69,7 @@ def rmse(p: Column, t: Column, c: Column, w: Column) -> Column:
     return F.sqrt(F.avg((p - t) * (p - t)))
 
 
-REGISTRY: dict[str, Callable[[Column, Column, Column, Column], Column]] = {f.__name__: f for f in (wrmse, bias, mae, wmae, wbias, cos_rmse, activity, acc, rmse)}
+REGISTRY: dict[str, Callable[[Column, Column, Column, Column], Column]] = {f.__name__: f for f in (wrmse, wrmse_height, bias, mae, wmae, wbias, cos_rmse, activity, acc, rmse)}
 
 
 def metric(name: str, p: str = "pred", t: str = "truth", c: str = "clim", w: str = "w") -> Column:

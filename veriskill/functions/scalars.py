@@ -35,6 +35,18 @@ def saved_name(name: Column) -> Column:
     return F.when(name.startswith("q_"), F.concat(F.lit("r_"), F.substring(name, 3, 100))).otherwise(name)
 
 
+def eval_name(name: Column) -> Column:
+    """[P5] Name under which a channel is scored: lower case, ``v_level``; precipitation is ``tp``."""
+    low = F.lower(F.trim(name))
+    level = F.concat(F.lower(F.regexp_extract(F.trim(name), r"^([a-zA-Z]+)_?(\d{2,4})$", 1)), F.lit("_"), F.regexp_extract(F.trim(name), r"^([a-zA-Z]+)_?(\d{2,4})$", 2))
+    return F.when(low.isin("tp", "tp6h"), "tp").when(low.isin("msl", "t2m", "u10", "v10"), low).when(F.trim(name).rlike(r"^[a-zA-Z]+_?\d{2,4}$"), level).otherwise(low)
+
+
+def is_scored(name: Column) -> Column:
+    """[P5] Relative humidity is not scored."""
+    return ~eval_name(name).startswith("r_")
+
+
 def valid_time(init: Column, lead_hours: Column) -> Column:
     """[P7] Initialisation plus lead."""
     return init + F.make_dt_interval(hours=lead_hours)

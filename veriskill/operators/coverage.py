@@ -101,17 +101,50 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], time
 
 
 def wanted_or_all(wanted: DataFrame, available: DataFrame, key: str) -> DataFrame:
-    """[U6, U7] The wanted keys that are available, or all available ones if none is."""
+    """[U7] The wanted keys that are available, or all available ones if none is."""
     both = available.select(key).distinct().join(wanted.select(F.col(key), F.lit(1).alias("_w")).distinct(), key, "left")
     some = both.agg(F.count("_w").alias("_n"))  # one row
     return both.crossJoin(F.broadcast(some)).where((F.col("_n") == 0) | F.col("_w").isNotNull()).select(key)
 
 
+def common_or_union(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """[U6] Keys that both tables have, or those of either if they share none."""
+    both = one.select(key).distinct().withColumn("_a", F.lit(1)).join(two.select(key).distinct().withColumn("_b", F.lit(1)), key, "full")
+    shared = both.agg(F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("_n"))  # one row
+    return both.crossJoin(F.broadcast(shared)).where((F.col("_n") == 0) | (F.col("_a").isNotNull() & F.col("_b").isNotNull())).select(key)
+
+
 def replaced(old: DataFrame, new: DataFrame, variable: str) -> DataFrame:
     """[U4] ``old`` with all rows of the new table's variables taken from it."""
     return old.join(new.select(variable).distinct(), variable, "left_anti").unionByName(new)
 
 
+def lead_filter(rows: DataFrame, lead: str, most: int, step: int = 6) -> DataFrame:
+    """[P6] Leads from the first step to ``most``, on whole steps."""
+    return rows.where(F.col(lead).between(step, most) & (F.col(lead) % step == 0))
+
+
+def init_bounds(rows: DataFrame, init: str, start: str, end: str) -> DataFrame:
+    """[P9] Initialisations from 00 h of one day to 18 h of another (``yyyyMMdd``)."""
+    bound = lambda day, hour: F.to_timestamp(F.lit(f"{day}{hour:02d}"), "yyyyMMddHH").cast("timestamp_ntz")
+    return rows.where(F.col(init).cast("timestamp_ntz").between(bound(start, 0), bound(end, 18)))
+
+
+def repeated_over(static: DataFrame, times: DataFrame) -> DataFrame:
+    """[S9] Static fields at each of a few times."""
+    return static.crossJoin(F.broadcast(times))  # the input times of a run
+
+
+def status_rows(units: DataFrame, results: DataFrame, keys: Sequence[str], checks: Sequence[tuple[str, Column]]) -> DataFrame:
+    """[X5] Every unit with ``status`` and ``reason``: ``missing`` without a result, ``failed`` by the first check that holds, else ``ok``."""
+    joined = units.join(results.withColumn("_there", F.lit(True)), list(keys), "left")
+    reason = F.when(F.col("_there").isNull(), "no result")
+    for name, failed in checks:
+        reason = reason.when(failed, name)
+    status = F.when(F.col("_there").isNull(), "missing").when(reason.isNotNull(), "failed").otherwise("ok")
+    return joined.select(*keys, status.alias("status"), reason.alias("reason"))
+
+
 def channel_subset(channels: DataFrame, wanted: DataFrame, key: Column) -> DataFrame:
     """[P2] Wanted channels in wanted order (``ord``), the first of duplicates; reading fails on an unknown name."""
     have = keep_last(channels.withColumn("_key", key).withColumn("_o", -F.col("ord")), ["_key"], ["_o"]).select("_key", F.col("name").alias("channel"))

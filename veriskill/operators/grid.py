@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,6 +127,49 @@ def vorticity(cells: DataFrame, field: Sequence[str], spacing: float = 25_000.0,
     return cells.select("*", slope("v", "lon_i", "lat_i").alias("_dvdx"), slope("u", "lat_i", "lon_i").alias("_dudi")).withColumn("vorticity", south * (F.col("_dvdx") + F.col("_dudi"))).drop("_dvdx", "_dudi")
 
 
+def nrmse(cells: DataFrame, by: Sequence[str], rows: int, width: int, border: int = 30, pred: str = "pred", truth: str = "truth", std: str | None = None) -> DataFrame:
+    """[A12] Unweighted RMSE without a border of cells, times the channel's standard deviation if there is one."""
+    if rows <= 2 * border or width <= 2 * border:
+        raise ValueError("the border leaves no cell")
+    inner = cells.where(F.col("lat_i").between(border, rows - 1 - border) & F.col("lon_i").between(border, width - 1 - border))
+    e = F.sqrt(F.avg(F.pow(F.col(pred) - F.col(truth), 2)))
+    return inner.groupBy(*by).agg((e * F.first(std) if std else e).alias("nrmse"))
+
+
+def nearest_index(x: Column, n: int, start: float, step: float, periodic: bool = False) -> Column:
+    """[J25] Index of the grid coordinate next to ``x``, the first of two; periodic axes wrap."""
+    at = F.ceil((x - start) / step - 0.5).cast("int")
+    return F.pmod(at, F.lit(n)) if periodic else F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
+
+
+def filled_with_nearest(cells: DataFrame, field: Sequence[str], value: str = "value") -> DataFrame:
+    """[J25] Missing cells take the value of the nearest valid cell of their row, the western one on ties, or else of their column."""
+
+    def fill(df: DataFrame, across: str, along: str) -> DataFrame:
+        w = Window.partitionBy(*field, across).orderBy(along)
+        seen = F.when(F.col(value).isNotNull(), F.struct(F.col(along).alias("at"), F.col(value).alias("v")))
+        before, after = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        df = df.select("*", before.alias("_b"), after.alias("_a"))
+        left = F.col("_a").isNull() | (F.col(along) - F.col("_b.at") <= F.col("_a.at") - F.col(along))
+        return df.withColumn(value, F.when(F.col("_b").isNotNull() & left, F.col("_b.v")).otherwise(F.col("_a.v"))).drop("_a", "_b")
+
+    return fill(fill(cells, "lat_i", "lon_i"), "lon_i", "lat_i")
+
+
+def smooth(cells: DataFrame, field: Sequence[str], value: str = "value", reach: int = 4, sigma: float = 1.0) -> DataFrame:
+    """Separable Gaussian over the cells that are there: along rows, then along columns, the weights of missing ones left out."""
+    taps = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+
+    def one(df: DataFrame, across: str, along: str) -> DataFrame:
+        w = Window.partitionBy(*field, across).orderBy(along)
+        near = F.collect_list(F.struct(F.col(along).alias("at"), F.col(value).alias("v"))).over(w.rangeBetween(-reach, reach))
+        tap = lambda x: F.element_at(F.array(*map(F.lit, taps)), x["at"] - F.col(along) + reach + 1)
+        total = lambda g: F.aggregate("_near", F.lit(0.0), lambda acc, x: acc + g(x))
+        return df.withColumn("_near", near).withColumn(value, total(lambda x: tap(x) * x["v"]) / total(tap)).drop("_near")
+
+    return one(one(cells.where(F.col(value).isNotNull()), "lat_i", "lon_i"), "lon_i", "lat_i")
+
+
 def local_extrema(cells: DataFrame, field: Sequence[str], distance: int, threshold: float, value: str = "value", border: int = 0, rows: int = 721, width: int = 1440) -> DataFrame:
     """[W5] Cells above the threshold that are the largest within a square of ``distance`` cells to each side.
 

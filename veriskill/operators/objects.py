@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal:
     Rows are cut to runs, runs of neighbouring rows (and days) that overlap are joined on the row, and minimum labels
     travel along these edges, each round also jumping to the label's label, until no label changes. The label is the
     smallest (day,) row and column of the object, as a string that sorts likewise. ``checkpoint`` cuts lineage between
-    rounds; by default a checkpoint in the session's folder where one is set.
+    rounds; by default it is one in the shared folder.
     """
     keys = [*by, *([day] if day else [])]
     runs = row_runs(cells, keys)
@@ -55,7 +56,14 @@ def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """A checkpoint in the shared folder ``spark.checkpoint.dir``; a local session without one gets a new folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def large_objects(labelled: DataFrame, by: Sequence[str], least: int) -> DataFrame:

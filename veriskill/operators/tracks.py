@@ -55,6 +55,11 @@ def mean_track(members: DataFrame, by: Sequence[str], member: str = "member") ->
     return members.where(F.col(member) != "best").groupBy(*by).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("n"))
 
 
+def with_best(track: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """[J28] A (mean) track with the best track's position (``best_lat, best_lon``) of the same time, null where there is none."""
+    return track.join(best.select(*keys, F.col("lat").alias("best_lat"), F.col("lon").alias("best_lon")), list(keys), "left")
+
+
 def prefix_termination(leads: DataFrame, by: Sequence[str], lead: str, failed: Column, reason: Column) -> DataFrame:
     """[W9] Leads before the first failure of each track, and the track's reason on every row.
 
@@ -130,19 +135,23 @@ def link_paths(points: DataFrame, group: Sequence[str], step: str = "step", radi
 
     def link(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values([step, "lat", "lon"], kind="stable").reset_index(drop=True)
-        ids, paths = np.full(len(run), -1), []
+        ids, paths, begun = np.full(len(run), -1), [], 0
         for now, rows in run.groupby(step, sort=True).indices.items():
-            ids[rows] = step_paths(paths, int(now), run.lat.to_numpy()[rows], run.lon.to_numpy()[rows], radius_km, memory)
+            ids[rows], begun = step_paths(paths, begun, int(now), run.lat.to_numpy()[rows], run.lon.to_numpy()[rows], radius_km, memory)
         return run.assign(path_id=ids)
 
     return points.groupBy(*group).applyInPandas(link, schema)
 
 
-def step_paths(paths: list[tuple[int, float, float]], now: int, lat: np.ndarray, lon: np.ndarray, radius_km: float, memory: int) -> np.ndarray:
-    """Path numbers of one step's centres; ``paths`` holds each path's last step and position, and is updated."""
+def step_paths(paths: list[tuple[int, int, float, float]], begun: int, now: int, lat: np.ndarray, lon: np.ndarray, radius_km: float, memory: int) -> tuple[np.ndarray, int]:
+    """Path numbers of one step's centres, and how many paths have begun.
+
+    ``paths`` holds number, last step and position of the paths that can still be reached; it is updated, and those
+    that no later step reaches are dropped.
+    """
     ids = np.full(len(lat), -1)
     near = []
-    for k, (at, y, x) in enumerate(paths):
+    for k, at, y, x in paths:
         age = now - at
         if 1 <= age <= memory:
             km = S.EARTH_KM * np.hypot(np.radians(lat - y), np.radians(lon - x))
@@ -152,13 +161,10 @@ def step_paths(paths: list[tuple[int, float, float]], now: int, lat: np.ndarray,
         if ids[i] < 0 and k not in taken:
             ids[i] = k
             taken.add(k)
-    for i in range(len(lat)):
-        if ids[i] < 0:
-            ids[i] = len(paths)
-            paths.append((now, float(lat[i]), float(lon[i])))
-        else:
-            paths[ids[i]] = (now, float(lat[i]), float(lon[i]))
-    return ids
+    for i in np.flatnonzero(ids < 0):
+        ids[i], begun = begun, begun + 1
+    paths[:] = [p for p in paths if p[0] not in taken and now - p[1] < memory] + [(int(k), now, float(y), float(x)) for k, y, x in zip(ids, lat, lon, strict=True)]
+    return ids, begun
 
 
 def smoothed(field: np.ndarray) -> np.ndarray:

@@ -14,12 +14,11 @@ VIEWS = {
     "fx_rows": "select vec_id as field_id, label as lat_i, 81e0 - 18e0*label as lat, embedding as vals from {embeddings}",
     # A member is an order's line; the cell is the order, its total the truth.
     "fx_members": """select o_orderpriority as model, o_orderkey as cell, l_linenumber as member, l_extendedprice as pred, o_totalprice/3e0 as truth, 8e1 - 16e0*(o_custkey % 10) as lat from {lineitem} join {orders} on l_orderkey = o_orderkey""",
-    # Boolean masks on a 24 x 36 grid of ten days, from the days and suppliers of lineitem.
-    "fx_mask": """select distinct cast(l_partkey % 10 as int) as day, cast(l_suppkey % 24 as int) as lat_i, cast(l_orderkey % 36 as int) as lon_i from {lineitem} where l_quantity > 45 and l_linenumber <= 2""",
-    # A mask of all lines, by month, quantity and block of 250 orders: the grid widens with the table, its cells stay as full.
+    # Masks of all lines, by month, quantity and block of orders: the grid widens with the table, its cells stay as full.
     "fx_wide_mask": """select distinct cast(12*(year(l_shipdate) - 1992) + month(l_shipdate) as int) as day, cast(l_quantity as int) as lat_i, cast(floor(l_orderkey/25e1) as int) as lon_i from {lineitem}""",
-    # A field on a 24 x 36 grid for each model.
-    "fx_grid": """select l_returnflag as model, cast(l_suppkey % 24 as int) as lat_i, cast(l_orderkey % 36 as int) as lon_i, avg(l_extendedprice) as value, avg(l_quantity) as u, avg(l_tax*1e2) as v from {lineitem} group by 1, 2, 3""",
+    "fx_mask": """select distinct cast(12*(year(l_shipdate) - 1992) + month(l_shipdate) as int) as day, cast(l_quantity as int) as lat_i, cast(floor(l_orderkey/5e1) as int) as lon_i from {lineitem}""",
+    # Fields of all lines on a 24 x 36 grid, one for each model and 15,000 orders: their number grows with the table.
+    "fx_grid": """select concat(l_returnflag, '-', cast(cast(floor(l_orderkey/15e3) as int) as varchar(20))) as model, cast(l_suppkey % 24 as int) as lat_i, cast(l_orderkey % 36 as int) as lon_i, avg(l_extendedprice) as value, avg(l_quantity) as u, avg(l_tax*1e2) as v, avg(l_extendedprice*(1-l_discount)) as truth from {lineitem} group by 1, 2, 3""",
 }
 NEEDS = {"fx_daily": ("fx_cell_day",), "fx_cell_day": ("lineitem",), "fx_station_obs": ("events",), "fx_track": ("events",), "fx_rows": ("embeddings",), "fx_members": ("lineitem", "orders"), "fx_mask": ("lineitem",), "fx_wide_mask": ("lineitem",), "fx_grid": ("lineitem",)}
 

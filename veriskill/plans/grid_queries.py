@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from veriskill.functions import scalars as S
@@ -14,8 +16,9 @@ THRESHOLDS = (20_000.0, 35_000.0, 50_000.0, 70_000.0)
 
 
 def weighted(cells, variant="exact"):
-    w = G.lat_weights(cells.select("cell_id", "lat").distinct(), variant=variant).select("cell_id", "w")
-    return cells.join(F.broadcast(w), "cell_id")  # one row per latitude
+    """Cells with the weight of their latitude; the views have one cell at each."""
+    w = G.lat_weights(cells.select("lat").distinct(), variant=variant).select("lat", "w")
+    return cells.join(w, "lat")  # a row for each latitude: Spark sees its size
 
 
 @query("fx_cell_day", sql=f"""WITH {_W},
@@ -186,7 +189,7 @@ yy AS (SELECT i, s AS lat_i, 1-f AS w FROM wy UNION ALL SELECT i, s+1, f FROM wy
 xx AS (SELECT j, s AS lon_i, 1-f AS w FROM wx UNION ALL SELECT j, (s+1) % 36, f FROM wx)
 SELECT model, i::INT AS lat_i, j::INT AS lon_i, round(sum(yy.w*xx.w*value) + 1e-7, 4) AS value FROM fx_grid JOIN yy USING (lat_i) JOIN xx USING (lon_i) WHERE yy.w <> 0 AND xx.w <> 0 GROUP BY ALL""")
 def regrid_bilinear(spark, grid):
-    """[J9, J10, J12]"""
+    """[J9]"""
     return rounded(G.regrid_linear(grid, *_axes(spark), ["model"]), offset=1e-7)
 
 
@@ -204,3 +207,47 @@ def regrid_conservative(spark, grid):
     lat = G.overlap_weights(cells(24, -90.0, 7.5, True), cells(9, -90.0, 20.0, True))
     lon = G.overlap_weights(cells(36, -5.0, 10.0), cells(15, -12.0, 24.0), period=360.0)
     return rounded(G.regrid_conservative(grid, lat, lon, ["model"]))
+
+
+@query("fx_grid", sql="""SELECT model, round(sqrt(avg(pow(value - truth, 2)))*2, 4) AS nrmse FROM fx_grid WHERE lat_i BETWEEN 3 AND 20 AND lon_i BETWEEN 3 AND 32 GROUP BY model""")
+def nrmse_border(spark, grid):
+    """[A12]"""
+    return rounded(G.nrmse(grid.withColumn("std", F.lit(2.0)), ["model"], 24, 36, border=3, pred="value", std="std"))
+
+
+@query("fx_cell_day", sql=f"""WITH {_W} SELECT model, lead_h, round(sqrt(avg(w*(pred-truth)*(pred-truth)))/9.80665, 4) AS wrmse_height FROM x GROUP BY ALL""")
+def geopotential_error(spark, cells):
+    """[A3]"""
+    return rounded(G.scores(weighted(cells), ["model", "lead_h"], ["wrmse_height"]))
+
+
+@query("fx_grid", sql="""WITH v AS (SELECT model, lat_i, lon_i, CASE WHEN value > 30000 THEN value END AS v FROM fx_grid),
+a AS (SELECT t.model, t.lat_i, t.lon_i, (SELECT arg_min(s.v, (abs(s.lon_i - t.lon_i), s.lon_i)) FROM v s WHERE s.model = t.model AND s.lat_i = t.lat_i AND s.v IS NOT NULL) AS v FROM v t),
+b AS (SELECT t.model, t.lat_i, t.lon_i, coalesce(t.v, (SELECT arg_min(s.v, (abs(s.lat_i - t.lat_i), s.lat_i)) FROM a s WHERE s.model = t.model AND s.lon_i = t.lon_i AND s.v IS NOT NULL)) AS v FROM a t)
+SELECT model, lat_i, lon_i, round(v + 1e-7, 4) AS value FROM b""")
+def nearest_fill(spark, grid):
+    """[J25] Cells of low value count as missing and take the nearest one's."""
+    gaps = grid.select("model", "lat_i", "lon_i", F.when(F.col("value") > 30_000, F.col("value")).alias("value"))
+    return rounded(G.filled_with_nearest(gaps, ["model"]), offset=1e-7)
+
+
+_GAUSS = "[" + ", ".join(f"{math.exp(-0.5 * k * k)!r}" for k in range(-4, 5)) + "]"
+
+
+@query("fx_grid", sql=f"""WITH a AS (SELECT x.model, x.lat_i, x.lon_i, sum(({_GAUSS})[y.lon_i - x.lon_i + 5]::DOUBLE*y.value)/sum(({_GAUSS})[y.lon_i - x.lon_i + 5]::DOUBLE) AS v FROM fx_grid x JOIN fx_grid y ON x.model = y.model AND x.lat_i = y.lat_i AND abs(x.lon_i - y.lon_i) <= 4 GROUP BY ALL)
+SELECT x.model, x.lat_i, x.lon_i, round(sum(({_GAUSS})[y.lat_i - x.lat_i + 5]::DOUBLE*y.v)/sum(({_GAUSS})[y.lat_i - x.lat_i + 5]::DOUBLE), 3) AS value FROM a x JOIN a y ON x.model = y.model AND x.lon_i = y.lon_i AND abs(x.lat_i - y.lat_i) <= 4 GROUP BY ALL""")
+def smoothed_grid(spark, grid):
+    """[F11]"""
+    return rounded(G.smooth(grid.select("model", "lat_i", "lon_i", "value"), ["model"]), 3)
+
+
+@query("fx_grid", sql="""WITH ty AS (SELECT i, (90 - 10*i + 80.5::DOUBLE)/7 AS y FROM range(19) r(i)), wy AS (SELECT i, least(greatest(floor(y), 0), 22)::INT AS s, y - least(greatest(floor(y), 0), 22) AS f FROM ty),
+yy AS (SELECT i, s AS lat_i, 1-f AS w FROM wy UNION ALL SELECT i, s+1, f FROM wy), xx AS (SELECT j, j*35/50e0 AS x FROM range(51) r(j)), wx AS (SELECT j, least(floor(x), 34)::INT AS s, x - least(floor(x), 34) AS f FROM xx),
+zz AS (SELECT j, s AS lon_i, 1-f AS w FROM wx UNION ALL SELECT j, s+1, f FROM wx)
+SELECT model, i::INT AS lat_i, j::INT AS lon_i, round(sum(yy.w*zz.w*value) + 1e-7, 3) AS value FROM fx_grid JOIN yy USING (lat_i) JOIN zz USING (lon_i) WHERE abs(yy.w) > 1e-12 AND abs(zz.w) > 1e-12 GROUP BY ALL""")
+def regrid_zoom(spark, grid):
+    """[J10, J12] Latitudes go on beyond the source's edges; longitudes are zoomed from end to end."""
+    lat = G.linear_weights(G.axis(spark, 24, -80.5, 7.0, "lat"), G.axis(spark, 19, 90.0, -10.0, "lat"), "lat", extrapolate=True)
+    lon = G.linear_weights(G.axis(spark, 36, 0.0, 1.0, "lon"), G.axis(spark, 51, 0.0, 0.7, "lon"), "lon")
+    small = lambda w: w.where(F.abs("w") > 1e-12)
+    return rounded(G.regrid_linear(grid, small(lat), small(lon), ["model"]), 3, offset=1e-7)

@@ -8,29 +8,52 @@ from veriskill.operators import objects as O
 from veriskill.plans.register import query, rounded
 
 
-#: Labels by reachability over pairs of neighbouring cells: right on small grids only.
+#: Labels by reachability over pairs of neighbouring cells: small objects only, as on a sparse mask.
 _REACH = """r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON r.g = e.g AND r.b = e.a), lb AS (SELECT g, a AS node, min(b) AS label FROM r GROUP BY ALL)"""
+_FLAT = f"""c AS (SELECT *, printf('%05d-%05d', lat_i, lon_i) AS node FROM fx_mask),
+e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(i, j), c b WHERE b.day = a.day AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {_REACH},
+l AS (SELECT c.*, label FROM c JOIN lb ON g = day AND lb.node = c.node)"""
 
 
-@query("fx_mask", sql=f"""WITH c AS (SELECT *, printf('%05d-%05d', lat_i, lon_i) AS node FROM fx_mask WHERE (lat_i + lon_i) % 3 > 0),
-e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a JOIN c b ON a.day = b.day AND abs(a.lat_i-b.lat_i) + abs(a.lon_i-b.lon_i) <= 1), {_REACH}
-SELECT day, label, count(*) AS cells, min(lat_i) AS lat_min, max(lat_i) AS lat_max, min(lon_i) AS lon_min, max(lon_i) AS lon_max, round(avg(lat_i), 4) AS lat_mean, round(avg(lon_i), 4) AS lon_mean, count(*)::DOUBLE AS severity FROM c JOIN lb ON g = day AND lb.node = c.node GROUP BY ALL""")
+@query("fx_mask", sql=f"""WITH {_FLAT}
+SELECT day, label, count(*) AS cells, min(lat_i) AS lat_min, max(lat_i) AS lat_max, min(lon_i) AS lon_min, max(lon_i) AS lon_max, round(avg(lat_i), 4) AS lat_mean, round(avg(lon_i), 4) AS lon_mean, count(*)::DOUBLE AS severity FROM l GROUP BY ALL""")
 def components_2d(spark, mask):
-    """[O1, O3, A30] 4-connected objects of each day."""
-    out = O.label(mask.where((F.col("lat_i") + F.col("lon_i")) % 3 > 0), ["day"], diagonal=False)
+    """[O1, O3, A30] 4-connected objects of each month."""
+    out = O.label(mask, ["day"], diagonal=False)
     return rounded(O.object_stats(out, ["day"], F.col("lat_i").cast("double"), F.lit(1.0)).select("day", "label", "cells", "lat_min", "lat_max", "lon_min", "lon_max", "lat_mean", "lon_mean", "severity"))
 
 
-@query("fx_mask", sql=f"""WITH c AS (SELECT *, printf('%09d-%05d-%05d', day, lat_i, lon_i) AS node, cos(radians(lat_i*7e0 - 8e1)) AS w FROM fx_mask WHERE lat_i % 4 < 2 AND lon_i % 5 < 2),
-e AS (SELECT 1 AS g, a.node AS a, b.node AS b FROM c a JOIN c b ON abs(a.day-b.day) <= 1 AND abs(a.lat_i-b.lat_i) <= 1 AND abs(a.lon_i-b.lon_i) <= 1), {_REACH},
+@query("fx_mask", sql=f"""WITH {_FLAT}, n AS (SELECT day, label, count(*) AS cells FROM l GROUP BY ALL) SELECT day, label, cells FROM n WHERE cells >= 2 QUALIFY row_number() OVER (PARTITION BY day ORDER BY cells DESC, label) = 1""")
+def largest_objects(spark, mask):
+    """[T5, O4] The largest object of each month, among those of two cells and more."""
+    return O.largest_object(O.large_objects(O.label(mask, ["day"], diagonal=False), ["day"], 2), ["day"])
+
+
+@query("fx_mask", sql=f"""WITH {_FLAT}, h AS (SELECT day, label, max((lat_i BETWEEN 20 AND 22 AND lon_i % 40 = 3)::INT) AS hit FROM l GROUP BY ALL), k AS (SELECT *, max(hit) OVER (PARTITION BY day) AS any_hit FROM h)
+SELECT day, label, count(*) AS cells FROM l JOIN k USING (day, label) WHERE hit = 1 OR any_hit = 0 GROUP BY ALL""")
+def touching_objects(spark, mask):
+    """[J27] Objects that touch a box, or all of a month if none does."""
+    labelled = O.label(mask, ["day"], diagonal=False)
+    return O.touching(labelled, F.col("lat_i").between(20, 22) & (F.col("lon_i") % 40 == 3), ["day"]).groupBy("day", "label").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("fx_mask", sql="""SELECT day, round(least(greatest(avg(lat_i)*4 - 1e2 - 1e1, -9e1), 7e1), 4) AS south, round(least(greatest(avg(lat_i)*4 - 1e2 - 1e1, -9e1), 7e1) + 2e1, 4) AS north, round(((avg(lon_i) - 15e0) % 36e1 + 36e1) % 36e1, 4) AS west, round(((avg(lon_i) + 15e0) % 36e1 + 36e1) % 36e1, 4) AS east FROM fx_mask GROUP BY day""")
+def placed_boxes(spark, mask):
+    """[O9]"""
+    centres = mask.groupBy("day").agg((F.avg("lat_i") * 4 - 100.0).alias("lat"), F.avg("lon_i").alias("lon"))
+    return rounded(centres.select("day", *O.place_box(F.col("lat"), F.col("lon"), 20.0, 30.0)))
+
+
+@query("fx_mask", sql=f"""WITH c AS (SELECT *, printf('%09d-%05d-%05d', day, lat_i, lon_i) AS node, cos(radians(lat_i*3e0 - 8e1)) AS w FROM fx_mask),
+o AS (SELECT d.x AS d, i.x AS i, j.x AS j FROM (VALUES (-1), (0), (1)) d(x), (VALUES (-1), (0), (1)) i(x), (VALUES (-1), (0), (1)) j(x)),
+e AS (SELECT 1 AS g, a.node AS a, b.node AS b FROM c a, o, c b WHERE b.day = a.day + o.d AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {_REACH},
 d AS (SELECT label, day, sum(w) AS area, min(lat_i) AS lo, max(lat_i) AS hi FROM c JOIN lb USING (node) GROUP BY ALL),
-o AS (SELECT label, count(*) AS days, sum(area) AS severity, arg_max(day, (round(area, 9), -day)) AS peak_day, max(area) AS peak_area, min(lo)::DOUBLE AS value_min, max(hi)::DOUBLE AS value_max FROM d GROUP BY label)
-SELECT label, days, round(severity, 4) AS severity, peak_day, round(peak_area, 4) AS peak_area, value_min, value_max, row_number() OVER (ORDER BY round(severity, 6) DESC, label)::INT AS rank FROM o WHERE days >= 2 ORDER BY rank LIMIT 20""")
+s AS (SELECT label, count(*) AS days, sum(area) AS severity, arg_max(day, (round(area, 9), -day)) AS peak_day, max(area) AS peak_area, min(lo)::DOUBLE AS value_min, max(hi)::DOUBLE AS value_max FROM d GROUP BY label)
+SELECT label, days, round(severity, 4) AS severity, peak_day, round(peak_area, 4) AS peak_area, value_min, value_max, row_number() OVER (ORDER BY round(severity, 6) DESC, label)::INT AS rank FROM s WHERE days >= 2 ORDER BY rank LIMIT 20""")
 def components_3d(spark, mask):
-    """[O2, T1, T2, A47, A48] 26-connected objects over days, the most severe ranked."""
-    sparse = mask.where((F.col("lat_i") % 4 < 2) & (F.col("lon_i") % 5 < 2))
-    w = F.cos(F.radians(F.col("lat_i") * 7.0 - 80.0))
-    return rounded(O.severest(O.label(sparse, [], day="day"), "day", F.col("lat_i").cast("double"), w, 2, 20))
+    """[O2, T1, T2, A47, A48] 26-connected objects over months, the most severe ranked."""
+    w = F.cos(F.radians(F.col("lat_i") * 3.0 - 80.0))
+    return rounded(O.severest(O.label(mask, [], day="day"), "day", F.col("lat_i").cast("double"), w, 2, 20))
 
 
 @query("fx_wide_mask")

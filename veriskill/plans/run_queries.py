@@ -8,9 +8,10 @@ from veriskill.functions import scalars as S
 from veriskill.operators import coverage as C
 from veriskill.operators.tracks import keep_last
 from veriskill.plans.register import query, rounded
+from veriskill.sources import models, readers
 
 _PRESENT = "p AS (SELECT DISTINCT l_returnflag AS model, cast(l_shipdate AS date) AS init_date, l_linenumber AS hour FROM lineitem WHERE l_quantity > 25)"
-_EXPECTED = "e AS (SELECT model, d::DATE AS init_date, hour FROM (VALUES ('A'), ('N'), ('R'), ('X')) m(model), generate_series(DATE '1994-01-01', DATE '1994-12-31', INTERVAL 1 DAY) t(d), (VALUES (1), (2), (3), (4)) h(hour))"
+_EXPECTED = "e AS (SELECT model, d::DATE AS init_date, hour FROM (VALUES ('A'), ('N'), ('R'), ('X')) m(model), generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY) t(d), (VALUES (1), (2), (3), (4)) h(hour))"
 _KEYS = ["model", "init_date", "hour"]
 
 
@@ -19,7 +20,7 @@ def present(lineitem):
 
 
 def expected(spark):
-    grid = C.init_grid(spark, "1994-01-01", "1994-12-31", [1, 2, 3, 4])
+    grid = C.init_grid(spark, "1996-01-01", "1996-12-31", [1, 2, 3, 4])
     models = F.explode(F.array(*map(F.lit, "ANRX"))).alias("model")
     return grid.select(models, F.col("init_time").cast("date").alias("init_date"), F.hour("init_time").alias("hour"))
 
@@ -39,7 +40,7 @@ def coverage_summary(spark, lineitem):
 @query("events", sql="""WITH u AS (SELECT DISTINCT user_id, event_type FROM events), d AS (SELECT user_id, CASE min(user_id % 4) WHEN 0 THEN 'storm_end' WHEN 1 THEN 'tracker_fail' WHEN 2 THEN 'max_lead_reached' ELSE 'missing_file' END AS why FROM events GROUP BY 1)
 SELECT user_id, event_type FROM u WHERE user_id NOT IN (SELECT user_id FROM d WHERE why IN ('storm_end', 'max_lead_reached'))""")
 def resume_anti(spark, events):
-    """[J20, J4]"""
+    """[J20]"""
     m = F.min(F.col("user_id") % 4)
     ends = events.groupBy("user_id").agg(F.when(m == 0, "storm_end").when(m == 1, "tracker_fail").when(m == 2, "max_lead_reached").otherwise("missing_file").alias("terminate_reason"))
     return C.unfinished(events.select("user_id", "event_type").distinct(), ends, ["user_id"])
@@ -112,7 +113,7 @@ def asof_nearest(spark, events):
 
 @query("lineitem", sql="""WITH w AS (SELECT m, l FROM (VALUES ('A'), ('N'), ('R'), ('Q')) a(m), (VALUES (1), (2), (3), (8), (9)) b(l)), f AS (SELECT l_returnflag AS m, l_linenumber AS l, round(avg(l_quantity), 4) AS value FROM lineitem GROUP BY ALL) SELECT m, l, coalesce(value, 0.0::DOUBLE) AS value FROM w LEFT JOIN f USING (m, l)""")
 def zero_fill(spark, lineitem):
-    """[S8, S9]"""
+    """[S8]"""
     w = spark.sql("SELECT m, l FROM VALUES ('A'), ('N'), ('R'), ('Q') AS a(m) CROSS JOIN VALUES (1), (2), (3), (8), (9) AS b(l)")
     f = lineitem.groupBy(F.col("l_returnflag").alias("m"), F.col("l_linenumber").alias("l")).agg(F.round(F.avg("l_quantity"), 4).alias("value"))
     return C.zero_filled(f, w, ["m", "l"])
@@ -121,7 +122,7 @@ def zero_fill(spark, lineitem):
 @query("lineitem", sql="""WITH a AS (SELECT DISTINCT l_linenumber*6 AS lead FROM lineitem WHERE l_returnflag = 'A'), w AS (SELECT unnest([6, 24, 999]) AS lead), w2 AS (SELECT unnest([500, 999]) AS lead)
 SELECT 'some' AS k, lead FROM a WHERE lead IN (FROM w) UNION ALL SELECT 'none', lead FROM a""")
 def common_leads(spark, lineitem):
-    """[U5, U6, U7, P6]"""
+    """[U5, U7]"""
     a = lineitem.where("l_returnflag = 'A'").select((F.col("l_linenumber") * 6).alias("lead")).distinct()
     w, w2 = (spark.sql(f"SELECT * FROM VALUES {v} AS t(lead)") for v in ("(6), (24), (999)", "(500), (999)"))
     return C.wanted_or_all(w, a, "lead").select(F.lit("some").alias("k"), "lead").unionByName(C.wanted_or_all(w2, a, "lead").select(F.lit("none").alias("k"), "lead"))
@@ -139,7 +140,7 @@ def replace_variables(spark, lineitem):
 SELECT p_partkey, name, lower(replace(name, '_', '')) AS key, CASE WHEN regexp_matches(name, '^[A-Za-z]+_?[0-9]{2,4}$') AND name <> 'u10' THEN lower(regexp_extract(name, '^([A-Za-z]+?)_?[0-9]+$', 1)) ELSE lower(name) END AS variable,
  CASE WHEN regexp_matches(name, '^[A-Za-z]+_?[0-9]{2,4}$') AND name <> 'u10' THEN regexp_extract(name, '([0-9]+)$', 1)::INT END AS level FROM c""")
 def channel_parsing(spark, part):
-    """[P1, P3, P4, P5, S12]"""
+    """[P1, P3]"""
     n = F.col("p_size") * 20
     name = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("z_"), n)).when(F.col("p_size") % 5 == 1, F.concat(F.lit("T"), n)).when(F.col("p_size") % 5 == 2, "t2m").when(F.col("p_size") % 5 == 3, F.concat(F.lit("geopotential_"), n)).otherwise("u10")
     x = part.select("p_partkey", name.alias("name"))
@@ -163,19 +164,19 @@ def unit_conversions(spark, customer):
     return rounded(customer.select("c_custkey", S.lon_360(x).alias("lon"), S.lon_180(x).alias("signed_lon"), S.metres_per_second(x).alias("ms"), S.hectopascal(x).alias("hpa"), S.rain_mm(x / 1000).alias("mm")))
 
 
-@query("lineitem", sql="""SELECT model, init, lead, v FROM (SELECT l_returnflag AS model, cast(l_shipdate AS date) AS init, l_linenumber*6 AS lead, max(l_partkey) AS v, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY cast(l_shipdate AS date)) AS r FROM lineitem WHERE l_linenumber IN (1, 4) AND cast(l_shipdate AS date) >= DATE '1994-03-01' GROUP BY 1, 2, 3) WHERE r <= 30""")
+@query("lineitem", sql="""SELECT model, init, lead, v FROM (SELECT l_returnflag AS model, cast(l_shipdate AS date) AS init, l_linenumber*6 AS lead, max(l_partkey) AS v, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY cast(l_shipdate AS date)) AS r FROM lineitem WHERE l_linenumber IN (1, 4) AND cast(l_shipdate AS date) >= DATE '1996-03-01' GROUP BY 1, 2, 3) WHERE r <= 30""")
 def lead_index(spark, lineitem):
-    """[S10, S11, T4, P9]"""
+    """[S11, T4]"""
     from veriskill.sources.readers import first_inits
 
-    x = lineitem.where(F.col("l_linenumber").isin(1, 4) & (F.col("l_shipdate") >= F.lit("1994-03-01").cast("timestamp_ntz")))
+    x = lineitem.where(F.col("l_linenumber").isin(1, 4) & (F.col("l_shipdate") >= F.lit("1996-03-01").cast("timestamp_ntz")))
     x = x.groupBy(F.col("l_returnflag").alias("model"), F.col("l_shipdate").cast("date").alias("init"), (F.col("l_linenumber") * 6).alias("lead")).agg(F.max("l_partkey").alias("v"))
     return first_inits(x, ["model"], "init", 30)
 
 
 @query("lineitem", sql="""SELECT l_returnflag AS model, cast(l_shipdate AS date) AS init, l_linenumber AS lead, arg_max(l_extendedprice, (l_orderkey, l_extendedprice)) AS v FROM lineitem GROUP BY ALL""")
 def metric_rows_keep_last(spark, lineitem):
-    """[S23, W12, K3]"""
+    """[W12]"""
     x = lineitem.select(F.col("l_returnflag").alias("model"), F.col("l_shipdate").cast("date").alias("init"), F.col("l_linenumber").alias("lead"), "l_orderkey", F.col("l_extendedprice").alias("v"))
     return keep_last(x, ["model", "init", "lead"], ["l_orderkey", "v"]).drop("l_orderkey")
 
@@ -195,3 +196,113 @@ def standardised_fields(spark, lineitem):
     s = lineitem.groupBy(F.col("l_linenumber").alias("variable")).agg(F.avg("l_extendedprice").alias("m"), F.stddev_samp("l_extendedprice").alias("sd"))
     x = lineitem.join(F.broadcast(s), F.col("l_linenumber") == F.col("variable")).withColumn("z", S.standardised(F.col("l_extendedprice"), F.col("m"), F.col("sd")))  # one row per variable
     return x.groupBy(F.col("l_returnflag").alias("model")).agg(F.round(F.avg(F.abs("z")), 4).alias("z"), F.round(F.avg(F.col("z") * F.col("sd") + F.col("m")), 2).alias("back"))
+
+
+_FIELDS = "f AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'z' WHEN 1 THEN 't' WHEN 2 THEN 'r' WHEN 3 THEN 't2m' ELSE 'ciwc' END AS variable, CASE WHEN p_size % 5 <> 3 THEN CASE p_partkey % 4 WHEN 0 THEN 500 WHEN 1 THEN 850 WHEN 2 THEN 990 ELSE 1000 END END AS level_hpa FROM part)"
+
+
+def part_fields(part):
+    names = F.array(*map(F.lit, ("z", "t", "r", "t2m", "ciwc")))
+    level = F.element_at(F.array(*map(F.lit, (500, 850, 990, 1000))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return part.select("p_partkey", F.element_at(names, (F.col("p_size") % 5 + 1).cast("int")).alias("variable"), F.when(F.col("p_size") % 5 != 3, level).alias("level_hpa"))
+
+
+@query("part", sql=f"WITH {_FIELDS}, c AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {k}, '{v}', {'NULL' if level is None else level})" for m in models.CHANNELS for k, (v, level) in enumerate(models.channel_list(m)))}) AS t(model, ord, variable, level_hpa)) SELECT p_partkey, model, ord, f.variable, f.level_hpa FROM f JOIN c ON f.variable = c.variable AND f.level_hpa IS NOT DISTINCT FROM c.level_hpa")
+def model_snapshots(spark, part):
+    """[S2, S3, X2] The fields that each model's channel list asks for, in its order."""
+    fields, sets = part_fields(part), models.channel_sets(spark)
+    each = [readers.snapshot(fields, sets.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in models.CHANNELS]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out.select("p_partkey", "model", "ord", "variable", "level_hpa")
+
+
+@query("part", sql=f"WITH {_FIELDS}, n AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in models.LONG_NAMES.items())}) AS t(variable, long_name)) SELECT p_partkey, variable, long_name, long_name || coalesce('_' || level_hpa, '') AS channel FROM f LEFT JOIN n USING (variable)")
+def long_names(spark, part):
+    """[P4]"""
+    x = part_fields(part).join(F.broadcast(models.names(spark)), "variable", "left")  # some twenty names
+    return x.select("p_partkey", "variable", "long_name", F.concat("long_name", F.coalesce(F.concat(F.lit("_"), F.col("level_hpa").cast("string")), F.lit(""))).alias("channel"))
+
+
+@query("part", sql="""WITH c AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'R500' WHEN 1 THEN 'q_850' WHEN 2 THEN 'TP6h' WHEN 3 THEN ' U10' WHEN 4 THEN 'Z_' || (p_size*20) ELSE 'Other' END AS name FROM part),
+e AS (SELECT *, CASE WHEN lower(trim(name)) IN ('tp', 'tp6h') THEN 'tp' WHEN lower(trim(name)) IN ('msl', 't2m', 'u10', 'v10') THEN lower(trim(name)) WHEN regexp_matches(trim(name), '^[a-zA-Z]+_?[0-9]{2,4}$') THEN lower(regexp_extract(trim(name), '^([a-zA-Z]+)_?([0-9]{2,4})$', 1)) || '_' || regexp_extract(trim(name), '^([a-zA-Z]+)_?([0-9]{2,4})$', 2) ELSE lower(trim(name)) END AS eval_name FROM c)
+SELECT p_partkey, name, eval_name, CASE WHEN name LIKE 'q\\_%' ESCAPE '\\' THEN 'r_' || substr(name, 3) ELSE name END AS saved FROM e WHERE eval_name NOT LIKE 'r\\_%' ESCAPE '\\'""")
+def scored_channels(spark, part):
+    """[P5]"""
+    n = F.col("p_size") % 6
+    name = F.when(n == 0, "R500").when(n == 1, "q_850").when(n == 2, "TP6h").when(n == 3, " U10").when(n == 4, F.concat(F.lit("Z_"), F.col("p_size") * 20)).otherwise("Other")
+    x = part.select("p_partkey", name.alias("name")).where(S.is_scored(F.col("name")))
+    return x.select("p_partkey", "name", S.eval_name(F.col("name")).alias("eval_name"), S.saved_name(F.col("name")).alias("saved"))
+
+
+@query("orders", sql="SELECT o_orderkey, o_orderkey % 50 AS lead FROM orders WHERE o_orderkey % 50 BETWEEN 6 AND 40 AND o_orderkey % 50 % 6 = 0")
+def lead_filter(spark, orders):
+    """[P6]"""
+    return C.lead_filter(orders.select("o_orderkey", (F.col("o_orderkey") % 50).alias("lead")), "lead", 40)
+
+
+@query("orders", sql="SELECT o_orderkey FROM orders WHERE cast(o_orderdate AS timestamp) + (o_orderkey % 24) * INTERVAL 1 HOUR BETWEEN TIMESTAMP '1996-03-01 00:00:00' AND TIMESTAMP '1996-05-31 18:00:00'")
+def init_window(spark, orders):
+    """[P9]"""
+    init = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return C.init_bounds(orders.select("o_orderkey", init.alias("init")), "init", "19960301", "19960531").select("o_orderkey")
+
+
+@query("part", sql="WITH l AS (SELECT p_partkey, p_size % 3 AS k, 500 + (p_partkey % 9 - 4)*2e-3 AS level_hpa FROM part) SELECT k, sum(p_partkey)::BIGINT AS keys, count(*) AS n, (SELECT bool_or(abs(m.level_hpa - 850) <= 1) FROM l m WHERE m.k = l.k) AS has_850 FROM l WHERE abs(level_hpa - 500) <= 1e-8 + 5e-3 GROUP BY k")
+def level_select(spark, part):
+    """[S12]"""
+    fields = part.select("p_partkey", (F.col("p_size") % 3).alias("k"), (500 + (F.col("p_partkey") % 9 - 4) * 2e-3).alias("level_hpa"))
+    there = readers.levels_present(fields, ["k"], 850.0).withColumnRenamed("has_level", "has_850")
+    return readers.at_level(fields, 500.0).groupBy("k").agg(F.sum("p_partkey").alias("keys"), F.count(F.lit(1)).alias("n")).join(there, "k")
+
+
+@query("part", sql="SELECT p_partkey, t AS input, round(p_retailprice, 4) AS value FROM part, (VALUES (0), (6)) AS v(t)")
+def static_inputs(spark, part):
+    """[S9] A static field at both input times."""
+    times = spark.sql("SELECT * FROM VALUES (0), (6) AS t(input)")
+    return C.repeated_over(part.select("p_partkey", F.round("p_retailprice", 4).alias("value")), times)
+
+
+@query("lineitem", sql="""WITH l AS (SELECT DISTINCT l_suppkey, l_linestatus, l_linenumber*6 AS lead FROM lineitem WHERE l_suppkey % 10 < 7), a AS (SELECT * FROM l WHERE l_linestatus = 'F'), b AS (SELECT * FROM l WHERE l_linestatus = 'O' AND lead > 36),
+x AS (SELECT DISTINCT lead FROM a), y AS (SELECT DISTINCT lead FROM b), z AS (SELECT DISTINCT lead FROM a WHERE lead < 30)
+SELECT 'common' AS k, lead FROM x WHERE lead IN (FROM y) UNION ALL SELECT 'either', lead FROM (FROM z UNION FROM y)""")
+def leads_common_or_either(spark, lineitem):
+    """[U6]"""
+    rows = lineitem.where("l_suppkey % 10 < 7").select("l_linestatus", (F.col("l_linenumber") * 6).alias("lead"))
+    a, b = rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O' AND lead > 36")
+    return C.common_or_union(a, b, "lead").select(F.lit("common").alias("k"), "lead").unionByName(C.common_or_union(a.where("lead < 30"), b, "lead").select(F.lit("either").alias("k"), "lead"))
+
+
+@query("orders", "lineitem", sql="""WITH r AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_quantity > 10 GROUP BY 1) SELECT o_orderkey, CASE WHEN n IS NULL THEN 'missing' WHEN n < 2 OR q > 150 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN n IS NULL THEN 'no result' WHEN n < 2 THEN 'few leads' WHEN q > 150 THEN 'out of range' END AS reason FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
+def unit_status(spark, orders, lineitem):
+    """[X5]"""
+    results = lineitem.where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    return C.status_rows(orders.select("o_orderkey"), results, ["o_orderkey"], [("few leads", F.col("n") < 2), ("out of range", F.col("q") > 150)])
+
+
+@query("customer", sql="""SELECT c_custkey, 720 - c_custkey % 721 AS flipped, (c_custkey % 1440 + 720) % 1440 AS rolled, round(CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal - 273.15 ELSE c_acctbal END, 4) AS celsius, round(CASE WHEN c_acctbal < 5000 THEN c_acctbal*100 ELSE c_acctbal END, 4) AS pascal, round(CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal ELSE c_acctbal*9.80665 END, 4) AS geopotential FROM customer""")
+def field_scalars(spark, customer):
+    """[P12, P13, P14, P16]"""
+    x, even = F.col("c_acctbal").cast("double"), F.col("c_nationkey") % 2 == 0
+    return rounded(customer.select(
+        "c_custkey", S.flipped(F.col("c_custkey") % 721).alias("flipped"), S.rolled(F.col("c_custkey") % 1440).alias("rolled"), S.celsius(x, F.when(even, "K").otherwise("degC")).alias("celsius"),
+        S.pascal(x, x).alias("pascal"), S.geopotential(x, F.when(even, "m2 s-2").otherwise("gpm")).alias("geopotential")))
+
+
+@query("orders", sql="""WITH k AS (SELECT o_orderkey, o_custkey::VARCHAR || '|' || strftime(cast(o_orderdate AS timestamp), '%Y-%m-%dT%H:%M:%S') || '|' || (o_orderkey % 40) AS eval_key FROM orders) SELECT o_orderkey, eval_key, split_part(eval_key, '|', 1) AS sid, epoch(cast(o_orderdate AS timestamp))::BIGINT AS at FROM k JOIN orders USING (o_orderkey)""")
+def keys_and_cases(spark, orders):
+    """[F12, F13]"""
+    init = F.col("o_orderdate").cast("timestamp")
+    x = orders.select("o_orderkey", S.eval_key(F.col("o_custkey").cast("string"), init, F.col("o_orderkey") % 40).alias("eval_key"), F.concat(F.col("o_custkey").cast("string"), F.lit("@"), F.date_format(init, "yyyy-MM-dd HH:mm:ss")).alias("case"))
+    sid, at = S.case_parts(F.col("case"))
+    return x.select("o_orderkey", "eval_key", sid.alias("sid"), F.unix_timestamp(at).alias("at"))
+
+
+@query("customer", sql="""SELECT c_custkey, least(greatest(ceil((9e1 - c_acctbal/60e0)/0.25e0 - 0.5e0), 0), 720)::INT AS lat_i, ((ceil((c_acctbal/7e0)/0.25e0 - 0.5e0)::INT % 1440) + 1440) % 1440 AS lon_i FROM customer""")
+def nearest_grid_points(spark, customer):
+    """[J25]"""
+    from veriskill.operators.grid import nearest_index
+
+    x = F.col("c_acctbal").cast("double")
+    return customer.select("c_custkey", nearest_index(x / 60, 721, 90.0, -0.25).alias("lat_i"), nearest_index(x / 7, 1440, 0.0, 0.25, periodic=True).alias("lon_i"))

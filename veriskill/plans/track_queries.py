@@ -69,7 +69,7 @@ def case_mean_error(spark, tracks):
 
 @query("fx_track", sql="SELECT sid, lead_h, round(avg(pred_lat) + 1e-7, 4) AS lat, round(avg(pred_lon) + 1e-7, 4) AS lon, count(*) AS n FROM fx_track WHERE model <> 'view' GROUP BY ALL")
 def ensemble_mean_track(spark, tracks):
-    """[A42, J28]"""
+    """[A42]"""
     members = tracks.select("sid", "lead_h", F.when(F.col("model") == "view", "best").otherwise(F.col("model")).alias("member"), F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
     return rounded(T.mean_track(members, ["sid", "lead_h"]), offset=1e-7)
 
@@ -92,7 +92,7 @@ def leads(tracks):
 @query("fx_track", sql=f"""WITH {_LEADS}, e AS (SELECT sid, model, min(lead_h) AS end_lead, arg_min(why, lead_h) AS reason FROM f WHERE why IS NOT NULL GROUP BY ALL), x AS (SELECT sid, model, max(lead_h) AS last FROM f GROUP BY ALL)
 SELECT f.sid, f.model, lead_h, round(km, 4) AS km, coalesce(reason, 'max_lead_reached') AS reason, coalesce(end_lead, last) AS end_lead FROM f JOIN x USING (sid, model) LEFT JOIN e USING (sid, model) WHERE end_lead IS NULL OR lead_h < end_lead""")
 def prefix_termination(spark, tracks):
-    """[W9, J3]"""
+    """[W9]"""
     x, failed, why = leads(tracks)
     return rounded(T.prefix_termination(x, ["sid", "model"], "lead_h", failed, why))
 
@@ -136,14 +136,14 @@ def proximity_filter(spark, tracks):
 
 @query("fx_track")
 def path_linking(spark, tracks):
-    """[J17, O8] Sequential by nature: tests compare it with a plain loop."""
+    """[J17] Sequential by nature: tests compare it with a plain loop."""
     points = tracks.select("sid", F.floor(F.col("lead_h") / 6).cast("int").alias("step"), F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
     return T.link_paths(points, ["sid"]).groupBy("sid", "path_id").agg(F.count(F.lit(1)).alias("points"), F.min("step").alias("first"), F.max("step").alias("last"))
 
 
 @query("fx_track")
 def storm_tracker(spark, tracks):
-    """[W6, W7, W8, W10] A pressure hollow for every best-track row of every storm, on a 1-degree grid around it.
+    """[W6, W7, W8] A pressure hollow for every best-track row of every storm, on a 1-degree grid around it.
 
     The rows of ``click`` are the best track: the k-th in time is step k, and gives the hollow its depth and wind. Its
     way from the mean position is made up, as the positions of the rows jump; it turns back at 75 degrees of latitude.
@@ -161,3 +161,26 @@ def storm_tracker(spark, tracks):
     d2 = F.pow(lat - F.col("eye_lat"), 2) + F.pow(lon - F.col("eye_lon"), 2)
     cells = grid.select("sid", (6 * F.col("k")).alias("lead_h"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), (101_000 - F.col("depth") * F.exp(-d2 / 8)).alias("msl"), (F.col("speed") * F.exp(-d2 / 20)).alias("u10"), F.lit(0.0).alias("v10"))
     return T.track_storms(cells, starts, by=["sid"], size=3)
+
+
+_BEST = "b AS (SELECT sid, lead_h, avg(true_lat) AS best_lat, avg(true_lon) AS best_lon FROM fx_track WHERE model = 'click' GROUP BY ALL)"
+
+
+def best_positions(tracks):
+    return tracks.where("model = 'click'").groupBy("sid", "lead_h").agg(F.avg("true_lat").alias("lat"), F.avg("true_lon").alias("lon"))
+
+
+@query("fx_track", sql=f"""WITH {_BEST}, m AS (SELECT sid, lead_h, avg(pred_lat) AS lat, avg(pred_lon) AS lon, count(*) AS n FROM fx_track WHERE model <> 'view' GROUP BY ALL)
+SELECT sid, lead_h, round(lat + 1e-7, 4) AS lat, round(lon + 1e-7, 4) AS lon, n, round(best_lat + 1e-7, 4) AS best_lat, round(best_lon + 1e-7, 4) AS best_lon FROM m LEFT JOIN b USING (sid, lead_h)""")
+def mean_track_and_best(spark, tracks):
+    """[J28]"""
+    members = tracks.select("sid", "lead_h", F.when(F.col("model") == "view", "best").otherwise(F.col("model")).alias("member"), F.col("pred_lat").alias("lat"), F.col("pred_lon").alias("lon"))
+    return rounded(T.with_best(T.mean_track(members, ["sid", "lead_h"]), best_positions(tracks), ["sid", "lead_h"]), offset=1e-7)
+
+
+@query("fx_track", sql=f"""WITH {_BEST}, p AS (SELECT event_id, sid, model, pred_lat, pred_lon, best_lat AS true_lat, best_lon AS true_lon FROM fx_track LEFT JOIN b USING (sid, lead_h) WHERE model <> 'click') SELECT event_id, sid, model, round({_KM}, 4) AS error_km FROM p""")
+def track_errors(spark, tracks):
+    """[J3] Forecast points against the best track of their time; without one the error is null."""
+    best = best_positions(tracks).select("sid", "lead_h", F.col("lat").alias("true_lat"), F.col("lon").alias("true_lon"))
+    points = tracks.where("model <> 'click'").drop("true_lat", "true_lon")
+    return rounded(T.track_errors(points, best, ["sid", "lead_h"]).select("event_id", "sid", "model", "error_km"))

@@ -15,19 +15,47 @@ from veriskill.functions import scalars as S
 from veriskill.operators.tracks import keep_last
 
 #: The columns of station files that are read.
-STATION_COLUMNS = ("DATE", "STATION", "ELEVATION", "LONGITUDE", "LATITUDE", "temperature", "dew_point_temperature", "station_level_pressure", "sea_level_pressure", "wind_direction", "wind_speed", "wind_gust", "precipitation", "relative_humidity", "wet_bulb_temperature", "visibility", "altimeter", "snow_depth")
+STATION_COLUMNS = (
+    "DATE", "STATION", "ELEVATION", "LONGITUDE", "LATITUDE", "temperature", "dew_point_temperature", "station_level_pressure", "sea_level_pressure", "wind_direction", "wind_speed", "wind_gust", "relative_humidity",
+    "precipitation_3_hour", "precipitation_6_hour", "precipitation_9_hour", "precipitation_12_hour", "precipitation_24_hour",
+)
+#: Name of daily climate files.
+CLIMATE_FILES = r"^era5\.2_metre_temperature\.(\d{8})\.nc$"
+#: Columns of raw track tables that reports read.
+TRACK_COLUMNS = {
+    "Storm_ID": "string", "Storm_Name": "string", "Init_Time": "string", "Valid_Time": "string", "Lead_Time": "int", "Pred_Lat": "double", "Pred_Lon": "double", "True_Lat": "double", "True_Lon": "double",
+    "Track_Error_km": "double", "Wind_Error": "double", "MSL_Error": "double", "Status": "string", "Eval_Key": "string",
+}
+#: Columns that a table of text lines may have.
+WIDEST = 200
+
+
+def named_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Lines of text tables with the columns of partition folders, ``row`` (a map by the names in the own file's header) and ``line`` (their order).
+
+    Files may differ in columns and in their order. A line equal to its header is none.
+    """
+    text = spark.read.text(path)
+    folders = [c for c in text.columns if c != "value"]
+    lines = text.select(*folders, "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("line"))
+    heads = lines.where("_block = 0").groupBy("_file").agg(F.min_by("value", "line").alias("_head"))
+    fields = lambda c: F.from_csv(c, F.lit(", ".join(f"c{k} string" for k in range(WIDEST))), {"sep": sep})
+    cells = lambda c: F.array(*(F.col(f"{c}.c{k}") for k in range(WIDEST)))
+    heads = heads.select("_file", "_head", fields("_head").alias("_h")).select("_file", "_head", F.filter(F.transform(cells("_h"), lambda x: F.trim(x)), lambda x: x.isNotNull()).alias("_names"))
+    both = lines.join(heads, "_file").where((F.col("value") != F.col("_head")) & (F.trim("value") != "")).withColumn("_c", fields("value"))
+    return both.select(*folders, F.map_from_arrays("_names", F.slice(cells("_c"), F.lit(1), F.size("_names"))).alias("row"), "line")
 
 
 def npy_fields(spark: SparkSession, path: str, dataset: str, flip: bool = False) -> DataFrame:
-    """[S1, S4] One row for each latitude row of a tree of ``.npy`` files ``.../<YYYY>/<YYYY-MM-DD>/<HH-MM-SS>-<variable>[-<level>].npy``.
+    """[S1, S4] One row for each latitude row of a tree of ``.npy`` files ``.../<YYYY>/<YYYY-MM-DD>/<HH:MM:SS>-<variable>[-<level>].npy``.
 
-    Anything but two dimensions fails on reading. NaN becomes null.
+    Times may be written with ``-`` too. A local folder is read without checksum files, whose names cannot hold a colon. Anything but two dimensions fails on reading. NaN becomes null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)\.npy$", 1)
     files = files.select(
         F.try_to_timestamp(F.concat_ws(" ", F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1), F.replace(F.substring(name, 1, 8), F.lit("-"), F.lit(":")))).alias("valid_time"),
-        F.regexp_extract(name, r"^\d{2}-\d{2}-\d{2}-([A-Za-z0-9]+?)(?:-[0-9.]+)?$", 1).alias("variable"), F.regexp_extract(name, r"-([0-9]+)(?:\.0)?$", 1).try_cast("int").alias("level_hpa"), "content")
+        F.regexp_extract(name, r"^\d{2}[-:]\d{2}[-:]\d{2}-([A-Za-z0-9_]+?)(?:-[0-9.]+)?$", 1).alias("variable"), F.regexp_extract(name, r"-[A-Za-z][A-Za-z0-9_]*-([0-9]+)(?:\.0)?$", 1).try_cast("int").alias("level_hpa"), "content")
     schema = "valid_time timestamp, variable string, level_hpa int, lat_i int, vals array<float>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,12 +115,12 @@ def storm_lookup(tracks: DataFrame, season: int, name: str, start: str, end: str
 
 
 def station_files(spark: SparkSession, path: str) -> DataFrame:
-    """[S17, P24] Pipe-separated station files: used columns, numbers coerced, sentinels null."""
-    raw = spark.read.csv(path, header=True, sep="|")
-    have = [c for c in STATION_COLUMNS if c in raw.columns]
-    number = lambda c: S.clean(F.trim(F.col(c)).try_cast("double"))
-    rows = raw.select(*((F.try_to_timestamp("DATE").alias("time") if c == "DATE" else F.trim(c).alias("station") if c == "STATION" else number(c).alias(c.lower())) for c in have))
-    return rows.withColumn("wind_direction", S.without(F.col("wind_direction"), 999.0)) if "wind_direction" in rows.columns else rows
+    """[S17, P24] Pipe-separated station files: used columns by name, null where a file lacks one, numbers coerced, sentinels null."""
+    raw = named_rows(spark, path, "|")
+    cell = lambda c: F.trim(F.try_element_at("row", F.lit(c)))
+    number = lambda c: S.clean(cell(c).try_cast("double"))
+    rows = raw.select(*((F.try_to_timestamp(cell(c)).alias("time") if c == "DATE" else cell(c).alias("station") if c == "STATION" else number(c).alias(c.lower())) for c in STATION_COLUMNS))
+    return rows.withColumn("wind_direction", S.without(F.col("wind_direction"), 999.0))
 
 
 def station_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -103,13 +131,23 @@ def station_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metric_tables(spark: SparkSession, path: str, keys: Sequence[str] = ("init_time", "lead_hours", "variable"), columns: Sequence[str] = ("valid_time", "wrmse", "bias", "mae", "activity", "acc")) -> DataFrame:
-    """[S23] Metric CSVs with missing columns added and only the last row of each key."""
-    raw = spark.read.option("header", True).csv(path).withColumn("_line", F.monotonically_increasing_id())
-    for c in (*keys, *columns):
-        if c not in raw.columns:
-            raw = raw.withColumn(c, F.lit(None).cast("string"))
-    out = raw.select(*(F.col(c) if c in ("init_time", "valid_time", "variable") else F.col(c).try_cast("int" if c == "lead_hours" else "double").alias(c) for c in (*keys, *columns)), "_line")
-    return keep_last(out, keys, ["_line"]).drop("_line")
+    """[S23] Metric CSVs by the names in each file's header, with missing columns null and only the last row of each key."""
+    raw = named_rows(spark, path)
+    cell = lambda c: (F.col(c).cast("string") if c in raw.columns else F.try_element_at("row", F.lit(c)))
+    kind = lambda c: "string" if c in ("init_time", "valid_time", "variable") else "int" if c == "lead_hours" else "double"
+    out = raw.select(*(cell(c).try_cast(kind(c)).alias(c) for c in (*keys, *columns)), "line")
+    return keep_last(out, keys, ["line"]).drop("line")
+
+
+def at_level(fields: DataFrame, hpa: float, level: str = "level_hpa") -> DataFrame:
+    """[S12] Fields on a pressure level, matched with a tolerance of 1e-5 of it."""
+    return fields.where(F.abs(F.col(level) - hpa) <= 1e-8 + 1e-5 * abs(hpa))
+
+
+def levels_present(fields: DataFrame, by: Sequence[str], hpa: float, level: str = "level_hpa") -> DataFrame:
+    """[S12] Whether each group has the pressure level."""
+    near = F.abs(F.col(level) - hpa) <= 1e-8 + 1e-5 * abs(hpa)
+    return fields.groupBy(*by).agg(F.coalesce(F.bool_or(near), F.lit(False)).alias("has_level"))
 
 
 def variables_of(fields: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -119,11 +157,19 @@ def variables_of(fields: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def track_tables(spark: SparkSession, path: str) -> DataFrame:
     """[S24, P29] Raw track CSVs under ``source=.../model=...``: numbers coerced, rows that are not ok or lack an error dropped."""
-    raw = spark.read.option("header", True).csv(path)
-    numbers = {"Lead_Time": "int", "Track_Error_km": "double", "Wind_Error": "double", "MSL_Error": "double"}
-    rows = raw.select(*(F.col(c).try_cast(numbers[c]).alias(c) if c in numbers else F.col(c) for c in raw.columns))
-    rows = rows.where(F.lower("Status") == "ok") if "Status" in raw.columns else rows
-    return rows.na.drop(subset=[c for c in ("Lead_Time", "Track_Error_km") if c in raw.columns])
+    raw = named_rows(spark, path)
+    folders = [c for c in raw.columns if c not in ("row", "line")]
+    cell = lambda c: F.try_element_at("row", F.lit(c))
+    rows = raw.where(F.lower(F.coalesce(cell("Status"), F.lit("ok"))) == "ok")
+    rows = rows.select(*folders, *(cell(c).try_cast(kind).alias(c) for c, kind in TRACK_COLUMNS.items()))
+    return rows.na.drop(subset=["Lead_Time", "Track_Error_km"])
+
+
+def dated_files(spark: SparkSession, path: str, start: str, end: str, pattern: str = CLIMATE_FILES) -> DataFrame:
+    """[S20] ``path, day`` of files whose name matches the pattern (one group of eight digits), in an inclusive range of days."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    day = F.to_date(F.nullif(F.regexp_extract(F.regexp_extract("path", r"([^/]+)$", 1), pattern, 1), F.lit("")), "yyyyMMdd")
+    return files.select("path", day.alias("day")).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def observations_at(obs: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ("station", "variable"), time: str = "valid_time") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def save_forecast(fields: DataFrame, var_dim: DataFrame, path: str, leads: tuple[int, int] | None = None, variables: Sequence[str] | None = None) -> None:
-    """[K1, K2] Fields with unit and long name, one partition for each model and initialisation; committed whole or not at all.
+    """[K1, K2] Fields with unit and long name, one partition for each model, initialisation, lead and member; a later save replaces only those it has.
 
     ``leads`` and ``variables`` limit what is saved. Rows are clustered by partition first, so that each writes few files.
     """
@@ -21,7 +21,8 @@ def save_forecast(fields: DataFrame, var_dim: DataFrame, path: str, leads: tuple
     if variables is not None:
         rows = rows.where(F.col("variable").isin(*variables))
     rows = rows.join(F.broadcast(var_dim), "variable", "left")  # a dictionary of some dozen variables
-    rows.repartition("model", "init_time", "lead_hours").sortWithinPartitions("variable", "level_hpa", "lat_i").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("model", "init_time").parquet(path)
+    parts = [c for c in ("model", "init_time", "lead_hours", "member") if c in rows.columns]
+    rows.repartition(*parts).sortWithinPartitions("variable", "level_hpa", "lat_i").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def save_by_init(metrics: DataFrame, path: str, fmt: str = "csv") -> None:

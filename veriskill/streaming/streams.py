@@ -24,10 +24,12 @@ def slot_stream(obs: DataFrame, by: Sequence[str], time: str, values: Sequence[s
     return out.select(*by, (F.col("window.start") + F.make_dt_interval(mins=F.lit(minutes))).alias("slot"), *values, "n_obs")
 
 
-def append_new(stream: DataFrame, target: str, keys: Sequence[str], checkpoint: str) -> DataStreamWriter:
+def append_new(stream: DataFrame, target: str, keys: Sequence[str], checkpoint: str, within: str | None = None) -> DataStreamWriter:
     """[R2, K3] A writer that appends the rows of each batch whose key the target lacks, the last of a batch's repeats.
 
-    A batch that is run again after a failure finds its rows there already. Its rows carry ``batch`` and partition by it.
+    A batch that is run again after a failure finds its rows there already. Its rows carry ``batch`` and partition by
+    it. ``within`` names a key column, such as the initialisation, by which the target is partitioned too: a batch then
+    reads only the partitions that its own rows belong to, not the whole target.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
@@ -35,28 +37,33 @@ def append_new(stream: DataFrame, target: str, keys: Sequence[str], checkpoint:
         new = keep_last(batch.withColumn("_line", F.monotonically_increasing_id()), keys, ["_line"]).drop("_line")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(target).where(F.col("batch") != number).select(*keys), list(keys), "left_anti")
-        new.withColumn("batch", F.lit(number)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch").parquet(target)
+            there = spark.read.parquet(target).where(F.col("batch") != number)
+            if within:  # partition values of one batch
+                there = there.where(F.col(within).isin([r[0] for r in batch.select(within).distinct().collect()]))
+            new = new.join(there.select(*keys), list(keys), "left_anti")
+        new.withColumn("batch", F.lit(number)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*([within] if within else []), "batch").parquet(target)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
 def path_stream(points: DataFrame, run: str, radius_km: float = 300.0, memory: int = 2) -> DataFrame:
-    """[R1, J17] ``run, step, lat, lon, path_id`` of arriving centres (``step, lat, lon``); the state holds each path's last point.
+    """[R1, J17] ``run, step, lat, lon, path_id`` of arriving centres (``step, lat, lon``); the state holds the last point of paths that can still be reached.
 
     Steps must arrive in order: a batch may hold several, but none older than one already seen, which is dropped.
     """
     kind = points.schema[run].dataType.simpleString()
 
     def link(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        paths = list(zip(*state.get, strict=True)) if state.exists else []
+        begun, seen, *columns = state.get if state.exists else (0, -(1 << 60), [], [], [], [])
+        paths = list(zip(*columns, strict=True))
         frame = pd.concat(list(frames), ignore_index=True).sort_values(["step", "lat", "lon"])
-        frame = frame[frame.step > max((p[0] for p in paths), default=-(1 << 60))].reset_index(drop=True)
+        frame = frame[frame.step > seen].reset_index(drop=True)
         ids = np.full(len(frame), -1)
         for now, rows in frame.groupby("step", sort=True).indices.items():
-            ids[rows] = step_paths(paths, int(now), frame.lat.to_numpy()[rows], frame.lon.to_numpy()[rows], radius_km, memory)
-        state.update(tuple(map(list, zip(*paths, strict=True))) if paths else ([], [], []))
+            ids[rows], begun = step_paths(paths, begun, int(now), frame.lat.to_numpy()[rows], frame.lon.to_numpy()[rows], radius_km, memory)
+            seen = int(now)
+        state.update((begun, seen, *(map(list, zip(*paths, strict=True)) if paths else ([], [], [], []))))
         yield frame.assign(path_id=ids, **{run: key[0]})[[run, "step", "lat", "lon", "path_id"]]
 
     rows = points.select(run, F.col("step").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"))
-    return rows.groupBy(run).applyInPandasWithState(link, f"`{run}` {kind}, step long, lat double, lon double, path_id long", "at array<long>, lat array<double>, lon array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(run).applyInPandasWithState(link, f"`{run}` {kind}, step long, lat double, lon double, path_id long", "begun long, seen long, id array<long>, at array<long>, lat array<double>, lon array<double>", "append", GroupStateTimeout.NoTimeout)
