@@ -32,6 +32,8 @@ FAN_IN = 64
 PAIRED = 16
 #: Hot shingles, 8 bytes each, are broadcast up to this number.
 HOT_BROADCAST = 1 << 20
+#: Members of candidate components, some 60 bytes each, likewise.
+MEMBER_BROADCAST = 1 << 18
 #: Rows before it that a row of a hot shingle is compared with first, and rows of a block in the comparison of all.
 LAGS, HOT_BLOCK = 8, 256
 #: Bits of a set's bitmap, each the parity of the shingles that fall on it.
@@ -221,10 +223,10 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
-def _small(df: DataFrame, label: str) -> DataFrame:
-    """A table of hot shingles, written and, up to the checked number of rows, broadcast."""
+def _small(df: DataFrame, label: str, most: int = HOT_BROADCAST) -> DataFrame:
+    """A table, written and, up to the checked number of rows, broadcast."""
     df = materialize(df, label)
-    return F.broadcast(df) if df.count() <= HOT_BROADCAST else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _pairs(groups: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -380,7 +382,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     sizes = member.groupBy("label").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
     blocks = F.ceil(F.col("_m") / block).cast("int")
     member = member.join(sizes, "label").select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), "copies", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
-    texts = rows.where(F.col("doc_id").isNotNull()).join(materialize(member, "shingle-members"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    texts = rows.where(F.col("doc_id").isNotNull()).join(_small(member, "shingle-members", MEMBER_BROADCAST), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("cls", "text", "copies", "label", "own", other)
     dealt = dealt.select("cls", "text", "copies", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
