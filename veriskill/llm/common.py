@@ -57,7 +57,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         _cleaning.add(root)
         atexit.register(_clean, spark, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._scratch_path = path
     return found

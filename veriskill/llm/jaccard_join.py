@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.window import Window
 
-from veriskill.llm.common import LOWER_TABLE, column, materialize, shuffle_partitions, table
+from veriskill.llm.common import LOWER_TABLE, column, discard, materialize, shuffle_partitions, table
 from veriskill.llm.components import connected_components
 
 WORDS, PERCENT = 3, 90
@@ -217,10 +217,13 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     bitmaps = groups.select("gid", "bitmap")
     firsts = rows.groupBy("gid").agg(F.min(F.struct("place", "token", "n")).alias("x")).select("gid", "x.*").join(bitmaps, "gid")
     close = firsts.repartitionByRange(shuffle_partitions(rows.sparkSession), "token", "n", "gid").sortWithinPartitions("token", "n", "gid").mapInArrow(_neighbours(percent), "a long, b long")
-    first = materialize(connected_components(edges.unionByName(close)), "near-groups")
+    first = connected_components(edges.unionByName(close))
     labelled = rows.join(first.withColumnRenamed("node", "gid"), "gid", "left").withColumn("label", F.coalesce("component", "gid")).drop("component")
-    more = _hot_edges(materialize(labelled, "labelled-rows"), bitmaps, percent)
-    return connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    labelled = materialize(labelled, "labelled-rows")
+    found = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_hot_edges(labelled, bitmaps, percent)))
+    for written in (rows, labelled, groups, edges):
+        discard(written)
+    return found
 
 
 def _small(df: DataFrame, label: str, most: int = HOT_BROADCAST) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import column, materialize, table
+from veriskill.llm.common import column, discard, materialize, table
 
 DEPTH, MIN_DOCS, MIN_CONSTANT = 3, 5, 0.6
 FIELD = "<*>"
@@ -53,6 +53,8 @@ def drop_templates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parsed = materialize(parsed.where(F.col("share") >= min_constant).select("leaf", "h", F.xxhash64("leaf", "t.token").alias("template")), "line-templates")
 
     found = materialize(lines.select("id", "doc", "pos", "leaf", "h").join(parsed, ["leaf", "h"]).select("id", "doc", "pos", "template"), "parsed-lines")
+    for written in (lines, leaves, distinct, support, parsed):
+        discard(written)
     recurring = materialize(found.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template"), "recurring-templates")
     dropped = found.join(recurring, "template", "left_semi").groupBy("id", "doc").agg(F.collect_set("pos").alias("_dropped"))
     dropped = dropped.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "_dropped")
