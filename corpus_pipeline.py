@@ -13,7 +13,7 @@ from veriskill.llm.decontaminate import remove_contamination
 from veriskill.llm.exact_dedup import keep_distinct
 from veriskill.llm.jaccard_join import keep_one_per_component
 from veriskill.llm.lang_id import keep_identified
-from veriskill.llm.piece_codec import PieceCodec, encode_pieces
+from veriskill.llm.piece_codec import PieceCodec, encode_pieces, model_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each component of documents that share nine tenths of their shingles."""
+    """Keep one row of each component of documents that share nine tenths of their shingles: the smallest id."""
     return keep_one_per_component(docs)
 
 
@@ -38,7 +38,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of each text under merge-dropout, with the check that they decode to it."""
-    return encode_pieces(docs, PieceCodec.load())
+    return encode_pieces(docs, PieceCodec.load(model_path(spark)))
 
 
 STAGES = [

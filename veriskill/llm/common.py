@@ -18,6 +18,8 @@ WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 o
 #: Lower-cases A-Z and keeps every other byte.
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Labels whose counts are broadcast.
+LABELS = 100_000
 _cleaning: set[str] = set()
 _own: dict[str, str] = {}
 
@@ -100,9 +102,10 @@ def hash_sample(rows: DataFrame, group: str, h: str, most: int) -> DataFrame:
 
     A hash limit from the group's count leaves about twice as many, so that no group is sorted whole.
     """
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_count"))
+    counts = materialize(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_count")), "label-counts")
+    counts = F.broadcast(counts) if counts.count() <= LABELS else counts
     part = F.pmod(F.xxhash64(h), F.lit(1 << 30)) * F.col("_count") < (most + 200) * 2.0 * (1 << 30)
-    few = rows.join(F.broadcast(counts), group).where(part).drop("_count")  # one row for each label
+    few = rows.join(counts, group).where(part).drop("_count")
     w = Window.partitionBy(group).orderBy(F.xxhash64(h), *(c for c in rows.columns if c != group))
     return few.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 

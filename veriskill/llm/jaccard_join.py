@@ -427,9 +427,11 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     verdict = materialize(several.groupBy("doc_id", "th").agg(F.first(F.col("best.doc_id") != F.col("doc_id")).alias("_later"), F.first(F.col("best.th") != F.col("th")).alias("_other"), F.count(F.lit(1)).alias("_n")), "near-copies")
     gone = verdict.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("_later") | F.col("_other")).alias("_gone"), (F.col("_n") > 1).alias("_many")).where("_gone or _many")
     rows = docs.select(F.struct("*").alias("_row"), column(id_col).alias("_id"), F.xxhash64(column(text_col)).alias("_th"))
-    gone, many = gone.where("_gone").drop("_gone", "_many"), gone.where("not _gone").drop("_gone", "_many")
+    few = lambda df: F.broadcast(df) if df.count() <= MEMBER_BROADCAST else df
+    gone, many = few(gone.where("_gone").drop("_gone", "_many")), gone.where("not _gone").drop("_gone", "_many")
     kept = rows.join(gone, ["_id", "_th"], "left_anti")
     if not many.isEmpty():
+        many = few(many)
         kept = kept.join(many, ["_id", "_th"], "left_anti").unionByName(kept.join(many, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]))
     return kept.select("_row.*")
 

@@ -71,7 +71,7 @@ def to_windows(raw: bytes, window: int) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[str], *, window: int = 192, dim: int = 8, per_width: int = 10, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCNN:
-    """Adam on cross entropy. Every text also appears cut short, so that short texts are learned too."""
+    """Adam on cross entropy. Of each text the first ``window`` bytes and one tail of random length are learned, so that short texts are known too."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
     wide, n = max(WIDTHS), per_width * len(WIDTHS)
