@@ -9,6 +9,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriskill.operators.events import tails
+
 
 def save_forecast(fields: DataFrame, var_dim: DataFrame, path: str, leads: tuple[int, int] | None = None, variables: Sequence[str] | None = None) -> None:
     """[K1, K2] Fields with unit and long name, one partition for each model, initialisation, lead and member; a later save replaces only those it has.
@@ -41,7 +43,7 @@ def save_bundle(points: DataFrame, tables: Mapping[str, Callable[[DataFrame], Da
 
 def save_baseline(baseline: DataFrame, path: str) -> None:
     """[K6] Long percentile rows (``p``) split into heat and cold."""
-    baseline.withColumn("tail", F.when(F.col("p") >= 50, "heat").otherwise("cold")).write.mode("overwrite").partitionBy("tail").parquet(path)
+    tails(baseline).write.mode("overwrite").partitionBy("tail").parquet(path)
 
 
 def save_cells(cells: DataFrame, path: str, tile: int = 16) -> None:
