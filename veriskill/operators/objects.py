@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veriskill.operators.events import greedy
+from veriskill.sources.scratch import written
 
 
 def row_runs(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -25,13 +25,13 @@ def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal:
     Rows are cut to runs, runs of neighbouring rows (and days) that overlap are joined on the row, and minimum labels
     travel along these edges, each round also jumping to the label's label, until no label changes. The label is the
     smallest (day,) row and column of the object, as a string that sorts likewise. ``checkpoint`` cuts lineage between
-    rounds; by default it is one in the shared folder.
+    rounds; by default a table in the shared folder does.
     """
     keys = [*by, *([day] if day else [])]
-    runs = row_runs(cells, keys)
-    name = F.concat_ws("-", *([F.lpad(F.col(day).cast("string"), 9, "0")] if day else []), F.lpad(F.col("lat_i").cast("string"), 5, "0"), F.lpad(F.col("a").cast("string"), 5, "0"))
-    keep = checkpoint or _kept
-    runs = keep(runs.withColumn("node", name))
+    keep = checkpoint or written
+    # A run's number holds day, row and first column in 16, 20 and 27 bits, so that numbers sort like labels.
+    code = F.shiftleft((F.col(day) if day else F.lit(0)).cast("long"), 47) + F.shiftleft(F.col("lat_i").cast("long"), 27) + F.col("a").cast("long")
+    runs = keep(row_runs(cells, keys).withColumn("node", code))
     reach = 1 if diagonal else 0
     other = runs.select(*by, *([F.col(day).alias("_day")] if day else []), F.col("lat_i").alias("_lat"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("node").alias("to"))
     steps = [(d, i) for d in ((-1, 0, 1) if day else (0,)) for i in (-1, 0, 1) if (d, i) != (0, 0)]
@@ -40,32 +40,24 @@ def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal:
     if day:
         moved = moved.withColumn("_day", F.col(day) + F.col("_s.d"))
     met = moved.join(other, [*by, *(["_day"] if day else []), "_lat"]).where((F.col("a") <= F.col("_b") + reach) & (F.col("_a") <= F.col("b") + reach))
-    edges = keep(met.select(*by, F.col("node"), "to").distinct())
-    labels = runs.select(*by, "node", F.col("node").alias("label"))
+    edges = keep(met.select(*by, "node", "to"))
+    labels = edges.groupBy(*by, "node").agg(F.least(F.col("node"), F.min("to")).alias("label"))  # runs that touch none keep their own
     changed = None
     while changed != 0:
         to = labels.select(*by, F.col("node").alias("to"), F.col("label").alias("_l"))
         least = edges.join(to, [*by, "to"]).groupBy(*by, "node").agg(F.min("_l").alias("_l"))
-        near = labels.join(least, [*by, "node"], "left").select(*by, "node", "label", F.least("label", "_l").alias("_m"))
+        near = labels.join(least, [*by, "node"]).select(*by, "node", "label", F.least("label", "_l").alias("_m"))
         jump = near.select(*by, F.col("node").alias("_m"), F.col("_m").alias("_j"))
-        new = keep(near.join(jump, [*by, "_m"], "left").select(*by, "node", F.col("label").alias("_old"), F.least("_m", "_j").alias("label")))
+        new = keep(near.join(jump, [*by, "_m"]).select(*by, "node", F.col("label").alias("_old"), F.least("_m", "_j").alias("label")))
         changed = new.where("label <> _old").count()
         labels = new.drop("_old")
-    found = runs.join(labels, [*by, "node"]).select(*keys, "lat_i", F.explode(F.sequence("a", "b")).alias("lon_i"), "label")
+    part = lambda shift, bits, width: F.lpad(F.shiftright("_label", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("string"), width, "0")
+    name = F.concat_ws("-", *([part(47, 16, 9)] if day else []), part(27, 20, 5), part(0, 27, 5))
+    named = runs.join(labels, [*by, "node"], "left").withColumn("_label", F.coalesce("label", "node"))
+    found = named.select(*keys, "lat_i", F.explode(F.sequence("a", "b")).alias("lon_i"), name.alias("label"))
     return cells.join(found, [*keys, "lat_i", "lon_i"])
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder ``spark.checkpoint.dir``; a local session without one gets a new folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def large_objects(labelled: DataFrame, by: Sequence[str], least: int) -> DataFrame:
     """[O4] Cells of objects with at least that many cells."""
     n = labelled.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
@@ -130,10 +122,10 @@ def tracked_objects(labelled: DataFrame, by: Sequence[str], day: str, min_overla
     node = lambda d, x: F.concat_ws("@", F.lpad((F.col(day) + d).cast("string"), 9, "0"), F.col(x))
     up = matches.select(*by, node(0, "label").alias("node"), node(-1, "prev").alias("root"))
     size = labelled.groupBy(*by, day, "label").agg(F.count(F.lit(1)).alias("area")).withColumn("node", node(0, "label"))
-    roots = _kept(size.select(*by, "node").join(up, [*by, "node"], "left").select(*by, "node", F.coalesce("root", "node").alias("root")))
+    roots = written(size.select(*by, "node").join(up, [*by, "node"], "left").select(*by, "node", F.coalesce("root", "node").alias("root")))
     while True:
         further = roots.select(*by, F.col("node").alias("root"), F.col("root").alias("_next"))
-        new = _kept(roots.join(further, [*by, "root"], "left").select(*by, "node", F.col("root").alias("_old"), F.coalesce("_next", "root").alias("root")))
+        new = written(roots.join(further, [*by, "root"], "left").select(*by, "node", F.col("root").alias("_old"), F.coalesce("_next", "root").alias("root")))
         moving = new.where("root <> _old").count()
         roots = new.drop("_old")
         if not moving:
