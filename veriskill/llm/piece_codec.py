@@ -25,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
@@ -34,7 +35,7 @@ from veriskill.llm.common import column, map_arrow, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r" *[^ ]+| +")
 #: Cached segments of one worker, and as many outcomes of dropout again.
-CACHE = 300_000
+CACHE = 120_000
 #: Longer segments run their agenda alone.
 SHORT = 24
 NEVER = 1 << 30
@@ -400,8 +401,7 @@ def encode_pieces(docs: DataFrame, codec: PieceCodec, *, id_col: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in _slices(whole):
                 texts = batch.column(1).to_pylist()
                 pieces = model.encode_all(list(zip(batch.column(0).to_pylist(), texts, strict=True)))
                 pieces = [None if t is None else p for t, p in zip(texts, pieces, strict=True)]
@@ -416,6 +416,19 @@ def encode_pieces(docs: DataFrame, codec: PieceCodec, *, id_col: str = "doc_id",
     return rows.mapInArrow(encode, schema)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 400, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with few rows and, but for a very long text, few bytes."""
+    length = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float))
+    start, held = 0, 0.0
+    for k, n in enumerate(length.tolist()):
+        if k > start and (k - start >= rows or held + n > size):
+            yield batch.slice(start, k - start)
+            start, held = k, 0.0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def decode_pieces(encoded: DataFrame, codec: PieceCodec, *, pieces_col: str = "pieces") -> DataFrame:
     """``encoded`` with the column ``text``; null pieces decode to null. An input column ``text`` is replaced."""
     encoded = encoded.drop("text")
