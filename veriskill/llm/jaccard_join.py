@@ -342,16 +342,17 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
     """The rows of each key, which come one after the other."""
     held, at_key = [], None
     for batch in batches:
+        if batch.num_rows == 0:
+            continue
         columns = [batch.column(k).to_numpy() for k in key]
-        turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
-        cuts = [0, *map(int, turns), batch.num_rows]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            k = tuple(c[start] for c in columns) if end else None
+            k = tuple(c[start] for c in columns)
             if held and k != at_key:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            if end > start:
-                held, at_key = [*held, batch.slice(start, end - start)], k
+            held.append(batch.slice(start, end - start))
+            at_key = k
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
