@@ -35,7 +35,7 @@ from veriskill.llm.common import column, map_arrow, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(r" *[^ ]+| +")
 #: Cached segments of one worker, and as many outcomes of dropout again.
-CACHE = 120_000
+CACHE = 50_000
 #: Longer segments run their agenda alone.
 SHORT = 24
 NEVER = 1 << 30
@@ -416,7 +416,7 @@ def encode_pieces(docs: DataFrame, codec: PieceCodec, *, id_col: str = "doc_id",
     return rows.mapInArrow(encode, schema)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 400, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 200, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with few rows and, but for a very long text, few bytes."""
     length = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float))
     start, held = 0, 0.0
