@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -112,3 +113,16 @@ def hash_sample(rows: DataFrame, group: str, h: str, most: int) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int, at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``rows`` rows and, but for a longer single text, ``size`` bytes of column ``at``."""
+    lengths = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
+    start = held = 0
+    for k, n in enumerate(lengths):
+        if k > start and (k - start >= rows or held + n > size):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
