@@ -232,8 +232,8 @@ def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as e from embeddings
-  where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
   from v as q join v as c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0
