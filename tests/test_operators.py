@@ -261,22 +261,6 @@ def test_observations_meet_forecasts_and_tails_split(spark):
     assert [(r.station, r.pred, r.obs) for r in readers.observations_at(obs, fc).collect()] == [("a", 2.0, 1.0)]
 
 
-def test_nearest_fill_matches_a_plain_loop(spark):
-    rng = np.random.default_rng(4)
-    v = np.where(rng.random((7, 9)) < 0.3, rng.random((7, 9)), np.nan)
-    cells = spark.createDataFrame([("m", i, j, None if np.isnan(v[i, j]) else float(v[i, j])) for i in range(7) for j in range(9)], "model string, lat_i int, lon_i int, value double")
-    got = {(r.lat_i, r.lon_i): r.value for r in grid.filled_with_nearest(cells, ["model"]).collect()}
-    for axis in (1, 0):
-        new = v.copy()
-        for i, j in np.argwhere(np.isnan(v)):
-            line = v[i] if axis else v[:, j]
-            have = np.flatnonzero(~np.isnan(line))
-            if len(have):
-                new[i, j] = line[min(have, key=lambda k: (abs(k - (j if axis else i)), k))]
-        v = new
-    assert all((np.isnan(v[k]) and got[k] is None) or got[k] == v[k] for k in got)
-
-
 def test_storm_tracker_follows_a_hollow(spark):
     from veriskill.plans.registry import queries
 

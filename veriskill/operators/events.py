@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from veriskill.functions import scalars as S
+from veriskill.operators.chunks import in_groups
+from veriskill.sources.scratch import written
 
 
 def daily_extremes(series: DataFrame, by: Sequence[str], time: str, value: str) -> DataFrame:
@@ -24,21 +28,104 @@ def lead_day_extremes(series: DataFrame, by: Sequence[str], init: str, valid: st
     return rows.groupBy(*by, "lead_day", F.col(valid).cast("date").alias("day")).agg(F.max(value).alias("tmax"), F.min(value).alias("tmin"))
 
 
+class SlidingRanks:
+    """Values of several cells in rising order, of which each cell holds some; any place among those held can be asked.
+
+    Marks of held values stand in blocks with counts, so that values come and go by their rank and a place is found by
+    the sums of the counts, then within one block. All cells move at once.
+    """
+
+    BLOCK = 64
+
+    def __init__(self, ordered: np.ndarray):
+        """``ordered``: a row of rising values for each cell, filled up with anything."""
+        cells, n = ordered.shape
+        self.values = ordered
+        self.held = np.zeros((cells, -(-n // self.BLOCK), self.BLOCK), np.int8)
+        self.counts = np.zeros(self.held.shape[:2], np.int64)
+        self.total = np.zeros(cells, np.int64)
+
+    def change(self, cells: np.ndarray, ranks: np.ndarray, by: int) -> None:
+        """Add (1) or drop (-1) values, each at most once."""
+        block = ranks // self.BLOCK
+        self.held[cells, block, ranks % self.BLOCK] += np.int8(by)
+        np.add.at(self.counts, (cells, block), by)
+        np.add.at(self.total, cells, by)
+
+    def at(self, cells: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The held value at ``place`` (from 0) of each of the cells."""
+        upto = np.cumsum(self.counts[cells], axis=1)
+        block = (upto <= place[:, None]).sum(1)
+        rows = np.arange(len(cells))
+        within = place - (upto[rows, block] - self.counts[cells, block])
+        rank = (np.cumsum(self.held[cells, block], axis=1) <= within[:, None]).sum(1)
+        return self.values[cells, block * self.BLOCK + rank]
+
+
+def _doy_quantiles(cell: np.ndarray, doy: np.ndarray, value: np.ndarray, asked: Sequence[float], half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell, day of year and quantiles (a column each) of all windows that hold a value. Cells are 0, 1, ..."""
+    order = np.lexsort([value, cell])
+    cell, doy, value = cell[order], doy[order], value[order]
+    rank = np.arange(len(cell)) - np.searchsorted(cell, cell)
+    cells = int(cell.max(initial=-1)) + 1
+    ordered = np.zeros((cells, -(-(int(rank.max(initial=0)) + 1) // SlidingRanks.BLOCK) * SlidingRanks.BLOCK))
+    ordered[cell, rank] = value
+    ranks = SlidingRanks(ordered)
+    days = np.argsort(doy, kind="stable")
+    ends = np.searchsorted(doy[days], np.arange(1, 368))
+    rows_of = lambda d: days[ends[(d - 1) % 366] : ends[(d - 1) % 366 + 1]]
+    near = min(half, 183)  # a window of a year and more holds every day once
+    held = {(1 + o - 1) % 366 for o in range(-near, near + 1)}
+    for d in held:
+        ranks.change(cell[rows_of(d + 1)], rank[rows_of(d + 1)], 1)
+    out = []
+    for d in range(1, 367):
+        some = np.flatnonzero(ranks.total)
+        place = np.outer(np.asarray(asked), ranks.total[some] - 1)
+        low = np.floor(place)
+        found = []
+        for p, lo in zip(place, low, strict=True):
+            a, b = ranks.at(some, lo.astype(np.int64)), ranks.at(some, np.ceil(p).astype(np.int64))
+            found.append(np.where(a == b, a, (np.ceil(p) - p) * a + (p - lo) * b))
+        out.append((some, np.full(len(some), d), np.stack(found, axis=1)))
+        if len(held) < 366:
+            for old, by in ((d - near, -1), (d + near + 1, 1)):
+                ranks.change(cell[rows_of(old)], rank[rows_of(old)], by)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def doy_percentile(daily: DataFrame, by: Sequence[str], value: str, percentages: Sequence[float], day: str = "day", window: int = 15) -> DataFrame:
     """[A28, W16] Linear-interpolated percentiles of all days within half a window of each day of year, wrapped at 366.
 
-    Equal values of a cell and day of year are counted before each is sent to the neighbouring days, and the percentile
-    takes the counts as frequencies.
+    One shuffle brings each value once to its cell. There all values are ranked, and as the window moves on, a day's
+    values enter and the oldest day's leave the held ranks. Missing values (null and NaN) don't count; a day of year
+    whose window is empty has no row.
     """
     if any(not 0 < p < 100 for p in percentages):
         raise ValueError("percentages must lie between 0 and 100")
     asked = list(dict.fromkeys(percentages))
-    half = window // 2
-    counted = daily.where(F.col(value).isNotNull()).groupBy(*by, F.dayofyear(day).alias("_doy"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    near = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda o: S.wrapped_doy(F.col("_doy") + o))
-    pooled = counted.select(*by, F.explode(F.array_distinct(near)).alias("doy"), "_v", "_n")
-    found = pooled.groupBy(*by, "doy").agg(F.percentile("_v", [p / 100 for p in asked], F.col("_n")).alias("_q"))
-    return found.select(*by, "doy", *(F.col("_q")[k].alias(f"p{p:g}".replace(".", "_")) for k, p in enumerate(asked)))
+    half, n_keys = window // 2, len(by)
+    rows = daily.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.dayofyear(day).cast("int").alias("_doy"), F.col(value).cast("double").alias("_v")).where(F.col("_doy").isNotNull())
+    schema = StructType([rows.schema[k] for k in by]).add("doy", "integer")
+    for p in asked:
+        schema = schema.add(f"p{p:g}".replace(".", "_"), "double")
+
+    def slide(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        cell = np.repeat(np.arange(len(starts)), np.diff([*starts, batch.num_rows]))
+        doy, v = (batch.column(n_keys + k).to_numpy(zero_copy_only=False) for k in range(2))
+        parts, sizes = [], np.ceil(np.log2(np.bincount(cell))).astype(int)
+        for size in np.unique(sizes):  # cells of like size, as they lie in one array
+            own = np.flatnonzero(sizes == size)
+            number = np.full(len(starts), -1)
+            number[own] = np.arange(len(own))
+            rows = number[cell] >= 0
+            at, days, found = _doy_quantiles(number[cell[rows]], doy[rows], v[rows], [p / 100 for p in asked], half)
+            parts.append((own[at], days, found))
+        at, days, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys = batch.take(pa.array(starts[at])).columns[:n_keys]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(days, pa.int32()), *map(pa.array, found.T)], schema.names)
+
+    return in_groups(rows, by, slide, schema, least=200_000)
 
 
 def tails(baseline: DataFrame, p: str = "p") -> DataFrame:
@@ -104,22 +191,27 @@ def match_events(pred: DataFrame, truth: DataFrame, by: Sequence[str], min_iou:
 
 
 def greedy(pairs: DataFrame, by: Sequence[str], left: Sequence[str], right: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """[J15, J16] Each group's pairs in order, both sides used once. One group (a cell or a day) goes to one task."""
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([c for c, _ in order], ascending=[a for _, a in order])
-        used: tuple[set, set] = (set(), set())
-        keep = []
-        for row in group.to_dict("records"):
-            keys = tuple(tuple(row[c] for c in side) for side in (left, right))
-            ok = keys[0] not in used[0] and keys[1] not in used[1]
-            keep.append(ok)
-            if ok:
-                used[0].add(keys[0])
-                used[1].add(keys[1])
-        return group[keep]
-
-    return pairs.groupBy(*by).applyInPandas(take, pairs.schema)
+    """[J15, J16] Each group's pairs in order, both sides used once, in rounds of locally dominant pairs.
+
+    A pair that comes first among those of its left side and among those of its right side is final, as nothing before
+    it can take either; pairs that share a side with it go. Rounds follow until no pair is left, so that groups of any
+    size are shared out by their sides. Equal pairs are taken by their sides' values, one of repeated pairs stays. Each
+    round writes a table of what is left, about a half or less of the one before; only a chain of pairs that share sides
+    in falling order takes a round for each.
+    """
+    sides = [F.col(c).asc() for c in dict.fromkeys([*left, *right]) if c not in dict(order)]
+    ranked = [*(F.col(c).asc() if up else F.col(c).desc() for c, up in order), *sides]
+    of_left, of_right = Window.partitionBy(*by, *left), Window.partitionBy(*by, *right)
+    rest, done, names = pairs, None, pairs.columns
+    while True:
+        first = rest.withColumn("_l", F.row_number().over(of_left.orderBy(*ranked))).withColumn("_final", (F.row_number().over(of_right.orderBy(*ranked)) == 1) & (F.col("_l") == 1))
+        gone = first.withColumn("_taken", F.max("_final").over(of_right)).withColumn("_taken", F.col("_taken") | F.max("_final").over(of_left))
+        now = written(gone.where(F.col("_final") | ~F.col("_taken")).select(*names, "_final"))
+        final = now.where("_final").select(*names)
+        done = final if done is None else done.unionByName(final)
+        if now.where("NOT _final").isEmpty():
+            return done
+        rest = now.where("NOT _final").select(*names)
 
 
 def event_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame, by: Sequence[str]) -> DataFrame:

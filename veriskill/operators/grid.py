@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from veriskill.functions import metrics as M
+from veriskill.operators.chunks import in_groups
 
 PI = 3.141592653589793
 
@@ -142,18 +147,83 @@ def nearest_index(x: Column, n: int, start: float, step: float, periodic: bool =
     return F.pmod(at, F.lit(n)) if periodic else F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
 
 
-def filled_with_nearest(cells: DataFrame, field: Sequence[str], value: str = "value") -> DataFrame:
-    """[J25] Missing cells take the value of the nearest valid cell of their row, the western one on ties, or else of their column."""
-
-    def fill(df: DataFrame, across: str, along: str) -> DataFrame:
-        w = Window.partitionBy(*field, across).orderBy(along)
-        seen = F.when(F.col(value).isNotNull(), F.struct(F.col(along).alias("at"), F.col(value).alias("v")))
-        before, after = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        df = df.select("*", before.alias("_b"), after.alias("_a"))
-        left = F.col("_a").isNull() | (F.col(along) - F.col("_b.at") <= F.col("_a.at") - F.col(along))
-        return df.withColumn(value, F.when(F.col("_b").isNotNull() & left, F.col("_b.v")).otherwise(F.col("_a.v"))).drop("_a", "_b")
-
-    return fill(fill(cells, "lat_i", "lon_i"), "lon_i", "lat_i")
+#: Columns of the stripes that are filled together.
+STRIPE = 64
+
+
+def _fill_stripe(i: np.ndarray, j: np.ndarray, lat: np.ndarray, gap: np.ndarray, off: np.ndarray, v: np.ndarray, step: float) -> np.ndarray:
+    """Values of the gaps of one stripe: rings of rows, nearest first, until no further row can be nearer."""
+    rows, r = np.unique(i, return_inverse=True)
+    cols, c = np.unique(j, return_inverse=True)
+    lats, dense = np.zeros(len(rows)), np.full((2, len(rows), len(cols)), np.nan)
+    lats[r], dense[:, r, c] = np.radians(lat), (np.radians(off * step), v)
+    r, c = r[gap], c[gap]
+    best, row, value = np.full(len(r), np.inf), np.zeros(len(r), np.int64), np.full(len(r), np.nan)
+    active = np.arange(len(r))
+    for k in range(len(rows)):
+        bound = np.full(len(active), np.inf)
+        for side in (r[active] - k, r[active] + k):
+            inside = (side >= 0) & (side < len(rows))
+            mine, other = active[inside], side[inside]
+            here = lats[r[mine]]
+            lift = np.sin((here - lats[other]) / 2) ** 2
+            bound[inside] = np.minimum(bound[inside], lift)
+            d, x = dense[:, other, c[mine]]
+            h = np.round(lift + np.cos(here) * np.cos(lats[other]) * np.sin(d / 2) ** 2, 12)
+            first = (h < best[mine]) | ((h == best[mine]) & (other < row[mine]))
+            mine = mine[first]
+            best[mine], row[mine], value[mine] = h[first], other[first], x[first]
+        active = active[bound <= best[active] + 1e-11]  # rows further off are at least as far as these
+        if not len(active):
+            break
+    out = v.copy()
+    out[gap] = value
+    return out
+
+
+def filled_with_nearest(cells: DataFrame, field: Sequence[str], value: str = "value", lat: str = "lat", width: int | None = 1440, step: float | None = None) -> DataFrame:
+    """[J25] Missing cells take the value of the valid cell that is nearest on the sphere.
+
+    ``width`` columns go round the globe; None stands for a region whose columns are ``step`` degrees apart. ``lat`` must
+    rise or fall with ``lat_i``. Of equally near cells (squared half chords, rounded to 12 digits) the one of the smaller
+    row counts, in it the one fewer columns away, then the smaller column. Whole-row windows find each cell's nearest valid column in its own row, round
+    the globe; as along a row distance grows with the columns between, these alone can be nearest. One shuffle to stripes
+    of columns then compares the rows of a stripe in Arrow, ring by ring outwards from each missing cell, until the rows
+    alone are further than the best. Fields without any valid cell stay missing. Other columns are kept.
+    """
+    degrees = 360.0 / width if width else step
+    if not degrees:
+        raise ValueError("a region needs the step of its columns")
+    row = Window.partitionBy(*field, "lat_i")
+    w = row.orderBy("lon_i")
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col("lon_i").cast("long").alias("at"), F.col(value).cast("double").alias("v")))
+    west, east = F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    if width:
+        moved = lambda x, d: F.struct((x["at"] + d).alias("at"), x["v"].alias("v"))
+        last, first = F.max(seen).over(row), F.min(seen).over(row)
+        west, east = F.coalesce(west, F.when(last.isNotNull(), moved(last, -width))), F.coalesce(east, F.when(first.isNotNull(), moved(first, width)))
+    rows = cells.withColumn("_w", west).withColumn("_e", east)
+    real = lambda x: F.pmod(x, F.lit(width)) if width else x
+    to_west, to_east = F.col("lon_i") - F.col("_w.at"), F.col("_e.at") - F.col("lon_i")
+    nearer = (to_west < to_east) | ((to_west == to_east) & (real(F.col("_w.at")) <= real(F.col("_e.at"))))
+    use_west = F.col("_e").isNull() | F.coalesce(nearer, F.lit(False))
+    pick = lambda a, b: F.when(use_west, a).otherwise(b).cast("double")
+    rows = rows.select(*cells.columns, F.floor(F.col("lon_i") / STRIPE).alias("_stripe"), pick(to_west, to_east).alias("_off"), pick(F.col("_w.v"), F.col("_e.v")).alias("_near"))
+    names = cells.columns
+    schema = StructType([StructField(f.name, DoubleType() if f.name == value else f.dataType) for f in cells.schema])
+
+    def fill(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("lat_i", "lon_i", lat, "_off", "_near")}
+        gap = batch.column(value).is_null().to_numpy(zero_copy_only=False)
+        out = np.empty(batch.num_rows)
+        for a, b in itertools.pairwise([*starts, batch.num_rows]):
+            i, j, y, off, v = (columns[n][a:b] for n in columns)
+            out[a:b] = _fill_stripe(i, j, y, gap[a:b], off, v, degrees) if gap[a:b].any() else v
+        own = batch.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        out = pa.array(np.where(gap, out, own), mask=gap & np.isnan(out))
+        return pa.RecordBatch.from_arrays([out if n == value else batch.column(n) for n in names], names)
+
+    return in_groups(rows, [*field, "_stripe"], fill, schema)
 
 
 def smooth(cells: DataFrame, field: Sequence[str], value: str = "value", reach: int = 4, sigma: float = 1.0) -> DataFrame:

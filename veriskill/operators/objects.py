@@ -2,60 +2,123 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from veriskill.operators.chunks import in_groups
+from veriskill.operators.components import connected, least_reached
 from veriskill.operators.events import greedy
-from veriskill.sources.scratch import written
-
-
-def row_runs(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cells (``lat_i, lon_i``) of each row as runs of adjacent columns ``a..b``."""
-    w = Window.partitionBy(*by, "lat_i").orderBy("lon_i")
-    runs = cells.select(*by, "lat_i", "lon_i", (F.col("lon_i") - F.row_number().over(w)).alias("_g")).groupBy(*by, "lat_i", "_g").agg(F.min("lon_i").alias("a"), F.max("lon_i").alias("b"))
-    return runs.drop("_g")
-
-
-def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal: bool = True, checkpoint=None) -> DataFrame:
-    """[O1, O2] Cells with ``label``: 4- or 8-connected within each group, or 26-connected over ``day`` too (an integer).
-
-    Rows are cut to runs, runs of neighbouring rows (and days) that overlap are joined on the row, and minimum labels
-    travel along these edges, each round also jumping to the label's label, until no label changes. The label is the
-    smallest (day,) row and column of the object, as a string that sorts likewise. ``checkpoint`` cuts lineage between
-    rounds; by default a table in the shared folder does.
+from veriskill.sources.scratch import freed, written
+
+
+#: Days, rows and columns of a tile, with a day axis and without.
+TILES = {True: (16, 32, 64), False: (1, 128, 128)}
+
+
+def _steps(reach: tuple[int, int, int], corners: bool) -> list[tuple[int, int, int]]:
+    """Half of the neighbours of a cell; the others are the other way round."""
+    each = itertools.product(*(range(-r, r + 1) for r in reach))
+    return [s for s in each if s > (0, 0, 0) and (corners or sum(map(abs, s)) == 1)]
+
+
+def _label_tiles(batch: pa.RecordBatch, starts: np.ndarray, n_keys: int, size: tuple[int, int, int], steps: Sequence[tuple[int, int, int]]) -> pa.RecordBatch:
+    """Cells of whole tiles with the number of their component and its first cell. Columns: keys, tile, day, row, column."""
+    at = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_keys + 3, n_keys + 6)]
+    tile = np.repeat(np.arange(len(starts)), np.diff([*starts, batch.num_rows]))
+    code = tile
+    for x, n in zip(at, size, strict=True):
+        code = code * (n + 2) + (x % n + 1)  # a margin, so that no step leads into another row
+    code, cells = np.unique(code, return_index=True)
+    ends = []
+    for step in steps:
+        move = 0
+        for d, n in zip(step, size, strict=True):
+            move = move * (n + 2) + d
+        other = np.searchsorted(code, code + move)
+        other[other == len(code)] = 0
+        hit = np.flatnonzero(code[other] == code + move)
+        ends.append((hit, other[hit]))
+    first = least_reached(len(code), *(np.concatenate(x) for x in zip(*ends, strict=True)))
+    number = (TaskContext.get().partitionId() << 40) + _numbers(len(code)) + first
+    kept = batch.take(pa.array(cells)).columns
+    return pa.RecordBatch.from_arrays([*kept[:n_keys], *kept[n_keys + 3 :], pa.array(number), *(pa.array(x[cells[first]]) for x in at)], [*batch.schema.names[:n_keys], "_d", "_r", "_c", "_comp", "_d0", "_i0", "_j0"])
+
+
+_used: dict[int, int] = {}
+
+
+def _numbers(n: int) -> int:
+    """The first of ``n`` numbers that this task has not given yet."""
+    task = TaskContext.get().taskAttemptId()
+    for other in [t for t in _used if t != task]:
+        del _used[other]
+    begun = _used.get(task, 0)
+    _used[task] = begun + n
+    return begun
+
+
+def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal: bool = True) -> DataFrame:
+    """[O1, O2] Cells with ``label``: 4- or 8-connected within each group, or 6- or 26-connected over ``day`` too (an integer).
+
+    Two levels: tiles of days, rows and columns are labelled inside, many at a time in Arrow tasks, after one shuffle of
+    the cells. Components that touch across tile faces are the nodes of a far smaller graph, whose components are
+    contracted. The label is the object's smallest (day,) row and column, padded with zeros; any whole numbers do. Labels
+    of parts up to nine (five) digits that are not negative sort like their numbers. A cell with null in a key or an
+    index has no label and is left out; repeated cells stay.
     """
-    keys = [*by, *([day] if day else [])]
-    keep = checkpoint or written
-    # A run's number holds day, row and first column in 16, 20 and 27 bits, so that numbers sort like labels.
-    code = F.shiftleft((F.col(day) if day else F.lit(0)).cast("long"), 47) + F.shiftleft(F.col("lat_i").cast("long"), 27) + F.col("a").cast("long")
-    runs = keep(row_runs(cells, keys).withColumn("node", code))
-    reach = 1 if diagonal else 0
-    other = runs.select(*by, *([F.col(day).alias("_day")] if day else []), F.col("lat_i").alias("_lat"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("node").alias("to"))
-    steps = [(d, i) for d in ((-1, 0, 1) if day else (0,)) for i in (-1, 0, 1) if (d, i) != (0, 0)]
-    offsets = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i")) for d, i in steps)))
-    moved = runs.withColumn("_s", offsets).withColumn("_lat", F.col("lat_i") + F.col("_s.i"))
-    if day:
-        moved = moved.withColumn("_day", F.col(day) + F.col("_s.d"))
-    met = moved.join(other, [*by, *(["_day"] if day else []), "_lat"]).where((F.col("a") <= F.col("_b") + reach) & (F.col("_a") <= F.col("b") + reach))
-    edges = keep(met.select(*by, "node", "to"))
-    labels = edges.groupBy(*by, "node").agg(F.least(F.col("node"), F.min("to")).alias("label"))  # runs that touch none keep their own
-    changed = None
-    while changed != 0:
-        to = labels.select(*by, F.col("node").alias("to"), F.col("label").alias("_l"))
-        least = edges.join(to, [*by, "to"]).groupBy(*by, "node").agg(F.min("_l").alias("_l"))
-        near = labels.join(least, [*by, "node"]).select(*by, "node", "label", F.least("label", "_l").alias("_m"))
-        jump = near.select(*by, F.col("node").alias("_m"), F.col("_m").alias("_j"))
-        new = keep(near.join(jump, [*by, "_m"]).select(*by, "node", F.col("label").alias("_old"), F.least("_m", "_j").alias("label")))
-        changed = new.where("label <> _old").count()
-        labels = new.drop("_old")
-    part = lambda shift, bits, width: F.lpad(F.shiftright("_label", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("string"), width, "0")
-    name = F.concat_ws("-", *([part(47, 16, 9)] if day else []), part(27, 20, 5), part(0, 27, 5))
-    named = runs.join(labels, [*by, "node"], "left").withColumn("_label", F.coalesce("label", "node"))
-    found = named.select(*keys, "lat_i", F.explode(F.sequence("a", "b")).alias("lon_i"), name.alias("label"))
-    return cells.join(found, [*keys, "lat_i", "lon_i"])
+    size, where = TILES[day is not None], [day or "_no_day", "lat_i", "lon_i"]
+    rows = cells if day else cells.withColumn("_no_day", F.lit(0))
+    rows = rows.select(*by, *(F.col(c).cast("long").alias(n) for c, n in zip(where, ("_d", "_r", "_c"), strict=True))).dropna()
+    tile = [F.expr(f"(`{c}` - pmod(`{c}`, {n})) div {n}").alias(f"_t{k}") for k, (c, n) in enumerate(zip(("_d", "_r", "_c"), size, strict=True))]
+    rows = rows.select(*by, *tile, "_d", "_r", "_c")
+    steps, n_keys = _steps((1 if day else 0, 1, 1), diagonal), len(by)
+    schema = StructType([rows.schema[k] for k in by])
+    for name in ("_d", "_r", "_c", "_comp", "_d0", "_i0", "_j0"):
+        schema = schema.add(name, "long")
+    known = written(in_groups(rows, [*by, "_t0", "_t1", "_t2"], lambda b, s: _label_tiles(b, s, n_keys, size, steps), schema))
+    edges = written(_across(known, by, size, steps))
+    joined = connected(edges)
+    first = F.struct("_d0", "_i0", "_j0")
+    # each component's smallest cell, over those that touch another tile's
+    touched = known.join(edges.select(F.explode(F.array("a", "b")).alias("_comp")).distinct(), "_comp", "left_semi").groupBy("_comp").agg(F.min(first).alias("first"))
+    touched = touched.join(joined.withColumnRenamed("node", "_comp"), "_comp", "left").withColumn("component", F.coalesce("component", "_comp"))
+    least = touched.groupBy("component").agg(F.min("first").alias("least"))
+    moved = written(touched.join(least, "component").select("_comp", "least"))
+    freed(edges, None)
+    freed(joined, None)
+    name = lambda k, width: F.format_string(f"%0{width}d", F.coalesce(F.col("least")[k], F.col(k)))
+    text = F.concat_ws("-", *([name("_d0", 9)] if day else []), name("_i0", 5), name("_j0", 5))
+    found = known.join(moved, "_comp", "left").select(*by, *([F.col("_d").alias(day)] if day else []), F.col("_r").alias("lat_i"), F.col("_c").alias("lon_i"), text.alias("label"))
+    return cells.join(found, [*by, *([day] if day else []), "lat_i", "lon_i"])
+
+
+def _across(known: DataFrame, by: Sequence[str], size: tuple[int, int, int], steps: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """Pairs of components whose cells are neighbours in different tiles."""
+    axes = ("_d", "_r", "_c")
+
+    def leaves(step: tuple[int, int, int]) -> Column:
+        out = F.lit(False)
+        for c, d, n in zip(axes, step, size, strict=True):
+            if d:
+                out = out | (F.pmod(F.col(c), F.lit(n)) == (n - 1 if d > 0 else 0))
+        return out
+
+    def to(step: tuple[int, int, int]) -> Column:
+        return F.struct(*((F.col(c) + d).alias(c) for c, d in zip(axes, step, strict=True)))
+
+    gone = known.select(*by, F.col("_comp").alias("a"), F.explode(F.filter(F.array(*(F.when(leaves(s), to(s)) for s in steps)), lambda x: x.isNotNull())).alias("to")).select(*by, "a", "to.*")
+    met = F.lit(False)  # cells that a step of another tile can reach
+    for c, n in zip(axes, size, strict=True):
+        met = met | (F.pmod(F.col(c), F.lit(n)).isin([0, n - 1]) if n > 1 else F.lit(False))
+    return gone.join(known.where(met).select(*by, *axes, F.col("_comp").alias("b")), [*by, *axes]).select("a", "b").where("a <> b").distinct()
 
 
 def large_objects(labelled: DataFrame, by: Sequence[str], least: int) -> DataFrame:
@@ -127,7 +190,8 @@ def tracked_objects(labelled: DataFrame, by: Sequence[str], day: str, min_overla
         further = roots.select(*by, F.col("node").alias("root"), F.col("root").alias("_next"))
         new = written(roots.join(further, [*by, "root"], "left").select(*by, "node", F.col("root").alias("_old"), F.coalesce("_next", "root").alias("root")))
         moving = new.where("root <> _old").count()
-        roots = new.drop("_old")
+        roots = freed(roots, new.drop("_old"))
+        roots._written_to = new._written_to
         if not moving:
             break
     out = size.join(roots, [*by, "node"]).groupBy(*by, "root").agg(F.min(day).alias("start_day"), F.max(day).alias("end_day"), F.count(F.lit(1)).alias("days"), F.avg("area").alias("mean_area"), F.max("area").alias("max_area"))

@@ -221,14 +221,13 @@ def geopotential_error(spark, cells):
     return rounded(G.scores(weighted(cells), ["model", "lead_h"], ["wrmse_height"]))
 
 
-@query("fx_grid", sql="""WITH v AS (SELECT model, lat_i, lon_i, CASE WHEN value > 30000 THEN value END AS v FROM fx_grid),
-a AS (SELECT t.model, t.lat_i, t.lon_i, (SELECT arg_min(s.v, (abs(s.lon_i - t.lon_i), s.lon_i)) FROM v s WHERE s.model = t.model AND s.lat_i = t.lat_i AND s.v IS NOT NULL) AS v FROM v t),
-b AS (SELECT t.model, t.lat_i, t.lon_i, coalesce(t.v, (SELECT arg_min(s.v, (abs(s.lat_i - t.lat_i), s.lat_i)) FROM a s WHERE s.model = t.model AND s.lon_i = t.lon_i AND s.v IS NOT NULL)) AS v FROM a t)
-SELECT model, lat_i, lon_i, round(v + 1e-7, 4) AS value FROM b""")
+@query("fx_grid", sql="""WITH v AS (SELECT model, lat_i, lon_i, radians(80.5::DOUBLE - 7*lat_i) AS y, CASE WHEN value > 30000 THEN value END AS v FROM fx_grid), s AS (SELECT * FROM v WHERE v IS NOT NULL),
+n AS (SELECT t.model, t.lat_i, t.lon_i, arg_min(s.v, (round(pow(sin((t.y - s.y)/2), 2) + cos(t.y)*cos(s.y)*pow(sin(radians(abs(t.lon_i - s.lon_i)*1e1)/2), 2), 12), s.lat_i, least(abs(t.lon_i - s.lon_i), 36 - abs(t.lon_i - s.lon_i)), s.lon_i)) AS v FROM v t JOIN s USING (model) WHERE t.v IS NULL GROUP BY ALL)
+SELECT v.model, v.lat_i, v.lon_i, round(coalesce(v.v, n.v) + 1e-7, 4) AS value FROM v LEFT JOIN n USING (model, lat_i, lon_i)""")
 def nearest_fill(spark, grid):
-    """[J25] Cells of low value count as missing and take the nearest one's."""
-    gaps = grid.select("model", "lat_i", "lon_i", F.when(F.col("value") > 30_000, F.col("value")).alias("value"))
-    return rounded(G.filled_with_nearest(gaps, ["model"]), offset=1e-7)
+    """[J25] Cells of low value count as missing and take the nearest valid one's, by distance on the sphere."""
+    gaps = grid.select("model", "lat_i", "lon_i", (80.5 - 7.0 * F.col("lat_i")).alias("lat"), F.when(F.col("value") > 30_000, F.col("value")).alias("value"))
+    return rounded(G.filled_with_nearest(gaps, ["model"], width=36).drop("lat"), offset=1e-7)
 
 
 _GAUSS = "[" + ", ".join(f"{math.exp(-0.5 * k * k)!r}" for k in range(-4, 5)) + "]"

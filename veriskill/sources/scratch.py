@@ -35,4 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends there, and it is computed once."""
     path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def freed(table: DataFrame, value):
+    """``value``, after deleting a table of :func:`written` that nothing reads any more."""
+    if path := getattr(table, "_written_to", None):
+        _clean(table.sparkSession, path)
+    return value
