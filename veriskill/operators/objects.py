@@ -29,14 +29,14 @@ def _steps(reach: tuple[int, int, int], corners: bool) -> list[tuple[int, int, i
     return [s for s in each if s > (0, 0, 0) and (corners or sum(map(abs, s)) == 1)]
 
 
-def _label_tiles(batch: pa.RecordBatch, starts: np.ndarray, n_keys: int, size: tuple[int, int, int], steps: Sequence[tuple[int, int, int]]) -> pa.RecordBatch:
-    """Cells of whole tiles with the number of their component and its first cell. Columns: keys, tile, day, row, column."""
-    at = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_keys + 3, n_keys + 6)]
+def _label_tiles(batch: pa.RecordBatch, starts: np.ndarray, size: tuple[int, int, int], steps: Sequence[tuple[int, int, int]]) -> pa.RecordBatch:
+    """Cells of whole tiles with the number of their component and its first cell. Columns: tile, day, row, column, others."""
+    at = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3, 6)]
     tile = np.repeat(np.arange(len(starts)), np.diff([*starts, batch.num_rows]))
     code = tile
     for x, n in zip(at, size, strict=True):
         code = code * (n + 2) + (x % n + 1)  # a margin, so that no step leads into another row
-    code, cells = np.unique(code, return_index=True)
+    code, cells, places = np.unique(code, return_index=True, return_inverse=True)
     ends = []
     for step in steps:
         move = 0
@@ -46,10 +46,9 @@ def _label_tiles(batch: pa.RecordBatch, starts: np.ndarray, n_keys: int, size: t
         other[other == len(code)] = 0
         hit = np.flatnonzero(code[other] == code + move)
         ends.append((hit, other[hit]))
-    first = least_reached(len(code), *(np.concatenate(x) for x in zip(*ends, strict=True)))
+    first = least_reached(len(code), *(np.concatenate(x) for x in zip(*ends, strict=True)))[places]
     number = (TaskContext.get().partitionId() << 40) + _numbers(len(code)) + first
-    kept = batch.take(pa.array(cells)).columns
-    return pa.RecordBatch.from_arrays([*kept[:n_keys], *kept[n_keys + 3 :], pa.array(number), *(pa.array(x[cells[first]]) for x in at)], [*batch.schema.names[:n_keys], "_d", "_r", "_c", "_comp", "_d0", "_i0", "_j0"])
+    return pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(number), *(pa.array(x[cells[first]]) for x in at)], [*batch.schema.names[3:], "_comp", "_d0", "_i0", "_j0"])
 
 
 _used: dict[int, int] = {}
@@ -74,17 +73,20 @@ def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal:
     of parts up to nine (five) digits that are not negative sort like their numbers. A cell with null in a key or an
     index has no label and is left out; repeated cells stay.
     """
-    size, where = TILES[day is not None], [day or "_no_day", "lat_i", "lon_i"]
-    rows = cells if day else cells.withColumn("_no_day", F.lit(0))
-    rows = rows.select(*by, *(F.col(c).cast("long").alias(n) for c, n in zip(where, ("_d", "_r", "_c"), strict=True))).dropna()
-    tile = [F.expr(f"(`{c}` - pmod(`{c}`, {n})) div {n}").alias(f"_t{k}") for k, (c, n) in enumerate(zip(("_d", "_r", "_c"), size, strict=True))]
-    rows = rows.select(*by, *tile, "_d", "_r", "_c")
-    steps, n_keys = _steps((1 if day else 0, 1, 1), diagonal), len(by)
-    schema = StructType([rows.schema[k] for k in by])
-    for name in ("_d", "_r", "_c", "_comp", "_d0", "_i0", "_j0"):
+    size, where = TILES[day is not None], [*([day] if day else []), "lat_i", "lon_i"]
+    others = [c for c in cells.columns if c not in where]
+    plain = {c: f"x{k}" for k, c in enumerate(others)}
+    groups = [plain[c] for c in by]
+    at = [F.col(day).cast("long") if day else F.lit(0).cast("long"), F.col("lat_i").cast("long"), F.col("lon_i").cast("long")]
+    rows = cells.select(*(x.alias(n) for x, n in zip(at, ("_d", "_r", "_c"), strict=True)), *(column(c).alias(x) for c, x in plain.items())).dropna(subset=["_d", "_r", "_c", *groups])
+    tile = [F.expr(f"({c} - pmod({c}, {n})) div {n}").alias(f"_t{k}") for k, (c, n) in enumerate(zip(("_d", "_r", "_c"), size, strict=True))]
+    rows = rows.select(*tile, "*")
+    steps = _steps((1 if day else 0, 1, 1), diagonal)
+    schema = StructType(rows.schema.fields[3:])
+    for name in ("_comp", "_d0", "_i0", "_j0"):
         schema = schema.add(name, "long")
-    known = written(in_groups(rows, [*by, "_t0", "_t1", "_t2"], lambda b, s: _label_tiles(b, s, n_keys, size, steps), schema))
-    edges = written(_across(known, by, size, steps))
+    known = written(in_groups(rows, [*groups, "_t0", "_t1", "_t2"], lambda b, s: _label_tiles(b, s, size, steps), schema))
+    edges = written(_across(known, groups, size, steps))
     joined = connected(edges)
     first = F.struct("_d0", "_i0", "_j0")
     # each component's smallest cell, over those that touch another tile's
@@ -96,8 +98,13 @@ def label(cells: DataFrame, by: Sequence[str], day: str | None = None, diagonal:
     freed(joined, None)
     name = lambda k, width: F.format_string(f"%0{width}d", F.coalesce(F.col("least")[k], F.col(k)))
     text = F.concat_ws("-", *([name("_d0", 9)] if day else []), name("_i0", 5), name("_j0", 5))
-    found = known.join(moved, "_comp", "left").select(*by, *([F.col("_d").alias(day)] if day else []), F.col("_r").alias("lat_i"), F.col("_c").alias("lon_i"), text.alias("label"))
-    return cells.join(found, [*by, *([day] if day else []), "lat_i", "lon_i"])
+    real = dict(zip(where, ("_d", "_r", "_c") if day else ("_r", "_c"), strict=True)) | plain
+    return known.join(moved, "_comp", "left").select(*(F.col(real[c]).cast(cells.schema[c].dataType).alias(c) for c in cells.columns), text.alias("label"))
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _across(known: DataFrame, by: Sequence[str], size: tuple[int, int, int], steps: Sequence[tuple[int, int, int]]) -> DataFrame:
@@ -181,6 +188,7 @@ def tracked_objects(labelled: DataFrame, by: Sequence[str], day: str, min_overla
     Each object has one successor at most, so that chains are followed by doubling: every round an object's root
     becomes its root's root.
     """
+    labelled = written(labelled.select(*by, day, "label", "lat_i", "lon_i"))
     matches = day_matches(labelled, by, day, min_overlap)
     node = lambda d, x: F.concat_ws("@", F.lpad((F.col(day) + d).cast("string"), 9, "0"), F.col(x))
     up = matches.select(*by, node(0, "label").alias("node"), node(-1, "prev").alias("root"))

@@ -56,9 +56,20 @@ def components_3d(spark, mask):
     return rounded(O.severest(O.label(mask, [], day="day"), "day", F.col("lat_i").cast("double"), w, 2, 20))
 
 
-@query("fx_wide_mask")
+_BEST_FIRST = "ORDER BY iou DESC, ov DESC, prev, label"
+
+
+@query("fx_wide_mask", sql=f"""WITH c AS (SELECT *, printf('%05d-%05d', lat_i, lon_i) AS node FROM fx_wide_mask), o AS (SELECT i.x AS i, j.x AS j FROM (VALUES (-1), (0), (1)) i(x), (VALUES (-1), (0), (1)) j(x)),
+e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a, o, c b WHERE b.day = a.day AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {_REACH},
+l AS (SELECT c.*, label FROM c JOIN lb ON g = day AND lb.node = c.node), n AS (SELECT day, label, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 3), k AS (SELECT l.*, n FROM l JOIN n USING (day, label)),
+p AS (SELECT b.day, a.label AS prev, b.label, count(*) AS ov, count(*)/(a.n + b.n - count(*)) AS iou FROM k a JOIN k b ON b.day = a.day + 1 AND b.lat_i = a.lat_i AND b.lon_i = a.lon_i GROUP BY b.day, a.label, b.label, a.n, b.n HAVING count(*)/least(a.n, b.n) >= 0.3),
+m AS (SELECT *, 0 AS final FROM p UNION ALL SELECT day, prev, label, ov, iou, top FROM (SELECT *, max(top) OVER (PARTITION BY day, prev) AS tp, max(top) OVER (PARTITION BY day, label) AS tl FROM
+  (SELECT *, (row_number() OVER (PARTITION BY day, prev {_BEST_FIRST}) = 1 AND row_number() OVER (PARTITION BY day, label {_BEST_FIRST}) = 1)::INT AS top FROM m WHERE final = 0)) WHERE top = 1 OR (tp = 0 AND tl = 0)),
+q AS (SELECT day, label, n, printf('%09d@', day) || label AS root FROM n WHERE (day, label) NOT IN (SELECT (day, label) FROM m WHERE final = 1)
+  UNION ALL SELECT n.day, n.label, n.n, q.root FROM q JOIN m ON final = 1 AND m.day = q.day + 1 AND m.prev = q.label JOIN n ON n.day = m.day AND n.label = m.label)
+SELECT root, min(day) AS start_day, max(day) AS end_day, count(*) AS days, round(avg(n), 4) AS mean_area, max(n) AS max_area FROM q GROUP BY root""")
 def object_tracking(spark, mask):
-    """[O4, O5, J16, W15, A49] Objects of each time step linked to the next one's; tests compare with a plain loop."""
+    """[O4, O5, J16, W15, A49] Objects of each time step linked to the next one's, one to one, the largest overlap first."""
     labelled = O.large_objects(O.label(mask, ["day"]), ["day"], 3)
     return rounded(O.tracked_objects(labelled, [], "day"))
 
