@@ -15,6 +15,7 @@ from veriskill.sources import readers, sinks
 from veriskill.streaming import streams
 
 DIR = "/root/testdata/sf0.001"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def flood(cells, near):
@@ -466,6 +467,7 @@ def test_streams(spark, tmp_path):
             if f.endswith(".parquet"):
                 shutil.copy(f"{tmp_path}/one/{f}", f"{tmp_path}/all/{k}.parquet")
     stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     q = streams.path_stream(stream, "run").writeStream.outputMode("append").format("memory").queryName("paths").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.step, r.lat, r.path_id) for r in spark.table("paths").collect()) == whole
