@@ -81,6 +81,16 @@ def track_ends(leads: DataFrame, by: Sequence[str], lead: str, failed: Column, r
     return out.select(*by, chosen["reason"].alias("terminate_reason"), chosen["lead"].alias("terminate_lead"))
 
 
+def with_forecast(inits: DataFrame, catalog: DataFrame, keys: Sequence[str] = ("model", "init_time")) -> tuple[DataFrame, DataFrame]:
+    """[J4, A44] Best-track initialisations that have a forecast file, and a ``missing_file`` row at lead 0 for each that has none.
+
+    ``catalog`` has a row for each file (:func:`~veriskill.sources.readers.forecast_catalog`); one file is enough.
+    """
+    have = catalog.select(*keys).distinct()
+    lost = inits.join(have, list(keys), "left_anti").select("*", F.lit("missing_file").alias("terminate_reason"), F.lit(0).cast("long").alias("terminate_lead"))
+    return inits.join(have, list(keys), "left_semi"), lost
+
+
 def top_cases(cases: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
     """[W11] The first case of each group, then the first k of these; ``rank`` counts from 1."""
     w = Window.partitionBy(group).orderBy(*order)

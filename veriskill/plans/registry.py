@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veriskill.plans import event_queries, grid_queries, object_queries, run_queries, station_queries, track_queries
+from veriskill.plans import event_queries, grid_queries, object_queries, run_queries, scan_queries, station_queries, track_queries
 from veriskill.plans.register import QUERIES, SQL
 
-MODULES = (grid_queries, event_queries, track_queries, station_queries, object_queries, run_queries)
+MODULES = (grid_queries, event_queries, track_queries, station_queries, object_queries, run_queries, scan_queries)
 
 
 def queries() -> dict:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,24 +27,36 @@ TRACK_COLUMNS = {
     "Storm_ID": "string", "Storm_Name": "string", "Init_Time": "string", "Valid_Time": "string", "Lead_Time": "int", "Pred_Lat": "double", "Pred_Lon": "double", "True_Lat": "double", "True_Lon": "double",
     "Track_Error_km": "double", "Wind_Error": "double", "MSL_Error": "double", "Status": "string", "Eval_Key": "string",
 }
-#: Columns that a table of text lines may have.
-WIDEST = 200
 
 
-def named_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Lines of text tables with the columns of partition folders, ``row`` (a map by the names in the own file's header) and ``line`` (their order).
+def _fields(line: Column, sep: str) -> Column:
+    """The fields of a line, any number; in lines with a quote, quoted fields may hold separators and doubled quotes."""
+    one = re.escape(sep)
+    quoted = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(rf'((?:\s*+"[^"]*+(?:""[^"]*+)*+"\s*+|[^{one}]*+)){one}'), F.lit(1))
+    bare = F.transform(quoted, lambda x: F.when(F.trim(x).startswith('"'), F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(F.split(line, one, -1))
 
-    Files may differ in columns and in their order. A line equal to its header is none.
+
+def named_rows(spark: SparkSession, path: str, wanted: Sequence[str], sep: str = ",") -> DataFrame:
+    """Lines of text tables: the columns of partition folders, the ``wanted`` columns as strings, and ``line`` (their order).
+
+    Files may have any number of columns, in any order, as each file's header tells where the wanted ones are; one that
+    it lacks is null, of a repeated name the first counts. A folder's column stands for a wanted one of its name. A line
+    is split once and only wanted fields are kept. Blank lines and lines that equal the header are none. Fields are
+    trimmed, empty ones are null. Headers are found by a scan of their own, without splitting lines.
     """
     text = spark.read.text(path)
     folders = [c for c in text.columns if c != "value"]
+    names = [c for c in dict.fromkeys(wanted) if c not in folders]
     lines = text.select(*folders, "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("line"))
     heads = lines.where("_block = 0").groupBy("_file").agg(F.min_by("value", "line").alias("_head"))
-    fields = lambda c: F.from_csv(c, F.lit(", ".join(f"c{k} string" for k in range(WIDEST))), {"sep": sep})
-    cells = lambda c: F.array(*(F.col(f"{c}.c{k}") for k in range(WIDEST)))
-    heads = heads.select("_file", "_head", fields("_head").alias("_h")).select("_file", "_head", F.filter(F.transform(cells("_h"), lambda x: F.trim(x)), lambda x: x.isNotNull()).alias("_names"))
-    both = lines.join(heads, "_file").where((F.col("value") != F.col("_head")) & (F.trim("value") != "")).withColumn("_c", fields("value"))
-    return both.select(*folders, F.map_from_arrays("_names", F.slice(cells("_c"), F.lit(1), F.size("_names"))).alias("row"), "line")
+    clean = F.transform(_fields(F.replace(F.col("_head"), F.lit("\ufeff"), F.lit("")), sep), lambda x: F.trim(x))
+    heads = heads.select("_file", "_head", clean.alias("_names")).select("_file", "_head", F.array(*(F.array_position("_names", F.lit(n)).cast("int") for n in names)).alias("_at"))
+    rows = lines.join(heads, "_file").where((F.col("value") != F.col("_head")) & (F.trim("value") != ""))
+    # the line is split once, as the variable of a function of its fields
+    pick = lambda f: F.array(*(F.when(F.col("_at")[k] > 0, F.nullif(F.trim(F.get(f, F.col("_at")[k] - 1)), F.lit(""))) for k in range(len(names))))
+    rows = rows.select(*folders, "line", F.transform(F.array(_fields(F.col("value"), sep)), pick)[0].alias("_row"))
+    return rows.select(*folders, *(F.col("_row")[k].alias(n) for k, n in enumerate(names)), "line")
 
 
 def npy_fields(spark: SparkSession, path: str, dataset: str, flip: bool = False) -> DataFrame:
@@ -116,10 +129,9 @@ def storm_lookup(tracks: DataFrame, season: int, name: str, start: str, end: str
 
 def station_files(spark: SparkSession, path: str) -> DataFrame:
     """[S17, P24] Pipe-separated station files: used columns by name, null where a file lacks one, numbers coerced, sentinels null."""
-    raw = named_rows(spark, path, "|")
-    cell = lambda c: F.trim(F.try_element_at("row", F.lit(c)))
-    number = lambda c: S.clean(cell(c).try_cast("double"))
-    rows = raw.select(*((F.try_to_timestamp(cell(c)).alias("time") if c == "DATE" else cell(c).alias("station") if c == "STATION" else number(c).alias(c.lower())) for c in STATION_COLUMNS))
+    raw = named_rows(spark, path, STATION_COLUMNS, "|")
+    number = lambda c: S.clean(F.col(c).try_cast("double"))
+    rows = raw.select(*((F.try_to_timestamp("DATE").alias("time") if c == "DATE" else F.col(c).alias("station") if c == "STATION" else number(c).alias(c.lower())) for c in STATION_COLUMNS))
     return rows.withColumn("wind_direction", S.without(F.col("wind_direction"), 999.0))
 
 
@@ -131,12 +143,13 @@ def station_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metric_tables(spark: SparkSession, path: str, keys: Sequence[str] = ("init_time", "lead_hours", "variable"), columns: Sequence[str] = ("valid_time", "wrmse", "bias", "mae", "activity", "acc")) -> DataFrame:
-    """[S23] Metric CSVs by the names in each file's header, with missing columns null and only the last row of each key."""
-    raw = named_rows(spark, path)
-    cell = lambda c: (F.col(c).cast("string") if c in raw.columns else F.try_element_at("row", F.lit(c)))
-    kind = lambda c: "string" if c in ("init_time", "valid_time", "variable") else "int" if c == "lead_hours" else "double"
-    out = raw.select(*(cell(c).try_cast(kind(c)).alias(c) for c in (*keys, *columns)), "line")
-    return keep_last(out, keys, ["line"]).drop("line")
+    """[S23] Metric CSVs by the names in each file's header, with missing columns null and only the last row of each key. Other columns of partition folders are part of the key."""
+    raw = named_rows(spark, path, [*keys, *columns])
+    text = lambda c: F.col(c).cast("string")
+    typed = lambda c: text(c) if c in ("init_time", "valid_time", "variable") else text(c).try_cast("int") if c == "lead_hours" else S.clean(text(c).try_cast("double"))
+    folders = [c for c in raw.columns if c not in (*keys, *columns, "line")]
+    out = raw.select(*folders, *(typed(c).alias(c) for c in (*keys, *columns)), "line")
+    return keep_last(out, [*folders, *keys], ["line"]).drop("line")
 
 
 def at_level(fields: DataFrame, hpa: float, level: str = "level_hpa") -> DataFrame:
@@ -157,11 +170,11 @@ def variables_of(fields: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def track_tables(spark: SparkSession, path: str) -> DataFrame:
     """[S24, P29] Raw track CSVs under ``source=.../model=...``: numbers coerced, rows that are not ok or lack an error dropped."""
-    raw = named_rows(spark, path)
-    folders = [c for c in raw.columns if c not in ("row", "line")]
-    cell = lambda c: F.try_element_at("row", F.lit(c))
-    rows = raw.where(F.lower(F.coalesce(cell("Status"), F.lit("ok"))) == "ok")
-    rows = rows.select(*folders, *(cell(c).try_cast(kind).alias(c) for c, kind in TRACK_COLUMNS.items()))
+    raw = named_rows(spark, path, list(TRACK_COLUMNS))
+    folders = [c for c in raw.columns if c not in TRACK_COLUMNS and c != "line"]
+    rows = raw.where(F.lower(F.coalesce("Status", F.lit("ok"))) == "ok")
+    typed = lambda c, kind: S.clean(F.col(c).cast("string").try_cast(kind)) if kind == "double" else F.col(c).cast("string").try_cast(kind)
+    rows = rows.select(*folders, *(typed(c, kind).alias(c) for c, kind in TRACK_COLUMNS.items()))
     return rows.na.drop(subset=["Lead_Time", "Track_Error_km"])
 
 
@@ -172,6 +185,17 @@ def dated_files(spark: SparkSession, path: str, start: str, end: str, pattern: s
     return files.select("path", day.alias("day")).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def concat_dated(spark: SparkSession, path: str, start: str, end: str, pattern: str = r"(\d{4}-?\d{2}-?\d{2})[^/]*$", fmt: str = "parquet") -> DataFrame:
+    """[S20, S21] Rows of all dated files of an inclusive range of days, with ``day``, which the first group of ``pattern`` finds in a file's path.
+
+    Files of other days are not read: the range is a filter on the file's own path, which prunes files before the scan.
+    """
+    name = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    rows = spark.read.format(fmt).option("recursiveFileLookup", "true").load(path)
+    day = F.to_date(F.nullif(F.replace(name, F.lit("-"), F.lit("")), F.lit("")), "yyyyMMdd")
+    return rows.select("*", day.alias("day")).where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
 def observations_at(obs: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ("station", "variable"), time: str = "valid_time") -> DataFrame:
     """[S18] Station forecasts with the observation of their valid time; the date leads both keys, so that partitions by date are pruned."""
     dated = lambda df: df.withColumn("date", F.col(time).cast("date"))

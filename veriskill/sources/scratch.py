@@ -31,9 +31,14 @@ def shared_root(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends there, and it is computed once."""
-    path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._written_to = path
