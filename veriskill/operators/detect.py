@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veriskill.functions import scalars as S
 from veriskill.operators.grid import local_extrema
 from veriskill.operators.objects import label, large_objects
-from veriskill.operators.tracks import near_points
+from veriskill.operators.tracks import link_paths, near_points
 
 
 def convex_area(points: np.ndarray) -> float:
@@ -75,15 +76,16 @@ def directional_drop(cells: DataFrame, centres: DataFrame, field: Sequence[str],
     return centres.join(good, [*field, "lat_i", "lon_i"], "left_semi")
 
 
-def warm_cores(cells: DataFrame, field: Sequence[str], distance: int = 8, vorticity_min: float = 3.5e-5, rows: int = 721, width: int = 1440, warm_km: float = 8 * 25.0, near_km: float = 2 * 25.0, drop: float = 0.5) -> DataFrame:
+def warm_cores(cells: DataFrame, field: Sequence[str], distance: int = 8, vorticity_min: float = 3.5e-5, rows: int = 721, width: int = 1440, warm_km: float = 8 * 25.0, near_km: float = 2 * 25.0, drop: float = 0.5, cell_km: float = 25.0) -> DataFrame:
     """[O7, F10] Pressure minima near a vorticity maximum whose warm core and thickness maximum lie close: ``field, lat_i, lon_i, lat, lon, msl``.
 
-    ``cells`` have ``lat, lon, msl, vorticity, warm`` (mean temperature of the layer) and ``thickness`` (z200 - z850).
+    ``cells`` have ``lat, lon, msl, vorticity, warm`` (mean temperature of the layer) and ``thickness`` (z200 - z850);
+    the warm core cools by ``drop`` within ``warm_km`` to all four sides, in cells of ``cell_km``.
     """
     peak = lambda c, low, value: local_extrema(c.withColumn("_x", value), field, distance, low, "_x", rows=rows, width=width)
     minima = peak(cells, float("-inf"), -F.col("msl")).drop("_x")
     spin = peak(cells, vorticity_min, F.col("vorticity"))
-    warm = directional_drop(cells, peak(cells, float("-inf"), F.col("warm")), field, "warm", drop, int(warm_km // 25))
+    warm = directional_drop(cells, peak(cells, float("-inf"), F.col("warm")), field, "warm", drop, int(warm_km // cell_km))
     thick = peak(cells, float("-inf"), F.col("thickness"))
     out = near_points(minima, spin, field, warm_km)
     return near_points(near_points(out, warm, field, near_km), thick, field, near_km).select(*field, "lat_i", "lon_i", "lat", "lon", "msl")
@@ -100,21 +102,35 @@ def layer_mean(fields: DataFrame, cell: Sequence[str], levels: Sequence[int], va
     return fields.where((F.col("variable") == variable) & F.col("level_hpa").isin(*levels)).groupBy(*cell).agg(F.avg("value").alias("mean"))
 
 
-def minimum_pressure_track(crops: DataFrame, starts: DataFrame, by: Sequence[str], lead: str = "lead_h", radius_km: float = 278.0, max_msl: float = 101_200.0, min_wind: float = 10.2, most: int = 40) -> DataFrame:
-    """[W10] Tracks by the lowest pressure within a box around the last position, until pressure, wind, jump or length ends them."""
+def minimum_pressure_track(
+    crops: DataFrame, starts: DataFrame, by: Sequence[str], lead: str = "lead_h", radius_km: float = 278.0, max_msl: float = 101_200.0, min_wind: float = 10.2, most: int = 40,
+    wind_deg: float = 100.0, lats: tuple[float, float] = (-50.0, 50.0), lons: tuple[float, float] = (0.0, 360.0),
+) -> DataFrame:
+    """[W10] Tracks by the lowest pressure within a box around the last position: ``by, lead, lat, lon, min_msl, max_wind``.
+
+    The box reaches ``radius_km`` to each side, in longitude by the latitude of the last position, and round the globe;
+    of equal pressures the northernmost, then the westernmost counts. A step ends its track and is left out if pressure
+    there is above ``max_msl``, the strongest wind within ``wind_deg`` degrees is below ``min_wind``, the jump is longer
+    than the radius, the point lies outside the bounds, more than ``most`` points are behind it, or the box is empty. One
+    task follows a storm's corridor; storms are shared out.
+    """
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in crops.schema if f.name in by)
-    deg = radius_km / 111.195
+    deg = radius_km / 111.32
 
     def follow(group: pd.DataFrame) -> pd.DataFrame:
         at, out = (float(group.start_lat.iloc[0]), float(group.start_lon.iloc[0])), []
         for now, cells in group.groupby(lead, sort=True):
-            box = cells[(np.abs(cells.lat - at[0]) <= deg) & (np.abs((cells.lon - at[1] + 180) % 360 - 180) <= deg)]
-            if not len(box) or len(out) >= most:
+            off = np.abs((cells.lon - at[1] + 180) % 360 - 180)
+            box = cells[(np.abs(cells.lat - at[0]) <= deg) & (off <= deg / max(1e-9, np.cos(np.radians(at[0]))))].dropna(subset=["msl"])
+            if not len(box):
                 break
-            low = box.loc[box.msl.idxmin()]
-            wind = float(np.hypot(box.u10, box.v10).max())
+            low = box.sort_values(["msl", "lat", "lon"], ascending=[True, False, True]).iloc[0]
+            near = cells[(np.abs(cells.lat - low.lat) <= wind_deg) & (np.abs((cells.lon - low.lon + 180) % 360 - 180) <= wind_deg)]
+            wind = float(np.hypot(near.u10, near.v10).max())
             inner = 1 - np.cos(np.radians(low.lat - at[0])) + np.cos(np.radians(at[0])) * np.cos(np.radians(low.lat)) * (1 - np.cos(np.radians(low.lon - at[1])))
-            if low.msl > max_msl or wind < min_wind or 2 * S.EARTH_KM * np.arcsin(np.sqrt(min(1, inner / 2))) > radius_km:
+            jump = 2 * S.EARTH_KM * np.arcsin(np.sqrt(np.clip(inner / 2, 0, 1)))
+            inside = lats[0] <= low.lat <= lats[1] and lons[0] <= low.lon <= lons[1]
+            if low.msl > max_msl or not wind >= min_wind or jump > radius_km or len(out) > most or not inside:
                 break
             at = (float(low.lat), float(low.lon))
             out.append({**{c: group[c].iloc[0] for c in by}, lead: int(now), "lat": at[0], "lon": at[1], "min_msl": float(low.msl), "max_wind": wind})
@@ -122,3 +138,10 @@ def minimum_pressure_track(crops: DataFrame, starts: DataFrame, by: Sequence[str
 
     begun = crops.join(starts.select(*by, F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon")), list(by))
     return begun.groupBy(*by).applyInPandas(follow, f"{keys}, {lead} long, lat double, lon double, min_msl double, max_wind double")
+
+
+def centre_paths(centres: DataFrame, run: Sequence[str], step: str = "step", radius_km: float = 300.0, memory: int = 2, least: int = 1) -> DataFrame:
+    """[O8] Detected centres (``lat, lon`` at each ``step``) of a run linked to paths of at least ``least`` points, with ``path_id``."""
+    linked = link_paths(centres, run, step, radius_km, memory)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*run, "path_id"))
+    return linked.withColumn("_n", size).where(F.col("_n") >= least).drop("_n")

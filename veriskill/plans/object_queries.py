@@ -9,9 +9,9 @@ from veriskill.plans.register import query, rounded
 
 
 #: Labels by reachability over pairs of neighbouring cells: small objects only, as on a sparse mask.
-_REACH = """r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON r.g = e.g AND r.b = e.a), lb AS (SELECT g, a AS node, min(b) AS label FROM r GROUP BY ALL)"""
+REACH = """r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON r.g = e.g AND r.b = e.a), lb AS (SELECT g, a AS node, min(b) AS label FROM r GROUP BY ALL)"""
 _FLAT = f"""c AS (SELECT *, printf('%05d-%05d', lat_i, lon_i) AS node FROM fx_mask),
-e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(i, j), c b WHERE b.day = a.day AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {_REACH},
+e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(i, j), c b WHERE b.day = a.day AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {REACH},
 l AS (SELECT c.*, label FROM c JOIN lb ON g = day AND lb.node = c.node)"""
 
 
@@ -46,7 +46,7 @@ def placed_boxes(spark, mask):
 
 @query("fx_mask", sql=f"""WITH c AS (SELECT *, printf('%09d-%05d-%05d', day, lat_i, lon_i) AS node, cos(radians(lat_i*3e0 - 8e1)) AS w FROM fx_mask),
 o AS (SELECT d.x AS d, i.x AS i, j.x AS j FROM (VALUES (-1), (0), (1)) d(x), (VALUES (-1), (0), (1)) i(x), (VALUES (-1), (0), (1)) j(x)),
-e AS (SELECT 1 AS g, a.node AS a, b.node AS b FROM c a, o, c b WHERE b.day = a.day + o.d AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {_REACH},
+e AS (SELECT 1 AS g, a.node AS a, b.node AS b FROM c a, o, c b WHERE b.day = a.day + o.d AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {REACH},
 d AS (SELECT label, day, sum(w) AS area, min(lat_i) AS lo, max(lat_i) AS hi FROM c JOIN lb USING (node) GROUP BY ALL),
 s AS (SELECT label, count(*) AS days, sum(area) AS severity, arg_max(day, (round(area, 9), -day)) AS peak_day, max(area) AS peak_area, min(lo)::DOUBLE AS value_min, max(hi)::DOUBLE AS value_max FROM d GROUP BY label)
 SELECT label, days, round(severity, 4) AS severity, peak_day, round(peak_area, 4) AS peak_area, value_min, value_max, row_number() OVER (ORDER BY round(severity, 6) DESC, label)::INT AS rank FROM s WHERE days >= 2 ORDER BY rank LIMIT 20""")
@@ -60,7 +60,7 @@ _BEST_FIRST = "ORDER BY iou DESC, ov DESC, prev, label"
 
 
 @query("fx_wide_mask", sql=f"""WITH c AS (SELECT *, printf('%05d-%05d', lat_i, lon_i) AS node FROM fx_wide_mask), o AS (SELECT i.x AS i, j.x AS j FROM (VALUES (-1), (0), (1)) i(x), (VALUES (-1), (0), (1)) j(x)),
-e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a, o, c b WHERE b.day = a.day AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {_REACH},
+e AS (SELECT a.day AS g, a.node AS a, b.node AS b FROM c a, o, c b WHERE b.day = a.day AND b.lat_i = a.lat_i + o.i AND b.lon_i = a.lon_i + o.j), {REACH},
 l AS (SELECT c.*, label FROM c JOIN lb ON g = day AND lb.node = c.node), n AS (SELECT day, label, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 3), k AS (SELECT l.*, n FROM l JOIN n USING (day, label)),
 p AS (SELECT b.day, a.label AS prev, b.label, count(*) AS ov, count(*)/(a.n + b.n - count(*)) AS iou FROM k a JOIN k b ON b.day = a.day + 1 AND b.lat_i = a.lat_i AND b.lon_i = a.lon_i GROUP BY b.day, a.label, b.label, a.n, b.n HAVING count(*)/least(a.n, b.n) >= 0.3),
 m AS (SELECT *, 0 AS final FROM p UNION ALL SELECT day, prev, label, ov, iou, top FROM (SELECT *, max(top) OVER (PARTITION BY day, prev) AS tp, max(top) OVER (PARTITION BY day, label) AS tl FROM

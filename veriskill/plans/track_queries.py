@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veriskill.functions import scalars as S
+from veriskill.operators import detect as D
 from veriskill.operators import tracks as T
+from veriskill.plans.object_queries import REACH
 from veriskill.plans.register import query, rounded
 
 _KM = "2*6371*asin(sqrt(least(greatest((1-cos(radians(true_lat-pred_lat))+cos(radians(pred_lat))*cos(radians(true_lat))*(1-cos(radians(true_lon-pred_lon))))/2, 0), 1)))"
@@ -163,6 +165,86 @@ def storm_tracker(spark, tracks):
     return T.track_storms(cells, starts, by=["sid"], size=3)
 
 
+@query("fx_track", sql="""WITH b AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY valid_time, event_id) AS k, pred_lat FROM fx_track WHERE model = 'view'), s AS (SELECT sid, avg(true_lat) AS lat, avg(true_lon) AS lon FROM fx_track WHERE model = 'view' GROUP BY sid),
+y AS (SELECT b.sid, k, 1000 + 20*pred_lat AS depth, pred_lat AS speed, lat + 0.7::DOUBLE*k AS ey, lon + 0.9::DOUBLE*k AS ex FROM b JOIN s USING (sid)),
+c AS (SELECT sid, k, (floor(ey) + i)::DOUBLE AS lat, (floor(ex) + j)::DOUBLE AS lon, 101500 - depth*exp(-(pow(floor(ey) + i - ey, 2) + pow(floor(ex) + j - ex, 2))/8) AS msl, speed*exp(-(pow(floor(ey) + i - ey, 2) + pow(floor(ex) + j - ex, 2))/20) AS wind
+  FROM y, range(-8, 10) r(i), range(-8, 10) q(j)), w AS (SELECT sid, k, max(wind) AS wind FROM c GROUP BY ALL),
+t AS (SELECT sid, 0::BIGINT AS k, lat, lon, 0::DOUBLE AS msl, 0::DOUBLE AS wind FROM s
+  UNION ALL SELECT sid, k, lat, lon, msl, wind FROM (SELECT c.*, w.wind AS wind_max, t.lat AS lat0, t.lon AS lon0, row_number() OVER (PARTITION BY t.sid ORDER BY c.msl, c.lat DESC, c.lon) AS r FROM t JOIN c ON c.sid = t.sid AND c.k = t.k + 1 JOIN w ON w.sid = c.sid AND w.k = c.k
+    WHERE abs(c.lat - t.lat) <= 278/111.32::DOUBLE AND abs(c.lon - t.lon) <= 278/111.32::DOUBLE/cos(radians(t.lat))) n(sid, k, lat, lon, msl, wind0, wind, lat0, lon0, r)
+    WHERE r = 1 AND k <= 41 AND msl <= 101200 AND wind >= 10.2 AND lat BETWEEN -50 AND 50 AND lon BETWEEN 0 AND 360 AND 2*6371*asin(sqrt((1 - cos(radians(lat - lat0)) + cos(radians(lat0))*cos(radians(lat))*(1 - cos(radians(lon - lon0))))/2)) <= 278)
+SELECT sid, 6*k AS lead_h, lat, lon, round(msl, 3) AS min_msl, round(wind, 3) AS max_wind FROM t WHERE k > 0""")
+def minimum_pressure_track(spark, tracks):
+    """[W10] Hollows for the rows of ``view``, one a step, followed by their lowest pressure until wind, pressure, jump, bounds or length end the track."""
+    best = tracks.where("model = 'view'")
+    starts = best.groupBy("sid").agg(F.avg("true_lat").alias("lat"), F.avg("true_lon").alias("lon"))
+    k = F.row_number().over(Window.partitionBy("sid").orderBy("valid_time", "event_id"))
+    steps = best.select("sid", k.alias("k"), "pred_lat").join(starts, "sid")
+    eye = steps.select("sid", "k", (1000 + 20 * F.col("pred_lat")).alias("depth"), F.col("pred_lat").alias("speed"), (F.col("lat") + 0.7 * F.col("k")).alias("ey"), (F.col("lon") + 0.9 * F.col("k")).alias("ex"))
+    eye = eye.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid")
+    grid = eye.select("*", F.explode(F.sequence(F.lit(-8), F.lit(9))).alias("i")).select("*", F.explode(F.sequence(F.lit(-8), F.lit(9))).alias("j"))
+    lat, lon = (F.floor("ey") + F.col("i")).cast("double"), (F.floor("ex") + F.col("j")).cast("double")
+    d2 = F.pow(lat - F.col("ey"), 2) + F.pow(lon - F.col("ex"), 2)
+    cells = grid.select("sid", (6 * F.col("k")).alias("lead_h"), lat.alias("lat"), lon.alias("lon"), (101_500 - F.col("depth") * F.exp(-d2 / 8)).alias("msl"), (F.col("speed") * F.exp(-d2 / 20)).alias("u10"), F.lit(0.0).alias("v10"))
+    return rounded(D.minimum_pressure_track(cells, starts, ["sid"]), 3)
+
+
+def _peak(name: str, value: str, more: str = "TRUE") -> str:
+    """Cells of ``g`` with the largest value within two cells to each side, the first by row, then column on ties."""
+    return f"""{name} AS (SELECT a.* FROM g a WHERE {more} AND NOT EXISTS (SELECT 1 FROM g b WHERE b.run = a.run AND b.step = a.step AND abs(b.lat_i - a.lat_i) <= 2 AND abs(b.lon_i - a.lon_i) <= 2
+  AND (b.{value} > a.{value} OR (b.{value} = a.{value} AND (b.lat_i < a.lat_i OR (b.lat_i = a.lat_i AND b.lon_i < a.lon_i))))))"""
+
+
+def _close(name: str, km: float) -> str:
+    return f"EXISTS (SELECT 1 FROM {name} o WHERE o.run = m.run AND o.step = m.step AND 2*6371*asin(sqrt(least(greatest((1 - cos(radians(o.lat - m.lat)) + cos(radians(m.lat))*cos(radians(o.lat))*(1 - cos(radians(o.lon - m.lon))))/2, 0), 1))) <= {km})"
+
+
+_FALLS = " AND ".join(f"EXISTS (SELECT 1 FROM g b WHERE b.run = a.run AND b.step = a.step AND b.lat_i - a.lat_i = {i}*(abs(b.lat_i - a.lat_i) + abs(b.lon_i - a.lon_i)) AND b.lon_i - a.lon_i = {j}*(abs(b.lat_i - a.lat_i) + abs(b.lon_i - a.lon_i)) AND abs(b.lat_i - a.lat_i) + abs(b.lon_i - a.lon_i) BETWEEN 1 AND 3 AND a.warm - b.warm >= 0.5)" for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+_CORES = f"""g AS (SELECT split_part(model, '-', 1) AS run, split_part(model, '-', 2)::INT AS step, lat_i, lon_i, 80.5::DOUBLE - 7*lat_i AS lat, 1e1*lon_i AS lon, round(-value, 4) AS low, round(u, 4) AS vorticity, round(v, 4) AS warm, round(truth, 4) AS thickness FROM fx_grid),
+{_peak("mn", "low")}, {_peak("sp", "vorticity", "a.vorticity > 26")}, {_peak("wm", "warm", _FALLS)}, {_peak("th", "thickness")}, k AS (SELECT m.* FROM mn m WHERE {_close("sp", 2400.0)} AND {_close("wm", 2800.0)} AND {_close("th", 2800.0)})"""
+
+
+def warm_core_cells(grid):
+    run, step = F.split_part("model", F.lit("-"), F.lit(1)), F.split_part("model", F.lit("-"), F.lit(2)).cast("int")
+    field = lambda c, n: F.round(c, 4).alias(n)
+    return grid.select(run.alias("run"), step.alias("step"), "lat_i", "lon_i", (80.5 - 7.0 * F.col("lat_i")).alias("lat"), (10.0 * F.col("lon_i")).alias("lon"), field(F.col("value"), "msl"), field(F.col("u"), "vorticity"), field(F.col("v"), "warm"), field(F.col("truth"), "thickness"))
+
+
+def warm_cores(grid):
+    return D.warm_cores(warm_core_cells(grid), ["run", "step"], distance=2, vorticity_min=26.0, rows=24, width=36, warm_km=2400.0, near_km=2800.0, cell_km=800.0)
+
+
+_SHAPES = f"""c AS (SELECT model AS g, printf('%05d-%05d', lat_i, lon_i) AS node, lat_i, lon_i, 80.5::DOUBLE - 7*lat_i AS lat, 1e1*lon_i AS lon, round(u, 4) AS vort, round(value, 4) AS msl, round(v, 4) AS u10, round(u, 4) AS v10 FROM fx_grid WHERE round(u, 4) > 25),
+e AS (SELECT a.g, a.node AS a, b.node AS b FROM c a JOIN c b ON b.g = a.g AND abs(b.lat_i - a.lat_i) <= 1 AND abs(b.lon_i - a.lon_i) <= 1), {REACH},
+l AS (SELECT c.*, label FROM c JOIN lb USING (g, node)), k AS (SELECT l.*, (SELECT count(*) FROM l n WHERE n.g = l.g AND n.label = l.label AND abs(n.lat_i - l.lat_i) + abs(n.lon_i - l.lon_i) = 1) = 4 AS core FROM l),
+m AS (SELECT g, label, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon, min(msl) AS min_msl, max(sqrt(u10*u10 + v10*v10)) AS max_wind, var_pop(lat_i) + 1/12 AS a, var_pop(lon_i) + 1/12 AS b, covar_pop(lat_i, lon_i) AS ab, count(*) FILTER (core) AS cores,
+  coalesce(avg(vort) FILTER (core) > avg(vort) FILTER (NOT core), TRUE) AS stronger FROM k GROUP BY ALL HAVING count(*) >= 6 AND count(*) FILTER (core) > 1),
+p AS (SELECT DISTINCT g, label, lat_i + i*0.5::DOUBLE AS x, lon_i + j*0.5::DOUBLE AS y FROM k SEMI JOIN m USING (g, label), (VALUES (-1), (1)) q(i), (VALUES (-1), (1)) s(j)), ends AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY g, label, x ORDER BY y) = 1 OR row_number() OVER (PARTITION BY g, label, x ORDER BY y DESC) = 1),
+h AS (SELECT s.g, s.label, sum(s.x*t.y - t.x*s.y)/2 AS hull FROM ends s JOIN ends t ON s.g = t.g AND s.label = t.label AND (s.x, s.y) <> (t.x, t.y) WHERE NOT EXISTS (SELECT 1 FROM ends o WHERE o.g = s.g AND o.label = s.label AND ((t.x - s.x)*(o.y - s.y) - (t.y - s.y)*(o.x - s.x) < 0
+  OR ((t.x - s.x)*(o.y - s.y) - (t.y - s.y)*(o.x - s.x) = 0 AND (o.x - s.x)*(o.x - t.x) + (o.y - s.y)*(o.y - t.y) > 0))) GROUP BY ALL),
+f AS (SELECT m.*, sqrt(((a + b)/2 + sqrt(pow((a - b)/2, 2) + ab*ab)) / ((a + b)/2 - sqrt(pow((a - b)/2, 2) + ab*ab))) AS ratio, n/hull AS solidity FROM m JOIN h USING (g, label))"""
+
+
+@query("fx_grid", sql=f"WITH {_SHAPES} SELECT g AS model, round(lat, 4) AS lat, round(lon, 4) AS lon, round(min_msl, 4) AS min_msl, round(max_wind, 4) AS max_wind, n AS cells FROM f WHERE stronger AND ratio <= 2 AND solidity >= 0.3 AND ratio/solidity <= 4 AND lat BETWEEN -70 AND 70")
+def vorticity_detection(spark, grid):
+    """[O6, P27, O1, O4] Objects of strong vorticity that are large, round and solid enough, with a core stronger than the rim, in a belt of latitudes."""
+    field = lambda c, n: F.round(c, 4).alias(n)
+    cells = grid.select("model", "lat_i", "lon_i", (80.5 - 7.0 * F.col("lat_i")).alias("lat"), (10.0 * F.col("lon_i")).alias("lon"), field("u", "vorticity"), field("value", "msl"), field("v", "u10"), field("u", "v10"))
+    return rounded(D.vorticity_objects(cells, ["model"], F.col("lat").between(-70, 70), threshold=25.0, least=6))
+
+
+@query("fx_grid")
+def detection_paths(spark, grid):
+    """[O8] Warm cores of each run's steps linked to paths; tests compare with a plain loop."""
+    return rounded(D.centre_paths(warm_cores(grid), ["run"], radius_km=2500.0).select("run", "step", "lat_i", "lon_i", "path_id"))
+
+
+@query("fx_grid", sql=f"WITH {_CORES} SELECT run, step, lat_i, lon_i, round(-low, 4) AS msl FROM k")
+def warm_core_detection(spark, grid):
+    """[O7, W5, J18] Pressure minima with a vorticity maximum, a warm core that cools to all sides and a thickness maximum close by."""
+    return warm_cores(grid).select("run", "step", "lat_i", "lon_i", "msl")
+
+
 _BEST = "b AS (SELECT sid, lead_h, avg(true_lat) AS best_lat, avg(true_lon) AS best_lon FROM fx_track WHERE model = 'click' GROUP BY ALL)"
 
 
