@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veriskill.operators import tracks as T
 from veriskill.plans.register import query, rounded
-from veriskill.sources import readers, sinks
+from veriskill.sources import npy_source, readers, sinks
 from veriskill.sources.scratch import fresh_path
 
 _EXTRA = [f"measurement_code_{k}" for k in range(222)]
@@ -107,3 +107,20 @@ def forecast_existence(spark, orders, lineitem):
     catalog = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("model"), F.col("l_shipdate").cast("date").alias("init_time"), F.lit(6).alias("lead_hours"))
     have, lost = T.with_forecast(inits, catalog)
     return have.select("*", F.lit("ok").alias("status")).unionByName(lost.select("model", "init_time", "sid", F.col("terminate_reason").alias("status")))
+
+
+@query("fx_grid", sql="""WITH f AS (SELECT TIMESTAMP '2024-01-01' + split_part(model, '-', 2)::INT * INTERVAL '6 hours' AS valid_time, split_part(model, '-', 1) AS flag, lat_i, value::FLOAT AS value FROM fx_grid)
+SELECT valid_time, flag AS variable, lat_i, count(*) AS cells, round(sum(value), 1) AS total FROM f WHERE valid_time >= TIMESTAMP '2024-01-01 00:00:00' AND valid_time < TIMESTAMP '2024-01-02 12:00:00' AND flag IN ('A', 'R') AND lat_i BETWEEN 3 AND 17 GROUP BY ALL""")
+def npy_tree_scan(spark, grid):
+    """[S1, S4, S2] Fields as a tree of NPY files, read by filters on time, variable, level and row that reach the source."""
+    path = fresh_path(spark)
+    start = F.lit("2024-01-01").cast("timestamp")
+    step, flag = F.split_part("model", F.lit("-"), F.lit(2)).cast("int"), F.split_part("model", F.lit("-"), F.lit(1))
+    cells = grid.select((start + F.make_dt_interval(hours=6 * step)).alias("valid_time"), flag.alias("variable"), F.explode(F.array(F.lit(500), F.lit(850))).alias("level_hpa"), "lat_i", "lon_i", F.col("value"))
+    npy_source.save_npy(cells, path).write.format("noop").mode("overwrite").save()
+    fields = npy_source.npy_table(spark, path, "analysis")
+    at = lambda x: F.lit(x).cast("timestamp")
+    wanted = (F.col("valid_time") >= at("2024-01-01 00:00:00")) & (F.col("valid_time") < at("2024-01-02 12:00:00")) & F.col("variable").isin("A", "R") & (F.col("level_hpa") == 850) & F.col("lat_i").between(3, 17)
+    values = fields.where(wanted).select("valid_time", "variable", "lat_i", F.explode("vals").alias("value"))
+    out = values.groupBy(F.col("valid_time").cast("timestamp_ntz").alias("valid_time"), "variable", "lat_i").agg(F.count("value").alias("cells"), F.sum(F.col("value").cast("double")).alias("total"))
+    return rounded(out, 1)
