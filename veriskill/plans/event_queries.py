@@ -127,5 +127,5 @@ def threshold_mask(spark, daily):
 @query("fx_daily", sql="""WITH e AS (SELECT min(day) AS a, max(day) AS b FROM fx_daily), c AS (SELECT unnest(generate_series(a, b, interval 1 day))::DATE AS day FROM e)
 SELECT cell_id, count(*) AS days, count(*) - count(tmax_pred) AS gaps FROM (SELECT DISTINCT cell_id FROM fx_daily) CROSS JOIN c LEFT JOIN fx_daily USING (cell_id, day) GROUP BY cell_id""")
 def gap_free_axis(spark, daily):
-    """[S20, S21] Days without a row become missing days."""
+    """[W1] Days without a row become missing days."""
     return E.gap_free(daily, ["cell_id"]).groupBy("cell_id").agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("tmax_pred").isNull()).alias("gaps"))

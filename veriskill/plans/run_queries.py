@@ -10,13 +10,13 @@ from veriskill.operators.tracks import keep_last
 from veriskill.plans.register import query, rounded
 from veriskill.sources import models, readers
 
-_PRESENT = "p AS (SELECT DISTINCT l_returnflag AS model, cast(l_shipdate AS date) AS init_date, l_linenumber AS hour FROM lineitem WHERE l_quantity > 25)"
+_PRESENT = "p AS (SELECT DISTINCT l_returnflag AS model, cast(l_shipdate AS date) AS init_date, l_linenumber AS hour FROM lineitem)"
 _EXPECTED = "e AS (SELECT model, d::DATE AS init_date, hour FROM (VALUES ('A'), ('N'), ('R'), ('X')) m(model), generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY) t(d), (VALUES (1), (2), (3), (4)) h(hour))"
 _KEYS = ["model", "init_date", "hour"]
 
 
 def present(lineitem):
-    return lineitem.where("l_quantity > 25").select(F.col("l_returnflag").alias("model"), F.col("l_shipdate").cast("date").alias("init_date"), F.col("l_linenumber").alias("hour")).distinct()
+    return lineitem.select(F.col("l_returnflag").alias("model"), F.col("l_shipdate").cast("date").alias("init_date"), F.col("l_linenumber").alias("hour")).distinct()
 
 
 def expected(spark):
@@ -264,20 +264,20 @@ def static_inputs(spark, part):
     return C.repeated_over(part.select("p_partkey", F.round("p_retailprice", 4).alias("value")), times)
 
 
-@query("lineitem", sql="""WITH l AS (SELECT DISTINCT l_suppkey, l_linestatus, l_linenumber*6 AS lead FROM lineitem WHERE l_suppkey % 10 < 7), a AS (SELECT * FROM l WHERE l_linestatus = 'F'), b AS (SELECT * FROM l WHERE l_linestatus = 'O' AND lead > 36),
+@query("lineitem", sql="""WITH l AS (SELECT DISTINCT l_suppkey, l_linestatus, l_linenumber*6 AS lead FROM lineitem), a AS (SELECT * FROM l WHERE l_linestatus = 'F'), b AS (SELECT * FROM l WHERE l_linestatus = 'O' AND lead > 36),
 x AS (SELECT DISTINCT lead FROM a), y AS (SELECT DISTINCT lead FROM b), z AS (SELECT DISTINCT lead FROM a WHERE lead < 30)
 SELECT 'common' AS k, lead FROM x WHERE lead IN (FROM y) UNION ALL SELECT 'either', lead FROM (FROM z UNION FROM y)""")
 def leads_common_or_either(spark, lineitem):
     """[U6]"""
-    rows = lineitem.where("l_suppkey % 10 < 7").select("l_linestatus", (F.col("l_linenumber") * 6).alias("lead"))
+    rows = lineitem.select("l_linestatus", (F.col("l_linenumber") * 6).alias("lead"))
     a, b = rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O' AND lead > 36")
     return C.common_or_union(a, b, "lead").select(F.lit("common").alias("k"), "lead").unionByName(C.common_or_union(a.where("lead < 30"), b, "lead").select(F.lit("either").alias("k"), "lead"))
 
 
-@query("orders", "lineitem", sql="""WITH r AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_quantity > 10 GROUP BY 1) SELECT o_orderkey, CASE WHEN n IS NULL THEN 'missing' WHEN n < 2 OR q > 150 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN n IS NULL THEN 'no result' WHEN n < 2 THEN 'few leads' WHEN q > 150 THEN 'out of range' END AS reason FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
+@query("orders", "lineitem", sql="""WITH r AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN n IS NULL THEN 'missing' WHEN n < 2 OR q > 150 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN n IS NULL THEN 'no result' WHEN n < 2 THEN 'few leads' WHEN q > 150 THEN 'out of range' END AS reason FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
 def unit_status(spark, orders, lineitem):
     """[X5]"""
-    results = lineitem.where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    results = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     return C.status_rows(orders.select("o_orderkey"), results, ["o_orderkey"], [("few leads", F.col("n") < 2), ("out of range", F.col("q") > 150)])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veriskill.operators import tracks as T
 from veriskill.plans.register import query, rounded
-from veriskill.sources import npy_source, readers, sinks
+from veriskill.sources import models, npy_source, readers, sinks
 from veriskill.sources.scratch import fresh_path
 
 _EXTRA = [f"measurement_code_{k}" for k in range(222)]
@@ -78,6 +78,38 @@ def best_track_scan(spark, events):
     return rounded(both.groupBy("sid").agg(F.count(F.lit(1)).alias("points"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.count("hit").alias("looked_up")), 3)
 
 
+@query("fx_grid", sql="""WITH m AS (SELECT * FROM (VALUES ('fengwu', 90e0, -0.25e0, 0.25e0), ('stormer', -89.296875e0, 1.40625e0, 1.40625e0)) v(model, top, dy, dx)),
+t AS (SELECT model AS run, lat_i, lon_i, 't2m' AS variable, value FROM fx_grid UNION ALL SELECT model, lat_i, lon_i, 'tp', u FROM fx_grid)
+SELECT m.model, run, lat_i, lon_i, variable, round(top + lat_i*dy, 6) AS lat, round(lon_i*dx, 6) AS lon, round(value + 1e-7, 4) AS value FROM t, m WHERE variable = 't2m'""")
+def model_truth(spark, grid):
+    """[X2, S2] Truth fields in the channels and at the grid points of two models; a variable that is no channel of theirs is left out."""
+    field = lambda v, c: grid.select(F.col("model").alias("run"), F.lit(v).alias("variable"), F.lit(None).cast("int").alias("level_hpa"), "lat_i", "lon_i", F.col(c).alias("value"))
+    found = models.truth_fields(field("t2m", "value").unionByName(field("tp", "u")), "fengwu", "stormer")
+    return rounded(found.select("model", "run", "lat_i", "lon_i", "variable", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round(F.col("value") + 1e-7, 4).alias("value")), 6)
+
+
+@query("fx_station_obs", sql="""SELECT station::VARCHAR AS station, round(any_value(lat), 4) AS lat, round(any_value(lon), 4) AS lon FROM fx_station_obs GROUP BY station""")
+def station_catalog_scan(spark, obs):
+    """[S19] A JSON object of all stations, one file as users have it, and its positions."""
+    path = fresh_path(spark)
+    place = F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    entries = obs.groupBy("station").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("station").cast("string"), place))).alias("m"))
+    entries.select(F.to_json("m").alias("value")).write.text(path)
+    return rounded(readers.station_catalog(spark, path))
+
+
+@query("fx_station_obs", sql="""WITH o AS (SELECT station, variable, time_bucket(INTERVAL '6 hours', ts) AS valid_time, avg(value) AS obs FROM fx_station_obs GROUP BY ALL), f AS (SELECT station, variable, valid_time + INTERVAL '6 hours' AS valid_time, obs AS pred FROM o)
+SELECT station, count(*) AS n, round(avg(pred - obs) + 1e-7, 4) AS bias FROM f JOIN o USING (station, variable, valid_time) GROUP BY station""")
+def observations_at_valid_time(spark, obs):
+    """[S18] Six-hour means kept by date, against a persistence forecast of the slot before."""
+    path = fresh_path(spark)
+    slots = obs.groupBy("station", "variable", F.window("ts", "6 hours").start.alias("valid_time")).agg(F.avg("value").alias("obs"))
+    slots.withColumn("date", F.to_date("valid_time")).write.partitionBy("date").parquet(path)
+    kept = spark.read.parquet(path)
+    pred = kept.select("station", "variable", (F.col("valid_time") + F.expr("INTERVAL 6 HOURS")).alias("valid_time"), F.col("obs").alias("pred"))
+    return rounded(readers.observations_at(kept.drop("date"), pred).groupBy("station").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("pred") - F.col("obs")) + 1e-7).alias("bias")))
+
+
 @query("fx_grid", sql="""SELECT model, 6*(1 + lat_i % 4) AS lead_hours, 'z' AS variable, 'm2 s-2' AS unit, count(*) AS cells, round(sum(value), 2) AS total FROM fx_grid WHERE lat_i % 4 IN (1, 2) GROUP BY ALL""")
 def forecast_store(spark, grid):
     """[K1, K2, S11] Forecasts saved by model, initialisation and lead, some leads and variables only, saved again in part, and read back."""

@@ -14,7 +14,7 @@ q AS (SELECT station, y, x, least(greatest(floor(y), 0), 22)::INT AS i, floor(x)
 c AS (SELECT station, i + a AS lat_i, (j + b) % 36 AS lon_i, CASE WHEN a = 1 THEN y - i ELSE 1 - (y - i) END * CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS w FROM q, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b))
 SELECT model, station, CASE WHEN count(*) FILTER (value IS NULL AND w > 0) = 0 THEN round(sum(w*value), 4) END AS value FROM (SELECT DISTINCT model, lat_i FROM fx_grid) r JOIN c USING (lat_i) LEFT JOIN fx_grid USING (model, lat_i, lon_i) GROUP BY ALL""")
 def bilinear_to_station(spark, obs, grid):
-    """[J5, J6, J25]"""
+    """[J5, J6]"""
     stations = obs.select("station", "lat", "lon").distinct()
     filled = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda j: F.try_element_at("m", j))
     rows = grid.groupBy("model", "lat_i").agg(F.map_from_entries(F.collect_list(F.struct("lon_i", "value"))).alias("m")).select("model", "lat_i", filled.alias("vals"))
@@ -67,6 +67,6 @@ def unit_guess(spark, obs):
 
 @query("fx_station_obs", sql="""WITH c AS (SELECT DISTINCT station, lat + 1 AS la, lon - 1 AS lo FROM fx_station_obs WHERE station % 2 = 0) SELECT station, round(any_value(coalesce(la, lat)), 4) AS lat, round(any_value(coalesce(lo, lon)), 4) AS lon FROM fx_station_obs LEFT JOIN c USING (station) GROUP BY station""")
 def station_positions(spark, obs):
-    """[J7, S19]"""
+    """[J7]"""
     c = obs.where("station % 2 = 0").select("station", (F.col("lat") + 1).alias("lat"), (F.col("lon") - 1).alias("lon")).distinct()
     return rounded(O.with_positions(obs, c).groupBy("station").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon")))

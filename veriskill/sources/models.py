@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Pressure levels of the models, in hPa.
 LEVELS_13 = (50, 100, 150, 200, 250, 300, 400, 500, 600, 700, 850, 925, 1000)
@@ -46,6 +47,23 @@ def latitudes(spark: SparkSession, *models: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, lat_i int, lat double")
 
 
+def longitudes(spark: SparkSession, *models: str) -> DataFrame:
+    """[X2] ``model, lon_i, lon``: columns of the models' grids."""
+    rows = [(m, j, j * GRIDS[m][4]) for m in models or GRIDS for j in range(GRIDS[m][1])]
+    return spark.createDataFrame(rows, "model string, lon_i int, lon double")
+
+
+def truth_fields(cells: DataFrame, *models: str) -> DataFrame:
+    """[X2] Analysis cells (``variable, level_hpa, lat_i, lon_i``) as each model's truth: its channels, with ``model, ord, lat, lon`` of its grid.
+
+    Cells must be on the model's grid already; those outside it and other channels are left out.
+    """
+    spark = cells.sparkSession
+    channels = channel_sets(spark, *models).withColumnsRenamed({"variable": "_v", "level_hpa": "_l"})
+    found = cells.join(F.broadcast(channels), (F.col("variable") == F.col("_v")) & F.col("level_hpa").eqNullSafe(F.col("_l"))).drop("_v", "_l")  # some hundred channels
+    return found.join(F.broadcast(latitudes(spark, *models)), ["model", "lat_i"]).join(F.broadcast(longitudes(spark, *models)), ["model", "lon_i"])  # axes of the grids
+
+
 def names(spark: SparkSession) -> DataFrame:
     """[P4] ``variable, long_name``."""
     return spark.createDataFrame(list(LONG_NAMES.items()), "variable string, long_name string")
