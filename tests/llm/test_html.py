@@ -66,6 +66,29 @@ def test_what_readers_write_and_menus_stay_out_however_long():
     assert main_text(f"<div hidden><p>{TWO}</p></div><footer>{TWO}</footer>") == ""
 
 
+def test_a_teaser_is_not_the_article():
+    body = "".join(f"<p>{ONE if k % 2 else TWO}</p>" for k in range(10))
+    page = f"<body><div class='text'>{body}</div><div class='side'><article class='card'><p>{'Teaser of another story. ' * 4}</p></article></div><div>Imprint</div></body>"
+    text = main_text(page)
+    assert text.count(ONE) == 5 and text.count(TWO) == 5
+
+
+def test_nothing_within_the_article_is_cut_for_its_size():
+    links = "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(4))
+    page = f"<body><nav>Menu</nav><article><h1>Title</h1>{f'<p>{ONE}</p>' * 9}<ul>{links}</ul><p>A last and shorter paragraph ends the text here, with words enough to count.</p><ul>{links}</ul></article><footer>Foot</footer>"
+    text = main_text(page)
+    assert text.split("\n\n")[-5:] == ["Link 0", "Link 1", "Link 2", "Link 3", "A last and shorter paragraph ends the text here, with words enough to count."] and text.startswith("Title")
+
+
+def test_names_of_several_words_within_the_article():
+    for name in ("related-work", "informed-consent", "satellite-navigation", "notice-of-intent", "comment-on-the-budget", "ad-hoc"):
+        assert main_text(f"<body><article><p>{ONE}</p><div id='{name}'><p>{TWO}</p></div></article></body>") == f"{ONE}\n\n{TWO}", name
+    assert main_text(f"<article><p>{ONE} <span class='ad-hoc'>at once</span> it goes</p></article>") == f"{ONE} at once it goes"
+    for name in ("related-posts", "newsletter-signup", "ad-box", "comment-list", "user-comments", "share-buttons", "cookie-notice"):
+        assert main_text(f"<body><article><p>{ONE}</p><div id='{name}'><p>{TWO}</p></div></article></body>") == ONE, name
+    assert main_text(f"<div class='comment-on-the-budget'><p>{ONE}</p></div>") == ONE
+
+
 def test_hostile_pages_take_linear_time():
     for unit in ("<a ", '<a ">" ', "<div class=ad>x", "<!", "<b><p>", "<u><div>", "<form>x", "&#0", "<![CDATA[", "</b></p>", "<a '"):
         for page in (unit * (1_000_000 // len(unit)), unit * (200_000 // len(unit)) + ">"):

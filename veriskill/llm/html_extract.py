@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one for each block element. Line lengths (without link text) are summed over sliding
 windows of lines; the text lies between the point where the sums surge and the point where they dive. That holds for
-every page. Tags and names only weigh lines: elements called menus, adverts, notices, reader comments and the like weigh
-nothing, unless one that a loose name or a form tag condemns holds the bulk of the page; an element called the article
-bounds the lines that take part.
+every page without an element that bounds its article. Tags and names weigh lines: elements called menus, adverts,
+notices, reader comments and the like weigh nothing, unless one that a loose name or a form tag condemns holds the bulk
+of the page. An element called the article, if it holds a quarter of the surging text, bounds the lines that take part;
+there tags decide the result, from its first line with text of its own to its last.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from veriskill.llm.common import column, map_arrow, table
 
 #: Lines in a window, and the characters in one that make a surge.
 WINDOW, SURGE = 3, 80
-#: A region of surges stays if it has this share of the largest one's characters.
+#: A region of surges stays if it has this share of the largest one's characters, where no element bounds them.
 REGION = 0.2
+#: Share of the surging text that makes an element called an article the page's, and not a teaser.
+ARTICLE = 0.25
 #: A loosely named element is spared if it has so many times the text of all that is not condemned; a plainly named one likewise.
 LOOSE, PLAIN = 2, 8
 
@@ -46,6 +49,10 @@ adbox adslot footer gdpr login masthead menu modal nav navbar navigation newslet
 share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search""".split())
 #: Words of the same kind for what readers write.
 READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+EITHER = MARKS | READERS
+#: Words that, beside marks, leave a name of several words a mark.
+PLACES = frozenset("""area bar block body bottom box button buttons center container content field foot footer form frame group head header holder icon icons inner inline item items
+left link links list main message outer page panel popup post posts primary right row secondary section side site slot story stories text title top unit wrap wrapper""".split())
 #: First words of names that tell a state or a layout, not a role.
 STATES = frozenset("has no with without not is hide show layout template theme".split())
 #: Class and id names of page headers, as a whole.
@@ -70,7 +77,11 @@ def unescaped(text: str) -> str:
 
 
 def _condemned(name: str, attributes: str, inside: bool) -> str:
-    """``never``, ``plain`` or ``loose`` for an element that is no part of the article, else nothing; ``inside`` the article a header is its own."""
+    """``never``, ``plain`` or ``loose`` for an element that is no part of the article, else nothing.
+
+    ``inside`` the article a header is its own, and a name of several words is a mark only if all of them are marks or
+    tell a place (``related-posts``, not ``related-work``).
+    """
     worst = "never" if name in NEVER or (name == "header" and not inside) else "plain" if name in FORMS else ""
     if worst == "never" or not attributes:
         return worst
@@ -87,9 +98,10 @@ def _condemned(name: str, attributes: str, inside: bool) -> str:
                 words = WORDS.findall(token)
                 if not words or words[0] in STATES:
                     continue
-                if not READERS.isdisjoint(words):
+                whole = all(w in MARKS or w in READERS or w in PLACES for w in words)
+                if not READERS.isdisjoint(words) and (whole or len(words) == 2):
                     return "never"
-                if not MARKS.isdisjoint(words):
+                if not EITHER.isdisjoint(words) and (whole or not inside):
                     worst = "plain" if worst == "plain" or len(words) == 1 else "loose"
     return worst
 
@@ -256,8 +268,8 @@ def _sums(length: np.ndarray, window: int) -> np.ndarray:
     return np.convolve(length, np.ones(window, int))[window - 1 :]
 
 
-def regions(length: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """Line ranges from a surge to where the sums dive to nothing, those far lighter than the heaviest left out.
+def regions(length: np.ndarray, window: int = WINDOW, surge: int = SURGE, share: float = REGION) -> list[tuple[int, int]]:
+    """Line ranges from a surge to where the sums dive to nothing, those far lighter than the heaviest left out (under ``share`` of it).
 
     Where no window surges, half of the highest sum is a surge. Ranges begin and end with a line that has a length.
     """
@@ -274,7 +286,7 @@ def regions(length: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> lis
             lo, hi = np.searchsorted(busy, [busy[first] + 1, busy[last]])
             found.append((int(lo) - 1, int(hi), int(length[first:last].sum())))
     most = max(w for *_, w in found)
-    return [(a, b) for a, b, w in found if w >= REGION * most]
+    return [(a, b) for a, b, w in found if w >= share * most]
 
 
 def main_text(html: str | None, *, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -297,11 +309,14 @@ def main_text(html: str | None, *, window: int = WINDOW, surge: int = SURGE) ->
     # Block text: lines in windows that surge.
     surging = np.convolve(_sums(length, window) >= surge, np.ones(window, int))[: len(found)] > 0
     weight = np.where(surging, length, 0)
-    most = lambda mask: mask.any() and 2 * weight[mask].sum() >= weight.sum()
-    inside = article if (article & surging).any() or most(article) else article | held if most(article | held) else np.zeros(len(found), bool)
-    if inside.any():
-        found, length = [f for f, k in zip(found, inside, strict=True) if k], length[inside]
-    return "\n\n".join(f[0] for a, b in regions(length, window, surge) for f in found[a:b])
+    most = lambda mask, share: mask.any() and weight[mask].sum() >= share * weight.sum()
+    inside = article if most(article, ARTICLE) else article | held if most(article | held, 0.5) else None
+    if inside is None:
+        return "\n\n".join(f[0] for a, b in regions(length, window, surge) for f in found[a:b])
+    # in an element that bounds the article, all from the first line of text to the last belongs to it
+    found, length = [f for f, k in zip(found, inside, strict=True) if k], length[inside]
+    spans = regions(length, window, 1, 0.0)
+    return "\n\n".join(f[0] for f in found[spans[0][0] : spans[-1][1]]) if spans else ""
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
