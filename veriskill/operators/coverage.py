@@ -149,4 +149,4 @@ def channel_subset(channels: DataFrame, wanted: DataFrame, key: Column) -> DataF
     """[P2] Wanted channels in wanted order (``ord``), the first of duplicates; reading fails on an unknown name."""
     have = keep_last(channels.withColumn("_key", key).withColumn("_o", -F.col("ord")), ["_key"], ["_o"]).select("_key", F.col("name").alias("channel"))
     out = wanted.withColumn("_key", key).join(have, "_key", "left")
-    return out.where(F.assert_true(F.col("channel").isNotNull(), "unknown channel").isNull()).select("ord", "channel").dropDuplicates(["channel"])
+    return out.where(F.assert_true(F.col("channel").isNotNull(), "unknown channel").isNull()).groupBy("channel").agg(F.min("ord").alias("ord")).select("ord", "channel")

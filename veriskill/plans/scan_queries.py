@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veriskill.functions import scalars as S
+from veriskill.operators import coverage as C
+from veriskill.operators import detect as D
+from veriskill.operators import events as E
 from veriskill.operators import tracks as T
 from veriskill.plans.register import query, rounded
 from veriskill.sources import models, npy_source, readers, sinks
@@ -156,3 +160,67 @@ def npy_tree_scan(spark, grid):
     values = fields.where(wanted).select("valid_time", "variable", "lat_i", F.explode("vals").alias("value"))
     out = values.groupBy(F.col("valid_time").cast("timestamp_ntz").alias("valid_time"), "variable", "lat_i").agg(F.count("value").alias("cells"), F.sum(F.col("value").cast("double")).alias("total"))
     return rounded(out, 1)
+
+
+@query("fx_grid", sql="""SELECT model, lat_i, lon_i, round(value - truth + 1e-7, 3) AS thickness, round((u + v)/2 + 1e-7, 4) AS mean FROM fx_grid WHERE 80.5::DOUBLE - 7*lat_i BETWEEN -20 AND 45 AND (1e1*lon_i >= 300 OR 1e1*lon_i <= 40)""")
+def layer_fields(spark, grid):
+    """[F10, P22] Thickness of a layer and mean of two levels, in a region across the zero meridian."""
+    level = lambda v, lev, c: grid.select("model", "lat_i", "lon_i", F.lit(v).alias("variable"), F.lit(lev).alias("level_hpa"), F.col(c).alias("value"))
+    fields = level("z", 200, "value").unionByName(level("z", 850, "truth")).unionByName(level("t", 300, "u")).unionByName(level("t", 500, "v"))
+    fields = fields.where(S.in_box(80.5 - 7.0 * F.col("lat_i"), 10.0 * F.col("lon_i"), -20.0, 45.0, 300.0, 40.0))
+    cell = ["model", "lat_i", "lon_i"]
+    both = D.layer_thickness(fields, cell).join(D.layer_mean(fields, cell, (300, 500)), cell)
+    return both.select(*cell, (F.round(F.col("thickness") + 1e-7, 3) + 0.0).alias("thickness"), (F.round(F.col("mean") + 1e-7, 4) + 0.0).alias("mean"))
+
+
+@query("part", sql="""WITH c AS (SELECT lower(replace(p_brand, '#', '_')) AS k, min(p_partkey) AS ord FROM part GROUP BY 1), h AS (SELECT lower(replace(p_brand, '#', '_')) AS k, arg_min(p_brand, p_partkey) AS channel FROM part GROUP BY 1)
+SELECT channel, ord FROM c JOIN h USING (k)""")
+def channels_in_order(spark, part):
+    """[P2] Wanted channels, spelt in another way and repeated, in the order of their first mention."""
+    have = part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord"))
+    wanted = part.select(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("name"), F.col("p_partkey").alias("ord"))
+    return C.channel_subset(have, wanted, F.lower(F.replace("name", F.lit("#"), F.lit("_"))))
+
+
+@query("fx_track", sql="""WITH r AS (SELECT model, lead_h, count(*) AS n, round(avg(pred_lat), 4) AS mean FROM fx_track GROUP BY ALL) SELECT 'by_lead' AS "table", model, lead_h, n FROM r UNION ALL SELECT 'raw', model, 0, sum(n)::BIGINT FROM r GROUP BY model""")
+def track_bundle(spark, points):
+    """[K5] Raw points and a table by lead, written together from one reading, and read back."""
+    path = fresh_path(spark)
+    sinks.save_bundle(points.select("sid", "model", "lead_h", "pred_lat"), {"by_lead": lambda x: x.groupBy("model", "lead_h").agg(F.count(F.lit(1)).alias("n"))}, path)
+    table = spark.read.option("header", True).schema("model string, lead_h int, n long").csv(f"{path}/by_lead")
+    raw = spark.read.parquet(f"{path}/raw").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return table.select(F.lit("by_lead").alias("table"), "model", F.col("lead_h").cast("long").alias("lead_h"), "n").unionByName(raw.select(F.lit("raw").alias("table"), "model", F.lit(0).cast("long").alias("lead_h"), "n"))
+
+
+@query("fx_daily", sql="""WITH q AS (SELECT cell_id, unnest([10e0, 50e0, 90e0]) AS p, unnest([quantile_cont(tmax_truth, 0.1), quantile_cont(tmax_truth, 0.5), quantile_cont(tmax_truth, 0.9)]) AS v FROM fx_daily WHERE dayofyear(day) = 60 GROUP BY cell_id)
+SELECT cell_id, p, CASE WHEN p >= 50 THEN 'heat' ELSE 'cold' END AS tail, round(v + 1e-7, 2) AS value FROM q""")
+def baseline_store(spark, daily):
+    """[K6, A28] Percentiles of a day of year in long form, kept by tail, and read back."""
+    path = fresh_path(spark)
+    wide = E.doy_percentile(daily, ["cell_id"], "tmax_truth", [10, 50, 90], window=1).where("doy = 60")
+    long = wide.unpivot(["cell_id"], ["p10", "p50", "p90"], "name", "value").select("cell_id", F.substring("name", 2, 2).cast("double").alias("p"), "value")
+    sinks.save_baseline(long, path)
+    return spark.read.parquet(path).select("cell_id", "p", "tail", (F.round(F.col("value") + 1e-7, 2) + 0.0).alias("value"))
+
+
+@query("fx_grid", sql="""SELECT model, count(*) AS cells, count(*) FILTER (value > 30000) AS hot, (SELECT count(*) FROM fx_grid) AS rows_written FROM fx_grid GROUP BY model""")
+def mask_store(spark, grid):
+    """[K7, K8] Masks of cells kept by tiles, with a JSON row of their parameters and number, and read back."""
+    path = fresh_path(spark)
+    masks = grid.select("model", "lat_i", "lon_i", (F.col("value") > 30_000).alias("mask"))
+    sinks.save_cells(masks, f"{path}/cells")
+    sinks.save_metadata(masks, f"{path}/data", f"{path}/meta", {"threshold": 30_000})
+    meta = spark.read.schema("parameters string, rows long").json(f"{path}/meta").where(F.get_json_object("parameters", "$.threshold") == "30000")
+    found = spark.read.parquet(f"{path}/cells").groupBy("model").agg(F.count(F.lit(1)).alias("cells"), F.count_if("mask").alias("hot"))
+    return found.crossJoin(F.broadcast(meta.select(F.col("rows").alias("rows_written"))))  # one row
+
+
+@query("lineitem", sql="""WITH k AS (SELECT l_returnflag AS model, l_linenumber AS lead, count(*) AS n FROM lineitem GROUP BY ALL) SELECT model, lead, n, CASE WHEN lead <= 3 AND model <> 'A' THEN 'first' ELSE 'second' END AS run FROM k""")
+def cached_results(spark, lineitem):
+    """[K9] Results under a configuration: a second run makes only what is missing or to be refreshed."""
+    path = fresh_path(spark)
+    counts = lineitem.groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("lead")).agg(F.count(F.lit(1)).alias("n"))
+    make = lambda run: lambda todo: todo.join(counts, ["model", "lead"]).withColumn("run", F.lit(run))
+    wanted = counts.select("model", "lead")
+    sinks.cached(spark, path, {"grid": 1}, wanted.where("lead <= 3"), ["model", "lead"], make("first"))
+    return sinks.cached(spark, path, {"grid": 1}, wanted, ["model", "lead"], make("second"), refresh=["A"])
