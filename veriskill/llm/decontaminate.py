@@ -305,7 +305,7 @@ def contamination(
     A window is ``window`` consecutive words of an item, or a whole shorter item; spans are merged runs of document
     words inside occurrences of windows. Null or wordless documents have no words and no spans; null or wordless items
     are never found; an item without an id hits but is not listed; equal ids are listed once. Repeated rows each get a
-    row. Other columns are ignored, whatever their names. No items, or no documents, give no hits or no rows.
+    row; a very long text is followed whole, word by word. Other columns are ignored, whatever their names. No items, or no documents, give no hits or no rows.
     """
     pieces = materialize(_pieces(items, item_id_col, item_text_col, window), "benchmark-pieces")
     pieces, shards = _sharded(pieces, shard_words)

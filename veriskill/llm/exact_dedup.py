@@ -34,7 +34,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are equal when they agree after white space is deleted. Of equal texts, the row with the most code points in
     the original stays, then the smallest id (null ids last). Null text counts as empty, so null and blank texts form
-    one group. Repeated rows (same id and text) each get a row; exactly one of a group is kept. An empty table gives
+    one group. Repeated rows (same id and text) each get a row; exactly one of a group is kept. A very long
+    text is compared whole. An empty table gives
     an empty result. Other columns are ignored, whatever their names.
     """
     ranked = _ranked(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), "doc_id", "text", ranges, hot_share)

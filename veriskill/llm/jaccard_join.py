@@ -409,7 +409,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ``n_links`` the number of other rows linked directly. Null and wordless texts have no shingles and link with
     nothing: the component is the own id. Rows without an id take no part and have no component. Repeated rows are
     copies of each other; rows that share an id but not a text are documents of their own. Ids are of any type that
-    has an order. Other columns are ignored, whatever their names; empty tables stay empty.
+    has an order. A very long text gives all of its shingles, in one task. Other columns are ignored, whatever their
+    names; empty tables stay empty.
     """
     index, classes = _linked(docs, id_col, text_col, words, percent, slots, block)
     alone = index.where("not node").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))

@@ -144,7 +144,8 @@ def fit(docs: DataFrame, **names: str) -> ByteCNN:
 def classify(docs: DataFrame, net: ByteCNN, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``: the language with the highest mean probability over all windows.
 
-    A null text, one without a letter, or a network without classes gives ``und`` and score 0. Empty tables stay
+    A null text, one without a letter, or a network without classes gives ``und`` and score 0; of equally probable
+    languages the first by name counts. A very long text is read whole, all its windows in one task. Empty tables stay
     empty, repeated rows get equal results, other columns pass through; input columns of the two names are replaced.
     """
     docs = docs.drop("lang_pred", "lang_score")

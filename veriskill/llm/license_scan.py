@@ -84,7 +84,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     A run of units matches a template from ``threshold`` on; it has at most ``(2 - t) / t`` times the template's words
     and one. Of runs that overlap, those stay that are the best on all of their units: more shared bigrams, then the
     higher coefficient, the earlier start, the shorter run, the earlier template. Null, empty and wordless texts match
-    nothing. Rows that repeat id and text count once here. Other columns are ignored, empty tables give no rows.
+    nothing; a very long text is read whole, in chunks of units. Rows that repeat id and text count once here. Other columns are ignored, empty tables give no rows.
     """
     spark, factor, most = docs.sparkSession, (2 - threshold) / threshold, max(RUNS)
     known = plain_templates(templates)

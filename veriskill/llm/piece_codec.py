@@ -391,7 +391,7 @@ def encode_pieces(docs: DataFrame, codec: PieceCodec, *, id_col: str = "doc_id",
     """One row per input row: ``doc_id, n_pieces, pieces array<int>, lossless``.
 
     ``lossless`` tells whether decoding gave the exact text back. Null text gives null pieces, count and check; empty
-    text gives none and is lossless. Equal ids and texts get equal pieces. Other columns are ignored, empty tables
+    text gives none and is lossless. Equal ids and texts get equal pieces; a very long text is encoded whole. Other columns are ignored, empty tables
     stay empty. A null id is a key like any other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codec)

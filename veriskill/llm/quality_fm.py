@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, **names: str) -> FactorisationMachin
 def score(docs: DataFrame, fm: FactorisationMachine, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``quality_score`` in 0..1 from the whole text alone.
 
-    Null text counts as empty and is scored like it. Empty tables stay empty, repeated rows get equal scores, other
+    Null text counts as empty and is scored like it. A very long text is read whole, its words counted in one task. Empty tables stay empty, repeated rows get equal scores, other
     columns pass through; an input column ``quality_score`` is replaced. Without labels every score is 0.5.
     """
     docs = docs.drop("quality_score")

@@ -50,8 +50,8 @@ def secret_scan(
     A span is ``live`` if at most ``max_owners`` distinct owners and ``max_repos`` distinct repositories hold its
     value; without a repository column, each distinct text is one, so that copies of a document count once. A null
     owner or repository counts as none, so a value held by null owners only is live. Spans are in order of start, then
-    kind; ``token`` spans that overlap a base span are left out. Null and empty texts have no spans. Repeated rows
-    each get a row and count once in the statistics. Other columns are ignored, whatever their names.
+    kind; ``token`` spans that overlap a base span are left out. Null and empty texts have no spans; a very
+    long text is searched whole, its matches in one row. Repeated rows each get a row and count once in the statistics. Other columns are ignored, whatever their names.
     """
     text = whole_text(column(text_col))
     repo = column(repo_col).cast("string") if repo_col else F.xxhash64(text).cast("string")
