@@ -114,6 +114,21 @@ def observations_at_valid_time(spark, obs):
     return rounded(readers.observations_at(kept.drop("date"), pred).groupBy("station").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("pred") - F.col("obs")) + 1e-7).alias("bias")))
 
 
+@query("lineitem", sql="""WITH f AS (SELECT DISTINCT l_returnflag AS model, date_trunc('month', l_shipdate)::TIMESTAMP + INTERVAL '12 hours' AS init_time, 6*l_linenumber AS lead_hours, CASE WHEN l_linestatus = 'O' THEN 7 END AS member FROM lineitem)
+SELECT * FROM f QUALIFY dense_rank() OVER (PARTITION BY model ORDER BY init_time) <= 30""")
+def forecast_file_catalog(spark, lineitem):
+    """[S10, S11, T4] Files named by model, initialisation, lead and member, among others, and the first initialisations of each model."""
+    path = fresh_path(spark)
+    init = F.date_trunc("month", "l_shipdate") + F.expr("INTERVAL 12 HOURS")
+    lead = F.format_string("%02d", 6 * F.col("l_linenumber"))
+    name = F.concat("l_returnflag", F.lit("/"), F.date_format(init, "yyyyMMddHH"), F.lit("/"), F.date_format(init, "yyyy-MMdd"), F.lit("-"), lead, F.when(F.col("l_linestatus") == "O", "_7").otherwise(""), F.lit(".nc"))
+    names = lineitem.select(name.alias("name")).distinct()
+    other = names.select(F.concat(F.regexp_extract("name", "^.*/", 0), F.lit("notes.nc")).alias("name")).distinct()
+    npy_source.touch(names.unionByName(other), path).write.format("noop").mode("overwrite").save()
+    catalog = readers.forecast_catalog(spark, path).select("model", F.col("init_time").cast("timestamp_ntz").alias("init_time"), F.col("lead_hours").cast("long").alias("lead_hours"), "member")
+    return readers.first_inits(catalog, ["model"], "init_time", 30)
+
+
 @query("fx_grid", sql="""SELECT model, 6*(1 + lat_i % 4) AS lead_hours, 'z' AS variable, 'm2 s-2' AS unit, count(*) AS cells, round(sum(value), 2) AS total FROM fx_grid WHERE lat_i % 4 IN (1, 2) GROUP BY ALL""")
 def forecast_store(spark, grid):
     """[K1, K2, S11] Forecasts saved by model, initialisation and lead, some leads and variables only, saved again in part, and read back."""

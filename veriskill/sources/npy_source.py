@@ -89,7 +89,7 @@ class NpyReader(DataSourceReader):
                     yield info.path, info.size, (time, m[4], level)
 
     def partitions(self) -> Sequence[Files]:
-        fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
+        fs, root = _opened(self.path)
         parts, held = [Files([])], 0
         for path, size, key in self._folders(fs, root.rstrip("/")):
             if held + size > PART_BYTES and parts[-1].files:
@@ -100,7 +100,7 @@ class NpyReader(DataSourceReader):
         return parts
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else pafs.LocalFileSystem()
+        fs = _opened(self.path)[0]
         for path, time, variable, level in partition.files:
             with fs.open_input_file(path) as file:
                 version = np.lib.format.read_magic(file)
@@ -152,6 +152,25 @@ def npy_table(spark: SparkSession, path: str, dataset: str, flip: bool = False)
     return spark.read.format("npy_fields").option("flip", str(flip).lower()).load(path).withColumn("dataset", F.lit(dataset))
 
 
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def touch(names: DataFrame, path: str) -> DataFrame:
+    """A file of one byte below ``path`` for each value of the column ``name`` (Spark lists no empty ones); gives the names, and writes as it is read."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _opened(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs.create_dir(f"{root.rstrip('/')}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root.rstrip('/')}/{name}") as file:
+                    file.write(b"x")
+            yield batch
+
+    return names.select("name").mapInArrow(write, "name string")
+
+
 def save_npy(cells: DataFrame, path: str, time: str = "valid_time", value: str = "value") -> DataFrame:
     """Fields of cells (``variable, level_hpa, lat_i, lon_i``) as a tree of NPY files; gives ``path, cells`` of each, and writes as it is read.
 
@@ -161,7 +180,7 @@ def save_npy(cells: DataFrame, path: str, time: str = "valid_time", value: str =
     rows = cells.select(F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy/yyyy-MM-dd/HH-mm-ss").alias("at"), F.concat_ws("-", "variable", "level_hpa").alias("channel"), F.col("lat_i").cast("int"), F.col("lon_i").cast("int"), F.col(value).cast("double").alias("value"))
 
     def write(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        fs, root = _opened(path)
         out = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
             i, j = (batch.column(k).to_numpy(zero_copy_only=False)[a:b] for k in (2, 3))
