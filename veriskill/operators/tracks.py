@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veriskill.functions import scalars as S
+from veriskill.operators.steps import Fields, Tracks, follow
 
 
 def track_errors(points: DataFrame, best: DataFrame, keys: Sequence[str] = ("sid", "valid_time")) -> DataFrame:
@@ -178,90 +179,121 @@ def step_paths(paths: list[tuple[int, int, float, float]], begun: int, now: int,
 
 
 def smoothed(field: np.ndarray) -> np.ndarray:
-    """Gaussian of sigma 1 over 9 taps, edges reflected."""
+    """Gaussian of sigma 1 over 9 taps along the last two axes, edges reflected."""
     taps = np.exp(-0.5 * np.arange(-4, 5) ** 2)
     taps /= taps.sum()
-    for turn in (0, 1):
-        wide = np.pad(field, [(4, 4) if k == turn else (0, 0) for k in (0, 1)], mode="symmetric")
+    for turn in (-2, -1):
+        wide = padded(field, turn, 4, 4)
         field = sum(w * np.take(wide, range(k, k + field.shape[turn]), axis=turn) for k, w in enumerate(taps))
     return field
 
 
-def nearest_minimum(lat: np.ndarray, lon: np.ndarray, field: np.ndarray, at: tuple[float, float], delta: float, size: int) -> tuple[float, float, float] | None:
-    """[W6] Local minimum of the smoothed field within the box that is nearest to ``at``, as lat, lon and km."""
-    rows = np.flatnonzero(np.abs(lat - at[0]) <= delta)
-    cols = np.flatnonzero(np.abs((lon - at[1] + 180) % 360 - 180) <= delta)
-    cols = cols[np.argsort((lon[cols] - at[1] + 180) % 360)]
-    if len(rows) < 3 or len(cols) < 3:
-        return None
-    box = smoothed(field[np.ix_(rows, cols)])
-    if np.isnan(box).any():
-        return None
-    low, pad = box, (size // 2, size - 1 - size // 2)
-    for turn in (0, 1):
-        wide = np.pad(low, [pad if k == turn else (0, 0) for k in (0, 1)], mode="symmetric")
-        low = np.lib.stride_tricks.sliding_window_view(wide, size, axis=turn).min(axis=-1)
-    hit = box == low
-    hit[[0, -1]], hit[:, [0, -1]] = False, False
-    i, j = np.nonzero(hit)
-    if not len(i):
-        return None
-    y, x = lat[rows[i]], lon[cols[j]]
-    inner = 1 - np.cos(np.radians(y - at[0])) + np.cos(np.radians(y)) * np.cos(np.radians(at[0])) * (1 - np.cos(np.radians(x - at[1])))
-    km = 2 * S.EARTH_KM * np.arcsin(np.sqrt(np.clip(inner / 2, 0, 1)))
-    k = int(np.argmin(km))
-    return float(y[k]), float(x[k]), float(km[k])
-
-
-def track_storms(crops: DataFrame, starts: DataFrame, by: Sequence[str] = ("model", "sid", "init_time"), size: int = 8, lead: str = "lead_h") -> DataFrame:
-    """[W7, W8] Storm tracks through cropped fields, one task step for each storm and initialisation.
-
-    ``crops`` holds cells ``lat, lon, msl, u10, v10`` and optionally ``z850`` in a corridor around the best track;
-    ``starts`` the first position (``lat, lon``). The guess is the straight continuation of the last eight points. A
-    step searches pressure minima in shrinking boxes, then the 850 hPa height, and is accepted if the wind near the
-    eye exceeds 8 m/s and the eye lies within 560 km; a guess that no search confirms counts as 100 km and a fail.
-    A guess outside the corridor ends the track with the reason ``corridor_exceeded``.
+def padded(field: np.ndarray, axis: int, before: int, after: int) -> np.ndarray:
+    wide = [(0, 0)] * field.ndim
+    wide[axis] = (before, after)
+    return np.pad(field, wide, mode="symmetric")
+
+
+def nearest_minimum(lat: np.ndarray, lon: np.ndarray, field: np.ndarray, at: np.ndarray, delta: float, size: int) -> np.ndarray:
+    """[W6] Local minimum of each smoothed field within the box that is nearest to ``at``, as rows of lat, lon and km; NaN without one.
+
+    The first axis counts the fields; ``lat`` and ``lon`` are their axes, ``at`` has rows of lat and lon.
+    """
+    out = np.full((len(field), 3), np.nan)
+    inside = np.abs(lat - at[:, :1]) <= delta
+    turned = (lon - at[:, 1:] + 180) % 360
+    across = np.abs(turned - 180) <= delta
+    first, order = inside.argmax(axis=1), np.argsort(np.where(across, turned, np.inf), axis=1, kind="stable")
+    shape = np.stack([inside.sum(axis=1), across.sum(axis=1)], axis=1)
+    for high, wide in np.unique(shape, axis=0):
+        if high < 3 or wide < 3:
+            continue
+        these = np.flatnonzero((shape == (high, wide)).all(axis=1))
+        rows, cols = first[these, None] + np.arange(high), order[these, :wide]
+        box = smoothed(field[these[:, None, None], rows[:, :, None], cols[:, None, :]])
+        low = box
+        for turn in (-2, -1):
+            low = np.lib.stride_tricks.sliding_window_view(padded(low, turn, size // 2, size - 1 - size // 2), size, axis=turn).min(axis=-1)
+        hit = (box == low) & ~np.isnan(box).any(axis=(1, 2))[:, None, None]
+        hit[:, [0, -1]], hit[:, :, [0, -1]] = False, False
+        b, i, j = np.nonzero(hit)
+        y, x, (y0, x0) = lat[these[b], rows[b, i]], lon[these[b], cols[b, j]], at[these[b]].T
+        inner = 1 - np.cos(np.radians(y - y0)) + np.cos(np.radians(y)) * np.cos(np.radians(y0)) * (1 - np.cos(np.radians(x - x0)))
+        km = 2 * S.EARTH_KM * np.arcsin(np.sqrt(np.clip(inner / 2, 0, 1)))
+        near = np.lexsort((km, b))  # stable: the first in the field's order on ties
+        _, k = np.unique(b[near], return_index=True)
+        out[these[b[near[k]]]] = np.stack([y, x, km], axis=1)[near[k]]
+    return out
+
+
+def straight_on(track: np.ndarray) -> np.ndarray:
+    """[W7] The next value of each row, on the straight line of least squares through its values (``np.polyfit``, set up once)."""
+    n = track.shape[1]
+    if n == 1:
+        return track[:, 0]
+    lines = np.vander(np.arange(n) + 0.0, 2)
+    scale = np.sqrt((lines * lines).sum(axis=0))
+    fit = np.array([np.linalg.lstsq(lines / scale, row, n * np.finfo(float).eps)[0] for row in track]) / scale
+    return fit[:, 0] * n + fit[:, 1]
+
+
+def near_eye(lat: np.ndarray, lon: np.ndarray, eye: np.ndarray, radius: float) -> np.ndarray:
+    """Cells within the box around each field's eye."""
+    return (np.abs(lat - eye[:, :1]) <= radius)[:, :, None] & (np.abs((lon - eye[:, 1:] + 180) % 360 - 180) <= radius)[:, None, :]
+
+
+def track_storms(
+    crops: DataFrame, starts: DataFrame, by: Sequence[str] = ("model", "sid", "init_time"), size: int = 8, lead: str = "lead_h", field: Callable[[pd.DataFrame], Iterator[Fields]] | None = None,
+) -> DataFrame:
+    """[W7, W8] Storm tracks through cropped fields, the storms of a task side by side, one step after the other.
+
+    ``crops`` holds cells ``lat, lon, msl, u10, v10`` and optionally ``z850`` in a corridor around the best track, or
+    steps from which ``field`` makes them; ``starts`` the first position (``lat, lon``). The guess is the straight
+    continuation of the last eight points. A step searches pressure minima in shrinking boxes, then the 850 hPa height,
+    and is accepted if the wind near the eye exceeds 8 m/s and the eye lies within 560 km; a guess that no search
+    confirms counts as 100 km and a fail. A guess outside the corridor ends the track with the reason
+    ``corridor_exceeded``.
     """
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in crops.schema if f.name in by)
-    schema = f"{keys}, {lead} long, lat double, lon double, min_msl double, max_wind double, fails long, reason string"
-
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        lats, lons = [float(group.start_lat.iloc[0])], [float(group.start_lon.iloc[0]) % 360]
-        out, fails, reason = [], 0, "max_lead_reached"
-        for now, cells in group.groupby(lead, sort=True):
-            n = min(8, len(lats))
-            t = np.arange(n)
-            fit = [np.polyval(np.polyfit(t, np.unwrap(x[-n:], period=360) if x is lons else x[-n:], 1), n) if n > 1 else x[-1] for x in (lats, lons)]
-            at = (float(np.clip(fit[0], -90, 90)), float(fit[1]) % 360)
-            grid = cells.pivot_table(index="lat", columns="lon", values="msl", dropna=False)
-            y, x = grid.index.to_numpy(float), grid.columns.to_numpy(float)
-            if not (y.min() <= at[0] <= y.max() and np.abs((x - at[1] + 180) % 360 - 180).min() <= 1.0):
-                reason = "corridor_exceeded"
-                break
-            found = next((f for d in (5, 4, 3, 2, 1.5) if (f := nearest_minimum(y, x, grid.to_numpy(float), at, d, size))), None)
-            if found is None and "z850" in cells and cells.z850.notna().all():
-                z = cells.pivot_table(index="lat", columns="lon", values="z850", dropna=False).to_numpy(float)
-                found = nearest_minimum(y, x, z, at, 5, size)
-                if found:
-                    refined = next((f for d in (5, 4, 3, 2, 1.5) if (f := nearest_minimum(y, x, grid.to_numpy(float), found[:2], d, size))), None)
-                    found = refined or found
-            if found is None:
-                if len(lats) == 1:
-                    reason = "tracker_fail"
-                    break
-                found, fails = (*at, 100.0), fails + 1
-            near = cells[(np.abs(cells.lat - found[0]) <= 1.5) & (np.abs((cells.lon - found[1] + 180) % 360 - 180) <= 1.5)]
-            wind = float(np.hypot(near.u10, near.v10).max()) if len(near) else 0.0
-            if not (wind > 8 and found[2] < 560):
-                reason = "tracker_fail"
-                break
-            lats.append(found[0])
-            lons.append(found[1] % 360)
-            out.append((int(now), found[0], found[1] % 360, float(near.msl.min()), wind, fails))
-        frame = pd.DataFrame(out, columns=[lead, "lat", "lon", "min_msl", "max_wind", "fails"]).assign(reason=reason)
-        for c in by:
-            frame[c] = group[c].iloc[0]
-        return frame
-
-    begun = crops.join(starts.select(*by, F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon")), list(by))
-    return begun.groupBy(*by).applyInPandas(follow, schema)
+    names = ("msl", "u10", "v10", *(c for c in ("z850",) if c in crops.columns))
+
+    def search(found: np.ndarray, these: np.ndarray, lat: np.ndarray, lon: np.ndarray, msl: np.ndarray, at: np.ndarray) -> None:
+        for d in (5, 4, 3, 2, 1.5):
+            if len(these):
+                found[these] = nearest_minimum(lat[these], lon[these], msl[these], at[these], d, size)
+                these = these[np.isnan(found[these, 2])]
+
+    def step(tracks: Tracks, s: np.ndarray, lat: np.ndarray, lon: np.ndarray, values: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        n, at, msl = np.minimum(tracks.n[s], 8), np.empty((len(s), 2)), values["msl"]
+        for k in np.unique(n):
+            last = tracks.at[s[n == k]][:, :, -k:]
+            at[n == k] = np.stack([straight_on(last[:, 0]), straight_on(np.unwrap(last[:, 1], period=360))], axis=1)
+        at = np.stack([np.clip(at[:, 0], -90, 90), at[:, 1] % 360], axis=1)
+        inside = (lat.min(axis=1) <= at[:, 0]) & (at[:, 0] <= lat.max(axis=1)) & (np.abs((lon - at[:, 1:] + 180) % 360 - 180).min(axis=1) <= 1.0)
+        tracks.reason[s[~inside]] = "corridor_exceeded"
+        found = np.full((len(s), 3), np.nan)
+        search(found, np.flatnonzero(inside), lat, lon, msl, at)
+        lost = np.flatnonzero(inside & np.isnan(found[:, 2]))
+        if "z850" in values and len(lost):
+            high = nearest_minimum(lat[lost], lon[lost], values["z850"][lost], at[lost], 5, size)
+            lost, high = lost[~np.isnan(high[:, 2])], high[~np.isnan(high[:, 2])]
+            aim = at.copy()
+            aim[lost] = high[:, :2]
+            search(found, lost, lat, lon, msl, aim)
+            found[lost] = np.where(np.isnan(found[lost, 2:]), high, found[lost])
+        lost = inside & np.isnan(found[:, 2])
+        over = ~inside | (lost & (tracks.n[s] == 1))
+        kept = lost & ~over
+        found[kept] = np.concatenate([at[kept], np.full((int(kept.sum()), 1), 100.0)], axis=1)
+        tracks.fails[s[kept]] += 1
+        eye = near_eye(lat, lon, found[:, :2], 1.5)
+        wind = np.where(eye, np.fmax(np.hypot(values["u10"], values["v10"]), -np.inf), -np.inf).max(axis=(1, 2))
+        low = np.where(eye, np.fmin(msl, np.inf), np.inf).min(axis=(1, 2))
+        good = ~over & (wind > 8) & (found[:, 2] < 560)
+        tracks.reason[s[inside & ~good]] = "tracker_fail"
+        found[:, 1] %= 360
+        tracks.add(s[good], found[good, 0], found[good, 1])
+        return good, {"lat": found[good, 0], "lon": found[good, 1], "min_msl": np.where(np.isinf(low), np.nan, low)[good], "max_wind": wind[good], "fails": tracks.fails[s[good]]}
+
+    begun = starts.withColumn("lon", F.pmod("lon", F.lit(360.0)))
+    columns = {"lat": "double", "lon": "double", "min_msl": "double", "max_wind": "double", "fails": "long"}
+    return follow(crops, begun, by, lead, names, 8, columns, "max_lead_reached", step, field)
