@@ -106,8 +106,12 @@ def two_source_cases(left: DataFrame, right: DataFrame, keys: Sequence[str], sco
 
 
 def eye_intensity(cells: DataFrame, eyes: DataFrame, keys: Sequence[str], radius: float = 1.5) -> DataFrame:
-    """[A43] Lowest pressure and strongest wind within a box around each eye (``eye_lat, eye_lon``); eyes without cells are left out."""
-    near = (F.abs(F.col("lat") - F.col("eye_lat")) <= radius) & (F.abs(F.pmod(F.col("lon") - F.col("eye_lon") + 180, F.lit(360.0)) - 180) <= radius)
+    """[A43] Lowest pressure and strongest wind within a box around each eye (``eye_lat, eye_lon``); eyes without cells are left out.
+
+    Longitudes are compared by their plain difference, which nothing is added to: a cell on the edge stays on its side.
+    """
+    off = F.abs(F.col("lon") - F.col("eye_lon")) % 360
+    near = (F.abs(F.col("lat") - F.col("eye_lat")) <= radius) & (F.least(off, 360 - off) <= radius)
     return cells.join(eyes, list(keys)).where(near).groupBy(*keys, "eye_lat", "eye_lon").agg(F.min("msl").alias("min_msl"), F.max(S.wind_speed(F.col("u10"), F.col("v10"))).alias("max_wind"))
 
 
