@@ -43,9 +43,9 @@ def to_stations(rows: DataFrame, corner: DataFrame, field: Sequence[str], values
 def slots(obs: DataFrame, by: Sequence[str], time: str, values: Sequence[str], meta: Sequence[str] = (), hours: int = 6, minutes: int = 15) -> DataFrame:
     """[J8, A25] Means of observations within ``minutes`` of each synoptic time, with the first row's metadata."""
     step = hours * 3600
-    ts = F.unix_timestamp(time)
-    slot = F.round(ts / step) * step
-    rows = obs.withColumn("slot", slot.cast("long")).where(F.abs(ts - slot) <= minutes * 60)
+    us = F.unix_micros(F.col(time).cast("timestamp"))  # whole seconds would let in what lies less than one beyond
+    slot = F.round(us / (step * 1_000_000)).cast("long") * step
+    rows = obs.withColumn("slot", slot).where(F.abs(us - slot * 1_000_000) <= minutes * 60_000_000)
     out = rows.groupBy(*by, "slot").agg(*(F.avg(v).alias(v) for v in values), F.count(F.lit(1)).alias("n_obs"), *(F.min_by(m, F.struct(time, m)).alias(m) for m in meta))
     return out.withColumn("slot", F.timestamp_seconds("slot"))
 

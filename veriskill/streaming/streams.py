@@ -19,8 +19,8 @@ from veriskill.operators.tracks import keep_last, step_paths
 def slot_stream(obs: DataFrame, by: Sequence[str], time: str, values: Sequence[str], hours: int = 6, minutes: int = 15, late: str = "1 hour") -> DataFrame:
     """[R3, J8] Means of observations around synoptic times; a slot is final once the watermark has passed it (append mode)."""
     step = hours * 3600
-    away = F.pmod(F.unix_timestamp(time) + minutes * 60, F.lit(step))
-    rows = obs.withWatermark(time, late).where(away <= 2 * minutes * 60)
+    away = F.pmod(F.unix_micros(time) + minutes * 60_000_000, F.lit(step * 1_000_000))
+    rows = obs.withWatermark(time, late).where(away <= 2 * minutes * 60_000_000)
     window = F.window(time, f"{hours} hours", startTime=f"{step - minutes * 60} seconds")
     out = rows.groupBy(window, *by).agg(*(F.avg(v).alias(v) for v in values), F.count(F.lit(1)).alias("n_obs"))
     return out.select(*by, (F.col("window.start") + F.make_dt_interval(mins=F.lit(minutes))).alias("slot"), *values, "n_obs")
