@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from veriskill.functions import scalars as S
 from veriskill.operators.grid import local_extrema
 from veriskill.operators.objects import label, large_objects
-from veriskill.operators.tracks import link_paths, near_points
+from veriskill.operators.steps import Fields, Tracks, follow
+from veriskill.operators.tracks import link_paths, near_eye, near_points
 
 
 def convex_area(points: np.ndarray) -> float:
@@ -105,39 +106,39 @@ def layer_mean(fields: DataFrame, cell: Sequence[str], levels: Sequence[int], va
 def minimum_pressure_track(
     crops: DataFrame, starts: DataFrame, by: Sequence[str], lead: str = "lead_h", radius_km: float = 278.0, max_msl: float = 101_200.0, min_wind: float = 10.2, most: int = 40,
     wind_deg: float = 100.0, lats: tuple[float, float] = (-50.0, 50.0), lons: tuple[float, float] = (0.0, 360.0),
+    field: Callable[[pd.DataFrame], Iterator[Fields]] | None = None,
 ) -> DataFrame:
     """[W10] Tracks by the lowest pressure within a box around the last position: ``by, lead, lat, lon, min_msl, max_wind``.
 
     The box reaches ``radius_km`` to each side, in longitude by the latitude of the last position, and round the globe;
     of equal pressures the northernmost, then the westernmost counts. A step ends its track and is left out if pressure
     there is above ``max_msl``, the strongest wind within ``wind_deg`` degrees is below ``min_wind``, the jump is longer
-    than the radius, the point lies outside the bounds, more than ``most`` points are behind it, or the box is empty. One
-    task follows a storm's corridor; storms are shared out.
+    than the radius, the point lies outside the bounds, more than ``most`` points are behind it, or the box is empty. A
+    task follows its storms side by side. ``crops`` holds cells, or steps from which ``field`` makes them.
     """
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in crops.schema if f.name in by)
     deg = radius_km / 111.32
 
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        at, out = (float(group.start_lat.iloc[0]), float(group.start_lon.iloc[0])), []
-        for now, cells in group.groupby(lead, sort=True):
-            off = np.abs((cells.lon - at[1] + 180) % 360 - 180)
-            box = cells[(np.abs(cells.lat - at[0]) <= deg) & (off <= deg / max(1e-9, np.cos(np.radians(at[0]))))].dropna(subset=["msl"])
-            if not len(box):
-                break
-            low = box.sort_values(["msl", "lat", "lon"], ascending=[True, False, True]).iloc[0]
-            near = cells[(np.abs(cells.lat - low.lat) <= wind_deg) & (np.abs((cells.lon - low.lon + 180) % 360 - 180) <= wind_deg)]
-            wind = float(np.hypot(near.u10, near.v10).max())
-            inner = 1 - np.cos(np.radians(low.lat - at[0])) + np.cos(np.radians(at[0])) * np.cos(np.radians(low.lat)) * (1 - np.cos(np.radians(low.lon - at[1])))
-            jump = 2 * S.EARTH_KM * np.arcsin(np.sqrt(np.clip(inner / 2, 0, 1)))
-            inside = lats[0] <= low.lat <= lats[1] and lons[0] <= low.lon <= lons[1]
-            if low.msl > max_msl or not wind >= min_wind or jump > radius_km or len(out) > most or not inside:
-                break
-            at = (float(low.lat), float(low.lon))
-            out.append({**{c: group[c].iloc[0] for c in by}, lead: int(now), "lat": at[0], "lon": at[1], "min_msl": float(low.msl), "max_wind": wind})
-        return pd.DataFrame(out, columns=[*by, lead, "lat", "lon", "min_msl", "max_wind"])
-
-    begun = crops.join(starts.select(*by, F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon")), list(by))
-    return begun.groupBy(*by).applyInPandas(follow, f"{keys}, {lead} long, lat double, lon double, min_msl double, max_wind double")
+    def step(tracks: Tracks, s: np.ndarray, lat: np.ndarray, lon: np.ndarray, values: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        at, msl, each = tracks.at[s][:, :, -1], values["msl"], np.arange(len(s))
+        off = np.abs(lon - at[:, 1:]) % 360
+        wide = np.minimum(off, 360 - off) <= deg / np.maximum(1e-9, np.cos(np.radians(at[:, :1])))
+        box = (np.abs(lat - at[:, :1]) <= deg)[:, :, None] & wide[:, None, :] & ~np.isnan(msl)
+        low = np.where(box, msl, np.inf).min(axis=(1, 2))
+        hit = box & (msl == low[:, None, None])
+        i = lat.shape[1] - 1 - hit.any(axis=2)[:, ::-1].argmax(axis=1)
+        y, x = lat[each, i], lon[each, hit[each, i].argmax(axis=1)]
+        near = near_eye(lat, lon, np.stack([y, x], axis=1), wind_deg)
+        wind = np.where(near, np.fmax(np.hypot(values["u10"], values["v10"]), -np.inf), -np.inf).max(axis=(1, 2))
+        inner = 1 - np.cos(np.radians(y - at[:, 0])) + np.cos(np.radians(at[:, 0])) * np.cos(np.radians(y)) * (1 - np.cos(np.radians(x - at[:, 1])))
+        jump = 2 * S.EARTH_KM * np.arcsin(np.sqrt(np.clip(inner / 2, 0, 1)))
+        inside = (lats[0] <= y) & (y <= lats[1]) & (lons[0] <= x) & (x <= lons[1])
+        good = box.any(axis=(1, 2)) & (low <= max_msl) & (wind >= min_wind) & (jump <= radius_km) & (tracks.n[s] <= most + 1) & inside
+        tracks.reason[s[~good]] = "ended"
+        tracks.add(s[good], y[good], x[good])
+        return good, {"lat": y[good], "lon": x[good], "min_msl": low[good], "max_wind": wind[good]}
+
+    columns = {"lat": "double", "lon": "double", "min_msl": "double", "max_wind": "double"}
+    return follow(crops, starts, by, lead, ("msl", "u10", "v10"), 1, columns, None, step, field)
 
 
 def centre_paths(centres: DataFrame, run: Sequence[str], step: str = "step", radius_km: float = 300.0, memory: int = 2, least: int = 1) -> DataFrame:
