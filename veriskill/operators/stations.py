@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,30 @@ def corners(stations: DataFrame, rows: int, width: int, lat0: float, dlat: float
     return stations.where(inside).select("station", F.inline(F.array(*corner)))
 
 
-def to_stations(rows: DataFrame, corner: DataFrame, field: Sequence[str], values: str = "vals") -> DataFrame:
+def to_stations(rows: DataFrame, corner: DataFrame, field: Sequence[str], values: str = "vals", spread: int = 8) -> DataFrame:
     """[J5, J6] Bilinear values at stations from latitude rows (``lat_i`` and an array over longitudes). A null corner gives null.
 
-    Each field row meets the stations of its latitude and yields weighted values, so that no cell is exploded.
+    Each row is put beside its southern neighbour; the pair then meets the stations between the two and gives their
+    values at once: as many as fields times stations, none of which is shuffled. Stations are repeated ``spread`` times,
+    so that a latitude's fields are shared out. A station has one position, its corners lie in two neighbouring rows.
     """
-    at = F.element_at(values, F.col("lon_i") + 1)
-    parts = rows.join(corner, "lat_i").groupBy(*field, "station")
-    total = F.sum(F.col("w") * at)
-    return parts.agg(F.when(F.count_if(at.isNull() & (F.col("w") > 0)) == 0, total).alias("value"))
+    pair = F.explode(F.array(*(F.struct((F.col("lat_i") - d).alias("_i"), F.lit(d).alias("_d")) for d in (0, 1))))
+    half = lambda d: F.first(F.when(F.col("_p._d") == d, F.col(values)), ignorenulls=True).alias(f"_v{d}")
+    pairs = rows.withColumn("_p", pair).groupBy(*field, F.col("_p._i").alias("_i")).agg(half(0), half(1)).withColumn("_s", F.pmod(F.xxhash64(*field), F.lit(spread)))
+
+    four = corner.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("lat_i", "lon_i", "w"))).alias("_c"), F.min("lat_i").alias("_i"))
+    fits = (F.size("_c") <= 4) & (F.array_max("_c.lat_i") <= F.col("_i") + 1)
+    four = four.withColumn("_i", F.when(fits, F.col("_i")).otherwise(F.raise_error(F.lit("a station with corners in more than one place")).cast("int")))
+    flat = [x for k in range(4) for c in (F.get("_c", F.lit(k)),) for x in ((c["lat_i"] - F.col("_i")).alias(f"_d{k}"), c["lon_i"].alias(f"_x{k}"), c["w"].alias(f"_w{k}"))]
+    stations = four.select("station", "_i", *flat).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+
+    row = [F.when(F.col(f"_d{k}") == 0, F.col("_v0")).when(F.col(f"_d{k}") == 1, F.col("_v1")) for k in range(4)]
+    at = [F.get(r, F.col(f"_x{k}")) for k, r in enumerate(row)]
+    gap = [r.isNotNull() & v.isNull() & (F.col(f"_w{k}") > 0) for k, (r, v) in enumerate(zip(row, at, strict=True))]
+    part = [F.col(f"_w{k}") * v for k, v in enumerate(at)]
+    total = reduce(lambda x, y: x + y, (F.coalesce(p, F.lit(0.0)) for p in part))
+    value = F.when(~reduce(lambda x, y: x | y, gap) & F.coalesce(*part).isNotNull(), total)
+    return pairs.join(stations, ["_i", "_s"]).select(*field, "station", value.alias("value"))
 
 
 def slots(obs: DataFrame, by: Sequence[str], time: str, values: Sequence[str], meta: Sequence[str] = (), hours: int = 6, minutes: int = 15) -> DataFrame:
